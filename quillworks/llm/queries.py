@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillworks.llm import packing, tokens
+from quillworks.llm import packing, quality_rules, tokens
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": packing.op2_packing,
     "op6_token_counts": tokens.op6_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+}
