@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillworks.llm import packing, quality_rules, tokens
+from quillworks.llm import mixing, packing, quality_rules, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": packing.op2_packing,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_mixing": mixing.op7_mixing,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op7_mixing": mixing.op7_sql(),
 }
