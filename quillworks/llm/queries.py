@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillworks.llm import mixing, packing, quality_classifier, quality_rules, tokens, toxicity
+from quillworks.llm import mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": packing.op2_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
