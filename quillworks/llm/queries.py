@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillworks.llm import mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
+from quillworks.llm import html_extraction, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_extraction": html_extraction.op8_html_extraction,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {
