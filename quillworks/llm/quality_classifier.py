@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
+from quillworks.llm.common import received, send, worker_state
 
 common.ship(__name__)
 
@@ -93,19 +94,21 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150
     grades = sorted({g for g, _, _ in rows})
     if len(grades) < 2:
         return OrdinalModel(np.zeros(BUCKETS, dtype=np.float32), np.zeros(0), grades or [0])
-    doc = np.repeat(np.arange(len(rows)), [len(b) for _, b, _ in rows])
-    used, col = np.unique(np.concatenate([b for _, b, _ in rows]), return_inverse=True)
-    val = np.concatenate([v for _, _, v in rows]).astype(np.float64)
+    # parts of 500 rows: places, buckets and values; temporary arrays stay small
+    parts = []
+    for at in range(0, len(rows), 500):
+        own = rows[at : at + 500]
+        parts.append((at, len(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(b) for _, b, _ in own]), np.concatenate([b for _, b, _ in own]).astype(np.int32), np.concatenate([v for _, _, v in own]).astype(np.float32)))
     above = np.array([[g > k for k in grades[:-1]] for g, _, _ in rows], dtype=np.float64)
     share = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     # the first threshold, and the logarithms of the steps from it to the next ones: these keep the order
     start = np.log((1 - share) / share)
-    par = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
+    par = np.concatenate([np.zeros(BUCKETS), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     n, k = len(rows), len(grades) - 1
     m, v = np.zeros_like(par), np.zeros_like(par)
     for step in range(1, steps + 1):
-        w, theta = par[: len(used)], np.cumsum(np.concatenate([par[len(used) : len(used) + 1], np.exp(par[len(used) + 1 :])]))
-        eta = np.bincount(doc, weights=val * w[col], minlength=n)
+        w, theta = par[:BUCKETS], np.cumsum(np.concatenate([par[BUCKETS : BUCKETS + 1], np.exp(par[BUCKETS + 1 :])]))
+        eta = np.concatenate([np.bincount(doc, weights=val * w[col], minlength=size) for _, size, doc, col, val in parts])
         tail = np.hstack([np.ones((n, 1)), sigmoid(eta[:, None] - theta[None, :]), np.zeros((n, 1))])
         grade = above.sum(axis=1).astype(int)
         each = np.arange(n)
@@ -116,12 +119,13 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150
         np.add.at(d_theta, grade[grade > 0] - 1, (slope[each, grade] / p / n)[grade > 0])
         np.add.at(d_theta, grade[grade < k], -(slope[each, grade + 1] / p / n)[grade < k])
         back = np.cumsum(d_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, weights=val * d_eta[doc], minlength=len(used)) + decay * w, back[:1], back[1:] * np.exp(par[len(used) + 1 :])])
+        d_w = decay * w
+        for at, size, doc, col, val in parts:
+            d_w = d_w + np.bincount(col, weights=val * d_eta[at : at + size][doc], minlength=BUCKETS)
+        g = np.concatenate([d_w, back[:1], back[1:] * np.exp(par[BUCKETS + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         par = par - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[used] = par[: len(used)]
-    return OrdinalModel(weights, np.cumsum(np.concatenate([par[len(used) : len(used) + 1], np.exp(par[len(used) + 1 :])])), grades)
+    return OrdinalModel(par[:BUCKETS].astype(np.float32), np.cumsum(np.concatenate([par[BUCKETS : BUCKETS + 1], np.exp(par[BUCKETS + 1 :])])), grades)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_size: int = SAMPLE_SIZE) -> OrdinalModel:
@@ -130,14 +134,14 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "grade": batch["grade"], "buckets": [b for b, _ in found], "values": [v for _, v in found]})
+            yield pd.DataFrame({"key": batch["key"], "grade": batch["grade"], "buckets": [b.astype("<i4").tobytes() for b, _ in found], "values": [v.astype("<f4").tobytes() for _, v in found]})
 
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).cast("int").alias("grade")).where("grade is not null")
     sample = common.bounded_sample(rated, "rated_id", ["grade"], sample_size)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc") == F.col("sample_id"))
-    rows = texts.select(F.xxhash64("doc", "text").alias("key"), "grade", "text").mapInPandas(extract, "key long, grade int, buckets array<int>, values array<float>")
+    rows = texts.select(F.xxhash64("doc", "text").alias("key"), "grade", "text").mapInPandas(extract, "key long, grade int, buckets binary, values binary")
     found = rows.orderBy("key", "grade").limit(sample_size).collect()
-    return fit_ordinal([(r.grade, np.array(r.buckets, dtype=np.int64), np.array(r["values"], dtype=np.float64)) for r in found])
+    return fit_ordinal([(r.grade, np.frombuffer(r.buckets, dtype="<i4"), np.frombuffer(r["values"], dtype="<f4")) for r in found])
 
 
 class WordWeights(dict):
@@ -161,17 +165,17 @@ class WordWeights(dict):
 
 def scorer(spark: SparkSession, model: OrdinalModel):
     """A pandas UDF: text -> struct(expected_grade, tails)."""
-    sent, label = spark.sparkContext.broadcast(model), hash(model.weights.tobytes()) ^ hash(model.thresholds.tobytes())
+    sent, label = send(spark, model), hash(model.weights.tobytes()) ^ hash(model.thresholds.tobytes())
 
     @F.pandas_udf("struct<expected_grade double, tails array<double>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        state = common.worker_state()
+        state, model = worker_state(), received(sent)
         if state.get("quality weights", (None,))[0] != label:
-            state["quality weights"] = label, WordWeights(sent.value.weights)
+            state["quality weights"] = label, WordWeights(model.weights)
         words = state["quality weights"][1]
         for texts in batches:
             eta = np.array([words.eta(t or "") for t in texts], dtype=np.float64)
-            yield pd.DataFrame({"expected_grade": sent.value.expected(eta), "tails": list(sent.value.tails(eta))})
+            yield pd.DataFrame({"expected_grade": model.expected(eta), "tails": list(model.tails(eta))})
 
     return score
 
