@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import builtins
+import pickle
 import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def ship(module_name: str) -> None:
-    """Pickle this module's functions by value, so executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    """Pickle the functions of a module's package by value, so executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name.rpartition(".")[0]])
 
 
 def worker_state() -> dict:
@@ -26,6 +27,15 @@ def worker_state() -> dict:
     return builtins.__dict__.setdefault("_quillworks_worker_state", {})
 
 
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a model. Its class goes along by value; open it with received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> object:
+    return pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

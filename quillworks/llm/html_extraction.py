@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common, html_blocks, html_pages
+from quillworks.llm.common import received, send, worker_state
 from quillworks.llm.html_blocks import Block, blocks_of
 from quillworks.llm.html_pages import PageMaker
 
@@ -223,7 +224,7 @@ def train_labeller(pages: int = 2_400, seed: int = 11, epochs: int = 4, batch: i
 
 def labeller() -> Labeller:
     """The trained labeller; one training per process."""
-    state = common.worker_state()
+    state = worker_state()
     if "labeller" not in state:
         state["labeller"] = train_labeller()
     return state["labeller"]
@@ -231,11 +232,11 @@ def labeller() -> Labeller:
 
 def extract_text(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col: str = "html", keep_cols: tuple[str, ...] = ("url",), least: float = 0.5) -> DataFrame:
     """One row per page: id, the columns kept, text (main blocks joined by line feeds), n_chars, n_blocks, n_main."""
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    sent = send(pages.sparkSession, model)
 
     @F.pandas_udf("struct<text string, n_blocks long, n_main long>")
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        indexer, model = Indexer(), sent.value
+        indexer, model = Indexer(), received(sent)
         for series in batches:
             rows: list[tuple[str, int, int]] = []
             for at in range(0, len(series), 500):

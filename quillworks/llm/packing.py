@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
+from quillworks.llm.common import worker_state
 from quillworks.llm.tokens import ModelIds, tokenizer_path
 
 common.ship(__name__)
@@ -129,7 +130,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = common.worker_state()
+        state = worker_state()
         if ("word ids", path) not in state:
             state["word ids", path] = WordIds(path)
         words = state["word ids", path]

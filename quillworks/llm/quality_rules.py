@@ -2,7 +2,7 @@
 
 Words and pairs of neighbouring words are hashed into `buckets` buckets. Two multinomials are estimated over all
 documents: of the trusted ones (a label says so) and of the raw corpus. A document's score is the sum over its n-grams
-of log(target / raw) of their bucket, divided by their number; it is kept if the base rules pass and the score reaches
+of log(target / raw) of their bucket (both smoothed towards the raw corpus), divided by their number; it is kept if the base rules pass and the score reaches
 `threshold`. The ratios are whole numbers (millionths), so a sum does not depend on its order and reruns agree.
 DataFrame functions only; the documents are never shuffled: the counting pass moves one row per task and bucket.
 
@@ -22,12 +22,14 @@ from quillworks.llm import common
 
 BUCKETS = 1 << 16
 #: Least score, in millionths of a natural logarithm per n-gram.
-THRESHOLD = -120_000
+THRESHOLD = -80_000
 WINDOW = 8
 #: Above so many trusted ids the ids are joined by a shuffle, not broadcast.
 BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"
 PRIME = 1_000_003
+#: Occurrences that every bucket has beforehand, at the raw corpus' rate: what is seldom seen says little.
+PRIOR = 20.0
 
 
 def word_hash(word: Column) -> Column:
@@ -57,16 +59,17 @@ def trusted_flag(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> DataFrame:
-    """bucket, target_n, raw_n, ratio (millionths of a nat): add-one multinomials over all documents."""
+    """bucket, target_n, raw_n, ratio (millionths of a nat): of counts over all documents, smoothed by the prior."""
     rows = trusted_flag(docs.select(F.col(id_col).alias("rule_id"), F.col(text_col).alias("rule_text")), labels, id_col, label_col)
     rows = rows.withColumn("rule_hashes", F.transform(common.words_col(F.col("rule_text")), word_hash))
     grams = rows.select("trusted", F.explode(gram_buckets(F.col("rule_hashes"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.when(F.col("trusted"), 1)).alias("target_n"), F.count(F.lit(1)).alias("raw_n"))
-    totals = counts.agg(F.coalesce(F.sum("target_n"), F.lit(0)).alias("target_all"), F.coalesce(F.sum("raw_n"), F.lit(0)).alias("raw_all"))
-    t, r = F.col("target_n"), F.col("raw_n")
+    counts = common.materialize(counts, "ngrams")
+    totals = counts.agg(F.coalesce(F.sum("target_n"), F.lit(0)).alias("target"), F.coalesce(F.sum("raw_n"), F.lit(0)).alias("raw")).first()
     d = lambda n: n.cast("double")
-    ratio = F.ln(d(t + 1) * d(F.col("raw_all") + buckets) / (d(r + 1) * d(F.col("target_all") + buckets)))
-    return counts.join(F.broadcast(totals)).select("bucket", "target_n", "raw_n", F.when(F.col("target_all") > 0, F.round(ratio * 1_000_000)).otherwise(0).cast("long").alias("ratio"))
+    expected = d(F.col("raw_n")) * (totals.target / totals.raw if totals.raw else 0.0)
+    ratio = F.ln((d(F.col("target_n")) + PRIOR) / (expected + PRIOR))
+    return counts.withColumn("ratio", (F.round(ratio * 1_000_000) if totals.target else F.lit(0)).cast("long"))
 
 
 def ratio_array(ratios: DataFrame, buckets: int) -> list[int]:
@@ -129,7 +132,9 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rule_row"))
     rows = rows.withColumn("rule_text", F.coalesce(F.col("rule_row")[text_col], F.lit("")))
     rows = rows.withColumn("rule_hashes", F.transform(common.words_col(F.col("rule_text")), word_hash))
-    return measures(rows, ratios, threshold).where("kept").select("rule_row.*")
+    # a condition that is not deterministic stays where it is: pushed down, it would repeat every measure inside the others
+    measured = measures(rows, ratios, threshold).withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0))
+    return measured.where("kept").select("rule_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +154,7 @@ WITH words AS (
 ), counts AS (
   SELECT bucket, count(trusted.doc_id) AS t, count(*) AS r FROM grams LEFT JOIN trusted USING (doc_id) GROUP BY bucket
 ), ratios AS (
-  SELECT bucket, CASE WHEN sum(t) OVER () > 0 THEN CAST(round(ln(CAST(t + 1 AS DOUBLE) * CAST(sum(r) OVER () + {BUCKETS} AS DOUBLE) / (CAST(r + 1 AS DOUBLE) * CAST(sum(t) OVER () + {BUCKETS} AS DOUBLE))) * 1000000) AS BIGINT) ELSE 0 END AS ratio FROM counts
+  SELECT bucket, CASE WHEN sum(t) OVER () > 0 THEN CAST(round(ln((CAST(t AS DOUBLE) + {PRIOR}) / (CAST(r AS DOUBLE) * (CAST(sum(t) OVER () AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE)) + {PRIOR})) * 1000000) AS BIGINT) ELSE 0 END AS ratio FROM counts
 ), scores AS (
   SELECT doc_id, sum(ratio) AS total, count(*) AS n FROM grams JOIN ratios USING (bucket) GROUP BY doc_id
 ), windows AS (

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quillworks.llm import common
+from quillworks.llm.common import worker_state
 from quillworks.llm.components import components
 
 common.ship(__name__)
@@ -133,7 +134,7 @@ def links(distinct: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame
     """Pairs a < b of distinct fingerprints (column fp) that differ in at most `threshold` bits."""
 
     def covering() -> Covering:
-        state = common.worker_state()
+        state = worker_state()
         if ("covering", blocks, threshold) not in state:
             state["covering", blocks, threshold] = Covering(blocks, threshold)
         return state["covering", blocks, threshold]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
+from quillworks.llm.common import worker_state
 
 common.ship(__name__)
 
@@ -137,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tier = spark.sparkContext.broadcast({c: encoder[c] for c in top})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, tag = common.worker_state(), (path, label)
+        state, tag = worker_state(), (path, label)
         if state.get("token lengths", (None,))[0] != tag:
             state["token lengths"] = tag, LengthCache(tier.value, path)
         cache = state["token lengths"][1]
