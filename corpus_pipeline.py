@@ -1,25 +1,58 @@
-"""The pipeline over `documents`: classify, apply rules, drop near copies, mix sources, pack."""
+"""The pipeline over `documents`: select by quality, apply rules, drop near copies, mix the sources, pack.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame: the documents
+with their columns, and from the last stage the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillworks.llm import packing
+from quillworks.llm import common, mixing, packing, quality_classifier, quality_rules, simhash
 from quillworks.llm.tokens import tokenizer_path
 
-#: The tokenizer and the end token's id make no SQL: the stages are tested against brute force.
+#: A trained model, XXH64 bits and a tokenizer make no SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier selects."""
+    ratings = quality_classifier.graded(common.table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_documents(docs, quality_classifier.fit(docs, ratings))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the log-likelihood ratio."""
+    return quality_rules.keep_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every near-duplicate component."""
+    return simhash.keep_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2,048 tokens."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", select_quality),
+    ("quality rules", apply_rules),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over `documents`; what each returns is written and read again as the next one's documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
