@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillworks.llm import html_extraction, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
+from quillworks.llm import html_extraction, language_model, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": packing.op2_packing,
+    "op3_lm_scores": language_model.op3_lm_scores,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_token_counts": tokens.op6_token_counts,
