@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillworks.llm import html_extraction, language_model, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
+from quillworks.llm import audio, html_extraction, language_model, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
     "op8_html_extraction": html_extraction.op8_html_extraction,
+    "op9_chroma_search": audio.op9_chroma_search,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {
