@@ -2,5 +2,455 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillworks.functions.textops import jaccard_col, token_set_col, word_count_col
+from quillworks.operators import bank, blueprint, documents, lines, measures, pairs, sections, simjoin
+from quillworks.plans import views, workloads
+
+CHARS = "CAST(length(content) AS BIGINT)"
+
+
+def joined(c: str, mark: str = " | "):
+    return F.array_join(c, mark)
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.para_sections(spark, sf_dir)
+
+
+def section_weights(spark, sf_dir):
+    return _sections(spark, sf_dir).select("doc_id", "no", "id", "word_count", "total_words", "section_weight")
+
+
+def allocate_questions(spark, sf_dir):
+    rows = _sections(spark, sf_dir).select("doc_id", "no", F.col("section_weight").alias("weight"), (F.col("no") % 4).alias("given"), (F.col("total_words") % 40).alias("target"))
+    return blueprint.allocate_questions(rows).select("doc_id", "no", "questions")
+
+
+def normalize_weights(spark, sf_dir):
+    rows = _sections(spark, sf_dir).select("doc_id", "no", F.when(F.col("doc_id") % 10 == 0, 0.0).otherwise(F.col("word_count") % 7 + 0.25).alias("weight"))
+    return blueprint.normalize_weights(rows)
+
+
+def merge_analysis(spark, sf_dir):
+    return blueprint.merge_analysis(_sections(spark, sf_dir), views.analysis(spark, sf_dir))
+
+
+def blueprint_totals(spark, sf_dir):
+    return blueprint.blueprint_totals(blueprint.word_blueprint(_sections(spark, sf_dir)))
+
+
+def _blueprint_rows(spark, sf_dir):
+    """Section rows of a blueprint, faulty by design."""
+    rows = _sections(spark, sf_dir)
+    no = F.col("no")
+    section_id = F.when(no % 11 == 3, F.concat(F.lit("x-"), "id")).when(no % 13 == 4, F.concat("book_id", F.lit("."), F.col("doc_id").cast("string"), F.lit(".1"))).when(no % 2 == 0, F.col("id")).otherwise(F.concat_ws(".", "book_id", "id"))
+    return rows.select("doc_id", (no - 1).alias("place"), "book_id", section_id.alias("section_id"), F.when(no % 17 == 5, "").otherwise(F.col("title")).alias("section_title"), F.when(no % 19 == 6, F.lit(None)).otherwise(F.col("section_weight")).alias("weight"), (no % 5).alias("required"), F.lit("by words").alias("rationale"), (F.col("doc_id") % 30).alias("stated"))
+
+
+def validate_blueprint(spark, sf_dir):
+    return blueprint.validate_blueprint(_blueprint_rows(spark, sf_dir))
+
+
+def repair_blueprint(spark, sf_dir):
+    return blueprint.repair_blueprint(_blueprint_rows(spark, sf_dir)).select("doc_id", "place", "fixed_id", "target")
+
+
+def repair_suggestions(spark, sf_dir):
+    return blueprint.repair_suggestions(_blueprint_rows(spark, sf_dir))
+
+
+def prices(spark):
+    return spark.createDataFrame(measures.PRICES, "name string, input_per_1k double, output_per_1k double")
+
+
+def token_estimate(spark, sf_dir):
+    return measures.token_estimate(measures.document_metrics(_sections(spark, sf_dir))).select("doc_id", "output", "tokens_in", "tokens_out", "mandatory")
+
+
+def trim_to_words(spark, sf_dir):
+    return measures.trim_to_words(views.documents(spark, sf_dir).select("doc_id", "text"), 120)
+
+
+def jaccard_overlap(spark, sf_dir):
+    """How much the first two sections of each document have in common."""
+    rows = _sections(spark, sf_dir)
+    a, b = rows.where("no = 1").select("doc_id", F.col("content").alias("text")), rows.where("no = 2").select(F.col("doc_id").alias("b_doc"), F.col("content").alias("other"))
+    score = jaccard_col(token_set_col(F.col("text")), token_set_col(F.col("other")))
+    return a.join(b, F.col("doc_id") == F.col("b_doc")).select("doc_id", score.alias("similarity"))
+
+
+def overlap_flags(spark, sf_dir):
+    rows = _sections(spark, sf_dir)
+    b = rows.where("no between 2 and 6").select(F.col("doc_id").alias("b_doc"), F.col("content").alias("other"))
+    pairs_of = rows.where("no = 1").select("doc_id", F.col("content").alias("text")).join(b, F.col("doc_id") == F.col("b_doc"))
+    return measures.overlap_flags(pairs_of)
+
+
+def similar_benchmark(spark, sf_dir):
+    """Sections that share most of their tokens with a benchmark item."""
+    left = _sections(spark, sf_dir).select(F.col("id"), F.col("content").alias("text"))
+    right = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("id"), "text")
+    return simjoin.similar_texts(left, right, threshold=0.6)
+
+
+def image_line_filter(spark, sf_dir):
+    """Lines of the dressed documents that are drawings or image words, and all others counted by document."""
+    rows = lines.explode_lines(views.dressed(spark, sf_dir).select("doc_id", "text"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(lines.image_line_col(F.col("line")), 1)).alias("n_image"))
+
+
+def strip_artifacts(spark, sf_dir):
+    return lines.strip_artifacts(views.dressed(spark, sf_dir).select("doc_id", "text"))
+
+
+def drop_repeated_lines(spark, sf_dir):
+    kept = lines.drop_repeated_lines(views.doc_lines(spark, sf_dir))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum(F.length("line")).alias("chars_kept"))
+
+
+def _marked(spark, sf_dir):
+    rows = lines.explode_lines(lines.strip_artifacts(views.dressed(spark, sf_dir).select("doc_id", "text"))).repartition("doc_id")
+    return rows.withColumn("is_glossary", F.lit(False))
+
+
+def flag_headings(spark, sf_dir):
+    return sections.flag_headings(_marked(spark, sf_dir)).where("is_heading").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "own")
+
+
+def merge_headings(spark, sf_dir):
+    return sections.merge_headings(sections.flag_headings(_marked(spark, sf_dir))).select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "title")
+
+
+def heading_clusters(spark, sf_dir):
+    return sections.mark_clusters(sections.merge_headings(sections.flag_headings(_marked(spark, sf_dir)))).select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("cluster").cast("long").alias("cluster"), F.col("cluster_size").cast("long").alias("cluster_size"))
+
+
+def _bodies(spark, sf_dir):
+    rows = _marked(spark, sf_dir)
+    headings = sections.merge_headings(sections.flag_headings(rows))
+    return sections.assign_sections(rows.select("doc_id", "line_no", "line"), headings)
+
+
+def section_bodies(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("doc_id", F.col("seq").cast("long").alias("seq"), "title", "content")
+
+
+def smooth_sections(spark, sf_dir):
+    rows = _sections(spark, sf_dir).select("doc_id", (F.col("no") - 1).alias("seq"), "title", "content")
+    return sections.smooth_sections(rows).select("doc_id", F.col("seq").cast("long").alias("seq"), "title", F.length("content").cast("long").alias("chars"), word_count_col(F.col("content")).alias("words"))
+
+
+def table_blocks(spark, sf_dir):
+    marked = lines.mark_tables(_marked(spark, sf_dir).drop("is_glossary"))
+    return marked.where("block is not null").groupBy("doc_id", "block").agg(F.min("line_no").cast("long").alias("first_line"), F.count(F.when(F.col("is_row"), 1)).alias("n_rows")).drop("block")
+
+
+def quality_gate(spark, sf_dir):
+    return bank.quality_gate(views.candidates(spark, sf_dir)).select("doc_id", "section_id", F.col("slot").cast("long").alias("slot"), "fault")
+
+
+def _accepted(spark, sf_dir):
+    return workloads.question_bank(_sections(spark, sf_dir), views.candidates(spark, sf_dir))
+
+
+def accept_questions(spark, sf_dir):
+    return _accepted(spark, sf_dir).select("doc_id", "section_id", "number", "question_id", "question")
+
+
+def shortfall(spark, sf_dir):
+    return bank.shortfall(_accepted(spark, sf_dir), workloads.required_questions(_sections(spark, sf_dir)))
+
+
+def training_pairs(spark, sf_dir):
+    return workloads.run_pairs(spark, sf_dir).select("id", "doc_id", "question_id", "source", "input", "output", "label", "pos")
+
+
+def pair_totals(spark, sf_dir):
+    return pairs.pair_totals(workloads.run_pairs(spark, sf_dir))
+
+
+def _placeholders(spark, sf_dir):
+    rows = blueprint.word_blueprint(_sections(spark, sf_dir)).select("doc_id", F.col("no").alias("section_no"), F.col("id").alias("section_id"), F.lit("Part").alias("section_title"), F.lit("AFH").alias("book_id"), F.concat(F.lit("afh_"), F.col("doc_id").cast("string")).alias("chapter_id"), "questions")
+    return bank.placeholder_bank(rows)
+
+
+def placeholder_pairs(spark, sf_dir):
+    return pairs.placeholder_pairs(_placeholders(spark, sf_dir)).select("doc_id", "id", "input", "output", "label")
+
+
+def repeated_pair_ids(spark, sf_dir):
+    return pairs.repeated_ids(pairs.placeholder_pairs(_placeholders(spark, sf_dir)))
+
+
+def clean_records(spark, sf_dir):
+    """One record reply per document, of its first sections: some records empty, some contexts too long."""
+    rows = _accepted(spark, sf_dir)
+    requests = pairs.record_request(rows)
+    m = F.col("no") % 5
+    entry = F.struct(F.when(m == 0, "").otherwise(F.concat(F.lit(" Explain "), "title")).alias("instruction"), F.when(m == 1, F.col("content")).otherwise("").alias("context"), F.concat(F.lit("It is about "), "title").alias("response"), F.concat(F.lit("DOC."), F.col("doc_id").cast("string"), F.lit("."), F.col("no").cast("string"), F.lit(".1")).alias("sourceQuestionId"), F.struct(F.when(m == 2, "a source").alias("source")).alias("metadata"))
+    made = _sections(spark, sf_dir).where("no <= 60").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", entry.alias("e"))))["e"].alias("records"))
+    replies = made.select("doc_id", F.lit("DOC").alias("book_id"), F.col("doc_id").alias("chapter"), F.to_json(F.struct("records")).alias("body"))
+    return pairs.clean_records(replies, requests)
+
+
+def detailed_summary(spark, sf_dir):
+    return measures.detailed_summary(_sections(spark, sf_dir).withColumn("doc_title", F.col("book_id")))
+
+
+def clean_text(spark, sf_dir):
+    return lines.clean_text(views.dressed(spark, sf_dir).select("doc_id", "text"))
+
+
+def process_documents(spark, sf_dir):
+    return workloads.section_documents(views.dressed(spark, sf_dir))
+
+
+S = f"WITH {views.SECTIONS_SQL}"
+QUERIES = {
+    "allocate_questions": allocate_questions,
+    "section_weights": section_weights,
+    "normalize_weights": normalize_weights,
+    "char_blueprint": lambda s, d: blueprint.char_blueprint(_sections(s, d)),
+    "word_blueprint": lambda s, d: blueprint.word_blueprint(_sections(s, d)),
+    "merge_analysis": merge_analysis,
+    "blueprint_totals": blueprint_totals,
+    "validate_blueprint": validate_blueprint,
+    "repair_blueprint": repair_blueprint,
+    "repair_suggestions": repair_suggestions,
+    "document_summary": lambda s, d: measures.document_summary(_sections(s, d)),
+    "top_sections": lambda s, d: measures.top_sections(_sections(s, d)),
+    "document_metrics": lambda s, d: measures.document_metrics(_sections(s, d)),
+    "token_estimate": token_estimate,
+    "cost_estimate": lambda s, d: workloads.costs(_sections(s, d), prices(s)),
+    "summary_budget": lambda s, d: measures.summary_budget(_sections(s, d)),
+    "summary_gate": lambda s, d: measures.summary_gate(views.documents(s, d).select("doc_id", "text")).drop("text"),
+    "trim_to_words": trim_to_words,
+    "jaccard_overlap": jaccard_overlap,
+    "overlap_flags": overlap_flags,
+    "similar_benchmark": similar_benchmark,
+    "detailed_summary": detailed_summary,
+    "repeated_line_report": lambda s, d: lines.repeated_line_report(views.doc_lines(s, d)),
+    "drop_repeated_lines": drop_repeated_lines,
+    "line_stats": lambda s, d: lines.line_stats(views.documents(s, d)),
+    "image_line_filter": image_line_filter,
+    "strip_artifacts": strip_artifacts,
+    "table_blocks": table_blocks,
+    "flag_headings": flag_headings,
+    "merge_headings": merge_headings,
+    "heading_clusters": heading_clusters,
+    "section_bodies": section_bodies,
+    "smooth_sections": smooth_sections,
+    "quality_gate": quality_gate,
+    "accept_questions": accept_questions,
+    "shortfall": shortfall,
+    "training_pairs": training_pairs,
+    "pair_totals": pair_totals,
+    "placeholder_pairs": placeholder_pairs,
+    "repeated_pair_ids": repeated_pair_ids,
+    "clean_records": clean_records,
+    "clean_text": clean_text,
+    "process_documents": process_documents,
+}
+
+WORD_BLUEPRINT_SQL = f"""{S}, weighed AS (
+  SELECT doc_id, no, id, round(CASE WHEN section_weight > 0 THEN section_weight ELSE CAST(word_count AS DOUBLE) / greatest(total_words, 1) * 100 END, 2) AS weight, NULL AS given,
+    least(80, greatest(count(*) OVER (PARTITION BY doc_id), CAST(ceil(CAST(greatest(total_words, 1) AS DOUBLE) / 220) AS BIGINT))) AS target FROM sections
+), {views.normalized_sql("weighed", ", id, given, target")}, {views.ALLOCATED_SQL}"""
+ROWS_SQL = f"""{S}, bp AS (
+  SELECT doc_id, no - 1 AS place, book_id, CASE WHEN no % 11 = 3 THEN 'x-' || id WHEN no % 13 = 4 THEN book_id || '.' || doc_id || '.1' WHEN no % 2 = 0 THEN id ELSE book_id || '.' || id END AS section_id,
+    CASE WHEN no % 17 = 5 THEN '' ELSE title END AS section_title, CASE WHEN no % 19 = 6 THEN NULL ELSE section_weight END AS weight, no % 5 AS required, 'by words' AS rationale, doc_id % 30 AS stated FROM sections
+)"""
+METRICS_SQL = f"""{S}, metrics AS (
+  SELECT doc_id, count(*) AS n_sections, CAST(sum({CHARS}) AS BIGINT) AS total_chars, CAST(sum(CAST(ceil(length(content) / 900.0) AS BIGINT)) AS BIGINT) AS questions FROM sections GROUP BY doc_id
+), estimates AS (
+  SELECT doc_id, 'blueprint' AS output, total_chars * CAST(0.15 AS DOUBLE) + 500 AS ci, total_chars * CAST(0.5 AS DOUBLE) AS co, true AS mandatory FROM metrics
+  UNION ALL SELECT doc_id, 'questions', total_chars * CAST(0.08 AS DOUBLE) + 400, questions * CAST(200 AS DOUBLE), true FROM metrics
+  UNION ALL SELECT doc_id, 'summary', total_chars * CAST(0.25 AS DOUBLE) + 400, CAST(1500 AS DOUBLE), false FROM metrics
+  UNION ALL SELECT doc_id, 'records', total_chars * CAST(0.12 AS DOUBLE) + 400, floor(questions * 11 * CAST(0.3 AS DOUBLE)) * 150, false FROM metrics
+)"""
+TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4))"
+JACCARD = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+CANDIDATES_SQL = f"""{S}, slotted AS (
+  SELECT *, unnest([1, 2, 3]) AS slot FROM sections
+), moded AS (
+  SELECT *, (no * 3 + slot) % 7 AS m, array_to_string(({views.words_sql("content")})[CASE WHEN slot = 2 THEN 1 ELSE slot END:CASE WHEN slot = 2 THEN 5 ELSE slot + 4 END], ' ') AS head FROM slotted
+), cand AS (
+  SELECT doc_id, id AS section_id, no, slot, title,
+    CASE WHEN m = 0 THEN 'Which of ' || title || '?' WHEN m = 1 THEN 'Which of these statements about the section ' || head || ' is right'
+      ELSE 'Which of these statements about the section ' || CASE WHEN slot = 3 THEN 'on the whole' ELSE head END || ' is right?' END AS question,
+    list_transform(range(1, CASE WHEN m = 2 THEN 3 ELSE 4 END), lambda k: 'The right answer number ' || k || ' is about ' || title) AS correct,
+    list_transform(range(1, 9), lambda k: CASE WHEN m = 3 AND k = 8 THEN 'Option ' || k ELSE 'The wrong answer number ' || k || ' is about ' || title END) AS wrong FROM moded
+), gated AS (
+  SELECT *, CASE WHEN len({views.words_sql("question")}) < 8 THEN 'short stem' WHEN NOT suffix(question, '?') THEN 'no question mark' WHEN len(correct) <> 3 OR len(wrong) <> 8 THEN 'answer count'
+    WHEN len(list_filter(list_concat(correct, wrong), lambda a: len({views.words_sql("a")}) < 5 OR regexp_full_match(lower(trim(a)), '(correct|incorrect|wrong) +option +[0-9]+|option +[0-9]+'))) > 0 THEN 'poor answer'
+    WHEN len(list_distinct(list_transform(list_concat(correct, wrong), lambda a: lower(a)))) <> 11 THEN 'equal answers' END AS fault FROM cand
+)"""
+ACCEPTED_SQL = f"""{CANDIDATES_SQL}, {WORD_BLUEPRINT_SQL[len(S) + 2:]}, firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, section_id, lower(question) ORDER BY slot) AS turn FROM gated WHERE fault IS NULL
+), numbered AS (
+  SELECT f.*, row_number() OVER (PARTITION BY f.doc_id, f.section_id ORDER BY slot) AS number, a.questions AS needed FROM firsts f JOIN allotted a ON f.doc_id = a.doc_id AND f.section_id = a.id WHERE turn = 1
+), accepted AS (
+  SELECT *, 'DOC.' || greatest(0, doc_id) || '.' || greatest(1, no) || '.' || number AS question_id FROM numbered WHERE number <= needed
+)"""
+PAIRS_SQL = f"""{ACCEPTED_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, number) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM accepted
+), spread AS (
+  SELECT *, list_concat(correct, wrong) AS ans, unnest(range(1, 12)) AS pos FROM placed
+), pairs AS (
+  SELECT 'doc_' || doc_id || '_d_' || q || '-q-' || q || '-' || n || '_p' || pos || '-11' AS id, doc_id, question_id, 'DOC Chapter ' || doc_id || ' - ' || title AS source, question AS input, ans[pos] AS output, CASE WHEN pos <= 3 THEN 'correct' ELSE 'wrong' END AS label, pos FROM spread
+)"""
+PLACEHOLDER_SQL = f"""{WORD_BLUEPRINT_SQL}, numbered AS (
+  SELECT doc_id, no, id AS section_id, unnest(range(1, greatest(1, questions) + 1)) AS number FROM allotted
+), answers AS (
+  SELECT *, 'AFH.' || doc_id || '.' || no || '.' || number AS qid, unnest(range(1, 12)) AS k FROM numbered
+), placeholders AS (
+  SELECT doc_id, qid || '.pair.' || (CASE WHEN k <= 3 THEN k ELSE k - 3 END) AS id, '[Placeholder question ' || number || ' — section ' || section_id || ']' AS input,
+    '[Placeholder ' || CASE WHEN k <= 3 THEN 'correct answer ' || k ELSE 'wrong answer ' || (k - 3) END || ' for ' || qid || ']' AS output, CASE WHEN k <= 3 THEN 'correct' ELSE 'wrong' END AS label FROM answers
+)"""
+DRESSED_SQL = f"""WITH {views.DOC_LINES_SQL}, dressed_lines AS (
+  SELECT d.doc_id, d.line_no, list_concat(
+    CASE WHEN n = 1 THEN ['Chapter ' || num || ': ' || f3, ''] ELSE [] END, CASE WHEN n % 3 = 1 THEN ['', upper(regexp_replace(f3, '[.:,]', '', 'g')), ''] ELSE [] END, [line],
+    CASE WHEN n % 5 = 0 THEN [num || '-' || n] ELSE [] END, CASE WHEN n % 7 = 0 THEN ['Figure ' || n || '-1. ' || f3] ELSE [] END, CASE WHEN n % 4 = 0 THEN [d.source || ' handbook'] ELSE [] END,
+    CASE WHEN d.doc_id % 5 = 0 AND n % 6 = 0 THEN ['Item  Speed', 'one  ' || n, 'two  ' || num, 'three  3'] ELSE [] END) AS l
+  FROM (SELECT *, line_no + 1 AS n, CAST(doc_id % 20 AS VARCHAR) AS num, array_to_string(({views.words_sql("line")})[1:3], ' ') AS f3 FROM doc_lines) d JOIN documents o USING (doc_id) WHERE o.lang = 'en'
+), dressed AS (
+  SELECT doc_id, array_to_string(flatten(list(l ORDER BY line_no)), chr(10)) AS text FROM dressed_lines GROUP BY doc_id
+)"""
+_STRIP = "text"
+for _pattern in ("\\(cid:\\d+\\)", "(?im)^\\s*Figure\\s+[\\d\\w\\-]+[.:].*$", "(?im)^\\s*(?:Image|Photo|Illustration|Diagram)\\s+[\\d\\w\\-]+[.:].*$", "(?im)^\\s*(?:\\d{1,3}-\\d{1,3}|Page\\s+\\d+|\\d{1,4})\\s*$"):
+    _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', '', 'g')"
+STRIPPED_SQL = f"{DRESSED_SQL}, stripped AS (SELECT doc_id, {_STRIP} AS text FROM dressed)"
+
+HEADINGS_SQL = f"""{STRIPPED_SQL}, sl AS (
+  SELECT doc_id, CASE WHEN len(l) > 0 AND l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM stripped)
+), ll AS (
+  SELECT doc_id, k - 1 AS line_no, l[k] AS line, trim(l[k]) AS own FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM sl)
+), ww AS (
+  SELECT *, string_split_regex(own, '\\s+') AS w, coalesce(lag(own) OVER (PARTITION BY doc_id ORDER BY line_no) = '', true) AS prev_blank FROM ll
+), hh AS (
+  SELECT doc_id, line_no, line, own, CASE WHEN regexp_matches(own, '(?i)^Chapter\\s+[0-9]+') AND NOT contains(own, '.') THEN true
+    ELSE prev_blank AND regexp_matches(own, '^[\\p{{L}}\\p{{N}}]') AND length(own) BETWEEN 3 AND 120 AND NOT contains(own, '.') AND NOT contains(own, ':')
+      AND NOT regexp_matches(own, '(?i)^(?:[0-9]{{1,3}}-[0-9]{{1,3}}|Page\\s+[0-9]+|[0-9]{{1,4}})$')
+      AND ((own = upper(own) AND regexp_matches(own, '\\p{{L}}')) OR (regexp_matches(w[1], '^\\p{{Lu}}') AND len(list_filter(list_transform(w[2:], lambda x: regexp_replace(x, '^[''"]+|[''"]+$', '', 'g')),
+        lambda b: regexp_matches(b, '^\\p{{L}}') AND NOT list_contains({sections.MINOR_WORDS}, lower(b)) AND NOT regexp_matches(b, '^\\p{{Lu}}'))) = 0)) END AS is_heading FROM ww
+), filled AS (
+  SELECT *, sum(CASE WHEN own = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS f FROM hh
+), starts AS (
+  SELECT *, CASE WHEN line_no - lag(line_no) OVER o <= 4 AND f - lag(f) OVER o = 1 THEN 0 ELSE 1 END AS s FROM filled WHERE is_heading WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)
+), parts AS (
+  SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM starts
+), merged AS (
+  SELECT doc_id, min(line_no) AS start_line, max(line_no) AS end_line, string_agg(own, ' ' ORDER BY line_no) AS title FROM parts GROUP BY doc_id, part
+)"""
+BODIES_SQL = f"""{HEADINGS_SQL}, at AS (
+  SELECT l.*, m.start_line, m.title, m.end_line, sum(CASE WHEN m.start_line IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.doc_id ORDER BY l.line_no) - 1 AS seq FROM ll l LEFT JOIN merged m ON l.doc_id = m.doc_id AND l.line_no = m.start_line
+), bodies AS (
+  SELECT doc_id, CAST(seq AS BIGINT) AS seq, max(title) AS title, trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line_no > e), ''), ' ' || chr(10) || chr(9)) AS content
+  FROM (SELECT *, max(end_line) OVER (PARTITION BY doc_id, seq) AS e FROM at) WHERE seq >= 0 GROUP BY doc_id, seq
+)"""
+SMOOTH_SQL = f"""{S}, b AS (
+  SELECT doc_id, no - 1 AS seq, title, content FROM sections
+), r AS (
+  SELECT *, sum(CASE WHEN length(content) > 0 THEN length(content) + 1 ELSE 0 END) OVER o + coalesce(sum(CASE WHEN length(title) > 0 THEN length(title) + 1 ELSE 0 END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS chars FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY seq)
+), k AS (
+  SELECT *, coalesce(min(CASE WHEN chars >= 200 THEN seq END) OVER (PARTITION BY doc_id), max(seq) OVER (PARTITION BY doc_id)) AS k FROM r
+), g AS (
+  SELECT *, sum(CASE WHEN seq > k AND length(content) >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS part FROM k
+), p AS (
+  SELECT doc_id, part, 0 AS a, -seq AS s, title AS t FROM g WHERE seq < k UNION ALL SELECT doc_id, part, 1, seq, content FROM g WHERE seq <= k OR length(content) >= 200
+  UNION ALL SELECT doc_id, part, 1, seq + v / 10, CASE WHEN v = 0 THEN title ELSE content END FROM g, (VALUES (0), (5)) x(v) WHERE seq > k AND length(content) < 200
+), texts AS (
+  SELECT doc_id, part, trim(string_agg(t, chr(10) ORDER BY a, s) FILTER (WHERE t <> ''), ' ' || chr(10)) AS t FROM p GROUP BY doc_id, part
+), titles AS (
+  SELECT doc_id, part, max(title) AS title FROM g WHERE seq = k OR (seq > k AND length(content) >= 200) GROUP BY doc_id, part
+)"""
+RECORDS_SQL = f"""{ACCEPTED_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, number) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM accepted
+), replies AS (
+  SELECT s.doc_id, s.no, s.title, s.content, s.no % 5 AS m, (SELECT max(greatest(1, CAST(floor(p.n * 11 * CAST(0.3 AS DOUBLE)) AS BIGINT))) FROM placed p WHERE p.doc_id = s.doc_id) AS target, j.title AS j_title, j.question_id AS j_id
+  FROM sections s LEFT JOIN placed j ON j.doc_id = s.doc_id AND j.q <= 40 AND j.question_id = 'DOC.' || s.doc_id || '.' || s.no || '.1' WHERE s.no <= 60
+), records AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS number, CASE WHEN j_id IS NOT NULL THEN 'DOC Chapter ' || doc_id || ' - ' || j_title ELSE 'DOC chapter ' || doc_id END AS fallback FROM replies WHERE m <> 0 AND target IS NOT NULL
+)"""
+SUMMARY_SQL = f"""{S}, docs AS (
+  SELECT doc_id, any_value(book_id) AS book, list(struct_pack(t := CASE WHEN title = '' THEN 'Section ' || no ELSE title END, w := {views.words_sql("content")}) ORDER BY no) AS s FROM sections GROUP BY doc_id
+)"""
+
+ORACLE_SQL = {
+    "flag_headings": f"{HEADINGS_SQL} SELECT doc_id, line_no, own FROM hh WHERE is_heading",
+    "merge_headings": f"{HEADINGS_SQL} SELECT doc_id, start_line, end_line, title FROM merged",
+    "heading_clusters": f"{HEADINGS_SQL}, c AS (SELECT *, CASE WHEN start_line - lag(end_line) OVER (PARTITION BY doc_id ORDER BY start_line) <= 8 THEN 0 ELSE 1 END AS s FROM merged), d AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY start_line) AS BIGINT) AS cluster FROM c) SELECT doc_id, start_line, cluster, count(*) OVER (PARTITION BY doc_id, cluster) AS cluster_size FROM d",
+    "section_bodies": f"{BODIES_SQL} SELECT doc_id, seq, title, content FROM bodies",
+    "smooth_sections": f"{SMOOTH_SQL} SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.part) - 1 AS seq, title, CAST(length(t.t) AS BIGINT) AS chars, CAST(len({views.words_sql('t.t')}) AS BIGINT) AS words FROM texts t JOIN titles USING (doc_id, part)",
+    "table_blocks": f"""{STRIPPED_SQL}, ll AS (SELECT doc_id, k - 1 AS line_no, trim(l[k]) AS own FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM stripped))),
+r AS (SELECT *, len(list_filter(string_split_regex(own, '\\t+| {{2,}}'), lambda c: trim(c) <> '')) >= 2 AND NOT regexp_matches(own, '^(?:[-*•]|[0-9]+[.)]|[A-Za-z][.)])\\s+') AS is_row, lag(own) OVER (PARTITION BY doc_id ORDER BY line_no) = '' AS pb FROM ll),
+g AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM r WHERE is_row), h AS (SELECT *, sum(CASE WHEN gap = 1 OR (gap = 2 AND pb) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM g)
+SELECT doc_id, min(line_no) AS first_line, count(*) AS n_rows FROM h GROUP BY doc_id, b HAVING count(*) >= 3""",
+    "image_line_filter": f"""{DRESSED_SQL}, ll AS (SELECT doc_id, trim(l[k]) AS own FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM dressed)))
+SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE own <> '' AND (regexp_matches(own, '(?i)^(?:image|photo|illustration|diagram|graphic)$') OR regexp_matches(own, '^[\\s_\\-=.|/\\\\<>\\[\\]()~`•·:]{{4,}}$')
+  OR (length(own) - length(regexp_replace(own, '\\p{{L}}', '', 'g')) <= 2 AND length(own) - length(regexp_replace(own, '[_|\\-=./\\\\<>\\[\\]()~`•·:]', '', 'g')) >= greatest(4, length(own) // 2)))) AS n_image FROM ll GROUP BY doc_id""",
+    "clean_records": f"""{RECORDS_SQL} SELECT doc_id, number, 'Explain ' || title AS instruction, CASE WHEN m = 1 AND content <> '' THEN trim(content[1:180]) ELSE fallback END AS context, trim('It is about ' || title) AS response,
+  CASE WHEN m = 2 THEN 'a source' ELSE fallback END AS source, coalesce(CASE WHEN j_id IS NOT NULL THEN j_title END, 'General') AS topic, 'Intermediate' AS difficulty FROM records WHERE number <= target""",
+    "detailed_summary": f"""{SUMMARY_SQL} SELECT doc_id, array_to_string(list_concat(['# Chapter Summary: ' || book, '', '## Overview', 'Chapter ' || doc_id || ' covers ' || len(s) || ' sections and focuses on pilot technique, control accuracy, risk awareness, and standards-based decision making.', '', '## Key Learning Objectives'],
+  list_transform(s[1:6], lambda x: '- Understand and apply ' || lower(x.t) || ' in practical training scenarios.'), ['', '## Main Concepts'],
+  list_transform(s[1:10], lambda x: '- ' || x.t || ': ' || CASE WHEN len(x.w) = 0 THEN 'No extractable content was available.' ELSE array_to_string(x.w[1:45], ' ') || CASE WHEN len(x.w) > 45 THEN '...' ELSE '' END END), ['', '## Key Terms and Definitions'],
+  list_transform(s[1:6], lambda x: '- **' || x.t || '**: A primary chapter concept that supports safe execution and consistent pilot performance.'), ['', '## Summary of Important Facts'], [{", ".join(f"'{x}'" for x in measures.FACTS)}]), chr(10)) || chr(10) AS markdown FROM docs""",
+    "section_weights": f"{S} SELECT doc_id, no, id, word_count, total_words, section_weight FROM sections",
+    "allocate_questions": f"{S}, normal AS (SELECT doc_id, no, section_weight AS weight, no % 4 AS given, total_words % 40 AS target FROM sections), {views.ALLOCATED_SQL} SELECT doc_id, no, questions FROM allotted",
+    "normalize_weights": f"{S}, own AS (SELECT doc_id, no, CASE WHEN doc_id % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE word_count % 7 + CAST(0.25 AS DOUBLE) END AS weight FROM sections), {views.normalized_sql('own')} SELECT doc_id, no, weight FROM normal",
+    "char_blueprint": f"{S}, own AS (SELECT doc_id, no, round(CAST(greatest(1, length(content)) AS DOUBLE) / sum(greatest(1, length(content))) OVER (PARTITION BY doc_id) * 100, 2) AS weight, greatest(1, CAST(ceil(length(content) / 900.0) AS BIGINT)) AS questions FROM sections), {views.normalized_sql('own', ', questions')} SELECT doc_id, no, weight, questions FROM normal",
+    "word_blueprint": f"{WORD_BLUEPRINT_SQL} SELECT doc_id, no, id, weight, questions FROM allotted",
+    "merge_analysis": f"""{S}, an AS (
+  SELECT doc_id, no AS pos, id AS section_id, NULL::BIGINT AS section_index, word_count % 9 + CAST(0.5 AS DOUBLE) AS weight, no % 4 AS required, 12 AS target FROM sections WHERE no % 2 = 0
+  UNION ALL SELECT doc_id, no + 100000, NULL, no, word_count % 5 + CAST(1.25 AS DOUBLE), 2, 12 FROM sections WHERE no % 3 = 0
+  UNION ALL SELECT doc_id, no + 200000, id, NULL, CAST(3.75 AS DOUBLE), 1, 15 FROM sections WHERE no % 6 = 0
+), by_id AS (SELECT doc_id, section_id, arg_max(weight, pos) AS w, arg_max(required, pos) AS r FROM an WHERE section_id IS NOT NULL GROUP BY 1, 2),
+by_no AS (SELECT doc_id, section_index, arg_max(weight, pos) AS w, arg_max(required, pos) AS r FROM an WHERE section_index IS NOT NULL GROUP BY 1, 2),
+goal AS (SELECT doc_id, max(target) AS asked FROM an GROUP BY 1),
+own AS (
+  SELECT s.doc_id, s.no, s.id, CASE WHEN coalesce(i.w, n.w) > 0 THEN round(coalesce(i.w, n.w), 2) ELSE CAST(greatest(1, length(content)) AS DOUBLE) END AS weight, CASE WHEN i.w IS NOT NULL THEN i.r ELSE coalesce(n.r, 0) END AS given,
+    greatest(count(*) OVER (PARTITION BY s.doc_id), CAST(ceil(sum(greatest(1, length(content))) OVER (PARTITION BY s.doc_id) / 500.0) AS BIGINT), coalesce(asked, 0)) AS target
+  FROM sections s LEFT JOIN by_id i ON s.doc_id = i.doc_id AND s.id = i.section_id LEFT JOIN by_no n ON s.doc_id = n.doc_id AND s.no = n.section_index LEFT JOIN goal g ON s.doc_id = g.doc_id
+), {views.normalized_sql("own", ", id, given, target")}, {views.ALLOCATED_SQL} SELECT doc_id, no, id, weight, questions FROM allotted""",
+    "blueprint_totals": f"{WORD_BLUEPRINT_SQL} SELECT doc_id, CAST(sum(greatest(1, questions)) AS BIGINT) AS total_questions FROM allotted GROUP BY doc_id",
+    "validate_blueprint": f"""{ROWS_SQL}, ranked AS (
+  SELECT *, trim(section_id) AS own, regexp_full_match(trim(section_id), '([A-Za-z][A-Za-z0-9]*\\.)?\\d+\\.\\d+') AS ok FROM bp
+), seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN ok THEN own END ORDER BY place) AS seen FROM ranked)
+SELECT doc_id, place, 'sectionBlueprints[' || place || '] id "' || section_id || '" must follow format BookId.Chapter.Section (e.g. AFH.1.1).' AS error FROM seen WHERE NOT ok
+UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '] duplicate section ID "' || section_id || '".' FROM seen WHERE ok AND seen > 1
+UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].sectionTitle must be a non-empty string.' FROM seen WHERE trim(section_title) = ''
+UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].weightPercentage must be a number.' FROM seen WHERE weight IS NULL
+UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].requiredQuestions must be a positive number.' FROM seen WHERE required <= 0""",
+    "repair_blueprint": f"{ROWS_SQL} SELECT doc_id, place, CASE WHEN regexp_matches(section_id, '^[0-9]') THEN book_id || '.' || section_id ELSE section_id END AS fixed_id, CAST(sum(required) OVER (PARTITION BY doc_id) AS BIGINT) AS target FROM bp",
+    "repair_suggestions": f"{ROWS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(section_id, '^[0-9]')) AS bare_ids, max(stated) AS previous, CAST(sum(required) AS BIGINT) AS target, max(stated) <> sum(required) AS mismatch FROM bp GROUP BY doc_id",
+    "document_summary": f"{S} SELECT doc_id, count(*) AS section_count, CAST(sum({CHARS}) AS BIGINT) AS total_chars, 'Chapter ' || doc_id || ' contains ' || count(*) || ' sections with ' || CAST(sum({CHARS}) AS BIGINT) || ' characters of extracted content.' AS synopsis FROM sections GROUP BY doc_id",
+    "top_sections": f"{S} SELECT doc_id, rank, id, title, chars FROM (SELECT *, {CHARS} AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, no) AS rank FROM sections) WHERE rank <= 8",
+    "document_metrics": f"{METRICS_SQL} SELECT doc_id, n_sections, total_chars, questions, CAST(total_chars AS DOUBLE) / n_sections AS mean_chars FROM metrics",
+    "token_estimate": f"{METRICS_SQL} SELECT doc_id, output, CAST(floor(ci / 4 + 0.5) AS BIGINT) AS tokens_in, CAST(floor(co / 4 + 0.5) AS BIGINT) AS tokens_out, mandatory FROM estimates",
+    "cost_estimate": f"""{METRICS_SQL}, sums AS (SELECT doc_id, sum(ci ORDER BY output) AS i, sum(co ORDER BY output) AS o, sum(CASE WHEN mandatory THEN ci ELSE 0 END) AS mi, sum(CASE WHEN mandatory THEN co ELSE 0 END) AS mo FROM estimates GROUP BY doc_id),
+prices(price_list, pi, po) AS (VALUES {", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in measures.PRICES)})
+SELECT doc_id, price_list, round(i / 4 / 1000 * pi + o / 4 / 1000 * po, 3) AS cost_all, round(mi / 4 / 1000 * pi + mo / 4 / 1000 * po, 3) AS cost_mandatory FROM sums, prices""",
+    "summary_budget": f"{S} SELECT doc_id, no, CAST(greatest(30, floor(CAST(word_count AS DOUBLE) / greatest(total_words, 1) * greatest(500, least(750, greatest(total_words, 1))) + 0.5)) AS BIGINT) AS budget FROM sections",
+    "summary_gate": f"SELECT doc_id, CAST(len({views.words_sql('text')}) AS BIGINT) AS words, CASE WHEN len({views.words_sql('text')}) < 500 THEN 'rewrite' WHEN len({views.words_sql('text')}) > 750 THEN 'trim' ELSE 'keep' END AS action FROM documents",
+    "trim_to_words": f"""WITH l AS (SELECT doc_id, k, line, {views.words_sql("line")} AS w FROM (SELECT doc_id, x AS l, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+c AS (SELECT *, CAST(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM l), f AS (SELECT *, min(CASE WHEN len(w) > 0 AND upto > 120 THEN k END) OVER (PARTITION BY doc_id) AS cut FROM c)
+SELECT doc_id, trim(coalesce(string_agg(CASE WHEN cut IS NULL OR k < cut THEN line ELSE array_to_string(w[1:120 - (upto - len(w))], ' ') END, chr(10) ORDER BY k) FILTER (WHERE cut IS NULL OR k < cut OR (k = cut AND upto - len(w) < 120)), ''), ' ' || chr(10) || chr(9)) || chr(10) AS text FROM f GROUP BY doc_id""",
+    "jaccard_overlap": f"{S}, t AS (SELECT doc_id, no, {TOKENS.format('content')} AS t FROM sections WHERE no <= 2) SELECT a.doc_id, {JACCARD.format(a='a.t', b='b.t')} AS similarity FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no = 2",
+    "overlap_flags": f"""{S}, t AS (SELECT doc_id, no, {TOKENS.format("CASE WHEN no = 1 THEN array_to_string((" + views.words_sql("content") + ")[1:220], ' ') ELSE content END")} AS t FROM sections WHERE no <= 6)
+SELECT doc_id, overlap, overlap >= 0.72 AS excessive FROM (SELECT a.doc_id, max({JACCARD.format(a="a.t", b="b.t")}) AS overlap FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no > 1 GROUP BY a.doc_id)""",
+    "similar_benchmark": f"{S}, a AS (SELECT id AS left_id, {TOKENS.format('content')} AS t FROM sections), b AS (SELECT CAST(item_id AS VARCHAR) AS right_id, {TOKENS.format('text')} AS u FROM benchmark), p AS (SELECT left_id, right_id, {JACCARD.format(a='t', b='u')} AS similarity FROM a, b WHERE len(t) * 0.6 <= len(u) AND len(u) * 0.6 <= len(t)) SELECT left_id, right_id, similarity FROM p WHERE similarity >= 0.6",
+    "repeated_line_report": f"WITH {views.DOC_LINES_SQL}, c AS (SELECT doc_id, trim(line) AS own_line, count(*) AS n FROM doc_lines WHERE trim(line) <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, own_line) AS place FROM c) SELECT doc_id, own_line, n FROM r WHERE place <= 20 AND n >= 3 AND length(own_line) < 120",
+    "drop_repeated_lines": f"WITH {views.DOC_LINES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM doc_lines) SELECT doc_id, count(*) AS n_kept, CAST(sum(length(line)) AS BIGINT) AS chars_kept FROM c WHERE trim(line) = '' OR n < 3 OR length(trim(line)) >= 120 GROUP BY doc_id",
+    "line_stats": f"WITH {views.DOC_LINES_SQL} SELECT d.doc_id, CAST(count(l.line_no) AS BIGINT) AS n_lines, CAST(length(coalesce(any_value(d.text), '')) AS BIGINT) AS n_chars FROM documents d LEFT JOIN doc_lines l USING (doc_id) GROUP BY d.doc_id",
+    "strip_artifacts": f"{STRIPPED_SQL} SELECT doc_id, text FROM stripped",
+    "quality_gate": f"{CANDIDATES_SQL} SELECT doc_id, section_id, CAST(slot AS BIGINT) AS slot, fault FROM gated",
+    "accept_questions": f"{ACCEPTED_SQL} SELECT doc_id, section_id, number, question_id, question FROM accepted",
+    "shortfall": f"{ACCEPTED_SQL}, n AS (SELECT doc_id, section_id, count(*) AS c FROM accepted GROUP BY 1, 2) SELECT a.doc_id, a.id AS section_id, a.questions AS needed, coalesce(c, 0) AS accepted FROM allotted a LEFT JOIN n ON a.doc_id = n.doc_id AND a.id = n.section_id WHERE coalesce(c, 0) < a.questions",
+    "training_pairs": f"{PAIRS_SQL} SELECT id, doc_id, question_id, source, input, output, label, pos FROM pairs",
+    "pair_totals": f"{PAIRS_SQL} SELECT doc_id, count(*) AS total_pairs, count(*) FILTER (WHERE label = 'correct') AS correct_pairs, count(*) FILTER (WHERE label = 'wrong') AS wrong_pairs FROM pairs GROUP BY doc_id",
+    "placeholder_pairs": f"{PLACEHOLDER_SQL} SELECT doc_id, id, input, output, label FROM placeholders",
+    "repeated_pair_ids": f"{PLACEHOLDER_SQL} SELECT doc_id, id, count(*) AS n FROM placeholders GROUP BY 1, 2 HAVING count(*) > 1",
+}
