@@ -345,11 +345,11 @@ HEADINGS_SQL = f"""{STRIPPED_SQL}, sl AS (
 ), merged AS (
   SELECT doc_id, min(line_no) AS start_line, max(line_no) AS end_line, string_agg(own, ' ' ORDER BY line_no) AS title FROM parts GROUP BY doc_id, part
 )"""
-BODIES_SQL = f"""{HEADINGS_SQL}, at AS (
+BODIES_SQL = f"""{HEADINGS_SQL}, lined AS (
   SELECT l.*, m.start_line, m.title, m.end_line, sum(CASE WHEN m.start_line IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.doc_id ORDER BY l.line_no) - 1 AS seq FROM ll l LEFT JOIN merged m ON l.doc_id = m.doc_id AND l.line_no = m.start_line
 ), bodies AS (
   SELECT doc_id, CAST(seq AS BIGINT) AS seq, max(title) AS title, trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line_no > e), ''), ' ' || chr(10) || chr(9)) AS content
-  FROM (SELECT *, max(end_line) OVER (PARTITION BY doc_id, seq) AS e FROM at) WHERE seq >= 0 GROUP BY doc_id, seq
+  FROM (SELECT *, max(end_line) OVER (PARTITION BY doc_id, seq) AS e FROM lined) WHERE seq >= 0 GROUP BY doc_id, seq
 )"""
 SMOOTH_SQL = f"""{S}, b AS (
   SELECT doc_id, no - 1 AS seq, title, content FROM sections
