@@ -11,7 +11,8 @@ row per query. A recording that thousands share costs its pairs inside numpy, an
 
 Defined results: null, empty or too short audio has no integers and matches nothing; an odd last byte is ignored;
 repeated rows each get a row and match each other; a null id is no query; extra columns are ignored; an empty table
-gives an empty result. Equal bit errors: the smallest other id wins.
+gives an empty result. Equal bit errors: the smallest other id wins; a match
+without an id counts, and as the best one has id null.
 """
 
 from __future__ import annotations
@@ -173,12 +174,12 @@ def search(prints: DataFrame, is_query: Column, id_col: str = "media_id", min_vo
                 rank = (round(e, 9), len(other), other, s)
                 if best[k] is None or rank < best[k]:
                     best[k] = rank
-        return pd.DataFrame({"id": ids, "n_integers": [len(p) // 4 for p in asking["print"]], "n_matches": found, "best_error": [b[0] if b else None for b in best], "best_id": [b[2] if b else None for b in best], "best_offset": [b[3] if b else None for b in best]}).astype({"best_error": "float64", "best_offset": "Int64"})
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "n_integers": [len(p) // 4 for p in asking["print"]], "n_matches": found, "best_error": [b[0] if b else None for b in best], "best_id": pd.Series([b[2] if b else None for b in best], dtype=object), "best_offset": [b[3] if b else None for b in best]}).astype({"n_integers": "int64", "best_error": "float64", "best_offset": "Int64"})
 
     parts = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInPandas(align, "id string, n_integers long, n_matches long, best_error double, best_id string, best_offset long")
     rank = F.when(F.col("best_error").isNotNull(), F.struct("best_error", F.length("best_id").alias("l"), "best_id", "best_offset"))
     out = parts.groupBy("id").agg(F.max("n_integers").alias("n_integers"), F.sum("n_matches").alias("n_matches"), F.min(rank).alias("b"))
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_integers", "n_matches", F.col("b.best_id").cast(kind).alias("best_id"), F.col("b.best_offset").alias("best_offset"), F.col("b.best_error").alias("best_error"))
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_integers", "n_matches", F.nullif(F.col("b.best_id"), F.lit("")).cast(kind).alias("best_id"), F.col("b.best_offset").alias("best_offset"), F.col("b.best_error").alias("best_error"))
 
 
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: int = 800) -> DataFrame:

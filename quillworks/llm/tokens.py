@@ -121,8 +121,8 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = 20_000,
                     seen.update(chunks(text))
                 if len(seen) > held:
                     seen = Counter(dict(seen.most_common(held // 2)))
-        top = seen.most_common(per_task)
-        yield pd.DataFrame({"chunk": [c for c, _ in top], "n": [n for _, n in top]})
+        if top := seen.most_common(per_task):
+            yield pd.DataFrame({"chunk": [c for c, _ in top], "n": [n for _, n in top]})
 
     found = docs.select(F.col(text_col).alias("text")).mapInPandas(summarise, "chunk string, n long")
     top = found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size)
