@@ -91,7 +91,10 @@ def fingerprint(pcm: bytes | None, rate: int | None) -> bytes:
 
 
 def fingerprint_audio(media: DataFrame, id_col: str = "media_id", pcm_col: str = "pcm", rate_col: str = "sample_rate") -> DataFrame:
-    """id, fingerprint (binary, 32-bit little-endian integers), n_integers."""
+    """id, fingerprint (binary, 32-bit little-endian integers), n_integers.
+
+    A worker holds one Arrow batch of sounds: spark.sql.execution.arrow.maxRecordsPerBatch is to fit their size.
+    """
 
     @F.pandas_udf("binary")
     def prints(pcm: pd.Series, rate: pd.Series) -> pd.Series:
@@ -182,26 +185,33 @@ def search(prints: DataFrame, is_query: Column, id_col: str = "media_id", min_vo
     return out.select(F.col("id").cast(kind).alias(id_col), "n_integers", "n_matches", F.nullif(F.col("b.best_id"), F.lit("")).cast(kind).alias("best_id"), F.col("b.best_offset").alias("best_offset"), F.col("b.best_error").alias("best_error"))
 
 
-def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: int = 800) -> DataFrame:
-    """Sound for every vector, for no given table has any: each component is a tone of a tenth of a second.
+def tone_table(note: int) -> np.ndarray:
+    """Twelve tones of `note` samples, a semitone apart, faded at both ends."""
+    t = np.arange(note) / RATE
+    fade = np.minimum(1, np.minimum(np.arange(note), note - 1 - np.arange(note)) / 40)
+    return np.stack([12_000 * fade * (np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) for f in 220 * 2 ** (np.arange(12) / 12)]).astype("<i2")
+
+
+def render(vector: list[float] | None, tones: np.ndarray) -> bytes:
+    """A tone for each component of a vector: its twelfth of [-0.4, 0.4] is the pitch class."""
+    x = np.nan_to_num(np.array([c if c is not None else 0 for c in vector] if vector is not None else [], dtype=np.float64))
+    return tones[np.clip((x + 0.4) / 0.8 * 12, 0, 11).astype(int)].tobytes()
+
+
+def fingerprint_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: int = 800) -> DataFrame:
+    """Fingerprints of the sounds that the vectors stand for, for no given table has sound: media_id, fingerprint.
 
-    media_id, pcm (16-bit little-endian mono), sample_rate. The component's twelfth of [-0.4, 0.4] is its pitch class.
+    A vector's sound lives in its task alone, one at a time: a hundred kilobytes each, it is neither sent nor stored.
     """
 
     @F.pandas_udf("binary")
-    def sound(series: pd.Series) -> pd.Series:
-        t = np.arange(note) / RATE
-        fade = np.minimum(1, np.minimum(np.arange(note), note - 1 - np.arange(note)) / 40)
-        tones = np.stack([12_000 * fade * (np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) for f in 220 * 2 ** (np.arange(12) / 12)]).astype("<i2")
-        out = []
-        for v in series:
-            x = np.nan_to_num(np.array([c if c is not None else 0 for c in v], dtype=np.float64)) if v is not None else np.zeros(0)
-            out.append(tones[np.clip((x + 0.4) / 0.8 * 12, 0, 11).astype(int)].tobytes())
-        return pd.Series(out, dtype=object)
+    def prints(series: pd.Series) -> pd.Series:
+        tones = tone_table(note)
+        return pd.Series([fingerprint(render(v, tones), RATE) for v in series], dtype=object)
 
-    return vectors.select(F.col(id_col).alias("media_id"), sound(F.col(vector_col)).alias("pcm"), F.lit(RATE).alias("sample_rate"))
+    return vectors.select(F.col(id_col).alias("media_id"), prints(F.col(vector_col)).alias("fingerprint"))
 
 
 def op9_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = common.materialize(fingerprint_audio(rendered(common.table(spark, sf_dir, "embeddings"))), "prints")
+    prints = common.materialize(fingerprint_vectors(common.table(spark, sf_dir, "embeddings")), "prints")
     return search(prints, F.col("media_id") % 20 == 0).withColumnRenamed("media_id", "vec_id")
