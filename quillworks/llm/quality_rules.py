@@ -103,10 +103,13 @@ def measures(rows: DataFrame, ratios: list[int], threshold: int = THRESHOLD) ->
     rows = rows.withColumn("rule_places", F.sort_array(F.transform(again, lambda x: x["i"])))
     p = F.col("rule_places")
     covered = F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1), i + WINDOW) - i)), F.lit(0), lambda a, x: a + x)
+    # always zero, but not deterministic either: no filter on the results is pushed below this point, where it would
+    # repeat each measure inside the next
+    barrier = F.when(F.spark_partition_id() < 0, 1).otherwise(0)
     by_bucket = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
     rows = rows.withColumns({
         "n_dup_lines": (F.size("rule_lines") - F.size(F.array_distinct("rule_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        "n_repeat_words": (F.coalesce(covered, F.lit(0)) + barrier).cast("long"),
         "rule_total": F.aggregate("rule_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(by_bucket, b)),
         "rule_n": F.size("rule_grams").cast("long"),
     })
@@ -132,9 +135,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rule_row"))
     rows = rows.withColumn("rule_text", F.coalesce(F.col("rule_row")[text_col], F.lit("")))
     rows = rows.withColumn("rule_hashes", F.transform(common.words_col(F.col("rule_text")), word_hash))
-    # a condition that is not deterministic stays where it is: pushed down, it would repeat every measure inside the others
-    measured = measures(rows, ratios, threshold).withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0))
-    return measured.where("kept").select("rule_row.*")
+    return measures(rows, ratios, threshold).where("kept").select("rule_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
