@@ -15,7 +15,8 @@ The corpus' n-grams are too many to broadcast. Documents are gathered in blocks
 block sends its distinct n-grams with its training counts to the n-gram's partition, where they are summed, and gets
 back the totals of those of its n-grams that other blocks hold too: the part of the automaton that its documents can
 touch. n-grams are 64-bit
-hashes. A frequent n-gram is one row per block, so no key grows with its frequency.
+hashes, sent as sorted, compressed arrays: a row for each block and part. A frequent n-gram is one entry per block, so
+no key grows with its frequency, and the parts are even.
 
 Defined results: a null text is empty and has its end token alone; without training documents every count is 0, base
 and model scores are those of unknown words; rows that share an id are scored each for itself; a null id counts as
@@ -40,14 +41,13 @@ from quillworks.llm import common
 
 common.ship(__name__)
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 #: Training tokens to a partition of n-grams: the partitions follow the corpus.
 PART_TOKENS = 1_500_000
 DISCOUNT, TOP, HALF, LEAST_COUNT = 0.5, 0.5, 5.0, 1
 END, START = 0, 1
 #: Ids of the end and start marks beside word hashes; no word hash is changed for them.
 END_HASH, START_HASH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-UNIGRAM = 1 << 40
 
 
 def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -75,10 +75,10 @@ def tokens(texts: list[str]) -> tuple[LocalWords, np.ndarray, np.ndarray]:
     """Words of the texts as numbers, each text closed by the end; and where each text begins, with the total last."""
     words, parts, starts = LocalWords(), [], [0]
     for text in texts:
-        ids = np.fromiter(map(words.__getitem__, text.encode("utf-8", "replace").lower().split()), dtype=np.int64)
-        parts += [ids, np.zeros(1, dtype=np.int64)]
+        ids = np.fromiter(map(words.__getitem__, text.encode("utf-8", "replace").lower().split()), dtype=np.int32)
+        parts += [ids, np.zeros(1, dtype=np.int32)]
         starts.append(starts[-1] + len(ids) + 1)
-    return words, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), np.array(starts, dtype=np.int64)
+    return words, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), np.array(starts, dtype=np.int64)
 
 
 def histories(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -120,23 +120,41 @@ class Counts:
         words, self.ids, self.starts = tokens([t for _, _, t in docs])
         train = np.repeat([not held for _, held, _ in docs], np.diff(self.starts))
         self.hashes = words.hashes()
+        del words
         self.single = np.bincount(self.ids[train], minlength=len(self.hashes))
         if longest > 1:
-            self.pairs, self.pair_of = np.unique(histories(self.ids, self.starts) << 32 | self.ids, return_inverse=True)
+            self.pairs, self.pair_of = np.unique(histories(self.ids, self.starts).astype(np.int64) << 32 | self.ids, return_inverse=True)
+            self.pair_of = self.pair_of.astype(np.int32)
             self.double = np.bincount(self.pair_of, weights=train, minlength=len(self.pairs)).astype(np.int64)
             self.pair_keys = mixed(self.hashes[self.pairs >> 32], self.hashes[self.pairs & 0xFFFFFFFF]).view(np.int64)
 
 
-def sliced(block: int, key: np.ndarray, value: np.ndarray, name: str = "block") -> Iterator[pd.DataFrame]:
-    for at in range(0, len(key), 500_000):
-        part = slice(at, at + 500_000)
-        yield pd.DataFrame({name: block if np.isscalar(block) else block[part], "key": key[part], "value": value[part]})
+def squeezed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys with their values, compressed: differences of the keys, byte by byte, highest bytes together."""
+    planes = [np.diff(keys, prepend=np.uint64(0)), values.astype("<u8")]
+    body = b"".join(p.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for p in planes)
+    return zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def count_ngrams(longest: int):
-    """Distinct n-grams of each block, up to `longest` words: key, and value = count in training documents.
+def unsqueezed(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.uint8).reshape(2, 8, -1)
+    steps, values = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
+    return np.cumsum(steps, dtype=np.uint64), values.astype(np.int64)
 
-    Single words have UNIGRAM added. An n-gram of held-out documents alone has count 0: its total is asked for.
+
+def by_part(keys: np.ndarray, values: np.ndarray, parts: int) -> list[bytes]:
+    """Squeezed keys and values of each part; a key's part is its remainder."""
+    of = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, of))
+    edges = np.searchsorted(of[order], np.arange(parts + 1))
+    keys, values = keys[order], values[order]
+    return [squeezed(keys[a:b], values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def count_ngrams(longest: int, parts: int):
+    """Distinct n-grams of each block with their counts in training documents: a row for each block and part.
+
+    Single words and pairs apart. An n-gram of held-out documents alone has count 0: its total is asked for.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,35 +162,46 @@ def count_ngrams(longest: int):
             for block, body in zip(batch["block"], batch["body"], strict=True):
                 own = Counts(unpack(body), longest)
                 seen = np.bincount(own.ids, minlength=len(own.hashes)) > 0
-                yield from sliced(block, own.hashes[seen].view(np.int64), own.single[seen] + UNIGRAM)
-                if longest > 1:
-                    yield from sliced(block, own.pair_keys, own.double)
+                single = by_part(own.hashes[seen], own.single[seen], parts)
+                double = by_part(own.pair_keys.view(np.uint64), own.double, parts) if longest > 1 else [b""] * parts
+                yield pd.DataFrame({"part": range(parts), "block": block, "single": single, "double": double})
 
     return run
 
 
-def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Totals of the n-grams of a partition, for the blocks that asked; none where the block's own count is the total."""
-    found = [(b["block"].to_numpy(), b["key"].to_numpy(), b["value"].to_numpy()) for b in batches]
-    if not found:
-        return
-    block, key, value = (np.concatenate(x) for x in zip(*found, strict=True))
-    found.clear()
-    one = value >= UNIGRAM
-    for pick, mark in ((one, UNIGRAM), (~one, 0)):
-        keys, back = np.unique(key[pick], return_inverse=True)
-        total = np.bincount(back, weights=value[pick] - mark, minlength=len(keys)).astype(np.int64)[back] + mark
-        other = total != value[pick]
-        yield from sliced(block[pick][other], key[pick][other], total[other], "to_block")
+def summed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several blocks' n-grams: keys, own counts, totals, and the number of the block, end to end."""
+    opened = [unsqueezed(b) for b in bodies]
+    keys, own = np.concatenate([k for k, _ in opened]), np.concatenate([v for _, v in opened])
+    which = np.repeat(np.arange(len(opened)), [len(k) for k, _ in opened])
+    distinct, back = np.unique(keys, return_inverse=True)
+    return keys, own, np.bincount(back, weights=own, minlength=len(distinct)).astype(np.int64)[back], which
+
+
+def count_types(rows: pd.DataFrame) -> pd.DataFrame:
+    """Training tokens and distinct words of a part, and the training documents (their ends)."""
+    keys, _, totals, _ = summed(rows["single"].tolist())
+    distinct, first = np.unique(keys, return_index=True)
+    totals = totals[first]
+    return pd.DataFrame({"tokens": [int(totals.sum())], "types": [int((totals > 0).sum())], "docs": [int(totals[distinct == np.uint64(END_HASH)].sum())]})
+
+
+def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """Totals of a part's n-grams, for the blocks that asked; none where the block's own count is the total."""
+    made = {}
+    for kind in ("single", "double"):
+        keys, own, totals, which = summed(rows[kind].tolist())
+        other = totals != own
+        made[kind] = [squeezed(keys[pick], totals[pick]) for pick in (other & (which == k) for k in range(len(rows)))]
+    return pd.DataFrame({"to_block": rows["block"].to_numpy(), **made})
 
 
 class Automaton:
     """The part of the automaton that one block of documents can touch: states and arcs by the block's own numbers."""
 
-    def __init__(self, own: Counts, keys: np.ndarray, values: np.ndarray, n_train: int, n_docs: int, least_count: int = LEAST_COUNT):
-        one = values >= UNIGRAM
-        self.counts = self.replaced(own.single, own.hashes.view(np.int64), keys[one], values[one] - UNIGRAM)
-        arcs = self.replaced(own.double, own.pair_keys, keys[~one], values[~one])
+    def __init__(self, own: Counts, single: list[bytes], double: list[bytes], n_train: int, n_docs: int, least_count: int = LEAST_COUNT):
+        self.counts = self.replaced(own.single, own.hashes, single)
+        arcs = self.replaced(own.double, own.pair_keys.view(np.uint64), double)
         self.arcs = np.where(arcs >= least_count, arcs, 0)
         self.unigram = np.where(self.counts > 0, self.counts - DISCOUNT, DISCOUNT) / max(1, n_train)
         state = self.counts.astype(np.float64)
@@ -181,11 +210,13 @@ class Automaton:
         self.failure = np.where(state > 0, 1 - TOP * state / (state + HALF), 1.0)
 
     @staticmethod
-    def replaced(own: np.ndarray, wanted: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    def replaced(own: np.ndarray, wanted: np.ndarray, bodies: list[bytes]) -> np.ndarray:
         """The block's counts, with the totals that came for some of its keys."""
+        opened = [unsqueezed(b) for b in bodies]
+        keys = np.concatenate([k for k, _ in opened]) if opened else np.zeros(0, dtype=np.uint64)
         if not len(keys):
             return own
-        order = np.argsort(keys)
+        totals, order = np.concatenate([v for _, v in opened]), np.argsort(keys)
         keys, totals = keys[order], totals[order]
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, totals[at], own)
@@ -206,21 +237,21 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("doc"), held_out.alias("held"), F.col(text_col).alias("text"))
     blocks = rows.mapInPandas(lambda batches: pack_blocks(batches, block_chars), "block long, body binary")
-    single = blocks.mapInPandas(count_ngrams(1), "block long, key long, value long").where(F.col("value") > UNIGRAM)
-    single = single.groupBy("key").agg(F.sum(F.col("value") - UNIGRAM).alias("n"))
-    end = np.array([END_HASH], dtype=np.uint64).view(np.int64).item()
-    totals = single.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"), F.max(F.when(F.col("key") == end, F.col("n"))).alias("docs")).first()
-    n_train, n_types, n_docs = totals.tokens or 0, totals.types, totals.docs or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_train // PART_TOKENS)
-    grams = blocks.mapInPandas(count_ngrams(2), "block long, key long, value long").repartition(parts, "key")
-    answers = grams.mapInPandas(add_up, "to_block long, key long, value long")
+    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wire = "part int, block long, single binary, double binary"
+    counted = blocks.mapInPandas(count_ngrams(1, shuffle), wire).groupBy("part").applyInPandas(count_types, "tokens long, types long, docs long")
+    totals = counted.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("docs").alias("docs")).first()
+    n_train, n_types, n_docs = totals.tokens or 0, totals.types or 0, totals.docs or 0
+    parts = max(shuffle, n_train // PART_TOKENS)
+    grams = blocks.mapInPandas(count_ngrams(2, parts), wire)
+    answers = grams.groupBy("part").applyInPandas(add_up, "to_block long, single binary, double binary")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
         for body in left["body"]:
             docs_of = unpack(body)
             own = Counts(docs_of)
-            automaton = Automaton(own, right["key"].to_numpy(), right["value"].to_numpy(), n_train, n_docs, least_count)
+            automaton = Automaton(own, right["single"].tolist(), right["double"].tolist(), n_train, n_docs, least_count)
             counts, firsts = automaton.counts[own.ids], own.starts[:-1]
             base = np.log10((counts + 1) / (n_train + n_types + 1))
             known = np.add.reduceat((counts > 0).astype(np.int64), firsts)
