@@ -29,14 +29,14 @@ def para_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents with captions, page numbers, running headers, headings and tables put between their lines:
-    doc_id, source_name, doc_type, chapter_override, prefix, text."""
-    docs = documents(spark, sf_dir).where("lang = 'en'")
+    """All documents with captions, page numbers, running headers, headings and tables put between their lines:
+    doc_id, source_name, doc_type, chapter_override, prefix, text. The capital of sharp s is one letter, as in DuckDB."""
+    docs = documents(spark, sf_dir)
     number = (F.col("doc_id") % 20).cast("string")
 
     def around(line, k):
         first = F.array_join(F.slice(words_col(line), 1, 3), " ")
-        plain = F.upper(F.regexp_replace(first, "[.:,]", ""))
+        plain = F.upper(F.translate(F.regexp_replace(first, "[.:,]", ""), "ß", "ẞ"))
         ks = (k + 1).cast("string")
         n = k + 1
         return F.concat(

@@ -315,7 +315,7 @@ DRESSED_SQL = f"""WITH {views.DOC_LINES_SQL}, dressed_lines AS (
     CASE WHEN n = 1 THEN ['Chapter ' || num || ': ' || f3, ''] ELSE [] END, CASE WHEN n % 3 = 1 THEN ['', upper(regexp_replace(f3, '[.:,]', '', 'g')), ''] ELSE [] END, [line],
     CASE WHEN n % 5 = 0 THEN [num || '-' || n] ELSE [] END, CASE WHEN n % 7 = 0 THEN ['Figure ' || n || '-1. ' || f3] ELSE [] END, CASE WHEN n % 4 = 0 THEN [d.source || ' handbook'] ELSE [] END,
     CASE WHEN d.doc_id % 5 = 0 AND n % 6 = 0 THEN ['Item  Speed', 'one  ' || n, 'two  ' || num, 'three  3'] ELSE [] END) AS l
-  FROM (SELECT *, line_no + 1 AS n, CAST(doc_id % 20 AS VARCHAR) AS num, array_to_string(({views.words_sql("line")})[1:3], ' ') AS f3 FROM doc_lines) d JOIN documents o USING (doc_id) WHERE o.lang = 'en'
+  FROM (SELECT *, line_no + 1 AS n, CAST(doc_id % 20 AS VARCHAR) AS num, array_to_string(({views.words_sql("line")})[1:3], ' ') AS f3 FROM doc_lines) d JOIN documents o USING (doc_id)
 ), dressed AS (
   SELECT doc_id, array_to_string(flatten(list(l ORDER BY line_no)), chr(10)) AS text FROM dressed_lines GROUP BY doc_id
 )"""
