@@ -83,8 +83,9 @@ def jaccard_overlap(spark, sf_dir):
 
 
 def overlap_flags(spark, sf_dir):
+    """Whether the first section of each document recurs in any later one."""
     rows = _sections(spark, sf_dir)
-    b = rows.where("no between 2 and 6").select(F.col("doc_id").alias("b_doc"), F.col("content").alias("other"))
+    b = rows.where("no > 1").select(F.col("doc_id").alias("b_doc"), F.col("content").alias("other"))
     pairs_of = rows.where("no = 1").select("doc_id", F.col("content").alias("text")).join(b, F.col("doc_id") == F.col("b_doc"))
     return measures.overlap_flags(pairs_of)
 
@@ -439,7 +440,7 @@ SELECT doc_id, price_list, round(i / 4 / 1000 * pi + o / 4 / 1000 * po, 3) AS co
 c AS (SELECT *, CAST(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM l), f AS (SELECT *, min(CASE WHEN len(w) > 0 AND upto > 120 THEN k END) OVER (PARTITION BY doc_id) AS cut FROM c)
 SELECT doc_id, trim(coalesce(string_agg(CASE WHEN cut IS NULL OR k < cut THEN line ELSE array_to_string(w[1:120 - (upto - len(w))], ' ') END, chr(10) ORDER BY k) FILTER (WHERE cut IS NULL OR k < cut OR (k = cut AND upto - len(w) < 120)), ''), ' ' || chr(10) || chr(9)) || chr(10) AS text FROM f GROUP BY doc_id""",
     "jaccard_overlap": f"{S}, t AS (SELECT doc_id, no, {TOKENS.format('content')} AS t FROM sections WHERE no <= 2) SELECT a.doc_id, {JACCARD.format(a='a.t', b='b.t')} AS similarity FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no = 2",
-    "overlap_flags": f"""{S}, t AS (SELECT doc_id, no, {TOKENS.format("CASE WHEN no = 1 THEN array_to_string((" + views.words_sql("content") + ")[1:220], ' ') ELSE content END")} AS t FROM sections WHERE no <= 6)
+    "overlap_flags": f"""{S}, t AS (SELECT doc_id, no, {TOKENS.format("CASE WHEN no = 1 THEN array_to_string((" + views.words_sql("content") + ")[1:220], ' ') ELSE content END")} AS t FROM sections)
 SELECT doc_id, overlap, overlap >= 0.72 AS excessive FROM (SELECT a.doc_id, max({JACCARD.format(a="a.t", b="b.t")}) AS overlap FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no > 1 GROUP BY a.doc_id)""",
     "similar_benchmark": f"{S}, a AS (SELECT id AS left_id, {TOKENS.format('content')} AS t FROM sections), b AS (SELECT CAST(item_id AS VARCHAR) AS right_id, {TOKENS.format('text')} AS u FROM benchmark), p AS (SELECT left_id, right_id, {JACCARD.format(a='t', b='u')} AS similarity FROM a, b WHERE len(t) * 0.6 <= len(u) AND len(u) * 0.6 <= len(t)) SELECT left_id, right_id, similarity FROM p WHERE similarity >= 0.6",
     "repeated_line_report": f"WITH {views.DOC_LINES_SQL}, c AS (SELECT doc_id, trim(line) AS own_line, count(*) AS n FROM doc_lines WHERE trim(line) <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, own_line) AS place FROM c) SELECT doc_id, own_line, n FROM r WHERE place <= 20 AND n >= 3 AND length(own_line) < 120",
