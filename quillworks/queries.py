@@ -187,12 +187,12 @@ def repeated_pair_ids(spark, sf_dir):
 
 
 def clean_records(spark, sf_dir):
-    """One record reply per document, of its first sections: some records empty, some contexts too long."""
+    """One record reply per document, of all its sections: some records empty, some contexts too long."""
     rows = _accepted(spark, sf_dir)
     requests = pairs.record_request(rows)
     m = F.col("no") % 5
     entry = F.struct(F.when(m == 0, "").otherwise(F.concat(F.lit(" Explain "), "title")).alias("instruction"), F.when(m == 1, F.col("content")).otherwise("").alias("context"), F.concat(F.lit("It is about "), "title").alias("response"), F.concat(F.lit("DOC."), F.col("doc_id").cast("string"), F.lit("."), F.col("no").cast("string"), F.lit(".1")).alias("sourceQuestionId"), F.struct(F.when(m == 2, "a source").alias("source")).alias("metadata"))
-    made = _sections(spark, sf_dir).where("no <= 60").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", entry.alias("e"))))["e"].alias("records"))
+    made = _sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", entry.alias("e"))))["e"].alias("records"))
     replies = made.select("doc_id", F.lit("DOC").alias("book_id"), F.col("doc_id").alias("chapter"), F.to_json(F.struct("records")).alias("body"))
     return pairs.clean_records(replies, requests)
 
@@ -372,7 +372,7 @@ RECORDS_SQL = f"""{ACCEPTED_SQL}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, number) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM accepted
 ), replies AS (
   SELECT s.doc_id, s.no, s.title, s.content, s.no % 5 AS m, (SELECT max(greatest(1, CAST(floor(p.n * 11 * CAST(0.3 AS DOUBLE)) AS BIGINT))) FROM placed p WHERE p.doc_id = s.doc_id) AS target, j.title AS j_title, j.question_id AS j_id
-  FROM sections s LEFT JOIN placed j ON j.doc_id = s.doc_id AND j.q <= 40 AND j.question_id = 'DOC.' || s.doc_id || '.' || s.no || '.1' WHERE s.no <= 60
+  FROM sections s LEFT JOIN placed j ON j.doc_id = s.doc_id AND j.q <= 40 AND j.question_id = 'DOC.' || s.doc_id || '.' || s.no || '.1'
 ), records AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS number, CASE WHEN j_id IS NOT NULL THEN 'DOC Chapter ' || doc_id || ' - ' || j_title ELSE 'DOC chapter ' || doc_id END AS fallback FROM replies WHERE m <> 0 AND target IS NOT NULL
 )"""
