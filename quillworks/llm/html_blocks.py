@@ -9,7 +9,11 @@ from dataclasses import dataclass, field
 #: Elements that begin and end a block of text; all others run on inside one.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head".split())
+SILENT = frozenset("script style noscript template iframe object svg canvas audio video".split())
+#: Of these, the ones that hold no elements: without an end tag they go on to the end of the page.
+RAW = frozenset("script style".split())
+#: Elements that can stand in a head; any other start tag ends it, and so does text.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of these kinds, as far up as the nearest of the limits.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
@@ -35,12 +39,27 @@ def name_parts(attributes: str) -> list[str]:
     return found
 
 
+def ends_of(page: str, name: str) -> dict[int, int]:
+    """Where the elements of this name that have an end tag begin and end; tags in comments and scripts do not count."""
+    ends: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1|\Z)|<(/?){name}(?=[\s/>])[^>]*>", page, re.I | re.S):
+        if m[2] is None or m[0].endswith("/>"):
+            continue
+        if not m[2]:
+            begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Every leaf of the page with some text, in page order; character references decoded, white space made one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
-    linked, in_link = 0, False
+    linked, in_link, in_head = 0, False, False
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -58,14 +77,21 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(text)
 
+    def end_of(name: str, start: int) -> int | None:
+        if name not in ends:
+            ends[name] = ends_of(page, name)
+        return ends[name].get(start)
+
     at = 0
     while m := _TOKEN.search(page, at):
+        in_head = in_head and not page[at : m.start()].strip()
         add(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         if m[1] or m[4]:  # an end tag
+            in_head = in_head and name not in ("head", "body", "html", "br")
             if name == "a":
                 in_link = False
             elif name in BLOCKS:
@@ -75,12 +101,21 @@ def blocks_of(page: str) -> list[Block]:
                         pass
             continue
         attributes = m[3] or m[6] or ""
-        if name in SILENT and not attributes.endswith("/"):
-            if name not in ("script", "style", "template", "noscript", "iframe"):
-                flush()
+        in_head = in_head and name in IN_HEAD
+        if name == "head":
+            flush()
+            in_head = True
+        elif in_head and name in ("title", "noframes"):
+            end = end_of(name, m.start()) or page.find("<", at)
+            at = end if end >= 0 else len(page)
+        elif name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            close = page.find(">", end.start()) if end else -1
+            close = page.find(">", end.end() - 1) if end else -1
             at = close + 1 if close >= 0 else len(page)
+        elif name in SILENT:
+            if name not in ("template", "noscript", "iframe"):
+                flush()
+            at = end_of(name, m.start()) or at
         elif name == "br":
             run.append(" ")
         elif name == "a":
