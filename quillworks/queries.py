@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillworks.functions.textops import jaccard_col, token_set_col, word_count_col
@@ -75,11 +75,10 @@ def trim_to_words(spark, sf_dir):
 
 
 def jaccard_overlap(spark, sf_dir):
-    """How much the first two sections of each document have in common."""
-    rows = _sections(spark, sf_dir)
-    a, b = rows.where("no = 1").select("doc_id", F.col("content").alias("text")), rows.where("no = 2").select(F.col("doc_id").alias("b_doc"), F.col("content").alias("other"))
-    score = jaccard_col(token_set_col(F.col("text")), token_set_col(F.col("other")))
-    return a.join(b, F.col("doc_id") == F.col("b_doc")).select("doc_id", score.alias("similarity"))
+    """How much each section has in common with the next one of its document."""
+    rows = _sections(spark, sf_dir).withColumn("other", F.lead("content").over(Window.partitionBy("doc_id").orderBy("no")))
+    score = jaccard_col(token_set_col(F.col("content")), token_set_col(F.col("other")))
+    return rows.where("other is not null").select("doc_id", "no", score.alias("similarity"))
 
 
 def overlap_flags(spark, sf_dir):
@@ -439,7 +438,7 @@ SELECT doc_id, price_list, round(i / 4 / 1000 * pi + o / 4 / 1000 * po, 3) AS co
     "trim_to_words": f"""WITH l AS (SELECT doc_id, k, line, {views.words_sql("line")} AS w FROM (SELECT doc_id, x AS l, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
 c AS (SELECT *, CAST(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM l), f AS (SELECT *, min(CASE WHEN len(w) > 0 AND upto > 120 THEN k END) OVER (PARTITION BY doc_id) AS cut FROM c)
 SELECT doc_id, trim(coalesce(string_agg(CASE WHEN cut IS NULL OR k < cut THEN line ELSE array_to_string(w[1:120 - (upto - len(w))], ' ') END, chr(10) ORDER BY k) FILTER (WHERE cut IS NULL OR k < cut OR (k = cut AND upto - len(w) < 120)), ''), ' ' || chr(10) || chr(9)) || chr(10) AS text FROM f GROUP BY doc_id""",
-    "jaccard_overlap": f"{S}, t AS (SELECT doc_id, no, {TOKENS.format('content')} AS t FROM sections WHERE no <= 2) SELECT a.doc_id, {JACCARD.format(a='a.t', b='b.t')} AS similarity FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no = 2",
+    "jaccard_overlap": f"{S}, t AS (SELECT doc_id, no, {TOKENS.format('content')} AS t FROM sections) SELECT a.doc_id, a.no, {JACCARD.format(a='a.t', b='b.t')} AS similarity FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.no = a.no + 1",
     "overlap_flags": f"""{S}, t AS (SELECT doc_id, no, {TOKENS.format("CASE WHEN no = 1 THEN array_to_string((" + views.words_sql("content") + ")[1:220], ' ') ELSE content END")} AS t FROM sections)
 SELECT doc_id, overlap, overlap >= 0.72 AS excessive FROM (SELECT a.doc_id, max({JACCARD.format(a="a.t", b="b.t")}) AS overlap FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no > 1 GROUP BY a.doc_id)""",
     "similar_benchmark": f"{S}, a AS (SELECT id AS left_id, {TOKENS.format('content')} AS t FROM sections), b AS (SELECT CAST(item_id AS VARCHAR) AS right_id, {TOKENS.format('text')} AS u FROM benchmark), p AS (SELECT left_id, right_id, {JACCARD.format(a='t', b='u')} AS similarity FROM a, b WHERE len(t) * 0.6 <= len(u) AND len(u) * 0.6 <= len(t)) SELECT left_id, right_id, similarity FROM p WHERE similarity >= 0.6",
