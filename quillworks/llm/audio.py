@@ -91,7 +91,7 @@ def fingerprint(pcm: bytes | None, rate: int | None) -> bytes:
 
 
 def fingerprint_audio(media: DataFrame, id_col: str = "media_id", pcm_col: str = "pcm", rate_col: str = "sample_rate") -> DataFrame:
-    """id, fingerprint (binary, 32-bit little-endian integers), n_integers.
+    """id, fingerprint (binary, 32-bit little-endian integers), n_integers, serial (the row's own number).
 
     A worker holds one Arrow batch of sounds: spark.sql.execution.arrow.maxRecordsPerBatch is to fit their size.
     """
@@ -101,7 +101,7 @@ def fingerprint_audio(media: DataFrame, id_col: str = "media_id", pcm_col: str =
         return pd.Series([fingerprint(p, r) for p, r in zip(pcm, rate, strict=True)], dtype=object)
 
     out = media.select(F.col(id_col), prints(F.col(pcm_col), F.col(rate_col)).alias("fingerprint"))
-    return out.withColumn("n_integers", (F.length("fingerprint") / 4).cast("long"))
+    return out.withColumns({"n_integers": (F.length("fingerprint") / 4).cast("long"), "serial": F.monotonically_increasing_id()})
 
 
 def stacked(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,35 +153,37 @@ def alignments(queries: list[bytes], others: list[bytes], min_votes: int, min_ov
 def search(prints: DataFrame, is_query: Column, id_col: str = "media_id", min_votes: int = MIN_VOTES, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR) -> DataFrame:
     """One row per query: id, n_integers, n_matches (other recordings that align), best_id, best_offset, best_error.
 
-    prints: id and fingerprint, as of fingerprint_audio, read from a table: it is used several times.
+    prints: id, fingerprint and serial, as of fingerprint_audio, read from a table: it is used several times. A row is
+    told by its serial, so rows with one id are recordings of their own.
     """
     kind = prints.schema[id_col].dataType.simpleString()
-    rows = prints.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col("fingerprint"), F.lit(b"")).alias("print"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = prints.select("serial", F.col(id_col).cast("string").alias("id"), F.coalesce(F.col("fingerprint"), F.lit(b"")).alias("print"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asking")).first()
     buckets, blocks = max(1, -(-counts.n // BUCKET)), max(1, -(-counts.asking // BLOCK))
-    spread = F.xxhash64("id", "print")
+    spread = F.xxhash64("serial")
     queries = rows.where("asks").withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
-    left = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "id", "print")
-    right = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "bucket", "id", "print")
+    left = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "serial", "id", "print")
+    right = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "bucket", "serial", "id", "print")
 
     def align(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         ids, others = asking["id"].tolist(), held["id"].to_numpy(dtype=object)
+        serials, held_serials = asking["serial"].tolist(), held["serial"].tolist()
         found = np.zeros(len(ids), dtype=np.int64)
         best: list[tuple | None] = [None] * len(ids)
         for a, b, shift, error in alignments(asking["print"].tolist(), held["print"].tolist(), min_votes, min_overlap, max_error):
             for k, j, s, e in zip(a.tolist(), b.tolist(), shift.tolist(), error.tolist(), strict=True):
-                if others[j] == ids[k]:
+                if held_serials[j] == serials[k]:
                     continue
                 found[k] += 1
                 other = others[j] or ""
                 rank = (round(e, 9), len(other), other, s)
                 if best[k] is None or rank < best[k]:
                     best[k] = rank
-        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "n_integers": [len(p) // 4 for p in asking["print"]], "n_matches": found, "best_error": [b[0] if b else None for b in best], "best_id": pd.Series([b[2] if b else None for b in best], dtype=object), "best_offset": [b[3] if b else None for b in best]}).astype({"n_integers": "int64", "best_error": "float64", "best_offset": "Int64"})
+        return pd.DataFrame({"serial": serials, "id": pd.Series(ids, dtype=object), "n_integers": [len(p) // 4 for p in asking["print"]], "n_matches": found, "best_error": [b[0] if b else None for b in best], "best_id": pd.Series([b[2] if b else None for b in best], dtype=object), "best_offset": [b[3] if b else None for b in best]}).astype({"serial": "int64", "n_integers": "int64", "best_error": "float64", "best_offset": "Int64"})
 
-    parts = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInPandas(align, "id string, n_integers long, n_matches long, best_error double, best_id string, best_offset long")
+    parts = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInPandas(align, "serial long, id string, n_integers long, n_matches long, best_error double, best_id string, best_offset long")
     rank = F.when(F.col("best_error").isNotNull(), F.struct("best_error", F.length("best_id").alias("l"), "best_id", "best_offset"))
-    out = parts.groupBy("id").agg(F.max("n_integers").alias("n_integers"), F.sum("n_matches").alias("n_matches"), F.min(rank).alias("b"))
+    out = parts.groupBy("serial", "id").agg(F.max("n_integers").alias("n_integers"), F.sum("n_matches").alias("n_matches"), F.min(rank).alias("b"))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_integers", "n_matches", F.nullif(F.col("b.best_id"), F.lit("")).cast(kind).alias("best_id"), F.col("b.best_offset").alias("best_offset"), F.col("b.best_error").alias("best_error"))
 
 
@@ -199,7 +201,7 @@ def render(vector: list[float] | None, tones: np.ndarray) -> bytes:
 
 
 def fingerprint_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", note: int = 800) -> DataFrame:
-    """Fingerprints of the sounds that the vectors stand for, for no given table has sound: media_id, fingerprint.
+    """Fingerprints of the sounds that the vectors stand for, for no given table has sound: media_id, fingerprint, serial.
 
     A vector's sound lives in its task alone, one at a time: a hundred kilobytes each, it is neither sent nor stored.
     """
@@ -209,7 +211,7 @@ def fingerprint_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         tones = tone_table(note)
         return pd.Series([fingerprint(render(v, tones), RATE) for v in series], dtype=object)
 
-    return vectors.select(F.col(id_col).alias("media_id"), prints(F.col(vector_col)).alias("fingerprint"))
+    return vectors.select(F.col(id_col).alias("media_id"), prints(F.col(vector_col)).alias("fingerprint"), F.monotonically_increasing_id().alias("serial"))
 
 
 def op9_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
