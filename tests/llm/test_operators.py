@@ -138,27 +138,74 @@ def test_sum_of_squares_choice():
         assert [levels.counts[k] for k in range(1, 16)] == [counts[k] for k in range(1, 16)]
 
 
-def test_language_model(docs, empty):
+def grams_of(train, order):
+    """Counts of the n-grams of texts that begin with a start mark (0) and end with None."""
+    counts = Counter()
+    for words in train:
+        stream = [0, *words]
+        counts.update(tuple(stream[i : i + k]) for k in range(1, order + 1) for i in range(len(stream) - k + 1))
+    return counts
+
+
+def probability(history, word, counts, n, order, least=1):
+    """p(word | history) by its definition."""
+    if not history:
+        c = counts[(word,)]
+        return (c - 0.5 if c else 0.5) / n
+    state = counts[history] if len(history) == 1 or counts[history] >= least else 0
+    shorter = probability(history[1:], word, counts, n, order, least)
+    if not state:
+        return shorter
+    back = 1 - language_model.TOP * state / (state + language_model.HALF)
+    arc = counts[(*history, word)]
+    return ((1 - back) * arc / state if arc >= least else 0) + back * shorter
+
+
+@pytest.mark.parametrize("order,least", [(1, 1), (2, 1), (3, 1), (4, 1), (3, 2)])
+def test_language_model(docs, empty, order, least):
     held = common.crc_remainder(F.col("doc_id"), 7) == 2
     rows = [(i, words_of(t) + [None]) for i, t in rows_of(docs)]
     out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
     train = [w for i, w in rows if not out(i)]
     c, n = Counter(x for w in train for x in w), sum(map(len, train))
-    pairs = Counter(p for w in train for p in zip([0, *w[:-1]], w, strict=True))
-    for chars in (200, 10**9):
-        got = language_model.score_documents(docs, held, block_chars=chars).collect()
+    counts = grams_of(train, order)
+    for chars in (200, 10**9) if order == 3 else (1_000,):
+        got = language_model.score_documents(docs, held, order=order, block_chars=chars, least_count=least).collect()
         assert len(got) == len(rows)
         for r in got:
             words = next(w for i, w in rows if i == r.doc_id)
             base = sum(log10((c[w] + 1) / (n + len(c) + 1)) for w in words)
-            score = 0.0
-            for h, w in zip([0, *words[:-1]], words, strict=True):
-                state = len(train) if h == 0 else c[h]
-                b = 1 - language_model.TOP * state / (state + language_model.HALF) if state else 1.0
-                score += log10((1 - b) * pairs[h, w] / max(1, state) + b * ((c[w] - 0.5 if c[w] else 0.5) / n))
+            stream = [0, *words]
+            score = sum(log10(probability(tuple(stream[max(0, i - order + 1) : i]), stream[i], counts, n, order, least)) for i in range(1, len(stream)))
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(words), sum(c[w] > 0 for w in words), n)
             assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
-    assert language_model.score_documents(empty, held).count() == 0
+    assert language_model.score_documents(empty, held, order=order).count() == 0
+
+
+def test_automaton_follows_failure_arcs():
+    texts = ["a b c a b d", "b c d", "a b c", "e a"]
+    grams = language_model.Grams([False, False, False, True], texts, 3)
+    totals = [level.own for level in grams.levels]
+    n = int(totals[0].sum() - totals[0][language_model.START])
+    automaton = language_model.Automaton(grams, totals, n)
+    counts = grams_of([t.split() + [None] for t in texts[:3]], 3)
+    vocabulary = [w for w in range(len(totals[0])) if totals[0][w] and w != language_model.START]
+    for state in range(len(automaton.failure_to)):
+        _, weight = automaton.step(np.full(len(vocabulary), state), np.array(vocabulary))
+        assert 0.0 < (10**weight).sum() <= 1 + 1e-9
+        assert state == 0 or automaton.failure_to[state] < state
+    # c after "e a": no state for "e a", so the walk is at "a", which has no arc for c: two failures, then the root
+    number = {w: 2 + k for k, w in enumerate("abcde")}
+    at = np.array([automaton.start])
+    for w in "ea":
+        at, _ = automaton.step(at, np.array([number[w]]))
+    to, weight = automaton.step(at, np.array([number["c"]]))
+    back = 1 - language_model.TOP * 3 / (3 + language_model.HALF)
+    assert 10 ** weight[0] == pytest.approx(back * probability((), "c", counts, n, 3))
+    long = ["x y z " * 400, "x y", "y z x y " * 301]
+    grams = language_model.Grams([False] * 3, long, 3)
+    automaton = language_model.Automaton(grams, [level.own for level in grams.levels], 10)
+    assert np.allclose(automaton.walk(grams.ids, grams.starts, stride=7), automaton.walk(grams.ids, grams.starts, stride=10**6))
 
 
 def test_toxicity(spark, docs, labels, empty):
