@@ -2,8 +2,8 @@
 
 Words and pairs of neighbouring words are hashed into `buckets` buckets. Two multinomials are estimated over all
 documents: of the trusted ones (a label says so) and of the raw corpus. A document's score is the sum over its n-grams
-of log(target / raw) of their bucket (both smoothed towards the raw corpus), divided by their number; it is kept if the base rules pass and the score reaches
-`threshold`. The ratios are whole numbers (millionths), so a sum does not depend on its order and reruns agree.
+of log(target / raw) of their bucket (both smoothed towards the raw corpus), divided by their number; it is kept if the
+base rules pass and the score reaches `threshold`. A word's hash is its CRC-32, a pair's a linear form of two of them. The ratios are whole numbers (millionths), so a sum does not depend on its order and reruns agree.
 DataFrame functions only; the documents are never shuffled: the counting pass moves one row per task and bucket.
 
 Defined results: a null or empty text has no words, zero counts, score null, and fails the base rules; repeated rows
@@ -24,8 +24,8 @@ BUCKETS = 1 << 16
 #: Least score, in millionths of a natural logarithm per n-gram.
 THRESHOLD = -80_000
 WINDOW = 8
-#: Above so many trusted ids the ids are joined by a shuffle, not broadcast.
-BROADCAST_IDS = 1_000_000
+#: Above so many trusted ids (some MB) the ids are joined by a shuffle, not broadcast.
+BROADCAST_IDS = 200_000
 SYMBOLS = "#*$%&|<>"
 PRIME = 1_000_003
 #: Occurrences that every bucket has beforehand, at the raw corpus' rate: what is seldom seen says little.
@@ -33,21 +33,28 @@ PRIOR = 20.0
 
 
 def word_hash(word: Column) -> Column:
-    """The first 60 bits of a word's md5, as a number: the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
+    """A word's CRC-32, as a long."""
+    return F.crc32(word.cast("binary"))
 
 
-def gram_buckets(hashes: Column, buckets: int) -> Column:
-    """array<int>: the bucket of each word, then of each pair of neighbours (31 times the first plus the second)."""
-    n = F.size(hashes)
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n, F.lit(1))), lambda a, b: ((a % PRIME * 31 + b % PRIME) % buckets).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: (h % buckets).cast("int")), pairs)
+def pair_hash(first: Column, second: Column) -> Column:
+    return first * PRIME + second
+
+
+def neighbours(items: Column, distance: int, pair) -> Column:
+    """pair(item, the item `distance` places later), for all items that have one."""
+    n = F.greatest(F.size(items) - distance, F.lit(0))
+    return F.zip_with(F.slice(items, 1, n), F.slice(items, 1 + distance, n), pair)
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), common.SPACE_CLASS), "")
 
 
 def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rule_id, rule_text, rule_words, rule_hashes."""
     rows = docs.select(F.col(id_col).alias("rule_id"), F.coalesce(F.col(text_col), F.lit("")).alias("rule_text"))
-    return rows.withColumn("rule_words", common.words_col(F.col("rule_text"))).withColumn("rule_hashes", F.transform("rule_words", word_hash))
+    return rows.withColumn("rule_words", words_of(F.col("rule_text"))).withColumn("rule_hashes", F.transform("rule_words", word_hash))
 
 
 def trusted_flag(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -61,8 +68,15 @@ def trusted_flag(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> DataFrame:
     """bucket, target_n, raw_n, ratio (millionths of a nat): of counts over all documents, smoothed by the prior."""
     rows = trusted_flag(docs.select(F.col(id_col).alias("rule_id"), F.col(text_col).alias("rule_text")), labels, id_col, label_col)
-    rows = rows.withColumn("rule_hashes", F.transform(common.words_col(F.col("rule_text")), word_hash))
-    grams = rows.select("trusted", F.explode(gram_buckets(F.col("rule_hashes"), buckets)).alias("bucket"))
+    # a row per word with the word after it, then a row per bucket: all of it compiled, no array functions
+    words = words_of(F.col("rule_text"))
+    rows = rows.withColumn("rule_words", words)
+    rows = rows.withColumn("rule_next", F.slice("rule_words", 2, F.greatest(F.size("rule_words"), F.lit(1))))
+    rows = rows.select("trusted", F.inline(F.arrays_zip("rule_words", "rule_next"))).toDF("trusted", "word", "after")
+    hashed = rows.select("trusted", word_hash(F.col("word")).alias("h"), word_hash(F.col("after")).alias("g"))
+    both = F.array(F.col("h") % buckets, pair_hash(F.col("h"), F.col("g")) % buckets)
+    grams = hashed.select("trusted", F.explode(both).alias("bucket")).where("bucket is not null")
+    grams = grams.select("trusted", F.col("bucket").cast("int").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.when(F.col("trusted"), 1)).alias("target_n"), F.count(F.lit(1)).alias("raw_n"))
     counts = common.materialize(counts, "ngrams")
     totals = counts.agg(F.coalesce(F.sum("target_n"), F.lit(0)).alias("target"), F.coalesce(F.sum("raw_n"), F.lit(0)).alias("raw")).first()
@@ -82,18 +96,22 @@ def ratio_array(ratios: DataFrame, buckets: int) -> list[int]:
 
 def measures(rows: DataFrame, ratios: list[int], threshold: int = THRESHOLD) -> DataFrame:
     """Adds the counts, base_failed, score and kept to rows of with_words()."""
-    text, hashes = F.col("rule_text"), F.col("rule_hashes")
-    last = F.size(hashes) - WINDOW
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+    text, words, hashes, pairs = (F.col(c) for c in ("rule_text", "rule_words", "rule_hashes", "rule_pairs"))
+    last = F.size(words) - WINDOW
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumns({
-        "n_words": F.size(hashes).cast("long"),
-        "word_chars": F.length(F.translate(text, common.SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "rule_lines": lines,
-        "rule_windows": F.when(last > 0, windows),
-        "rule_grams": gram_buckets(hashes, len(ratios)),
+        "rule_pairs": neighbours(hashes, 1, pair_hash),
     })
+    rows = rows.withColumn("rule_fours", neighbours(pairs, 2, lambda a, b: F.xxhash64(a, b)))
+    # a window can stand twice only where a hash of four words does, and then one of eight words
+    again = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    rows = rows.withColumn("rule_eights", F.when((last > 0) & again("rule_fours"), neighbours(F.col("rule_fours"), 4, lambda a, b: F.xxhash64(a, b))))
+    rows = rows.withColumn("rule_windows", F.when(again("rule_eights"), windows))
     # equal windows stand side by side once (window, place) pairs are sorted
     seen = F.col("rule_windows")
     paired = F.sort_array(F.transform(seen, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -107,11 +125,12 @@ def measures(rows: DataFrame, ratios: list[int], threshold: int = THRESHOLD) ->
     # repeat each measure inside the next
     barrier = F.when(F.spark_partition_id() < 0, 1).otherwise(0)
     by_bucket = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + F.get(by_bucket, (b % len(ratios)).cast("int")))
     rows = rows.withColumns({
         "n_dup_lines": (F.size("rule_lines") - F.size(F.array_distinct("rule_lines"))).cast("long"),
         "n_repeat_words": (F.coalesce(covered, F.lit(0)) + barrier).cast("long"),
-        "rule_total": F.aggregate("rule_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(by_bucket, b)),
-        "rule_n": F.size("rule_grams").cast("long"),
+        "rule_total": total(hashes) + total(pairs),
+        "rule_n": (F.size(hashes) + F.size(pairs)).cast("long"),
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return rows.withColumns({
@@ -134,7 +153,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ratios = ratio_array(log_ratios(docs, labels, id_col, text_col, label_col, buckets), buckets)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rule_row"))
     rows = rows.withColumn("rule_text", F.coalesce(F.col("rule_row")[text_col], F.lit("")))
-    rows = rows.withColumn("rule_hashes", F.transform(common.words_col(F.col("rule_text")), word_hash))
+    rows = rows.withColumn("rule_words", words_of(F.col("rule_text"))).withColumn("rule_hashes", F.transform("rule_words", word_hash))
     return measures(rows, ratios, threshold).where("kept").select("rule_row.*")
 
 
@@ -142,14 +161,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+#: CRC-32 of the distinct words, by a table of 256 remainders.
 OP1_SQL = f"""
 WITH words AS (
   SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), remainders AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))
+), bytes AS (
+  SELECT word, [4294967295] || list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM placed)
+), crcs AS (
+  SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, remainders
 ), hashed AS (
-  SELECT *, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h FROM words
+  SELECT doc_id, h, h * {PRIME} + lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM placed JOIN crcs USING (word)
 ), grams AS (
-  SELECT doc_id, unnest(list_concat(list_transform(h, lambda x: x % {BUCKETS}),
-    list_transform(range(1, len(h)), lambda i: (h[i] % {PRIME} * 31 + h[i + 1] % {PRIME}) % {BUCKETS}))) AS bucket FROM hashed
+  SELECT doc_id, h % {BUCKETS} AS bucket FROM hashed UNION ALL SELECT doc_id, g % {BUCKETS} FROM hashed WHERE g IS NOT NULL
 ), trusted AS (
   SELECT DISTINCT doc_id FROM labels WHERE quality = 1
 ), counts AS (
