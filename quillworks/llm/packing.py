@@ -3,8 +3,10 @@
 N(h) counts the open windows of fill level h, 0 < h < capacity. Each document goes, in order of arrival, to the level
 that leaves the sum of N(h)^2 least (ties: the fullest window); a numpy array over the levels holds N. A document
 longer than a window first fills whole windows of its own, and its rest is placed. Every task packs its own documents:
-nothing is shuffled. When a task's documents end, the windows still open are joined end to end and cut anew, and what
-is left is cut at powers of two, which need no padding: a task leaves no padding, wherever its rows came from.
+nothing is shuffled. When a task's documents end, the windows still open stay as they are, and their gaps are filled,
+fullest window first, with cut pieces of the least filled windows; the last one is cut at powers of two, which need no
+padding. So a task leaves no padding, wherever its rows came from, and `route` says how a piece came to its place:
+whole (a full window of one document), level (by the sum-of-squares choice), gap (moved at the end).
 
 Defined results: a null text is empty, and its document is the end id alone; repeated rows are packed each for itself;
 ids may be null or repeated; extra columns are ignored; an empty table gives no piece.
@@ -13,47 +15,94 @@ Given the same input partitions, a task run again (a lost executor) yields the s
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
 from quillworks.llm.common import worker_state
-from quillworks.llm.tokens import ModelIds, tokenizer_path
+from quillworks.llm.tokens import CLOSING, ModelIds, tokenizer_path
 
 common.ship(__name__)
 
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-_ASCII_SPACE = re.compile(common.SPACE_CLASS)
-PIECES = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+#: Marks at the end of a word that part from its letters as a token of their own kind.
+TAIL = CLOSING + "#%*&$"
+#: Characters of text whose words are looked up together.
+SLICE = 2_000_000
+PIECES = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, route string"
 
 
 class WordIds(dict):
-    """word -> its token ids as little-endian bytes, by a tokenizer that drops white space; a miss is encoded and kept.
+    """word -> its token ids as little-endian bytes, by a tokenizer that drops white space. Misses are encoded by their stems.
 
-    Emptied when `most` words are held.
+    Two generations of at most `most` words each: words that were not met since the last change of generation go.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         super().__init__()
-        self.most, self.model = most, ModelIds(path, lower=True)
+        self.most, self.model, self.old, self.tails = most, ModelIds(path, lower=True), {}, {"": b""}
+    def encoded(self, piece: str) -> bytes:
+        return as_bytes(self.model.encode(piece))
+
+    def letters(self, stem: str) -> bytes:
+        """Ids of lower-case letters up to U+00FF, which form one pre-token, straight by the merges."""
+        if not stem.isascii():
+            stem = "".join(map(self.model.letters.__getitem__, stem.encode()))
+        return as_bytes([t.id for t in self.model.model.tokenize(stem)])
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > self.most:
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = np.array(self.model.ids(word), dtype="<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            stem = word.rstrip(TAIL)
+            if stem.isalpha() and max(stem) <= "\xff":
+                tail, stem = word[len(stem) :], stem.lower()
+                if tail not in self.tails:
+                    if len(self.tails) > 1_000:
+                        self.tails = {"": b""}
+                    self.tails[tail] = self.encoded(tail)
+                ids = self.get(stem) or self.letters(stem)
+                if tail:
+                    self[stem] = ids
+                    ids += self.tails[tail]
+            else:
+                ids = self.encoded(word) if word else b""
+        self[word] = ids
         return ids
 
-    def ids(self, text: str, end: int) -> np.ndarray:
-        """The ids of a whole text and the end id. White space always parts tokens, so words are encoded one by one."""
-        words = _ASCII_SPACE.split(text) if _CONTROL.search(text) else text.split()
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), np.uint32(end).tobytes()]), dtype="<u4")
+    def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+        """The ids of each whole text and the end id. White space always parts tokens, so words are encoded one by one."""
+        at = 0
+        while at < len(texts):
+            last, chars = at, 0
+            while last < len(texts) and (last == at or chars + len(texts[last]) <= SLICE):
+                chars, last = chars + len(texts[last]), last + 1
+            split = pc.ascii_split_whitespace(pa.array(texts[at:last], pa.large_string()))
+            found, offsets = split.values.dictionary_encode(), np.asarray(split.offsets)
+            known = [self[w] for w in found.dictionary.to_pylist()]
+            size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+            word = np.asarray(found.indices)
+            n, body = size[word], np.frombuffer(b"".join(known), dtype="<u4")
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = body[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[offsets]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield np.append(flat[a:b], np.array([end], dtype="<u4"))
+            at = last
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Levels:
@@ -89,6 +138,7 @@ class Levels:
         return None
 
     def rest(self) -> list[list]:
+        """The open windows, fullest first."""
         return [w for level in reversed(self.windows) for w in level]
 
 
@@ -96,36 +146,53 @@ def power_of_two(n: int) -> bool:
     return n & (n - 1) == 0
 
 
-def cut_rest(windows: list[list], capacity: int) -> Iterator[list]:
-    """Windows from the pieces of unfilled ones: each full, or of a power of two."""
-    stream = []
-    for window in windows:
-        size = sum(len(p[2]) for p in window)
-        if power_of_two(size):
+def cut(piece: list, size: int) -> tuple[list, list]:
+    """The first `size` ids of a piece, moved, and what is left of it."""
+    doc, start, ids, n, route = piece
+    return [doc, start, ids[:size], n, "gap"], [doc, start + size, ids[size:], n, route]
+
+
+def fill_gaps(windows: list[list], capacity: int) -> Iterator[list]:
+    """Full windows, and some of a power of two, from the windows still open (fullest first)."""
+    sized = [(w, sum(len(p[2]) for p in w)) for w in windows]
+    yield from (w for w, size in sized if power_of_two(size))
+    sized = [x for x in sized if not power_of_two(x[1])]
+    at, last = 0, len(sized) - 1
+    while at < last:
+        window, size = sized[at]
+        donor, left = sized[last]
+        while size < capacity and left:
+            piece = donor.pop()
+            take = min(capacity - size, len(piece[2]))
+            moved, kept = cut(piece, take)
+            window.append(moved)
+            if len(kept[2]):
+                donor.append(kept)
+            size, left = size + take, left - take
+        sized[at], sized[last] = (window, size), (donor, left)
+        at, last = at + (size == capacity), last - (not left)
+        if size == capacity:
             yield window
-        else:
-            stream += window
-    total = sum(len(p[2]) for p in stream)
-    targets = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if (total % capacity) >> b & 1]
-    pieces = iter(stream)
-    now = None
-    for room in targets:
-        window = []
-        while room:
-            if now is None:
-                now = next(pieces)
-            doc, start, ids, n = now
-            window.append([doc, start, ids[:room], n])
-            now = [doc, start + room, ids[room:], n] if len(ids) > room else None
-            room -= len(window[-1][2])
-        yield window
+    if at == last:
+        window, size = sized[at]
+        for part in (1 << b for b in range(capacity.bit_length(), -1, -1) if size >> b & 1):
+            made = []
+            while part:
+                piece = window.pop(0)
+                take = min(part, len(piece[2]))
+                first, kept = cut(piece, take)
+                made.append(first)
+                if len(kept[2]):
+                    window.insert(0, kept)
+                part -= take
+            yield made
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pack tokenized documents into sequences of at most `capacity` ids.
 
-    A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, and the ids
-    themselves with with_ids.
+    A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, route, and the
+    ids themselves with with_ids.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
@@ -139,8 +206,8 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         def close(window: list) -> None:
             nonlocal serial
             offset, length = 0, sum(len(p[2]) for p in window)
-            for doc, start, ids, n in window:
-                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), n, serial, offset, length)
+            for doc, start, ids, n, route in window:
+                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), n, serial, offset, length, route)
                 out.append((*row, ids.astype(np.int32)) if with_ids else row)
                 offset += len(ids)
             serial += 1
@@ -151,17 +218,17 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             return made
 
         for batch in batches:
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                ids = words.ids(text or "", end_id)
+            texts = [t or "" for t in batch["text"]]
+            for doc, ids in zip(batch["id"], words.ids(texts, end_id), strict=True):
                 n = len(ids)
                 whole = n - n % capacity
                 for start in range(0, whole, capacity):
-                    close([[doc, start, ids[start : start + capacity], n]])
-                if whole < n and (full := levels.place([doc, whole, ids[whole:], n], n - whole)):
+                    close([[doc, start, ids[start : start + capacity], n, "whole"]])
+                if whole < n and (full := levels.place([doc, whole, ids[whole:].copy(), n, "level"], n - whole)):
                     close(full)
-            if len(out) >= 5_000:
-                yield frame()
-        for window in cut_rest(levels.rest(), capacity):
+                if len(out) >= 5_000:
+                    yield frame()
+        for window in fill_gaps(levels.rest(), capacity):
             close(window)
         yield frame()
 
