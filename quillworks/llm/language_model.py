@@ -45,9 +45,9 @@ from quillworks.llm import common
 common.ship(__name__)
 
 ORDER = 3
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Characters of text to a part of the n-grams, and blocks to a task: both follow the corpus.
-PART_CHARS, TASK_BLOCKS = 4_000_000, 4
+PART_CHARS, TASK_BLOCKS = 3_000_000, 4
 DISCOUNT, TOP, HALF, LEAST_COUNT = 0.5, 0.5, 5.0, 1
 STRIDE = 64
 END, START = 0, 1
@@ -238,23 +238,25 @@ def ask(order: int, parts: int, bits: int):
     Single tokens and longer n-grams apart. An n-gram of held-out documents alone has count 0: its total is asked for.
     """
 
+    def questions(tool: zstandard.ZstdCompressor, block: int, body: bytes) -> pd.DataFrame:
+        _, held, texts = unpack(body)
+        (k1, own1), (k2, own2) = Grams(held, texts, order).asked()
+        del texts
+        single, longer = Deal(k1, parts, bits), Deal(k2, parts, bits)
+        some = [p for p in range(parts) if single.size(p) or longer.size(p)]
+        return pd.DataFrame({
+            "part": some,
+            "block": block,
+            "mark": [mark_of(single.keys(p), longer.keys(p)) for p in some],
+            "single": [single.question(tool, own1, p) for p in some],
+            "longer": [longer.question(tool, own2, p) for p in some],
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, body in zip(batch["block"], batch["body"], strict=True):
-                _, held, texts = unpack(body)
-                grams = Grams(held, texts, order)
-                del texts
-                (k1, own1), (k2, own2) = grams.asked()
-                single, longer = Deal(k1, parts, bits), Deal(k2, parts, bits)
-                some = [p for p in range(parts) if single.size(p) or longer.size(p)]
-                yield pd.DataFrame({
-                    "part": some,
-                    "block": block,
-                    "mark": [mark_of(single.keys(p), longer.keys(p)) for p in some],
-                    "single": [single.question(tool, own1, p) for p in some],
-                    "longer": [longer.question(tool, own2, p) for p in some],
-                })
+                yield questions(tool, block, body)
 
     return run
 
