@@ -41,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset: a temporary one in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     state = worker_state()
     if "checkpoint_root" not in state:
         state["checkpoint_root"] = tempfile.mkdtemp(prefix="spark-quillworks-")
@@ -58,6 +60,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder.startswith(checkpoint_root(spark).removeprefix("file://")) or folder.startswith("file:"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row, but for columns that cannot be hashed (maps, variants)."""
+    kinds = ((f.name, f.dataType.simpleString()) for f in docs.schema)
+    return F.xxhash64(*[docs[name] for name, kind in kinds if "map<" not in kind and "variant" not in kind])
+
+
 def words_col(text: Column) -> Column:
     """array<string>: the words `[^\\x20\\x09-\\x0D]+` of a text; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

@@ -2,17 +2,19 @@
 
 Each source takes a share of all words: its weight's part of the total, at most `most` times its own size, the excess
 reshared by weight. A source's schedule over training time t in [0, 1] is w(t) = target * (1 + slope * (2 t - 1));
-its integral over [0, 1] is the target. Documents of a source stand in a fixed hash order, repeated up to `most` times;
-the words before a document's start are its demand D, and the position is the t at which the integral of w reaches D:
-target * (t + slope * (t^2 - t)) = D. Sources with high weights come late (slope > 0), those with low ones early.
-Documents are range-sorted by position. DataFrame functions only.
+its integral over [0, 1] is the target. Documents of a source stand in a fixed hash order, lap after lap, up to `most`
+laps; the words of the source before a copy's start are its demand D (those of the laps before included), and the
+position is the t at which the integral of w reaches D: target * (t + slope * (t^2 - t)) = D. So every copy has its own
+position, a lap apart from the others. Sources with high weights come late (slope > 0), those with low ones early.
+Copies are range-sorted by position. DataFrame functions only.
 
 Words in front of a document are summed in two steps, so a source with a third of all rows is no single task's work:
 within (source, bucket of the hash), and over the buckets.
 
 Defined results: a null text has size 0, takes 0 and has no position; a null source is a source of its own, after all
-others; rows that share an id count each for itself; an empty table gives an empty result; extra columns are ignored by
-mix_documents and passed on by mixed_documents; if all sizes are 0 every target is 0.
+others; rows that share an id count each for itself (wholly equal rows are interchangeable); rows without an id are
+ordered by their text; an empty table gives an empty result; extra columns are ignored by mix_documents and passed on by
+mixed_documents; if all sizes are 0 every target is 0.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     everything = Window.partitionBy()
     rows = rows.withColumns({
         "bound_before": F.coalesce(F.sum("bound").over(before), F.lit(0)),
-        "weight_left": F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "weight_left": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
         "total": F.sum("source_size").over(everything),
     })
     per_weight = (F.col("total") - F.col("bound_before")) / F.col("weight_left")
@@ -58,9 +60,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """mix_id, mix_source, size (words), mix_key (hash order of the ids)."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.size(common.words_col(F.col(text_col))).cast("long").alias("size"), key.alias("mix_key"))
+    """mix_id, mix_source, size (words), mix_key (hash order of the ids), mix_hash (of the whole row but its maps)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).cast("binary"))
+    size = F.size(F.array_remove(F.split(text, common.SPACE_CLASS), "")).cast("long")
+    names = F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source")
+    return docs.select(*names, size.alias("size"), key.alias("mix_key"), common.row_hash(docs).alias("mix_hash"))
 
 
 def position_at(demand: Column, target: Column, slope: Column) -> Column:
@@ -71,7 +76,8 @@ def position_at(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
-    """Adds source_size, target, mix_start (words of the source before the row), taken, position to sized() rows."""
+    """Adds to sized() rows: source_size, target, mix_start (words of the source before the row), taken, and mix_laps,
+    an array of {lap_taken, position} for each copy."""
     same = lambda a, b: a.eqNullSafe(b)
     rows = rows.withColumn("mix_bucket", (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     targets = source_targets(rows, weights, most)
@@ -81,16 +87,18 @@ def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[f
     t = targets.withColumnRenamed("mix_source", "target_source")
     sums = sums.join(t, same(sums.mix_source, t.target_source)).select(F.col("mix_source").alias("s_source"), F.col("mix_bucket").alias("s_bucket"), "bucket_start", "source_size", "weight_no", "target")
     rows = rows.join(sums, same(rows.mix_source, sums.s_source) & (rows.mix_bucket == sums.s_bucket)).drop("s_source", "s_bucket")
-    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "mix_id", "size", "mix_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mix_start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     goal = F.floor(F.col("target") + 0.5)
-    taken = F.lit(0).cast("long")
-    for lap in range(most):
-        left = goal - lap * F.col("source_size") - F.col("mix_start")
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), left))
     slope = F.element_at(F.array(*map(F.lit, slopes)), F.col("weight_no") + 1)
-    rows = rows.withColumns({"taken": taken.cast("long"), "slope": slope})
-    return rows.withColumn("position", F.when(F.col("taken") > 0, position_at(F.col("mix_start"), F.col("target"), F.col("slope"))))
+    rows = rows.withColumn("slope", slope)
+    laps = []
+    for lap in range(most):
+        demand = F.col("mix_start") + lap * F.col("source_size")
+        lap_taken = F.greatest(F.lit(0), F.least(F.col("size"), goal - demand)).cast("long")
+        laps.append(F.struct(lap_taken.alias("lap_taken"), position_at(demand, F.col("target"), F.col("slope")).alias("position")))
+    rows = rows.withColumn("mix_laps", F.filter(F.array(*laps), lambda x: x["lap_taken"] > 0))
+    return rows.withColumn("taken", F.aggregate("mix_laps", F.lit(0).cast("long"), lambda n, x: n + x["lap_taken"]))
 
 
 def range_sorted(rows: DataFrame) -> DataFrame:
@@ -102,32 +110,33 @@ def range_sorted(rows: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = MOST) -> DataFrame:
-    """One row per document, in training order: id, size, source_size, target, taken, position.
+    """One row per document, in order of its first copy: id, size, source_size, target, taken, copies, and the positions
+    of the first and the last copy.
 
     `taken` sums to the rounded target in every source; the last copy of a source may be taken in part.
     """
     sizes = common.materialize(sized(docs, id_col, text_col, source_col), "sizes")
     rows = planned(sizes, weights, slopes, most)
-    return range_sorted(rows).select(F.col("mix_id").alias(id_col), "size", "source_size", "target", "taken", "position")
+    rows = rows.withColumns({"copies": F.size("mix_laps").cast("long"), "position": F.get("mix_laps", 0)["position"]})
+    rows = rows.withColumn("last_position", F.get("mix_laps", (F.col("copies") - 1).cast("int"))["position"])
+    return range_sorted(rows).select(F.col("mix_id").alias(id_col), "size", "source_size", "target", "taken", "copies", "position", "last_position")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = MOST) -> DataFrame:
-    """The documents, with all their columns, as the mix takes them: left out, once, or repeated.
+    """The documents, with all their columns, as the mix takes them: left out, once, or repeated, each copy at its position.
 
     A document is taken whole: a source's last copy counts if half of it or more lies within the target.
     The plan is made from ids and sizes alone and joined to the documents; the texts move for that join and for the sort.
     """
-    names = docs.columns
-    whole = docs.select(F.struct(*[docs[c] for c in names]).alias("mix_row"), F.col(id_col).alias("row_id"), F.col(source_col).alias("row_source"))
     sizes = common.materialize(sized(docs, id_col, text_col, source_col), "sizes")
-    plan = planned(sizes, weights, slopes, most)
-    copies = (F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = plan.where("taken > 0").withColumn("copies", copies).where("copies > 0")
-    # rows that share an id and source share the plan of one of them
-    plan = plan.groupBy("mix_id", "mix_source").agg(F.max("copies").alias("copies"), F.min("position").alias("position"), F.min("mix_key").alias("mix_key"))
-    joined = whole.join(plan, whole.row_id.eqNullSafe(plan.mix_id) & whole.row_source.eqNullSafe(plan.mix_source))
-    laps = joined.select("mix_row", "position", "mix_key", F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy"))
-    return range_sorted(laps).select("mix_row.*")
+    plan = planned(sizes, weights, slopes, most).select("mix_id", "mix_hash", "mix_key", "size", F.explode("mix_laps").alias("lap"))
+    plan = plan.where(2 * F.col("lap.lap_taken") >= F.col("size")).select("mix_id", "mix_hash", "mix_key", "lap.position")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), F.col(id_col).alias("row_id"), common.row_hash(docs).alias("row_hash"))
+    # of wholly equal rows one stands for all: the plan has a row for each copy of each of them
+    turn = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("row_hash"))
+    whole = whole.withColumn("mix_turn", turn).where("mix_turn = 1")
+    copies = whole.join(plan, whole.row_id.eqNullSafe(plan.mix_id) & (whole.row_hash == plan.mix_hash))
+    return range_sorted(copies.select("mix_row", "position", "mix_key")).select("mix_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +146,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sql() -> str:
     slopes = " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(SLOPES))
     weights = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
-    laps = " + ".join(f"greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - {lap} * source_size - start))" for lap in range(MOST))
+    lap = lambda k: f"greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - {k} * source_size - start))"
+    laps = " + ".join(map(lap, range(MOST)))
+    copies = " + ".join(f"CAST({lap(k)} > 0 AS INT)" for k in range(MOST))
+    at = lambda u: f"CASE WHEN slope = 0 THEN {u} ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * ({u})) - (1 - slope)) / (2 * slope) END"
     return f"""
 WITH sized AS (
   SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
@@ -159,10 +171,9 @@ WITH sized AS (
     CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), took AS (
-  SELECT *, CAST({laps} AS BIGINT) AS taken, CAST(CASE no {slopes} END AS DOUBLE) AS slope FROM started
+  SELECT *, CAST({laps} AS BIGINT) AS taken, CAST({copies} AS BIGINT) AS copies, CAST(CASE no {slopes} END AS DOUBLE) AS slope FROM started
 )
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN start / target
-    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * (start / target)) - (1 - slope)) / (2 * slope) END END AS position
+SELECT doc_id, size, source_size, target, taken, copies, CASE WHEN taken > 0 THEN {at("start / target")} END AS position,
+  CASE WHEN taken > 0 THEN {at("(start + (copies - 1) * source_size) / target")} END AS last_position
 FROM took
 """
