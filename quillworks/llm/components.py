@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillworks.llm.common import materialize
+from quillworks.llm.common import discard, materialize
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "links")
+        before, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(before)
         last, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == last or mark.n == 0:
             break

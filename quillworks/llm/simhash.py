@@ -36,6 +36,8 @@ SHINGLE = 3
 #: With more distinct fingerprints than this a third block makes anchors finer; the links are the same.
 TWO_BLOCKS_MOST = 20_000_000
 PART = 1 << 18
+#: Distinct fingerprints to a task that replicates them: each makes about 60 rows.
+TASK_PRINTS = 20_000
 
 
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -157,15 +159,17 @@ def links(distinct: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame
 
 
 def fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, text_hash, fp: written once, for fingerprints are the costly part."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), fingerprint_column(F.col(text_col)).alias("fp"))
+    """doc, row_hash, fp: written once, for fingerprints are the costly part."""
+    rows = docs.select(F.col(id_col).alias("doc"), common.row_hash(docs).alias("row_hash"), fingerprint_column(F.col(text_col)).alias("fp"))
     return common.materialize(rows, "fingerprints")
 
 
 def classes(fps: DataFrame, threshold: int = 2, two_blocks_most: int = TWO_BLOCKS_MOST) -> DataFrame:
     """fp, root: each distinct fingerprint and the smallest one it is linked with, in one or more steps."""
     distinct = common.materialize(fps.select("fp").distinct(), "distinct")
-    found = components(links(distinct, threshold, 2 if distinct.count() <= two_blocks_most else 3))
+    n = distinct.count()
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_PRINTS)
+    found = components(links(distinct.repartition(tasks), threshold, 2 if n <= two_blocks_most else 3))
     return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -188,16 +192,20 @@ def hex_column(fp: Column) -> Column:
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
-    """The documents, with all their columns, that come first (smallest id, then text hash) in their component."""
+    """The documents, with all their columns, that come first (smallest id, then row hash) in their component.
+
+    The texts are shuffled once: the last step deals by the same keys as the join.
+    """
     fps = fingerprinted(docs, id_col, text_col)
     root = classes(fps, threshold)
-    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash")).alias("least"))
-    kept = root.join(first, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.doc", "least.text_hash")
-    kept = common.materialize(kept, "kept").withColumnRenamed("text_hash", "kept_hash")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("near_row"), F.col(id_col).alias("near_id"), F.xxhash64(F.col(text_col)).alias("near_hash"))
-    rows = rows.join(kept, rows.near_id.eqNullSafe(kept.doc) & (rows.near_hash == kept.kept_hash))
-    # identical rows of one id: the first stays
-    turn = F.row_number().over(Window.partitionBy("near_id", "near_hash").orderBy("near_hash"))
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row_hash")).alias("least"))
+    kept = root.join(first, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kept = common.materialize(kept.select(F.col("least.row_hash").alias("near_hash"), name(F.col("least.doc")).alias("near_id")), "kept")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("near_row")
+    rows = docs.select(whole, common.row_hash(docs).alias("near_hash"), name(F.col(id_col)).alias("near_id")).join(kept, ["near_hash", "near_id"])
+    # wholly equal rows: one stays
+    turn = F.row_number().over(Window.partitionBy("near_hash", "near_id").orderBy("near_hash"))
     return rows.withColumn("near_turn", turn).where("near_turn = 1").select("near_row.*")
 
 

@@ -87,11 +87,13 @@ def test_rules_ratio_by_hand(spark):
     docs = spark.createDataFrame([(1, "good words here"), (2, "bad words there")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     found = {r.bucket: r for r in quality_rules.log_ratios(docs, labels, buckets=1 << 16).collect()}
-    h = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:15], 16)
-    r = found[h("words") % (1 << 16)]
+    r = found[zlib.crc32(b"words") % (1 << 16)]
     assert (r.target_n, r.raw_n) == (1, 2)
     p = quality_rules.PRIOR
     assert r.ratio == round(1e6 * np.log((1 + p) / (2 * 5 / 10 + p)))
+    pair = found[(zlib.crc32(b"bad") * quality_rules.PRIME + zlib.crc32(b"words")) % (1 << 16)]
+    assert (pair.target_n, pair.raw_n) == (0, 1)
+    assert sum(r.raw_n for r in found.values()) == 10
 
 
 def test_packing(docs, empty):
@@ -116,9 +118,32 @@ def test_packing(docs, empty):
                 assert p.offset == at
                 at += p.length
             assert at == own[0].sequence_length and (at == 2048 or packing.power_of_two(at))
+            assert own[0].route != "whole" or len(own) == 1
+        # the sum-of-squares choice places nearly all that does not fill a window by itself
+        placed = Counter()
+        for p in pieces:
+            placed[p.route] += p.length
+        assert placed["level"] > 0.6 * (placed["level"] + placed["gap"])
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_gaps_of_open_windows():
+    rng = random.Random(5)
+    for _ in range(200):
+        levels, total, serial = packing.Levels(64), Counter(), 0
+        for doc in range(rng.randint(0, 40)):
+            n = rng.randint(1, 63)
+            full = levels.place([doc, 0, np.arange(serial, serial + n), n, "level"], n)
+            if full:
+                total.update(x for p in full for x in p[2].tolist())
+            serial += n
+        for window in packing.fill_gaps(levels.rest(), 64):
+            size = sum(len(p[2]) for p in window)
+            assert size == 64 or packing.power_of_two(size)
+            total.update(x for p in window for x in p[2].tolist())
+        assert total == Counter(range(serial))
+
+
 def test_sum_of_squares_choice():
     rng = random.Random(1)
     levels, counts = packing.Levels(16), Counter()
@@ -132,7 +157,7 @@ def test_sum_of_squares_choice():
             cost[h] = sum(n * n for k, n in after.items() if 0 < k < 16)
         at = levels.choose(size)
         assert cost[at] == min(cost.values()) and at == max(h for h in cost if cost[h] == min(cost.values()))
-        levels.place([0, 0, np.zeros(size), size], size)
+        levels.place([0, 0, np.zeros(size), size, "level"], size)
         counts[at] -= at > 0
         counts[at + size] += at + size < 16
         assert [levels.counts[k] for k in range(1, 16)] == [counts[k] for k in range(1, 16)]
@@ -300,9 +325,11 @@ def test_word_ids_are_the_tokenizers():
     path = tokens.tokenizer_path("word_bpe_49k.json")
     tokenizer, words, rng = Tokenizer.from_file(path), packing.WordIds(path, most=50), random.Random(4)
     marks = ["a", "Bc", " ", "\n", "'s", "'", ".", ",!", "<|endoftext|>", "É", "é", "İ", "ß", "　", "1", "\x1c", "\x85", "x"]
-    for _ in range(4_000):
-        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 12)))
-        assert words.ids(text, 1).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    marks += ["###", "%%", "&", "$", "word", "größe ", "ñandú, "]
+    for _ in range(400):
+        made = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 30))]
+        for text, ids in zip(made, words.ids(made, 1), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_mixing(docs, empty):
@@ -332,6 +359,33 @@ def test_mixing(docs, empty):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix_documents(empty).count() == 0
+    # every copy of every row, and no more
+    want, have = Counter(), Counter(str(r.doc_id) for r in mixing.mixed_documents(docs).collect())
+    for r in got:
+        want[str(r.doc_id)] += int(r.taken / r.size + 0.5) if r.size else 0
+    assert {i: n for i, n in want.items() if n} == dict(have)
+
+
+def test_copies_follow_the_schedule(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(1, 30), "abcd"[k]) for k, n in enumerate((60, 15, 12, 40)) for i in range(100 * k, 100 * k + n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.planned(mixing.sized(docs, "doc_id", "text", "source")).collect()
+    copies = [(r.mix_source, x.position, x.lap_taken) for r in plan for x in r.mix_laps]
+    assert {r.mix_source for r in plan if len(r.mix_laps) > 1} >= {"b", "c"}
+    for k, s in enumerate("abcd"):
+        target, slope = next((r.target, mixing.SLOPES[r.weight_no]) for r in plan if r.mix_source == s)
+        for t in [x / 10 for x in range(1, 11)]:
+            taken = sum(n for x, at, n in copies if x == s and at <= t)
+            assert abs(taken - target * (t + slope * (t * t - t))) <= 31
+    order = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    assert all(a != b for a, b in zip(order, order[1:], strict=False)) and max(Counter(order).values()) == 3
+
+
+def test_wholly_equal_rows_keep_their_copies(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 2), (None, "c d", "s", 3), (None, "e f", "s", 3)], "doc_id long, text string, source string, x int")
+    out = Counter((r.doc_id, r.text, r.x) for r in mixing.mixed_documents(docs).collect())
+    assert out == {(1, "a b", 1): 2, (1, "a b", 2): 1, (None, "c d", 3): 1, (None, "e f", 3): 1}
 
 
 def test_html(spark):
@@ -436,3 +490,20 @@ def test_no_query_set_is_cut(spark):
     n = con.execute(f"select count(*) from '{SF}/documents.parquet'").fetchall()[0][0]
     for name in ("op3_lm_scores", "op5_simhash_dedup", "op6_token_counts", "op10_quality_classifier"):
         assert queries.QUERIES[name](spark, SF).count() == n
+
+
+def test_three_blocks_link_the_same(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = [x for b in base for x in (b, b ^ 1 << rng.randrange(64), b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))] + [0]
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    table = common.materialize(spark.createDataFrame(signed, "fp long"), "fps")
+    two, three = (sorted(map(tuple, simhash.classes(table, 2, most).collect())) for most in (10**6, 0))
+    assert two == three
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 1), (1, "a b c d e", 1), (1, "a b c d e", 2), (None, None, 3), (None, "", 4), (7, "other words in this text", 5)], "doc_id long, text string, x int")
+    got = simhash.keep_documents(docs).collect()
+    assert len(got) == 3 and {r.doc_id for r in got} == {1, None, 7}
+    assert sorted(map(str, got)) == sorted(map(str, simhash.keep_documents(docs.repartition(3)).collect()))
