@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillworks.functions.textops import strip_col, words_col
 from quillworks.operators.blueprint import question_id_col
 
+#: Executors need no copy of this module: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CORRECT, WRONG, STEM_WORDS, ANSWER_WORDS = 3, 8, 8, 5
+# Answers that say nothing.
 GENERIC = r"^((correct|incorrect|wrong)\s+option\s+\d+|option\s+\d+)$"
-REPLY = "struct<questions:array<struct<sectionId:string,question:string,correct_answers:array<string>,wrong_answers:array<string>,subjects:array<string>>>>"
+REPLY = "struct<questions:array<struct<sectionId:string,question:string,correct_answers:array<variant>,wrong_answers:array<variant>,subjects:array<string>>>>"
 SLOT_TRIES = 6
 
 
@@ -31,8 +38,10 @@ def pick_reply(replies: DataFrame, priority: DataFrame, key: str = "request_id")
 
 
 def texts_col(answers: Column, most: int) -> Column:
-    """Answers given as strings or as {"text": ...}: trimmed, empties dropped, the first `most`."""
-    own = F.transform(F.coalesce(answers, F.array().cast("array<string>")), lambda a: strip_col(F.coalesce(F.get_json_object(a, "$.text"), F.when(a.startswith("{"), F.lit("")).otherwise(a), F.lit(""))))
+    """Answers as JSON values, strings or objects with a text: trimmed, empties dropped, the first `most`."""
+    kind = lambda a: F.schema_of_variant(a)
+    text = lambda a: F.when(kind(a) == "STRING", F.try_variant_get(a, "$", "string")).when(kind(a).startswith("OBJECT"), F.try_variant_get(a, "$.text", "string"))
+    own = F.transform(F.coalesce(answers, F.array().cast("array<variant>")), lambda a: strip_col(F.coalesce(text(a), F.lit(""))))
     return F.slice(F.filter(own, lambda a: a != ""), 1, most)
 
 

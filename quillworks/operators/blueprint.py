@@ -13,6 +13,7 @@ from quillworks.functions.textops import one_line_col, round_half_up, strip_col
 QUESTION_CAP, LEAST_CAP, WORDS_PER_QUESTION, CHARS_PER_QUESTION, API_CHARS = 80, 20, 220, 900, 500
 MOST_STEPS = 5_000
 ID_PATTERN = r"^([A-Za-z][A-Za-z0-9]*\.)?\d+\.\d+$"
+# The strings that a blueprint must have; the sentences of validate_blueprint and validate_headers.
 REQUIRED_STRINGS = ("chapterId", "bookId", "chapterTitle", "sourceRelativePath", "generatedAt", "modelUsed", "modelVersion")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillworks.functions.textops import one_line_col, round_half_even
-from quillworks.operators.lines import CHAPTER_LINE, clean_text
+from quillworks.operators.lines import CHAPTER_LINE, clean_own, own_documents
 from quillworks.operators.sections import detect_sections
 
 CHAPTER_PREFIX = r"(?iU)^Chapter\s+\d+[\s:–\-]+"
@@ -22,12 +22,14 @@ def chapter_number_col(name: Column, override: Column | None = None) -> Column:
 
 
 def pick_title(sections: DataFrame) -> DataFrame:
-    """doc_id, title, body_from: the first chapter line among the first four headings, else the first heading."""
+    """Adds doc_title and body_from: the first chapter line among the first four headings, else the first heading."""
+    doc = Window.partitionBy("doc_id")
     marked = F.when(F.col("title").rlike(CHAPTER_LINE) & (F.col("seq") < TITLE_WINDOW), F.col("seq"))
-    picked = sections.groupBy("doc_id").agg(F.min(marked).alias("marked"), F.min_by("title", F.coalesce(marked, F.col("seq") + 1_000_000)).alias("raw"))
+    rows = sections.withColumn("marked", marked)
+    rows = rows.withColumns({"raw": F.min_by("title", F.coalesce("marked", F.col("seq") + 1_000_000)).over(doc), "marked": F.min("marked").over(doc)})
     bare = one_line_col(F.regexp_replace("raw", CHAPTER_PREFIX, ""))
     title = F.when(F.col("marked").isNull(), one_line_col(F.col("raw"))).when(bare == "", F.col("raw")).otherwise(bare)
-    return picked.select("doc_id", title.alias("doc_title"), (F.coalesce("marked", F.lit(0)) + 1).alias("body_from"))
+    return rows.withColumns({"doc_title": title, "body_from": F.coalesce("marked", F.lit(0)) + 1}).drop("marked", "raw")
 
 
 def number_and_weigh(sections: DataFrame) -> DataFrame:
@@ -45,13 +47,20 @@ def nest_document(sections: DataFrame) -> DataFrame:
     return made.withColumn("sections", F.transform("sections", lambda s: s.dropFields("no")))
 
 
-def validate_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, warning: no section, a single one, or sections of under 200 characters."""
+def warnings_col() -> Column:
+    """Warnings about the nested document's `sections`: none, a single one, or some of under 200 characters.
+
+    Fixed values: the sentences.
+    """
     n = F.size("sections")
     short = F.transform(F.filter("sections", lambda s: F.length(s["content"]) < SHORT_SECTION), lambda s: F.format_string("WARNING: Section '%s – %s' is unusually short (%d chars).", s["id"], s["title"], F.length(s["content"])))
     none, one = F.array(F.lit("WARNING: No headings were detected in the document.")), F.array(F.lit("WARNING: Only 1 section detected. Expected at least 2."))
-    warnings = F.when(F.coalesce(n, F.lit(0)) <= 0, none).when(n == 1, F.concat(one, short)).otherwise(short)
-    return docs.select("doc_id", F.explode(warnings).alias("warning"))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, none).when(n == 1, F.concat(one, short)).otherwise(short)
+
+
+def validate_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, warning."""
+    return docs.select("doc_id", F.explode(warnings_col()).alias("warning"))
 
 
 def shape_problems(raw: DataFrame, body_col: str = "body") -> DataFrame:
@@ -62,10 +71,27 @@ def shape_problems(raw: DataFrame, body_col: str = "body") -> DataFrame:
 
 
 def process_documents(docs: DataFrame) -> DataFrame:
-    """Raw texts (doc_id, source_name, doc_type, chapter_override, prefix, text) to sections with ids and weights."""
-    sections = detect_sections(clean_text(docs.select("doc_id", "source_name", "doc_type", "text")))
-    titles = pick_title(sections).withColumnRenamed("doc_id", "t_doc")
+    """Raw texts (doc_id, source_name, doc_type, chapter_override, prefix, text) to sections with ids and weights.
+
+    One exchange deals the documents; cleaning, sections, title and weights are local to them. Null and repeated doc_ids
+    are documents of their own; a document whose only section gives the title has no row.
+    """
     chapter = chapter_number_col(F.col("source_name"), F.col("chapter_override"))
-    names = docs.select(F.col("doc_id").alias("n_doc"), chapter.alias("chapter"), F.coalesce(F.nullif(F.trim("prefix"), F.lit("")), chapter.cast("string")).alias("id_prefix"))
-    body = sections.join(titles, F.col("doc_id") == F.col("t_doc")).where("seq >= body_from").join(names, F.col("doc_id") == F.col("n_doc"))
-    return number_and_weigh(body.drop("t_doc", "n_doc", "body_from"))
+    prefix = F.coalesce(F.nullif(F.trim("prefix"), F.lit("")), chapter.cast("string"))
+    named = docs.select("doc_id", "source_name", "doc_type", chapter.alias("chapter"), prefix.alias("id_prefix"), "text")
+    sections = pick_title(detect_sections(clean_own(own_documents(named))))
+    rows = number_and_weigh(sections.where("seq >= body_from").drop("body_from", "source_name", "doc_type"))
+    return rows.withColumn("doc_id", F.col("own_id")).drop("own_id")
+
+
+def documents_with_status(docs: DataFrame) -> DataFrame:
+    """Raw texts to nested documents, each with warnings and a status: done, empty (no text) or untitled (no section left).
+
+    One row per input row: a document that yields nothing keeps its row, so one failure stops nothing.
+    """
+    keyed = docs.withColumn("given_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+    nested = nest_document(process_documents(keyed.drop("given_id"))).withColumn("warnings", warnings_col())
+    rows = keyed.select(F.col("doc_id").alias("key"), "given_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("no_text"))
+    joined = rows.join(nested, F.col("key") == F.col("doc_id"), "left")
+    status = F.when(F.col("sections").isNotNull(), "done").when(F.col("no_text"), "empty").otherwise("untitled")
+    return joined.withColumn("status", status).withColumn("doc_id", F.col("given_id")).drop("key", "given_id", "no_text")

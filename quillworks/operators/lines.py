@@ -1,19 +1,25 @@
 """Cleaning extracted text: captions, page numbers, running headers, drawings, tables, wrapped lines.
 
-Lines are rows (doc_id, line_no, line). After one exchange by doc_id every window here is local.
+Lines are rows (doc_id, line_no, line). After one exchange by doc_id every window here is local. The line rules expect
+one row per doc_id; clean_text numbers the rows itself, so that null and repeated ids are documents of their own.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillworks.functions.textops import one_line_col, split_lines_col, strip_col
 
+#: Executors need no copy of this module: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The patterns that decide what is an artifact. They run over line ends, so blank lines before go too.
 CID = r"\(cid:\d+\)"
 FIGURE = r"(?imdU)^\s*Figure\s+[\d\w\-]+[.:].*$"
@@ -121,14 +127,17 @@ def rewrite_tables(lines: DataFrame) -> DataFrame:
     """Tables of three rows or more become text lines, an empty line after each; other lines stay. line_no is renewed."""
     marked = mark_tables(lines)
     rest = [c for c in lines.columns if c not in ("doc_id", "line_no", "line")]
-    rows = marked.where(F.col("block").isNotNull() & F.col("is_row"))
-    entry = F.struct("line_no", "line", "cells")
-    tables = rows.groupBy("doc_id", "block", *rest).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    text = F.coalesce(table_text_col(F.col("rows.cells")), F.col("rows.line"))
-    made = tables.select("doc_id", *rest, F.get(F.col("rows.line_no"), 0).alias("at"), F.posexplode(F.concat(text, F.array(F.lit("")))).alias("sub", "line"))
-    kept = marked.where(F.col("block").isNull() & ~F.col("after")).select("doc_id", *rest, F.col("line_no").alias("at"), F.lit(0).alias("sub"), "line")
+    row = F.when(F.col("block").isNotNull() & F.col("is_row"), F.struct("line_no", "line", "cells"))
+    rows = F.array_sort(F.collect_list(row).over(Window.partitionBy("doc_id", "block")))
+    # the first row of a table brings all its lines, the others none
+    marked = marked.withColumn("rows", F.when(F.col("block").isNotNull() & F.col("is_row"), rows))
+    marked = marked.withColumn("rows", F.when(F.get(F.col("rows.line_no"), 0) == F.col("line_no"), F.col("rows")))
+    text = F.concat(F.coalesce(table_text_col(F.col("rows.cells")), F.col("rows.line")), F.array(F.lit("")))
+    outside = F.when(F.col("block").isNull() & ~F.col("after"), F.array("line"))
+    made = F.when(F.col("rows").isNotNull(), text).otherwise(outside)
+    out = marked.select("doc_id", *rest, F.col("line_no").alias("at"), F.posexplode(made).alias("sub", "line"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "sub")) - 1
-    return kept.unionByName(made).withColumn("line_no", number).select(*lines.columns)
+    return out.withColumn("line_no", number).select(*lines.columns)
 
 
 _BULLET, _CELLS, _CHAPTER = re.compile(BULLET.replace("(?U)", "")), re.compile(CELL_END), re.compile(CHAPTER_LINE.replace("(?iU)", "(?i)"))
@@ -168,15 +177,33 @@ def joined_lines_col(lines: Column) -> Column:
     return join(lines)
 
 
-def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, the other columns, and the cleaned text; a document left without lines has the empty text."""
-    rest = [c for c in df.columns if c not in ("doc_id", text_col)]
-    lines = explode_lines(strip_artifacts(df, text_col), text_col).repartition("doc_id")
+def own_documents(df: DataFrame) -> DataFrame:
+    """doc_id becomes a serial number of the row, the given id goes on as own_id; rows are dealt by the serial.
+
+    The only exchange of the whole job: whatever follows groups and orders by doc_id.
+    """
+    numbered = df.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id())
+    return numbered.repartition("doc_id")
+
+
+def clean_own(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """own_documents() rows with the cleaned text. An empty line put before each text keeps documents without lines."""
+    rest = [c for c in docs.columns if c != text_col]
+    stripped = strip_artifacts(docs, text_col)
+    lines = stripped.select(*rest, F.posexplode(F.concat(F.array(F.lit("")), split_lines_col(F.col(text_col)))).alias("line_no", "line"))
     lines = rewrite_tables(drop_image_lines(drop_repeated_lines(lines)))
-    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    texts = lines.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
     joined = F.array_join(joined_lines_col(F.col("lines.line")), "\n")
-    texts = texts.select(F.col("doc_id").alias("of"), strip_col(F.regexp_replace(joined, "\n{3,}", "\n\n")).alias(text_col))
-    return df.drop(text_col).join(texts, df.doc_id == F.col("of"), "left").select("doc_id", *rest, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    return texts.select(*rest, strip_col(F.regexp_replace(joined, "\n{3,}", "\n\n")).alias(text_col))
+
+
+def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, the other columns, and the cleaned text; a document left without lines, or a null text, has the empty text.
+
+    Rows with a null or repeated doc_id are cleaned each for itself.
+    """
+    rest = [c for c in df.columns if c not in ("doc_id", text_col)]
+    return clean_own(own_documents(df), text_col).select(F.col("own_id").alias("doc_id"), *rest, text_col)
 
 
 def repeated_line_report(lines: DataFrame, top: int = 20, min_count: int = HEADER_COUNT, max_len: int = HEADER_LENGTH) -> DataFrame:

@@ -21,10 +21,23 @@ def chars_col() -> Column:
     return F.coalesce(F.length("content"), F.lit(0)).cast("long")
 
 
+def of_document(sections: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column that says the same in all sections of a document (null if there is no such column)."""
+    return F.max(name) if name in sections.columns else F.lit(None).cast(kind)
+
+
 def document_summary(sections: DataFrame) -> DataFrame:
-    """doc_id, section_count, total_chars, synopsis."""
-    totals = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"), F.sum(chars_col()).alias("total_chars"))
-    return totals.withColumn("synopsis", F.format_string("Chapter %s contains %d sections with %d characters of extracted content.", F.col("doc_id").cast("string"), "section_count", "total_chars"))
+    """doc_id, chapter, doc_title, section_count, total_chars, synopsis. A document whose row has no `no` has no section."""
+    has = F.col("no").isNotNull()
+    totals = sections.groupBy("doc_id").agg(
+        of_document(sections, "chapter").cast("string").alias("chapter"),
+        of_document(sections, "doc_title").alias("doc_title"),
+        F.count(F.when(has, 1)).alias("section_count"),
+        F.coalesce(F.sum(F.when(has, chars_col())), F.lit(0)).alias("total_chars"),
+    )
+    # The sentence.
+    chapter = F.coalesce("chapter", F.lit("?"))
+    return totals.withColumn("synopsis", F.format_string("Chapter %s contains %d sections with %d characters of extracted content.", chapter, "section_count", "total_chars"))
 
 
 def top_sections(sections: DataFrame, k: int = TOP_SECTIONS) -> DataFrame:
@@ -34,9 +47,9 @@ def top_sections(sections: DataFrame, k: int = TOP_SECTIONS) -> DataFrame:
 
 
 def document_metrics(sections: DataFrame) -> DataFrame:
-    """doc_id, n_sections, total_chars, mean_chars, questions (one for every 900 characters of a section)."""
+    """doc_id, n_sections, total_chars, mean_chars (nearest whole number), questions (one for every 900 characters of a section)."""
     asked = F.ceil(chars_col() / CHARS_PER_QUESTION)
-    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(chars_col()).alias("total_chars"), F.sum(asked).alias("questions")).withColumn("mean_chars", F.col("total_chars") / F.col("n_sections"))
+    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(chars_col()).alias("total_chars"), F.sum(asked).alias("questions")).withColumn("mean_chars", nearest_whole(F.col("total_chars") / F.col("n_sections")))
 
 
 def token_estimate(metrics: DataFrame) -> DataFrame:
@@ -49,12 +62,20 @@ def token_estimate(metrics: DataFrame) -> DataFrame:
     return out.withColumns({"tokens_in": nearest_whole(F.col("chars_in") / TOKEN_CHARS), "tokens_out": nearest_whole(F.col("chars_out") / TOKEN_CHARS)})
 
 
-def cost_estimate(estimates: DataFrame, prices: DataFrame) -> DataFrame:
-    """doc_id, price_list, cost_all, cost_mandatory (three places). prices: name, input_per_1k, output_per_1k."""
+def token_totals(estimates: DataFrame) -> DataFrame:
+    """doc_id, scope (all, mandatory), tokens_in, tokens_out, tokens_total: of the outputs' characters together."""
+    scopes = F.when(F.col("mandatory"), F.array(F.lit("all"), F.lit("mandatory"))).otherwise(F.array(F.lit("all")))
+    sums = estimates.withColumn("scope", F.explode(scopes)).groupBy("doc_id", "scope").agg(F.sum("chars_in").alias("i"), F.sum("chars_out").alias("o"))
+    tokens = lambda c: nearest_whole(c / TOKEN_CHARS)
+    return sums.select("doc_id", "scope", tokens(F.col("i")).alias("tokens_in"), tokens(F.col("o")).alias("tokens_out"), tokens(F.col("i") + F.col("o")).alias("tokens_total"))
+
+
+def cost_estimate(estimates: DataFrame, prices: list[tuple[str, float, float]] = PRICES) -> DataFrame:
+    """doc_id, price_list, cost_all, cost_mandatory (three places). prices: name and price of 1,000 tokens in and out."""
     part = lambda c, mandatory: F.sum(F.when(F.col("mandatory"), F.col(c)).otherwise(F.lit(0.0)) if mandatory else F.col(c))
     sums = estimates.groupBy("doc_id").agg(part("chars_in", False).alias("i"), part("chars_out", False).alias("o"), part("chars_in", True).alias("mi"), part("chars_out", True).alias("mo"))
     cost = lambda i, o: round_half_up(F.col(i) / TOKEN_CHARS / 1000 * F.col("p.input_per_1k") + F.col(o) / TOKEN_CHARS / 1000 * F.col("p.output_per_1k"), 3)
-    lists = [F.struct(F.lit(r.name).alias("name"), F.lit(float(r.input_per_1k)).alias("input_per_1k"), F.lit(float(r.output_per_1k)).alias("output_per_1k")) for r in prices.collect()]
+    lists = [F.struct(F.lit(name).alias("name"), F.lit(float(i)).alias("input_per_1k"), F.lit(float(o)).alias("output_per_1k")) for name, i, o in prices]
     return sums.withColumn("p", F.explode(F.array(*lists))).select("doc_id", F.col("p.name").alias("price_list"), cost("i", "o").alias("cost_all"), cost("mi", "mo").alias("cost_mandatory"))
 
 
@@ -68,7 +89,7 @@ def summary_budget(sections: DataFrame) -> DataFrame:
 
 def trim_to_words(texts: DataFrame, max_words: int, text_col: str = "text") -> DataFrame:
     """doc_id, text: whole lines while they fit, then what fits of one line, closed by a line feed; blank lines are free."""
-    rows = texts.select("doc_id", F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\r?\n")).alias("line_no", "line"))
+    rows = texts.select("doc_id", F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     rows = rows.withColumn("words", words_col(F.col("line"))).withColumn("n", F.size("words"))
     rows = rows.withColumn("upto", F.sum("n").over(order)).withColumn("over", (F.col("n") > 0) & (F.col("upto") > max_words))
@@ -94,9 +115,13 @@ def summary_gate(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def detailed_summary(sections: DataFrame) -> DataFrame:
-    """doc_id, markdown: an extractive summary of each document (doc_title, no, title, content)."""
-    entry = F.struct("no", "title", "content")
-    docs = sections.groupBy("doc_id").agg(F.first("doc_title").alias("doc_title"), F.array_sort(F.collect_list(entry)).alias("s"))
+    """doc_id, markdown: an extractive summary of each document (chapter, doc_title, no, title, content).
+
+    A document without sections is a row without no, title and content.
+    """
+    entry = F.when(F.col("no").isNotNull(), F.struct("no", "title", "content"))
+    made = (of_document(sections, "doc_title").alias("doc_title"), of_document(sections, "chapter").cast("string").alias("chapter"), F.array_sort(F.collect_list(entry)).alias("s"))
+    docs = sections.groupBy("doc_id").agg(*made)
     named = lambda s: F.coalesce(F.nullif(s["title"], F.lit("")), F.concat(F.lit("Section "), s["no"].cast("string")))
     titles = F.transform(F.slice("s", 1, 6), named)
 
@@ -108,12 +133,14 @@ def detailed_summary(sections: DataFrame) -> DataFrame:
     # The sentences of the summary.
     parts = F.concat(
         F.array(F.concat(F.lit("# Chapter Summary: "), F.coalesce("doc_title", F.lit("Unknown"))), F.lit(""), F.lit("## Overview")),
-        F.array(F.format_string("Chapter %s covers %d sections and focuses on pilot technique, control accuracy, risk awareness, and standards-based decision making.", F.col("doc_id").cast("string"), F.size("s"))),
+        F.array(F.format_string("Chapter %s covers %d sections and focuses on pilot technique, control accuracy, risk awareness, and standards-based decision making.", F.coalesce("chapter", F.lit("?")), F.size("s"))),
         F.array(F.lit(""), F.lit("## Key Learning Objectives")),
+        F.when(F.size("s") == 0, F.array(F.lit(NO_OBJECTIVE))).otherwise(F.array().cast("array<string>")),
         F.transform(titles, lambda t: F.concat(F.lit("- Understand and apply "), F.lower(t), F.lit(" in practical training scenarios."))),
         F.array(F.lit(""), F.lit("## Main Concepts")),
         F.transform(F.slice("s", 1, 10), excerpt),
         F.array(F.lit(""), F.lit("## Key Terms and Definitions")),
+        F.when(F.size("s") == 0, F.array(F.lit(NO_TERM))).otherwise(F.array().cast("array<string>")),
         F.transform(titles, lambda t: F.concat(F.lit("- **"), t, F.lit("**: A primary chapter concept that supports safe execution and consistent pilot performance."))),
         F.array(F.lit(""), F.lit("## Summary of Important Facts")),
         F.array(*map(F.lit, FACTS)),
@@ -121,6 +148,9 @@ def detailed_summary(sections: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.array_join(parts, "\n"), F.lit("\n")).alias("markdown"))
 
 
+# What stands for the objectives and the terms of a document without sections.
+NO_OBJECTIVE = "- Identify and apply the chapter's core procedures and safety priorities."
+NO_TERM = "- **Operational Control**: The coordinated use of attitude, power, and trim to maintain desired aircraft performance."
 # The closing sentences of the extractive summary.
 FACTS = (
     "- Emphasis is placed on safe, standards-driven operation and consistent pilot judgment.",
@@ -131,14 +161,22 @@ FACTS = (
 
 
 def fallback_summary(summaries: DataFrame, tops: DataFrame, model: str = "unknown", generated_at: str | None = None) -> DataFrame:
-    """doc_id, markdown: overview, key sections and totals, from document_summary and top_sections."""
+    """doc_id, markdown: overview, key sections and totals, from document_summary and top_sections. Its words."""
     keys = tops.groupBy(F.col("doc_id").alias("k_doc")).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "id"))).alias("keys"))
-    line = lambda k: F.concat(F.lit("- "), F.coalesce(k["title"], F.lit("Untitled")), F.lit(" ("), F.coalesce(k["id"], F.lit("n/a")), F.lit(")"))
-    rows = summaries.join(keys, F.col("doc_id") == F.col("k_doc"), "left")
-    listed = F.when(F.size(F.coalesce("keys", F.array())) > 0, F.transform("keys", line)).otherwise(F.array(F.lit("- No section highlights were available.")))
-    head = F.array(F.concat(F.lit("# Chapter Summary: "), F.col("doc_id").cast("string")), F.lit(""), F.lit("## Overview"), F.col("synopsis"), F.lit(""), F.lit("## Key Sections"))
-    tail = F.array(F.lit(""), F.lit("## Metadata"), F.concat(F.lit("- Chapter: "), F.col("doc_id").cast("string")), F.concat(F.lit("- Sections: "), F.col("section_count").cast("string")), F.concat(F.lit("- Characters: "), F.col("total_chars").cast("string")), F.lit(f"- Model Used: {model}"), *([F.lit(f"- Generated At: {generated_at}")] if generated_at else []))
-    return rows.select("doc_id", F.concat(F.array_join(F.concat(head, listed, tail), "\n"), F.lit("\n")).alias("markdown"))
+    some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    line = lambda k: F.concat(F.lit("- "), some(k["title"], "Untitled"), F.lit(" ("), some(k["id"], "n/a"), F.lit(")"))
+    rows = summaries.join(keys, F.col("doc_id").eqNullSafe(F.col("k_doc")), "left")
+    listed = F.when(F.size("keys") > 0, F.transform("keys", line)).otherwise(F.array(F.lit("- No section highlights were available.")))
+    head = F.array(F.concat(F.lit("# Chapter Summary: "), some(F.col("doc_title"), "Unknown")), F.lit(""), F.lit("## Overview"), some(F.col("synopsis"), "Summary unavailable."), F.lit(""), F.lit("## Key Sections"))
+    facts = [
+        F.concat(F.lit("- Chapter: "), F.coalesce("chapter", F.lit("n/a"))),
+        F.concat(F.lit("- Sections: "), F.coalesce("section_count", F.lit(0)).cast("string")),
+        F.concat(F.lit("- Characters: "), F.coalesce("total_chars", F.lit(0)).cast("string")),
+        F.lit(f"- Model Used: {model}"),
+        *([F.lit(f"- Generated At: {generated_at}")] if generated_at else []),
+    ]
+    parts = F.concat(head, listed, F.array(F.lit(""), F.lit("## Metadata"), *facts))
+    return rows.select("doc_id", F.concat(F.array_join(parts, "\n"), F.lit("\n")).alias("markdown"))
 
 
 def read_time_col(given: Column, chars: Column) -> Column:

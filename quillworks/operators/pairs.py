@@ -74,7 +74,8 @@ def clean_records(replies: DataFrame, requests: DataFrame) -> DataFrame:
     sample = requests.select(F.col("doc_id").alias("s_doc"), F.explode("sample").alias("s"))
     sample = sample.select("s_doc", F.col("s.question_id").alias("s_qid"), F.col("s.source").alias("s_source"), F.get("s.subjects", F.lit(0)).alias("s_topic"))
     rows = rows.join(asked, F.col("doc_id") == F.col("a_doc")).join(sample, (F.col("doc_id") == F.col("s_doc")) & (F.col("qid") == F.col("s_qid")), "left")
-    fallback = F.coalesce(some(F.col("s_source")), F.concat(F.col("book_id"), F.lit(" chapter "), F.col("chapter").cast("string")))
+    chapter = F.when(F.coalesce(F.col("chapter").cast("int"), F.lit(0)) == 0, "?").otherwise(F.col("chapter").cast("string"))
+    fallback = F.coalesce(some(F.col("s_source")), F.concat(F.col("book_id"), F.lit(" chapter "), chapter))
     context = own(F.col("r.context"))
     short = F.when(F.length(context) > CONTEXT_CHARS, strip_col(F.substring(context, 1, CONTEXT_CHARS))).otherwise(context)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")

@@ -51,7 +51,8 @@ def flag_headings(lines: DataFrame) -> DataFrame:
     """Adds own (the stripped line), blank, passes (heading_col), prev_blank, is_heading. lines has is_glossary."""
     order = order_by_line()
     rows = lines.withColumn("own", strip_col(F.col("line"))).withColumn("blank", F.col("own") == "")
-    later = F.first(F.when(~F.col("blank"), F.col("own")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(~F.col("blank"), F.col("own")), ignorenulls=True).over(backwards)
     rows = rows.withColumns({"passes": heading_col(F.col("own")), "prev_blank": F.coalesce(F.lag("blank").over(order), F.lit(True)), "next_own": later})
     capital = F.col("own").rlike(LONE_CAPITAL)
     divider = capital & F.coalesce(F.upper(F.substring("next_own", 1, 1)) == F.col("own"), F.lit(False))
@@ -105,22 +106,27 @@ def assign_sections(lines: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def clean_glossary(sections: DataFrame) -> DataFrame:
-    """Glossary bodies without page marks, lone capitals and what table rewriting left."""
-    rows = sections.select("doc_id", "seq", "title", F.posexplode_outer(split_lines_col(F.col("content"))).alias("line_no", "line"))
+    """Glossary bodies without page marks, lone capitals and what table rewriting left.
+
+    With a column is_glossary, other sections stay as they are.
+    """
+    asked = F.col("is_glossary") if "is_glossary" in sections.columns else F.lit(True)
+    keys = [F.col(c) for c in sections.columns if c != "content"]
+    plain = F.when(~asked, F.col("content")).alias("plain")
+    rows = sections.select(*keys, plain, F.posexplode_outer(F.when(asked, split_lines_col(F.col("content")))).alias("line_no", "line"))
     own = strip_col(F.coalesce(F.col("line"), F.lit("")))
-    rows = rows.withColumn("own", own).where(~F.col("own").rlike(GLOSSARY_MARK) & ~F.col("own").rlike(LONE_CAPITAL))
+    rows = rows.withColumn("own", own).withColumn("mark", F.col("own").rlike(GLOSSARY_MARK) | F.col("own").rlike(LONE_CAPITAL))
     head = F.col("own").startswith("Table columns:") | (F.col("own") == "Table rows:")
     item = F.col("own").startswith("- ") & F.col("own").contains(":") & F.col("own").contains(";")
-    state = F.when(F.col("own") == "", F.lit(None)).when(head, F.lit(True)).when(~item, F.lit(False))
+    state = F.when((F.col("own") == "") | F.col("mark"), F.lit(None)).when(head, F.lit(True)).when(~item, F.lit(False))
     order = Window.partitionBy("doc_id", "seq").orderBy("line_no")
     rows = rows.withColumns({"head": head, "item": item, "state": state})
     rows = rows.withColumn("skips", F.coalesce(F.last("state", ignorenulls=True).over(order), F.lit(False)))
-    kept = F.when(~F.col("head") & ~(F.col("item") & F.col("skips")), F.struct("line_no", F.when(F.col("own") == "", F.lit("")).otherwise(F.col("line")).alias("line")))
-    texts = rows.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(kept)).alias("body"))
+    fits = F.col("line_no").isNotNull() & ~F.col("mark") & ~F.col("head") & ~(F.col("item") & F.col("skips"))
+    kept = F.when(fits, F.struct("line_no", F.when(F.col("own") == "", F.lit("")).otherwise(F.col("line")).alias("line")))
+    texts = rows.groupBy(*keys, "plain").agg(F.array_sort(F.collect_list(kept)).alias("body"))
     text = strip_col(F.regexp_replace(F.array_join(F.col("body.line"), "\n"), "\n{3,}", "\n\n"))
-    texts = texts.select(F.col("doc_id").alias("t_doc"), F.col("seq").alias("t_seq"), text.alias("text"))
-    joined = sections.join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("seq") == F.col("t_seq")), "left")
-    return joined.select("doc_id", "seq", "title", F.coalesce("text", F.lit("")).alias("content"))
+    return texts.select(*[F.coalesce("plain", text).alias(c) if c == "content" else F.col(c) for c in sections.columns])
 
 
 def smooth_sections(sections: DataFrame, min_chars: int = LEAST_CHARS) -> DataFrame:
@@ -128,15 +134,18 @@ def smooth_sections(sections: DataFrame, min_chars: int = LEAST_CHARS) -> DataFr
 
     Leading ones are put together until they are long enough, under the last title, the earlier titles in reverse order
     before the contents; a later short one goes to the section before it, title and content. Running sums decide.
+    With a column is_glossary, the sections of glossaries stay as they are. Other columns belong to the document.
     """
+    glossary = F.col("is_glossary") if "is_glossary" in sections.columns else F.lit(False)
+    rest = [c for c in sections.columns if c not in ("doc_id", "seq", "title", "content")]
     order = Window.partitionBy("doc_id").orderBy("seq")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     length = lambda c: F.when(F.length(c) > 0, F.length(c) + 1).otherwise(0)
     rows = sections.withColumn("chars", F.sum(length("content")).over(so_far) + F.coalesce(F.sum(length("title")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1)
     everything = Window.partitionBy("doc_id")
     first = F.coalesce(F.min(F.when(F.col("chars") >= min_chars, F.col("seq"))).over(everything), F.max("seq").over(everything))
-    rows = rows.withColumn("first", first)
-    later = F.when((F.col("seq") > F.col("first")) & (F.length("content") >= min_chars), 1).otherwise(0)
+    rows = rows.withColumn("first", F.when(glossary, -1).otherwise(first))
+    later = F.when((F.col("seq") > F.col("first")) & (glossary | (F.length("content") >= min_chars)), 1).otherwise(0)
     rows = rows.withColumn("opens", later).withColumn("part", F.sum("opens").over(order))
     lead = F.col("seq") <= F.col("first")
     rank = lambda group, place, text: F.struct(F.lit(group).alias("g"), place.alias("p"), text.alias("t"))
@@ -146,25 +155,57 @@ def smooth_sections(sections: DataFrame, min_chars: int = LEAST_CHARS) -> DataFr
         .otherwise(F.array(rank(1, F.col("seq"), F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("content"), F.lit(""))))))
     )
     titled = F.when((F.col("seq") == F.col("first")) | (F.col("opens") == 1), F.col("title"))
-    made = rows.groupBy("doc_id", "part").agg(F.max(titled).alias("title"), F.array_sort(F.flatten(F.collect_list(pieces))).alias("pieces"))
+    made = rows.groupBy("doc_id", "part", *rest).agg(F.max(titled).alias("title"), F.array_sort(F.flatten(F.collect_list(pieces))).alias("pieces"))
     text = strip_col(F.array_join(F.filter(F.col("pieces.t"), lambda x: x != ""), "\n"))
-    return made.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1).alias("seq"), "title", text.alias("content"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1
+    return made.select("doc_id", *rest, seq.alias("seq"), "title", text.alias("content"))
+
+
+def outline(flagged: DataFrame, rest: list[str]) -> DataFrame:
+    """The bodies of flag_headings() rows in one go: merged headings, clusters dropped, lines given to sections.
+
+    The same as merge_headings, drop_heading_clusters and assign_sections, but headings are never taken apart from the
+    lines and joined back: running values carry them. A document without headings is one section `Content`, with the text
+    that its first line holds (column whole).
+    """
+    order = order_by_line()
+    before, doc = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("doc_id")
+    heading = lambda c: F.when(F.col("is_heading"), F.col(c))
+    rows = flagged.withColumn("filled", F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(order))
+    rows = rows.withColumns({"prev_line": F.last(heading("line_no"), ignorenulls=True).over(before), "prev_filled": F.last(heading("filled"), ignorenulls=True).over(before)})
+    gap = F.col("line_no") - F.col("prev_line")
+    joins = F.coalesce((gap <= MERGE_GAP) & (F.col("filled") - F.col("prev_filled") == 1), F.lit(False))
+    rows = rows.withColumn("starts", (F.col("is_heading") & ~joins).cast("int"))
+    apart = F.when((F.col("starts") == 1) & ~F.coalesce(gap <= CLUSTER_GAP, F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumns({"part": F.sum("starts").over(order), "cluster": F.sum(apart).over(order)})
+    rows = rows.withColumn("cluster_size", F.sum("starts").over(Window.partitionBy("doc_id", "cluster")))
+    of_part = Window.partitionBy("doc_id", "part")
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_heading"), F.struct("line_no", "own"))).over(of_part)), lambda x: x["own"]), " ")
+    rows = rows.withColumns({"real": (F.col("starts") == 1) & (F.col("cluster_size") < CLUSTER_SIZE), "end_line": F.max(heading("line_no")).over(of_part)})
+    rows = rows.withColumn("head", F.when(F.col("real"), titles))
+    rows = rows.withColumns({"seq": F.sum(F.col("real").cast("int")).over(order) - 1, "until": F.last(F.when(F.col("real"), F.col("end_line")), ignorenulls=True).over(order)})
+    rows = rows.withColumn("found", F.max("seq").over(doc) >= 0).where("seq >= 0 or not found")
+    body = F.when(F.col("line_no") > F.col("until"), F.struct("line_no", "line"))
+    made = rows.groupBy("doc_id", "seq", "found", *rest).agg(F.max("head").alias("head"), F.max("whole").alias("whole"), F.array_sort(F.collect_list(body)).alias("body"))
+    content = F.when(F.col("found"), F.array_join(F.col("body.line"), "\n")).otherwise(F.coalesce("whole", F.lit("")))
+    return made.select("doc_id", *rest, F.greatest("seq", F.lit(0)).alias("seq"), F.when(F.col("found"), F.col("head")).otherwise("Content").alias("title"), strip_col(content).alias("content"), "found")
 
 
-def detect_sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, seq, title, content, word_count of cleaned documents (doc_id, text, source_name, doc_type).
+def detect_sections(docs: DataFrame, text_col: str = "text", name_col: str = "source_name", type_col: str = "doc_type") -> DataFrame:
+    """doc_id, seq, title, content, word_count, and the other columns, of cleaned documents (doc_id, text, source_name,
+    doc_type), one row per doc_id.
 
-    A document without headings is one section `Content` with all its text.
+    A document without headings is one section `Content` with all its text. No exchange if docs are dealt by doc_id.
     """
-    typed = resolve_doc_type(docs, text_col).select("doc_id", text_col, "is_glossary").repartition("doc_id")
-    lines = typed.select("doc_id", "is_glossary", F.posexplode(split_lines_col(F.col(text_col))).alias("line_no", "line"))
-    headings = drop_heading_clusters(merge_headings(flag_headings(lines)))
-    parts = assign_sections(lines.select("doc_id", "line_no", "line"), headings)
-    kinds = typed.select(F.col("doc_id").alias("k_doc"), "is_glossary")
-    parts = parts.join(kinds, F.col("doc_id") == F.col("k_doc")).drop("k_doc")
-    chapters = smooth_sections(parts.where("not is_glossary").drop("is_glossary"))
-    glossaries = clean_glossary(parts.where("is_glossary").drop("is_glossary"))
-    found = chapters.unionByName(glossaries)
-    bare = typed.join(headings.select(F.col("doc_id").alias("h_doc")).distinct(), F.col("doc_id") == F.col("h_doc"), "left_anti")
-    whole = bare.select("doc_id", F.lit(0).alias("seq"), F.lit("Content").alias("title"), strip_col(F.coalesce(text_col, F.lit(""))).alias("content"))
-    return found.unionByName(whole).withColumn("word_count", word_count_col(F.col("content")))
+    typed = resolve_doc_type(docs, text_col, name_col, type_col)
+    rest = [c for c in typed.columns if c not in ("doc_id", text_col)]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = typed.select("doc_id", *rest, text.alias("whole_text"), F.posexplode_outer(split_lines_col(text)).alias("at", "read"))
+    lines = lines.select("doc_id", *rest, F.coalesce("at", F.lit(0)).alias("line_no"), F.coalesce("read", F.lit("")).alias("line"), F.when(F.coalesce("at", F.lit(0)) == 0, F.col("whole_text")).alias("whole"))
+    parts = outline(flag_headings(lines), rest)
+    # a document without headings is neither smoothed nor cleaned further
+    asked = [c for c in parts.columns if c != "found"]
+    parts = parts.withColumn("is_glossary", F.col("is_glossary") & F.col("found")).withColumn("as_is", F.col("is_glossary") | ~F.col("found"))
+    cleaned = clean_glossary(parts.select(*asked, "as_is"))
+    smoothed = smooth_sections(cleaned.withColumn("is_glossary", F.col("as_is")).drop("as_is"))
+    return smoothed.withColumn("word_count", word_count_col(F.col("content"))).drop("is_glossary")

@@ -43,6 +43,10 @@ def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n == 1, F.array(F.concat(F.lit("Chapter "), number, F.lit(": "), first), F.lit(""))).otherwise(F.array().cast("array<string>")),
             F.when(n % 3 == 1, F.array(F.lit(""), plain, F.lit(""))).otherwise(F.array().cast("array<string>")),
             F.array(line),
+            F.when(n % 9 == 2, F.array(F.concat(F.lit("(cid:"), ks, F.lit(") "), first))).otherwise(F.array().cast("array<string>")),
+            F.when(n % 11 == 3, F.array(F.concat(F.lit("Image "), ks, F.lit("-1: "), first))).otherwise(F.array().cast("array<string>")),
+            F.when(n % 13 == 4, F.array(F.lit("____ -- ____"))).otherwise(F.array().cast("array<string>")),
+            F.when(n % 17 == 5, F.array(F.lit("Photo"))).otherwise(F.array().cast("array<string>")),
             F.when(n % 5 == 0, F.array(F.concat(number, F.lit("-"), ks))).otherwise(F.array().cast("array<string>")),
             F.when(n % 7 == 0, F.array(F.concat(F.lit("Figure "), ks, F.lit("-1. "), first))).otherwise(F.array().cast("array<string>")),
             F.when(n % 4 == 0, F.array(F.concat(F.col("source"), F.lit(" handbook")))).otherwise(F.array().cast("array<string>")),

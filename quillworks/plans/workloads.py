@@ -35,7 +35,7 @@ def training_data(sections: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.training_pairs(question_bank(sections, candidates))
 
 
-def costs(sections: DataFrame, prices: DataFrame) -> DataFrame:
+def costs(sections: DataFrame, prices: list[tuple[str, float, float]] = measures.PRICES) -> DataFrame:
     return measures.cost_estimate(measures.token_estimate(measures.document_metrics(sections)), prices)
 
 

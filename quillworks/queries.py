@@ -9,6 +9,7 @@ from quillworks.functions.textops import jaccard_col, token_set_col, word_count_
 from quillworks.operators import bank, blueprint, documents, lines, measures, pairs, sections, simjoin
 from quillworks.plans import views, workloads
 
+CHAPTER = "CASE WHEN doc_id % 10 <> 3 THEN CAST(doc_id % 30 AS VARCHAR) END"
 CHARS = "CAST(length(content) AS BIGINT)"
 
 
@@ -20,6 +21,12 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.para_sections(spark, sf_dir)
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with a chapter number and a document title; every tenth document has no chapter."""
+    chapter = F.when(F.col("doc_id") % 10 != 3, F.col("doc_id") % 30)
+    return _sections(spark, sf_dir).withColumns({"chapter": chapter, "doc_title": F.col("book_id")})
+
+
 def section_weights(spark, sf_dir):
     return _sections(spark, sf_dir).select("doc_id", "no", "id", "word_count", "total_words", "section_weight")
 
@@ -62,10 +69,6 @@ def repair_suggestions(spark, sf_dir):
     return blueprint.repair_suggestions(_blueprint_rows(spark, sf_dir))
 
 
-def prices(spark):
-    return spark.createDataFrame(measures.PRICES, "name string, input_per_1k double, output_per_1k double")
-
-
 def token_estimate(spark, sf_dir):
     return measures.token_estimate(measures.document_metrics(_sections(spark, sf_dir))).select("doc_id", "output", "tokens_in", "tokens_out", "mandatory")
 
@@ -197,7 +200,7 @@ def clean_records(spark, sf_dir):
 
 
 def detailed_summary(spark, sf_dir):
-    return measures.detailed_summary(_sections(spark, sf_dir).withColumn("doc_title", F.col("book_id")))
+    return measures.detailed_summary(_titled(spark, sf_dir))
 
 
 def clean_text(spark, sf_dir):
@@ -220,11 +223,11 @@ QUERIES = {
     "validate_blueprint": validate_blueprint,
     "repair_blueprint": repair_blueprint,
     "repair_suggestions": repair_suggestions,
-    "document_summary": lambda s, d: measures.document_summary(_sections(s, d)),
+    "document_summary": lambda s, d: measures.document_summary(_titled(s, d)),
     "top_sections": lambda s, d: measures.top_sections(_sections(s, d)),
     "document_metrics": lambda s, d: measures.document_metrics(_sections(s, d)),
     "token_estimate": token_estimate,
-    "cost_estimate": lambda s, d: workloads.costs(_sections(s, d), prices(s)),
+    "cost_estimate": lambda s, d: workloads.costs(_sections(s, d)),
     "summary_budget": lambda s, d: measures.summary_budget(_sections(s, d)),
     "summary_gate": lambda s, d: measures.summary_gate(views.documents(s, d).select("doc_id", "text")).drop("text"),
     "trim_to_words": trim_to_words,
@@ -313,6 +316,7 @@ PLACEHOLDER_SQL = f"""{WORD_BLUEPRINT_SQL}, numbered AS (
 DRESSED_SQL = f"""WITH {views.DOC_LINES_SQL}, dressed_lines AS (
   SELECT d.doc_id, d.line_no, list_concat(
     CASE WHEN n = 1 THEN ['Chapter ' || num || ': ' || f3, ''] ELSE [] END, CASE WHEN n % 3 = 1 THEN ['', upper(regexp_replace(f3, '[.:,]', '', 'g')), ''] ELSE [] END, [line],
+    CASE WHEN n % 9 = 2 THEN ['(cid:' || n || ') ' || f3] ELSE [] END, CASE WHEN n % 11 = 3 THEN ['Image ' || n || '-1: ' || f3] ELSE [] END, CASE WHEN n % 13 = 4 THEN ['____ -- ____'] ELSE [] END, CASE WHEN n % 17 = 5 THEN ['Photo'] ELSE [] END,
     CASE WHEN n % 5 = 0 THEN [num || '-' || n] ELSE [] END, CASE WHEN n % 7 = 0 THEN ['Figure ' || n || '-1. ' || f3] ELSE [] END, CASE WHEN n % 4 = 0 THEN [d.source || ' handbook'] ELSE [] END,
     CASE WHEN d.doc_id % 5 = 0 AND n % 6 = 0 THEN ['Item  Speed', 'one  ' || n, 'two  ' || num, 'three  3'] ELSE [] END) AS l
   FROM (SELECT *, line_no + 1 AS n, CAST(doc_id % 20 AS VARCHAR) AS num, array_to_string(({views.words_sql("line")})[1:3], ' ') AS f3 FROM doc_lines) d JOIN documents o USING (doc_id)
@@ -320,7 +324,7 @@ DRESSED_SQL = f"""WITH {views.DOC_LINES_SQL}, dressed_lines AS (
   SELECT doc_id, array_to_string(flatten(list(l ORDER BY line_no)), chr(10)) AS text FROM dressed_lines GROUP BY doc_id
 )"""
 _STRIP = "text"
-for _pattern in ("\\(cid:\\d+\\)", "(?im)^\\s*Figure\\s+[\\d\\w\\-]+[.:].*$", "(?im)^\\s*(?:Image|Photo|Illustration|Diagram)\\s+[\\d\\w\\-]+[.:].*$", "(?im)^\\s*(?:\\d{1,3}-\\d{1,3}|Page\\s+\\d+|\\d{1,4})\\s*$"):
+for _pattern in ("\\(cid:\\d+\\)", "(?im)^\\s*Figure\\s+[\\p{L}\\p{N}_\\-]+[.:].*$", "(?im)^\\s*(?:Image|Photo|Illustration|Diagram)\\s+[\\p{L}\\p{N}_\\-]+[.:].*$", "(?im)^\\s*(?:\\d{1,3}-\\d{1,3}|Page\\s+\\d+|\\d{1,4})\\s*$"):
     _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', '', 'g')"
 STRIPPED_SQL = f"{DRESSED_SQL}, stripped AS (SELECT doc_id, {_STRIP} AS text FROM dressed)"
 
@@ -330,12 +334,13 @@ HEADINGS_SQL = f"""{STRIPPED_SQL}, sl AS (
   SELECT doc_id, k - 1 AS line_no, l[k] AS line, trim(l[k]) AS own FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM sl)
 ), ww AS (
   SELECT *, string_split_regex(own, '\\s+') AS w, coalesce(lag(own) OVER (PARTITION BY doc_id ORDER BY line_no) = '', true) AS prev_blank FROM ll
-), hh AS (
-  SELECT doc_id, line_no, line, own, CASE WHEN regexp_matches(own, '(?i)^Chapter\\s+[0-9]+') AND NOT contains(own, '.') THEN true
-    ELSE prev_blank AND regexp_matches(own, '^[\\p{{L}}\\p{{N}}]') AND length(own) BETWEEN 3 AND 120 AND NOT contains(own, '.') AND NOT contains(own, ':')
+), pp AS (
+  SELECT *, regexp_matches(own, '^[\\p{{L}}\\p{{N}}]') AND length(own) BETWEEN 3 AND 120 AND NOT contains(own, '.') AND NOT contains(own, ':')
       AND NOT regexp_matches(own, '(?i)^(?:[0-9]{{1,3}}-[0-9]{{1,3}}|Page\\s+[0-9]+|[0-9]{{1,4}})$')
       AND ((own = upper(own) AND regexp_matches(own, '\\p{{L}}')) OR (regexp_matches(w[1], '^\\p{{Lu}}') AND len(list_filter(list_transform(w[2:], lambda x: regexp_replace(x, '^[''"]+|[''"]+$', '', 'g')),
-        lambda b: regexp_matches(b, '^\\p{{L}}') AND NOT list_contains({sections.MINOR_WORDS}, lower(b)) AND NOT regexp_matches(b, '^\\p{{Lu}}'))) = 0)) END AS is_heading FROM ww
+        lambda b: regexp_matches(b, '^\\p{{L}}') AND NOT list_contains({sections.MINOR_WORDS}, lower(b)) AND NOT regexp_matches(b, '^\\p{{Lu}}'))) = 0)) AS passes FROM ww
+), hh AS (
+  SELECT doc_id, line_no, line, own, passes, prev_blank, CASE WHEN regexp_matches(own, '(?i)^Chapter\\s+[0-9]+') AND NOT contains(own, '.') THEN true ELSE prev_blank AND passes END AS is_heading FROM pp
 ), filled AS (
   SELECT *, sum(CASE WHEN own = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS f FROM hh
 ), starts AS (
@@ -373,7 +378,7 @@ RECORDS_SQL = f"""{ACCEPTED_SQL}, placed AS (
   SELECT s.doc_id, s.no, s.title, s.content, s.no % 5 AS m, (SELECT max(greatest(1, CAST(floor(p.n * 11 * CAST(0.3 AS DOUBLE)) AS BIGINT))) FROM placed p WHERE p.doc_id = s.doc_id) AS target, j.title AS j_title, j.question_id AS j_id
   FROM sections s LEFT JOIN placed j ON j.doc_id = s.doc_id AND j.q <= 40 AND j.question_id = 'DOC.' || s.doc_id || '.' || s.no || '.1'
 ), records AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS number, CASE WHEN j_id IS NOT NULL THEN 'DOC Chapter ' || doc_id || ' - ' || j_title ELSE 'DOC chapter ' || doc_id END AS fallback FROM replies WHERE m <> 0 AND target IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS number, CASE WHEN j_id IS NOT NULL THEN 'DOC Chapter ' || doc_id || ' - ' || j_title ELSE 'DOC chapter ' || CASE WHEN doc_id = 0 THEN '?' ELSE CAST(doc_id AS VARCHAR) END END AS fallback FROM replies WHERE m <> 0 AND target IS NOT NULL
 )"""
 SUMMARY_SQL = f"""{S}, docs AS (
   SELECT doc_id, any_value(book_id) AS book, list(struct_pack(t := CASE WHEN title = '' THEN 'Section ' || no ELSE title END, w := {views.words_sql("content")}) ORDER BY no) AS s FROM sections GROUP BY doc_id
@@ -394,7 +399,7 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE own <> '' AND (regexp_match
   OR (length(own) - length(regexp_replace(own, '\\p{{L}}', '', 'g')) <= 2 AND length(own) - length(regexp_replace(own, '[_|\\-=./\\\\<>\\[\\]()~`•·:]', '', 'g')) >= greatest(4, length(own) // 2)))) AS n_image FROM ll GROUP BY doc_id""",
     "clean_records": f"""{RECORDS_SQL} SELECT doc_id, number, 'Explain ' || title AS instruction, CASE WHEN m = 1 AND content <> '' THEN trim(content[1:180]) ELSE fallback END AS context, trim('It is about ' || title) AS response,
   CASE WHEN m = 2 THEN 'a source' ELSE fallback END AS source, coalesce(CASE WHEN j_id IS NOT NULL THEN j_title END, 'General') AS topic, 'Intermediate' AS difficulty FROM records WHERE number <= target""",
-    "detailed_summary": f"""{SUMMARY_SQL} SELECT doc_id, array_to_string(list_concat(['# Chapter Summary: ' || book, '', '## Overview', 'Chapter ' || doc_id || ' covers ' || len(s) || ' sections and focuses on pilot technique, control accuracy, risk awareness, and standards-based decision making.', '', '## Key Learning Objectives'],
+    "detailed_summary": f"""{SUMMARY_SQL} SELECT doc_id, array_to_string(list_concat(['# Chapter Summary: ' || book, '', '## Overview', 'Chapter ' || coalesce({CHAPTER}, '?') || ' covers ' || len(s) || ' sections and focuses on pilot technique, control accuracy, risk awareness, and standards-based decision making.', '', '## Key Learning Objectives'],
   list_transform(s[1:6], lambda x: '- Understand and apply ' || lower(x.t) || ' in practical training scenarios.'), ['', '## Main Concepts'],
   list_transform(s[1:10], lambda x: '- ' || x.t || ': ' || CASE WHEN len(x.w) = 0 THEN 'No extractable content was available.' ELSE array_to_string(x.w[1:45], ' ') || CASE WHEN len(x.w) > 45 THEN '...' ELSE '' END END), ['', '## Key Terms and Definitions'],
   list_transform(s[1:6], lambda x: '- **' || x.t || '**: A primary chapter concept that supports safe execution and consistent pilot performance.'), ['', '## Summary of Important Facts'], [{", ".join(f"'{x}'" for x in measures.FACTS)}]), chr(10)) || chr(10) AS markdown FROM docs""",
@@ -426,9 +431,9 @@ UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].weightPercen
 UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].requiredQuestions must be a positive number.' FROM seen WHERE required <= 0""",
     "repair_blueprint": f"{ROWS_SQL} SELECT doc_id, place, CASE WHEN regexp_matches(section_id, '^[0-9]') THEN book_id || '.' || section_id ELSE section_id END AS fixed_id, CAST(sum(required) OVER (PARTITION BY doc_id) AS BIGINT) AS target FROM bp",
     "repair_suggestions": f"{ROWS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(section_id, '^[0-9]')) AS bare_ids, max(stated) AS previous, CAST(sum(required) AS BIGINT) AS target, max(stated) <> sum(required) AS mismatch FROM bp GROUP BY doc_id",
-    "document_summary": f"{S} SELECT doc_id, count(*) AS section_count, CAST(sum({CHARS}) AS BIGINT) AS total_chars, 'Chapter ' || doc_id || ' contains ' || count(*) || ' sections with ' || CAST(sum({CHARS}) AS BIGINT) || ' characters of extracted content.' AS synopsis FROM sections GROUP BY doc_id",
+    "document_summary": f"{S} SELECT doc_id, {CHAPTER} AS chapter, any_value(book_id) AS doc_title, count(*) AS section_count, CAST(sum({CHARS}) AS BIGINT) AS total_chars, 'Chapter ' || coalesce({CHAPTER}, '?') || ' contains ' || count(*) || ' sections with ' || CAST(sum({CHARS}) AS BIGINT) || ' characters of extracted content.' AS synopsis FROM sections GROUP BY doc_id",
     "top_sections": f"{S} SELECT doc_id, rank, id, title, chars FROM (SELECT *, {CHARS} AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, no) AS rank FROM sections) WHERE rank <= 8",
-    "document_metrics": f"{METRICS_SQL} SELECT doc_id, n_sections, total_chars, questions, CAST(total_chars AS DOUBLE) / n_sections AS mean_chars FROM metrics",
+    "document_metrics": f"{METRICS_SQL} SELECT doc_id, n_sections, total_chars, questions, CAST(floor(CAST(total_chars AS DOUBLE) / n_sections + 0.5) AS BIGINT) AS mean_chars FROM metrics",
     "token_estimate": f"{METRICS_SQL} SELECT doc_id, output, CAST(floor(ci / 4 + 0.5) AS BIGINT) AS tokens_in, CAST(floor(co / 4 + 0.5) AS BIGINT) AS tokens_out, mandatory FROM estimates",
     "cost_estimate": f"""{METRICS_SQL}, sums AS (SELECT doc_id, sum(ci ORDER BY output) AS i, sum(co ORDER BY output) AS o, sum(CASE WHEN mandatory THEN ci ELSE 0 END) AS mi, sum(CASE WHEN mandatory THEN co ELSE 0 END) AS mo FROM estimates GROUP BY doc_id),
 prices(price_list, pi, po) AS (VALUES {", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in measures.PRICES)})
