@@ -24,9 +24,10 @@ SLOT_TRIES = 6
 
 def extract_json(text: Column) -> Column:
     """The JSON object in a reply: the whole, or from the first { to the last }; null if that is no JSON."""
-    whole = F.try_parse_json(F.trim(text))
+    own = strip_col(text)
+    whole = F.try_parse_json(own)
     inner = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(whole.isNotNull() & F.trim(text).startswith("{"), F.trim(text)).when(F.try_parse_json(inner).isNotNull(), inner)
+    return F.when(whole.isNotNull() & own.startswith("{"), own).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
 def pick_reply(replies: DataFrame, priority: DataFrame, key: str = "request_id") -> DataFrame:

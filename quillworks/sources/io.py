@@ -14,7 +14,7 @@ NEEDS = {"bank": (), "pairs": ("bank",), "records": ("pairs",), "summary": ()}
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """source_name, text: one row per file of a path or glob."""
+    """source_name, text: one row per file of a path or glob; an empty file has none."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_name"), F.col("value").alias("text"))
 
 

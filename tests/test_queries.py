@@ -1,21 +1,24 @@
 """Every handbook query against its SQL, and what the plans look like."""
 
 import pytest
+from quillworks import document_queries, reply_queries
 from quillworks import queries as core
 
 from tests.compare import same_rows
 
 SF = "/root/testdata/sf0.001"
+QUERIES = core.QUERIES | document_queries.QUERIES | reply_queries.QUERIES
+ORACLE_SQL = core.ORACLE_SQL | document_queries.ORACLE_SQL | reply_queries.ORACLE_SQL
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
-    same_rows(core.QUERIES[name](spark, SF), core.ORACLE_SQL[name], SF)
+    same_rows(QUERIES[name](spark, SF), ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert core.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
