@@ -130,12 +130,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sizes = common.materialize(sized(docs, id_col, text_col, source_col), "sizes")
     plan = planned(sizes, weights, slopes, most).select("mix_id", "mix_hash", "mix_key", "size", F.explode("mix_laps").alias("lap"))
-    plan = plan.where(2 * F.col("lap.lap_taken") >= F.col("size")).select("mix_id", "mix_hash", "mix_key", "lap.position")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), F.col(id_col).alias("row_id"), common.row_hash(docs).alias("row_hash"))
-    # of wholly equal rows one stands for all: the plan has a row for each copy of each of them
-    turn = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("row_hash"))
-    whole = whole.withColumn("mix_turn", turn).where("mix_turn = 1")
-    copies = whole.join(plan, whole.row_id.eqNullSafe(plan.mix_id) & (whole.row_hash == plan.mix_hash))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    plan = plan.where(2 * F.col("lap.lap_taken") >= F.col("size")).select(name(F.col("mix_id")).alias("mix_name"), "mix_hash", "mix_key", "lap.position")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("mix_row")
+    whole = docs.select(row, name(F.col(id_col)).alias("mix_name"), common.row_hash(docs).alias("mix_hash"))
+    # of wholly equal rows one stands for all: the plan has a row for each copy of each of them; dealt as the join deals
+    turn = F.row_number().over(Window.partitionBy("mix_name", "mix_hash").orderBy("mix_hash"))
+    copies = whole.withColumn("mix_turn", turn).where("mix_turn = 1").join(plan, ["mix_name", "mix_hash"])
     return range_sorted(copies.select("mix_row", "position", "mix_key")).select("mix_row.*")
 
 
