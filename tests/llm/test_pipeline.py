@@ -35,3 +35,35 @@ def test_stages(spark):
     total = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.select("text").collect())
     assert sum(p.length for p in pieces) == total
     assert sum(p.length for p in corpus_pipeline.run(spark, SF).collect()) == total
+
+
+def test_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows and ids, clashing columns: each stage keeps whole rows or drops them."""
+    given = common.table(spark, SF, "documents").where("doc_id < 80")
+    odd = [(None, None, None, None, None), (None, "", None, None, 0), (900, "", "en", None, 0), (900, "", "en", None, 0), (901, None, None, "src1", None), (5, "another text under a known id", "en", "src1", 29)]
+    docs = given.union(given.where("doc_id < 9")).union(spark.createDataFrame(odd, given.schema))
+    for name in ("score", "size", "fp", "position", "copies", "near_row", "near_hash", "kept", "doc", "tail"):
+        docs = docs.withColumn(name, common.F.lit(name))
+    docs = common.materialize(docs, "odd")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = {str(r) for r in docs.collect()}
+        out = common.materialize(stage(spark, docs, SF), "stage")
+        rows = sorted(map(str, out.collect()))
+        assert out.columns == columns and rows and set(rows) <= before, name
+        if k < 3:
+            assert rows == sorted(map(str, stage(spark, docs.repartition(3), SF).collect())), name
+        if k == 2:
+            assert len(rows) == len(set(rows))
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len({p.doc_id for p in pieces}) == docs.select("doc_id").distinct().count()
+
+
+def test_empty_table(spark):
+    docs = common.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns
