@@ -91,7 +91,8 @@ def accept_questions(candidates: DataFrame, required: DataFrame, mode: str = "ba
     if mode == "slots":
         schema = "doc_id string, section_id string, slot int, attempt int, pos int"
         keys = candidates.select(F.col("doc_id").cast("string").alias("doc_id"), "section_id", *[F.col(c).cast("int") for c in order], F.lower("question").alias("stem"))
-        picked = keys.groupBy("doc_id", "section_id").applyInPandas(_pick_by_slots, schema).withColumnsRenamed({"doc_id": "s_doc", "section_id": "s_section", "slot": "s_slot", "attempt": "s_attempt", "pos": "s_pos"})
+        # a group for each document: one for each section is thousands of tiny ones. Null ids meet nothing below
+        picked = keys.where("doc_id is not null and section_id is not null").groupBy("doc_id").applyInPandas(_pick_by_slots, schema).withColumnsRenamed({"doc_id": "s_doc", "section_id": "s_section", "slot": "s_slot", "attempt": "s_attempt", "pos": "s_pos"})
         same = (F.col("doc_id").cast("string") == F.col("s_doc")) & (F.col("section_id") == F.col("s_section")) & (F.col("slot") == F.col("s_slot")) & (F.col("attempt") == F.col("s_attempt")) & (F.col("pos") == F.col("s_pos"))
         rows = candidates.join(picked, same).drop("s_doc", "s_section", "s_slot", "s_attempt", "s_pos")
     else:
@@ -103,17 +104,17 @@ def accept_questions(candidates: DataFrame, required: DataFrame, mode: str = "ba
 
 
 def _pick_by_slots(rows: pd.DataFrame) -> pd.DataFrame:
-    """One candidate for each slot: the first whose stem no earlier slot has taken."""
+    """One candidate for each slot of a section: the first whose stem no earlier slot there has taken."""
     rows = rows[rows["attempt"] <= SLOT_TRIES].sort_values(["slot", "attempt", "pos"])
-    taken: set[str] = set()
-    filled: set[int] = set()
+    taken: set[tuple[str, str]] = set()
+    filled: set[tuple[str, int]] = set()
     keep = []
-    for slot, stem in zip(rows["slot"], rows["stem"], strict=True):
-        fits = slot not in filled and stem not in taken
+    for section, slot, stem in zip(rows["section_id"], rows["slot"], rows["stem"], strict=True):
+        fits = (section, slot) not in filled and (section, stem) not in taken
         keep.append(fits)
         if fits:
-            filled.add(slot)
-            taken.add(stem)
+            filled.add((section, slot))
+            taken.add((section, stem))
     return rows[keep][["doc_id", "section_id", "slot", "attempt", "pos"]]
 
 
