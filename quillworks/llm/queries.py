@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillworks.llm import audio, html_extraction, language_model, mixing, packing, quality_classifier, quality_rules, simhash, tokens, toxicity
+from quillworks.llm import audio, centroids, codebooks, html_extraction, language_model, mixing, packing, quality_classifier, quality_rules, secret_spans, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_chroma_search": audio.op9_chroma_search,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_secret_spans": secret_spans.op11_secret_spans,
+    "op12_vector_codes": codebooks.op12_vector_codes,
+    "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op7_mixing": mixing.op7_sql(),
+    "op12_vector_codes": codebooks.op12_sql(),
+    "op13_centroid_clusters": centroids.op13_sql(),
 }
