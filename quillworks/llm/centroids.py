@@ -70,20 +70,20 @@ def nearest(x: np.ndarray, centroids: np.ndarray, levels: tuple[int, ...] = LEVE
     return c[first], least // x.shape[1]
 
 
-def searched(column: pa.Array, centroids: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def searched(whole: np.ndarray, centroids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Vectors, centroid numbers and squared distances, block by block."""
-    whole = vectors.matrix(column, scale, centroids.shape[1])
     for at in range(0, len(whole), BLOCK):
         x = whole[at : at + BLOCK]
         yield x, *nearest(x, centroids)
 
 
 def fit(rows: DataFrame, centroids: np.ndarray, rounds: int = ROUNDS, scale: int = SCALE) -> np.ndarray:
-    """Centroids after some rounds of assignment and floor means. rows: column v, all as long as the centroids."""
+    """Centroids after some rounds of assignment and floor means. rows: column v, all as long as the centroids; those
+    that are not finite do not count."""
     for _ in range(rounds):
 
         def assigned(column: pa.Array, now: np.ndarray = centroids) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for x, c, _ in searched(column, now, scale):
+            for x, c, _ in searched(vectors.matrix(column, scale, now.shape[1])[0], now):
                 yield c, x
 
         centroids = vectors.floor_means(centroids, *vectors.task_sums(rows, assigned, len(centroids), centroids.shape[1]))
@@ -91,26 +91,26 @@ def fit(rows: DataFrame, centroids: np.ndarray, rounds: int = ROUNDS, scale: int
 
 
 def clustered(rows: DataFrame, centroids: np.ndarray, scale: int = SCALE) -> DataFrame:
-    """rows (id, v): id, cluster, distance."""
+    """rows (id, v): id, cluster, distance of the finite vectors."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = [(c, d) for _, c, d in searched(batch.column(1), centroids, scale)]
+            whole, finite = vectors.matrix(batch.column(1), scale, centroids.shape[1])
+            if len(whole):
+                found = [(c, d) for _, c, d in searched(whole, centroids)]
                 c, d = (np.concatenate(part) for part in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int32()), vectors.longs(d)], ["id", "cluster", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(finite)), pa.array(c, pa.int32()), vectors.longs(d)], ["id", "cluster", "distance"])
 
     return rows.select("id", "v").mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, cluster int, distance long")
 
 
 def cluster(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", n_centroids: int = CENTROIDS, rounds: int = ROUNDS, scale: int = SCALE) -> DataFrame:
     """One row per kept vector: id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
-    kept = table.where(vectors.finite_col(F.col(vector_col)) & (F.size(vector_col) == WIDTH))
-    kept = kept.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = table.where(F.size(vector_col) == WIDTH).select(F.col(id_col).alias("id"), vectors.number_col(table, vector_col).alias("v"))
     place = F.sha2(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
-    first = [r.v for r in kept.orderBy(place, "v").select("v").limit(n_centroids).collect()]
-    centroids = fit(kept, vectors.whole(np.array(first), scale), rounds, scale) if first else np.zeros((0, WIDTH), dtype=np.int64)
-    found = common.materialize(clustered(kept, centroids, scale), "clusters")
+    first = [r.v for r in rows.where(vectors.finite_col(F.col("v"))).orderBy(place, "v").select("v").limit(n_centroids).collect()]
+    centroids = fit(rows, vectors.whole(np.array(first), scale), rounds, scale) if first else np.zeros((0, WIDTH), dtype=np.int64)
+    found = common.materialize(clustered(rows, centroids, scale), "clusters")
     # one row for each centroid: a bound, whatever the table's size
     sums = {r.cluster: int(r.n) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("n")).collect()}
     as_long = lambda n: n if n <= vectors.LONGEST else None

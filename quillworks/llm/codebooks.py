@@ -81,13 +81,14 @@ def cut(x: np.ndarray, parts: int) -> list[np.ndarray]:
 
 
 def fit(rows: DataFrame, first: np.ndarray, parts: int = PARTS, rounds: int = ROUNDS, scale: int = SCALE) -> list[np.ndarray]:
-    """Codebooks of each part position. rows: column v, vectors as long as those of `first`, the first entries."""
+    """Codebooks of each part position. rows: column v, vectors as long as those of `first`, the first entries; those
+    that are not finite do not count."""
     books, width = cut(first, parts), first.shape[1] // parts
     for _ in range(rounds):
         orchards = [Orchard(b) for b in books]
 
         def assigned(column: pa.Array, orchards: list[Orchard] = orchards) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for p, x in enumerate(cut(vectors.matrix(column, scale, width * parts), parts)):
+            for p, x in enumerate(cut(vectors.matrix(column, scale, width * parts)[0], parts)):
                 yield p * len(first) + orchards[p].nearest(x)[0], x
 
         totals, counts = vectors.task_sums(rows, assigned, parts * len(first), width)
@@ -96,7 +97,7 @@ def fit(rows: DataFrame, first: np.ndarray, parts: int = PARTS, rounds: int = RO
 
 
 def encoded(rows: DataFrame, books: list[np.ndarray], scale: int = SCALE) -> DataFrame:
-    """rows (v and others): the others with code and error in place of v."""
+    """rows (v and others): the others with code and error in place of v, for finite vectors."""
     parts, width = len(books), books[0].shape[1]
     others = [f for f in rows.schema if f.name != "v"]
     orchards = [Orchard(b) for b in books]
@@ -105,7 +106,10 @@ def encoded(rows: DataFrame, books: list[np.ndarray], scale: int = SCALE) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pieces = cut(vectors.matrix(batch.column(batch.schema.get_field_index("v")), scale, width * parts), parts)
+            whole, finite = vectors.matrix(batch.column(batch.schema.get_field_index("v")), scale, width * parts)
+            if not len(whole):
+                continue
+            batch, pieces = batch.filter(pa.array(finite)), cut(whole, parts)
             found = [o.nearest(x) for o, x in zip(orchards, pieces, strict=True)]
             digits = np.stack([f[0] for f in found], axis=1).astype(np.uint8).tobytes().hex()
             codes = pa.array([digits[i : i + 2 * parts] for i in range(0, len(digits), 2 * parts)])
@@ -117,21 +121,18 @@ def encoded(rows: DataFrame, books: list[np.ndarray], scale: int = SCALE) -> Dat
 
 def compress(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> DataFrame:
     """One row per kept vector: id, code (two hex digits a part), error, label_error, codebooks_sha256."""
-    v = F.col(vector_col).cast("array<double>")
-    kept = table.where(vectors.finite_col(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
+    rows = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vectors.number_col(table, vector_col).alias("v"))
+    finite, by_id = vectors.finite_col(F.col("v")), [F.col("id").asc_nulls_last(), "v"]
     fits = (F.size("v") > 0) & (F.size("v") % parts == 0)
-    by_id = [F.col("id").asc_nulls_last(), "v"]
-    least = kept.where(fits).orderBy(*by_id).select(F.size("v").alias("n")).limit(1).collect()
-    if not least:
-        coded, digest = kept.select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error")), hashlib.sha256(b"").hexdigest()
-    else:
-        width = least[0].n
-        whole = kept.where(F.size("v") == width)
-        first = vectors.whole(np.array([r.v for r in whole.orderBy(*by_id).select("v").limit(entries).collect()]), scale)
-        books = fit(whole, first, parts, rounds, scale)
+    least = rows.where(fits & finite).orderBy(*by_id).select(F.size("v").alias("n")).limit(1).collect()
+    digest, width = hashlib.sha256(b"").hexdigest(), least[0].n if least else -1
+    coded = rows.where(finite & (F.size("v") != width)).select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    if least:
+        same = rows.where(F.size("v") == width)
+        first = same.where(finite).orderBy(*by_id).select("v").limit(entries).collect()
+        books = fit(same, vectors.whole(np.array([r.v for r in first]), scale), parts, rounds, scale)
         digest = hashlib.sha256(vectors.comma_joined(np.stack([b.astype(object) for b in books])).encode()).hexdigest()
-        other = kept.where(F.size("v") != width).select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
-        coded = encoded(whole, books, scale).union(other)
+        coded = encoded(same, books, scale).union(coded)
     coded = common.materialize(coded, "codes")
     sums = common.materialize(coded.groupBy(F.col("label").alias("sum_label")).agg(F.try_sum("error").alias("label_error")), "label-errors")
     joined = coded.join(F.broadcast(sums) if sums.count() <= BROADCAST_LABELS else sums, F.col("label").eqNullSafe(F.col("sum_label")))

@@ -173,6 +173,16 @@ def test_transform_is_hadamard():
     assert ((centroids.transform(x) ** 2).sum(axis=1) == 8 * (x**2).sum(axis=1)).all()
 
 
+def test_batches_without_finite_vectors(spark):
+    """Tasks that hold none but odd vectors, and whole numbers as vectors."""
+    rows = [(i, [math.nan] * 64, 1) for i in range(40)] + [(i, [float(i % 7)] * 64, 1) for i in range(100, 110)]
+    made = spark.createDataFrame(rows, TABLE).repartitionByRange(4, "vec_id")
+    assert code_rows(codebooks.compress(made)) == plain_codes(rows)
+    assert cluster_rows(centroids.cluster(made)) == plain_clusters(rows)
+    ints = made.where("vec_id >= 100").withColumn("embedding", F.col("embedding").cast("array<int>"))
+    assert code_rows(codebooks.compress(ints)) == plain_codes(rows)
+
+
 def test_groupings_agree(table):
     one, many = (sorted(map(tuple, centroids.cluster(table.repartition(n)).collect()), key=repr) for n in (1, 7))
     assert one == many
