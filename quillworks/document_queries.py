@@ -132,18 +132,18 @@ def token_totals(spark, sf_dir):
 
 def fallback_summary(spark, sf_dir):
     rows = base._titled(spark, sf_dir).withColumn("doc_title", F.when(F.col("doc_id") % 4 > 0, F.col("doc_title")))
-    return measures.fallback_summary(measures.document_summary(rows), measures.top_sections(rows, 3))
+    return measures.fallback_summary(measures.document_summary(rows), measures.top_sections(rows))
 
 
 FALLBACK_SQL = f"""{base.S}, tops AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, no) AS rank FROM sections
 ), s AS (
   SELECT doc_id, count(*) AS n, CAST(sum({base.CHARS}) AS BIGINT) AS c, {base.CHAPTER} AS ch, any_value(book_id) AS book,
-    list('- ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || ' (' || id || ')' ORDER BY rank) FILTER (WHERE rank <= 3) AS keys FROM tops GROUP BY doc_id
+    list('- ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || ' (' || id || ')' ORDER BY rank) FILTER (WHERE rank <= 8) AS keys FROM tops GROUP BY doc_id
 )
 SELECT doc_id, array_to_string(list_concat(['# Chapter Summary: ' || CASE WHEN doc_id % 4 > 0 THEN coalesce(book, 'Unknown') ELSE 'Unknown' END, '', '## Overview',
   'Chapter ' || coalesce(ch, '?') || ' contains ' || n || ' sections with ' || c || ' characters of extracted content.', '', '## Key Sections'], keys,
-  ['', '## Metadata', '- Chapter: ' || coalesce(ch, 'n/a'), '- Sections: ' || n, '- Characters: ' || c, '- Model Used: unknown']), chr(10)) || chr(10) AS markdown FROM s"""
+  ['', '## Metadata', '- Chapter: ' || coalesce(ch, 'n/a'), '- Sections: ' || n, '- Characters: ' || c, '- Model Used: deterministic']), chr(10)) || chr(10) AS markdown FROM s"""
 
 
 def _glossary_sections(spark, sf_dir):

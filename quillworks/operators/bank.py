@@ -1,10 +1,16 @@
-"""Question banks: replies parsed, gated, deduplicated, accepted by section and nested."""
+"""Question banks: replies parsed, gated, deduplicated, accepted by section and nested.
+
+Defined results: replies, candidates and requirements with a null doc_id or section_id meet nothing and give no row; a
+null body, list of answers or subject is empty; equal candidates of one place (slot, attempt, pos) count once; an empty
+table gives an empty result; extra columns of candidates go along.
+"""
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,44 +24,63 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CORRECT, WRONG, STEM_WORDS, ANSWER_WORDS = 3, 8, 8, 5
 # Answers that say nothing.
 GENERIC = r"^((correct|incorrect|wrong)\s+option\s+\d+|option\s+\d+)$"
-REPLY = "struct<questions:array<struct<sectionId:string,question:string,correct_answers:array<variant>,wrong_answers:array<variant>,subjects:array<string>>>>"
 SLOT_TRIES = 6
+#: The best candidates of a section are found among this many parts of it first.
+RANK_PARTS = 16
+
+
+def json_part(text: Column) -> Column:
+    """A reply from its first { to its last }; null if there are none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def extract_json(text: Column) -> Column:
-    """The JSON object in a reply: the whole, or from the first { to the last }; null if that is no JSON."""
-    own = strip_col(text)
-    whole = F.try_parse_json(own)
-    inner = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(whole.isNotNull() & own.startswith("{"), own).when(F.try_parse_json(inner).isNotNull(), inner)
+    """The JSON object in a reply, which may stand in chatter; null if that part is no JSON."""
+    part = json_part(text)
+    return F.when(F.try_parse_json(part).isNotNull(), part)
 
 
-def pick_reply(replies: DataFrame, priority: DataFrame, key: str = "request_id") -> DataFrame:
-    """The good reply of the best provider for each request; unlisted providers come last, by name."""
-    ranks = priority.select(F.col("provider").alias("p_name"), F.col("rank").alias("p_rank"))
+def pick_reply(replies: DataFrame, priority: DataFrame, key: str = "request_id", order_col: str = "given") -> DataFrame:
+    """The good reply of the best provider for each request; unlisted providers come last, in the order they were given.
+
+    priority: provider, rank. order_col: the column with the place of a reply's provider as given. Ties go by name.
+    """
+    ranks = priority.select(F.lower(F.trim("provider")).alias("p_name"), F.col("rank").alias("p_rank"))
+    ranks = ranks.groupBy("p_name").agg(F.min("p_rank").alias("p_rank"))
     rows = replies.where("ok").join(ranks, F.col("provider") == F.col("p_name"), "left")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("p_rank").asc_nulls_last(), "provider"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("p_rank").asc_nulls_last(), F.col(order_col).asc_nulls_last(), "provider"))
     return rows.withColumn("p_place", place).where("p_place = 1").drop("p_name", "p_rank", "p_place")
 
 
+def text_of(value: Column) -> Column:
+    """A JSON string's text, trimmed; null for any other JSON value."""
+    return F.when(F.schema_of_variant(value) == "STRING", strip_col(F.try_variant_get(value, "$", "string")))
+
+
 def texts_col(answers: Column, most: int) -> Column:
     """Answers as JSON values, strings or objects with a text: trimmed, empties dropped, the first `most`."""
-    kind = lambda a: F.schema_of_variant(a)
-    text = lambda a: F.when(kind(a) == "STRING", F.try_variant_get(a, "$", "string")).when(kind(a).startswith("OBJECT"), F.try_variant_get(a, "$.text", "string"))
-    own = F.transform(F.coalesce(answers, F.array().cast("array<variant>")), lambda a: strip_col(F.coalesce(text(a), F.lit(""))))
+    none = F.array().cast("array<variant>")
+    own = F.transform(F.coalesce(answers, none), lambda a: F.coalesce(text_of(a), text_of(F.try_variant_get(a, "$.text", "variant"))))
     return F.slice(F.filter(own, lambda a: a != ""), 1, most)
 
 
 def parse_candidates(replies: DataFrame) -> DataFrame:
     """Candidates of replies (doc_id, section_id, slot, attempt, body): pos, question, correct, wrong, subjects.
 
-    Rows for another section are dropped. Replies without JSON give no row.
+    Candidates that name another section, or none, are dropped. Replies without JSON give no row. A reply is parsed once.
     """
-    body = F.from_json(extract_json(F.col("body")), REPLY)
-    rows = replies.select("doc_id", "section_id", "slot", "attempt", F.posexplode(body["questions"]).alias("pos", "q"))
-    named = F.nullif(strip_col(F.col("q.sectionId")), F.lit(""))
-    rows = rows.where(named.isNull() | (named == F.col("section_id")))
-    return rows.select("doc_id", "section_id", "slot", "attempt", "pos", strip_col(F.coalesce("q.question", F.lit(""))).alias("question"), texts_col(F.col("q.correct_answers"), CORRECT).alias("correct"), texts_col(F.col("q.wrong_answers"), WRONG).alias("wrong"), F.col("q.subjects").alias("subjects"))
+    asked = F.try_variant_get(F.try_parse_json(json_part(F.col("body"))), "$.questions", "array<variant>")
+    rows = replies.select("doc_id", "section_id", "slot", "attempt", F.posexplode(asked).alias("pos", "q"))
+    part = lambda path, kind: F.try_variant_get("q", path, kind)
+    rows = rows.where(strip_col(part("$.sectionId", "string")) == F.col("section_id"))
+    question = F.coalesce(text_of(part("$.question", "variant")), F.lit(""))
+    subjects = F.filter(F.transform(part("$.subjects", "array<string>"), strip_col), lambda x: x != "")
+    return rows.select(
+        "doc_id", "section_id", "slot", "attempt", "pos", question.alias("question"),
+        texts_col(part("$.correct_answers", "array<variant>"), CORRECT).alias("correct"),
+        texts_col(part("$.wrong_answers", "array<variant>"), WRONG).alias("wrong"),
+        subjects.alias("subjects"),
+    )
 
 
 def stem_fault_col(question: Column) -> Column:
@@ -78,44 +103,62 @@ def quality_gate(candidates: DataFrame) -> DataFrame:
 
 def accept_questions(candidates: DataFrame, required: DataFrame, mode: str = "batch") -> DataFrame:
     """Accepted questions with their number in the section. candidates: passed the gate; required: doc_id, section_id,
-    section_title, questions.
+    section_title, questions, one row for each section.
 
     Of equal stems in a section the earliest (slot, attempt, pos) counts. mode `batch`: the first `questions` of what is
-    left. mode `slots`: one at most for each slot, of its first six attempts.
+    left. mode `slots`: slots 1 to `questions` are filled in turn, each by the first candidate of its first six attempts
+    whose stem no earlier slot has taken; a slot may stay empty.
     """
     order = ["slot", "attempt", "pos"]
+    need = required.select(F.col("doc_id").alias("r_doc"), F.col("section_id").alias("r_section"), "section_title", F.greatest("questions", F.lit(1)).alias("needed"))
+    joined = candidates.join(need, (F.col("doc_id") == F.col("r_doc")) & (F.col("section_id") == F.col("r_section"))).drop("r_doc", "r_section")
+    rows = _by_slots(joined) if mode == "slots" else _first_ones(joined, order)
+    subjects = F.when(F.size(F.coalesce("subjects", F.array().cast("array<string>"))) > 0, F.col("subjects")).otherwise(F.array("section_title"))
+    return rows.withColumn("subjects", subjects).drop("needed")
+
+
+def _first_ones(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The first `needed` distinct stems of each section, numbered.
+
+    No window holds all candidates of a section: repeats of a stem go before and after the exchange by stem, then each of
+    a section's parts keeps its first ones, and the last window sees RANK_PARTS * needed rows at most.
+    """
     stem = F.sha2(F.lower("question"), 256)
-    first = F.row_number().over(Window.partitionBy("doc_id", "section_id", stem).orderBy(*order))
-    need = required.select(F.col("doc_id").alias("r_doc"), F.col("section_id").alias("r_section"), "section_title", F.col("questions").alias("needed"))
-    joins = (F.col("doc_id") == F.col("r_doc")) & (F.col("section_id") == F.col("r_section"))
-    if mode == "slots":
-        schema = "doc_id string, section_id string, slot int, attempt int, pos int"
-        keys = candidates.select(F.col("doc_id").cast("string").alias("doc_id"), "section_id", *[F.col(c).cast("int") for c in order], F.lower("question").alias("stem"))
-        # a group for each document: one for each section is thousands of tiny ones. Null ids meet nothing below
-        picked = keys.where("doc_id is not null and section_id is not null").groupBy("doc_id").applyInPandas(_pick_by_slots, schema).withColumnsRenamed({"doc_id": "s_doc", "section_id": "s_section", "slot": "s_slot", "attempt": "s_attempt", "pos": "s_pos"})
-        same = (F.col("doc_id").cast("string") == F.col("s_doc")) & (F.col("section_id") == F.col("s_section")) & (F.col("slot") == F.col("s_slot")) & (F.col("attempt") == F.col("s_attempt")) & (F.col("pos") == F.col("s_pos"))
-        rows = candidates.join(picked, same).drop("s_doc", "s_section", "s_slot", "s_attempt", "s_pos")
-    else:
-        rows = candidates.withColumn("turn", first).where("turn = 1").drop("turn")
-    rows = rows.join(need, joins)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "section_id", stem).orderBy(*order))
+    first = rows.withColumn("turn", turn).where("turn = 1").withColumn("part", F.pmod(F.xxhash64(F.lower("question")), F.lit(RANK_PARTS)))
+    in_part = F.row_number().over(Window.partitionBy("doc_id", "section_id", "part").orderBy(*order))
+    kept = first.withColumn("turn", in_part).where("turn <= needed").drop("turn", "part")
     number = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy(*order))
-    subjects = F.when(F.size(F.coalesce("subjects", F.array().cast("array<string>"))) > 0, F.col("subjects")).otherwise(F.array("section_title"))
-    return rows.withColumns({"number": number.cast("long"), "subjects": subjects}).where(F.col("number") <= F.col("needed")).drop("r_doc", "r_section", "needed")
-
-
-def _pick_by_slots(rows: pd.DataFrame) -> pd.DataFrame:
-    """One candidate for each slot of a section: the first whose stem no earlier slot there has taken."""
-    rows = rows[rows["attempt"] <= SLOT_TRIES].sort_values(["slot", "attempt", "pos"])
-    taken: set[tuple[str, str]] = set()
-    filled: set[tuple[str, int]] = set()
-    keep = []
-    for section, slot, stem in zip(rows["section_id"], rows["slot"], rows["stem"], strict=True):
-        fits = (section, slot) not in filled and (section, stem) not in taken
-        keep.append(fits)
-        if fits:
-            filled.add((section, slot))
-            taken.add((section, stem))
-    return rows[keep][["doc_id", "section_id", "slot", "attempt", "pos"]]
+    return kept.withColumn("number", number.cast("long")).where("number <= needed")
+
+
+def _by_slots(rows: DataFrame) -> DataFrame:
+    """The exact slot rule as a fold over sorted partitions: sections are dealt whole and read in order of slot, attempt
+    and pos, and the state of the open section is carried over the ends of Arrow batches.
+
+    A section's slots and attempts are bounded by its required number, so no task holds more than it has to.
+    """
+    keys = ["doc_id", "section_id"]
+    asked = rows.where((F.col("slot") >= 1) & (F.col("slot") <= F.col("needed")) & (F.col("attempt") <= SLOT_TRIES)).withColumn("stem", F.lower("question"))
+    dealt = asked.repartition(*keys).sortWithinPartitions(*keys, "slot", "attempt", "pos")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), "number long"])
+    return dealt.mapInArrow(_fold_slots, schema).drop("stem")
+
+
+def _fold_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    section, filled, taken = None, None, set()
+    for batch in batches:
+        fits, numbers = [], []
+        for doc, name, slot, stem in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "section_id", "slot", "stem")), strict=True):
+            if (doc, name) != section:
+                section, filled, taken = (doc, name), None, set()
+            fits.append(slot != filled and stem not in taken)
+            if fits[-1]:
+                filled = slot
+                taken.add(stem)
+                numbers.append(len(taken))
+        kept = batch.filter(pa.array(fits, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int64())], [*kept.schema.names, "number"])
 
 
 def shortfall(accepted: DataFrame, required: DataFrame) -> DataFrame:

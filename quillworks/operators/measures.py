@@ -41,9 +41,10 @@ def document_summary(sections: DataFrame) -> DataFrame:
 
 
 def top_sections(sections: DataFrame, k: int = TOP_SECTIONS) -> DataFrame:
-    """The k longest sections of each document, ties in order: doc_id, rank, id, title, chars."""
+    """The k longest sections of each document, ties in order: doc_id, rank, id (null if empty), title (`Untitled` if
+    empty), chars."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("chars"), "no"))
-    return sections.withColumn("chars", chars_col()).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("doc_id", "rank", "id", "title", "chars")
+    return sections.withColumn("chars", chars_col()).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("doc_id", "rank", F.nullif("id", F.lit("")).alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), "chars")
 
 
 def document_metrics(sections: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ FACTS = (
 )
 
 
-def fallback_summary(summaries: DataFrame, tops: DataFrame, model: str = "unknown", generated_at: str | None = None) -> DataFrame:
+def fallback_summary(summaries: DataFrame, tops: DataFrame, model: str = "deterministic", generated_at: str | None = None) -> DataFrame:
     """doc_id, markdown: overview, key sections and totals, from document_summary and top_sections. Its words."""
     keys = tops.groupBy(F.col("doc_id").alias("k_doc")).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "id"))).alias("keys"))
     some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))

@@ -35,8 +35,11 @@ def training_pairs(questions: DataFrame) -> DataFrame:
 
 
 def pair_totals(pairs: DataFrame) -> DataFrame:
-    """doc_id, total_pairs, correct_pairs, wrong_pairs."""
-    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_pairs"), F.count(F.when(F.col("label") == "correct", 1)).alias("correct_pairs"), F.count(F.when(F.col("label") == "wrong", 1)).alias("wrong_pairs"))
+    """doc_id, total_questions, total_pairs, correct_pairs, wrong_pairs."""
+    of = lambda label: F.count(F.when(F.col("label") == label, 1))
+    # a question has PAIRS pairs, so no second grouping by question is needed
+    total = F.count(F.lit(1))
+    return pairs.groupBy("doc_id").agg(F.floor(total / PAIRS).alias("total_questions"), total.alias("total_pairs"), of("correct").alias("correct_pairs"), of("wrong").alias("wrong_pairs"))
 
 
 def placeholder_pairs(bank: DataFrame) -> DataFrame:
@@ -66,14 +69,15 @@ def clean_records(replies: DataFrame, requests: DataFrame) -> DataFrame:
 
     replies: doc_id, book_id, chapter, body; requests: of record_request.
     """
-    rows = replies.select("doc_id", "book_id", "chapter", F.posexplode(F.from_json("body", RECORDS)["records"]).alias("pos", "r"))
     own = lambda c: strip_col(F.coalesce(c, F.lit("")))
     some = lambda c: F.nullif(c, F.lit(""))
+    # target and sample come with the reply, before records multiply: one join, and no second reading of the bank
+    asked = requests.select(F.col("doc_id").alias("a_doc"), "target", "sample")
+    rows = replies.join(asked, F.col("doc_id") == F.col("a_doc"))
+    rows = rows.select("doc_id", "book_id", "chapter", "target", "sample", F.posexplode(F.from_json("body", RECORDS)["records"]).alias("pos", "r"))
     rows = rows.withColumns({"instruction": own(F.col("r.instruction")), "response": own(F.col("r.response")), "qid": own(F.col("r.sourceQuestionId"))}).where("instruction <> '' and response <> ''")
-    asked = requests.select(F.col("doc_id").alias("a_doc"), "target")
-    sample = requests.select(F.col("doc_id").alias("s_doc"), F.explode("sample").alias("s"))
-    sample = sample.select("s_doc", F.col("s.question_id").alias("s_qid"), F.col("s.source").alias("s_source"), F.get("s.subjects", F.lit(0)).alias("s_topic"))
-    rows = rows.join(asked, F.col("doc_id") == F.col("a_doc")).join(sample, (F.col("doc_id") == F.col("s_doc")) & (F.col("qid") == F.col("s_qid")), "left")
+    rows = rows.withColumn("s", F.get(F.filter("sample", lambda q: q["question_id"] == F.col("qid")), 0))
+    rows = rows.withColumns({"s_source": F.col("s.source"), "s_topic": F.get("s.subjects", F.lit(0))}).drop("sample", "s")
     chapter = F.when(F.coalesce(F.col("chapter").cast("int"), F.lit(0)) == 0, "?").otherwise(F.col("chapter").cast("string"))
     fallback = F.coalesce(some(F.col("s_source")), F.concat(F.col("book_id"), F.lit(" chapter "), chapter))
     context = own(F.col("r.context"))
@@ -83,6 +87,20 @@ def clean_records(replies: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("doc_id", "number", "instruction", F.coalesce(some(short), fallback).alias("context"), "response", F.coalesce(some(own(F.col("r.metadata.source"))), fallback).alias("source"), F.coalesce(some(own(F.col("r.metadata.topic"))), F.col("s_topic"), F.lit("General")).alias("topic"), F.coalesce(some(own(F.col("r.metadata.difficulty"))), F.lit("Intermediate")).alias("difficulty"))
 
 
+def record_metadata(records: DataFrame, requests: DataFrame, headers: DataFrame) -> DataFrame:
+    """doc_id, chapter, chapter_title, total_records, target_total, type, model_used, model_version of every document
+    that has records.
+
+    headers: doc_id, chapter (0 counts as none), chapter_title, model_used, model_version, one row for each document.
+    """
+    counted = records.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_records"))
+    asked = requests.select(F.col("doc_id").alias("a_doc"), F.col("target").alias("target_total"))
+    named = headers.select(F.col("doc_id").alias("h_doc"), F.nullif("chapter", F.lit(0)).alias("chapter"), "chapter_title", "model_used", "model_version")
+    rows = counted.join(asked, F.col("doc_id") == F.col("a_doc"), "left").join(named, F.col("doc_id") == F.col("h_doc"), "left")
+    title = F.coalesce(F.nullif("chapter_title", F.lit("")), F.lit("Unknown"))
+    return rows.select("doc_id", "chapter", title.alias("chapter_title"), "total_records", "target_total", F.lit("instruction-training-record").alias("type"), "model_used", "model_version")
+
+
 def documents_without_records(requests: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id of the documents whose replies held no good record."""
     return requests.select("doc_id").join(records.select(F.col("doc_id").alias("r_doc")).distinct(), F.col("doc_id") == F.col("r_doc"), "left_anti")

@@ -188,15 +188,25 @@ def repeated_pair_ids(spark, sf_dir):
     return pairs.repeated_ids(pairs.placeholder_pairs(_placeholders(spark, sf_dir)))
 
 
-def clean_records(spark, sf_dir):
+def _record_replies(spark, sf_dir, rows):
     """One record reply per document, of all its sections: some records empty, some contexts too long."""
-    rows = _accepted(spark, sf_dir)
-    requests = pairs.record_request(rows)
     m = F.col("no") % 5
     entry = F.struct(F.when(m == 0, "").otherwise(F.concat(F.lit(" Explain "), "title")).alias("instruction"), F.when(m == 1, F.col("content")).otherwise("").alias("context"), F.concat(F.lit("It is about "), "title").alias("response"), F.concat(F.lit("DOC."), F.col("doc_id").cast("string"), F.lit("."), F.col("no").cast("string"), F.lit(".1")).alias("sourceQuestionId"), F.struct(F.when(m == 2, "a source").alias("source")).alias("metadata"))
-    made = _sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", entry.alias("e"))))["e"].alias("records"))
-    replies = made.select("doc_id", F.lit("DOC").alias("book_id"), F.col("doc_id").alias("chapter"), F.to_json(F.struct("records")).alias("body"))
-    return pairs.clean_records(replies, requests)
+    made = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", entry.alias("e"))))["e"].alias("records"))
+    return made.select("doc_id", F.lit("DOC").alias("book_id"), F.col("doc_id").alias("chapter"), F.to_json(F.struct("records")).alias("body"))
+
+
+def clean_records(spark, sf_dir):
+    requests = pairs.record_request(_accepted(spark, sf_dir))
+    return pairs.clean_records(_record_replies(spark, sf_dir, _sections(spark, sf_dir)), requests)
+
+
+def record_metadata(spark, sf_dir):
+    """The totals and the header of each document's records."""
+    requests = pairs.record_request(_accepted(spark, sf_dir))
+    records = pairs.clean_records(_record_replies(spark, sf_dir, _sections(spark, sf_dir)), requests)
+    headers = views.documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 7).alias("chapter"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("chapter_title"), F.lit("m-one").alias("model_used"), F.lit("2").alias("model_version"))
+    return pairs.record_metadata(records, requests, headers)
 
 
 def detailed_summary(spark, sf_dir):
@@ -254,6 +264,7 @@ QUERIES = {
     "placeholder_pairs": placeholder_pairs,
     "repeated_pair_ids": repeated_pair_ids,
     "clean_records": clean_records,
+    "record_metadata": record_metadata,
     "clean_text": clean_text,
     "process_documents": process_documents,
 }
@@ -432,7 +443,9 @@ UNION ALL SELECT doc_id, place, 'sectionBlueprints[' || place || '].requiredQues
     "repair_blueprint": f"{ROWS_SQL} SELECT doc_id, place, CASE WHEN regexp_matches(section_id, '^[0-9]') THEN book_id || '.' || section_id ELSE section_id END AS fixed_id, CAST(sum(required) OVER (PARTITION BY doc_id) AS BIGINT) AS target FROM bp",
     "repair_suggestions": f"{ROWS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(section_id, '^[0-9]')) AS bare_ids, max(stated) AS previous, CAST(sum(required) AS BIGINT) AS target, max(stated) <> sum(required) AS mismatch FROM bp GROUP BY doc_id",
     "document_summary": f"{S} SELECT doc_id, {CHAPTER} AS chapter, any_value(book_id) AS doc_title, count(*) AS section_count, CAST(sum({CHARS}) AS BIGINT) AS total_chars, 'Chapter ' || coalesce({CHAPTER}, '?') || ' contains ' || count(*) || ' sections with ' || CAST(sum({CHARS}) AS BIGINT) || ' characters of extracted content.' AS synopsis FROM sections GROUP BY doc_id",
-    "top_sections": f"{S} SELECT doc_id, rank, id, title, chars FROM (SELECT *, {CHARS} AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, no) AS rank FROM sections) WHERE rank <= 8",
+    "record_metadata": f"""{RECORDS_SQL}, n AS (SELECT doc_id, count(*) AS total_records, any_value(target) AS target_total FROM records WHERE number <= target GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN n.doc_id % 7 > 0 THEN n.doc_id % 7 END AS chapter, CASE WHEN n.doc_id % 3 > 0 THEN coalesce(source, 'Unknown') ELSE 'Unknown' END AS chapter_title, total_records, target_total, 'instruction-training-record' AS type, 'm-one' AS model_used, '2' AS model_version FROM n JOIN documents d USING (doc_id)""",
+    "top_sections": f"{S} SELECT doc_id, rank, id, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, chars FROM (SELECT *, {CHARS} AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, no) AS rank FROM sections) WHERE rank <= 8",
     "document_metrics": f"{METRICS_SQL} SELECT doc_id, n_sections, total_chars, questions, CAST(floor(CAST(total_chars AS DOUBLE) / n_sections + 0.5) AS BIGINT) AS mean_chars FROM metrics",
     "token_estimate": f"{METRICS_SQL} SELECT doc_id, output, CAST(floor(ci / 4 + 0.5) AS BIGINT) AS tokens_in, CAST(floor(co / 4 + 0.5) AS BIGINT) AS tokens_out, mandatory FROM estimates",
     "cost_estimate": f"""{METRICS_SQL}, sums AS (SELECT doc_id, sum(ci ORDER BY output) AS i, sum(co ORDER BY output) AS o, sum(CASE WHEN mandatory THEN ci ELSE 0 END) AS mi, sum(CASE WHEN mandatory THEN co ELSE 0 END) AS mo FROM estimates GROUP BY doc_id),
@@ -455,7 +468,7 @@ SELECT doc_id, overlap, overlap >= 0.72 AS excessive FROM (SELECT a.doc_id, max(
     "accept_questions": f"{ACCEPTED_SQL} SELECT doc_id, section_id, number, question_id, question FROM accepted",
     "shortfall": f"{ACCEPTED_SQL}, n AS (SELECT doc_id, section_id, count(*) AS c FROM accepted GROUP BY 1, 2) SELECT a.doc_id, a.id AS section_id, a.questions AS needed, coalesce(c, 0) AS accepted FROM allotted a LEFT JOIN n ON a.doc_id = n.doc_id AND a.id = n.section_id WHERE coalesce(c, 0) < a.questions",
     "training_pairs": f"{PAIRS_SQL} SELECT id, doc_id, question_id, source, input, output, label, pos FROM pairs",
-    "pair_totals": f"{PAIRS_SQL} SELECT doc_id, count(*) AS total_pairs, count(*) FILTER (WHERE label = 'correct') AS correct_pairs, count(*) FILTER (WHERE label = 'wrong') AS wrong_pairs FROM pairs GROUP BY doc_id",
+    "pair_totals": f"{PAIRS_SQL} SELECT doc_id, count(DISTINCT question_id) AS total_questions, count(*) AS total_pairs, count(*) FILTER (WHERE label = 'correct') AS correct_pairs, count(*) FILTER (WHERE label = 'wrong') AS wrong_pairs FROM pairs GROUP BY doc_id",
     "placeholder_pairs": f"{PLACEHOLDER_SQL} SELECT doc_id, id, input, output, label FROM placeholders",
     "repeated_pair_ids": f"{PLACEHOLDER_SQL} SELECT doc_id, id, count(*) AS n FROM placeholders GROUP BY 1, 2 HAVING count(*) > 1",
 }

@@ -62,10 +62,12 @@ def extracted_json(spark, sf_dir):
 
 
 def picked_replies(spark, sf_dir):
-    rows = base._sections(spark, sf_dir).withColumn("provider", F.explode(F.array(*map(F.lit, ("alpha", "beta", "delta", "gamma")))))
-    good = F.ascii(F.substring("provider", 1, 1)) % 4 != F.col("no") % 4
-    replies = rows.select(F.col("id").alias("request_id"), "provider", (good & (F.col("no") % 11 > 0)).alias("ok"))
-    priority = spark.createDataFrame([("gamma", 1), ("beta", 2)], "provider string, rank int")
+    """Four providers as given, two of them listed; which of them answers a request depends on its section's words."""
+    given = F.array(*map(F.lit, ("delta", "alpha", "gamma", "beta")))
+    rows = base._sections(spark, sf_dir).select("id", "no", "word_count", F.posexplode(given).alias("given", "provider"))
+    good = (F.col("word_count") + F.ascii(F.substring("provider", 1, 1))) % 3 != F.col("no") % 3
+    replies = rows.select(F.col("id").alias("request_id"), "provider", "given", (good & (F.col("no") % 11 > 0)).alias("ok"))
+    priority = spark.createDataFrame([(" Gamma", 1), ("beta", 2), ("gamma", 5)], "provider string, rank int")
     return bank.pick_reply(replies, priority).select("request_id", "provider")
 
 
@@ -78,7 +80,8 @@ def _replies(spark, sf_dir):
         F.lit('{"sectionId": "'), asked, F.lit('", "question": " What does the section say about '), tail, F.lit('? ", "correct_answers": ["first '), tail,
         F.lit('", {"text": " second '), tail, F.lit('"}, "  ", {"other": 1}, 7, null, "{third} '), tail, F.lit('", "fourth"], "wrong_answers": ["w1", {"text": "w2"}], "subjects": ["s"]}'),
     )
-    two = F.concat(F.lit('{"question": "Short '), tail, F.lit('?", "correct_answers": null}'))
+    of_section = F.when(F.col("no") % 3 == 0, "").otherwise(F.concat(F.lit('"sectionId": "'), "id", F.lit('", ')))
+    two = F.concat(F.lit('{'), of_section, F.lit('"question": "Short '), tail, F.lit('?", "correct_answers": null}'))
     body = F.concat(F.lit('{"questions": ['), one, F.lit(", "), two, F.lit("]}"))
     body = F.when(F.col("no") % 4 == 0, F.concat(F.lit("Sure, here:\n"), body, F.lit("\nAnything else?"))).when(F.col("no") % 7 == 3, F.lit("I cannot do that.")).otherwise(body)
     return rows.select("doc_id", F.col("id").alias("section_id"), F.lit(1).alias("slot"), "attempt", body.alias("body"))
@@ -96,8 +99,8 @@ PARSED_SQL = f"""{S}, tried AS (
   SELECT *, id || ' ' || attempt AS tail FROM tried WHERE NOT (no % 7 = 3 AND no % 4 <> 0)
 )
 SELECT doc_id, id AS section_id, CAST(attempt AS BIGINT) AS attempt, CAST(0 AS BIGINT) AS pos, 'What does the section say about ' || tail || '?' AS question, 'first ' || tail || '|second ' || tail || '|{{third}} ' || tail AS correct, 'w1|w2' AS wrong, 's' AS subjects
-FROM answered WHERE (no + attempt) % 5 <> 0
-UNION ALL SELECT doc_id, id, attempt, 1, 'Short ' || tail || '?', '', '', '' FROM answered"""
+FROM answered WHERE (no + attempt) % 5 <> 0 AND no % 5 <> 1
+UNION ALL SELECT doc_id, id, attempt, 1, 'Short ' || tail || '?', '', '', '' FROM answered WHERE no % 3 <> 0"""
 
 
 def gated_faults(spark, sf_dir):
@@ -159,24 +162,39 @@ def key_points(spark, sf_dir):
     return rows.select("doc_id", F.array_join(measures.key_points_col(points, titles), "|").alias("points"))
 
 
+def _slot_rows(spark, sf_dir):
+    """Three attempts for each of four slots, stems made of the section's own words (in changing case), some missing."""
+    four = F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))
+    rows = base._sections(spark, sf_dir).where("word_count > 0").withColumn("slot", four)
+    rows = rows.withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    at = (F.col("slot") * F.col("attempt") + F.col("no")) % F.least("word_count", F.lit(5))
+    word = F.get(F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " "), at.cast("int"))
+    letter = F.translate(F.substring(word, 1, 1), "ß", "ẞ")
+    stem = F.concat(F.lit("Stem "), F.when(F.col("attempt") == 2, F.upper(letter)).otherwise(letter))
+    return rows.where((F.col("no") + F.col("slot") * F.col("attempt")) % 4 > 0).select("doc_id", F.col("id").alias("section_id"), "slot", "attempt", F.lit(0).alias("pos"), stem.alias("question"), F.array().cast("array<string>").alias("subjects"))
+
+
 def slot_questions(spark, sf_dir):
-    """Questions by the exact slot rule: three attempts for each of two slots, stems that repeat."""
-    rows = base._sections(spark, sf_dir).withColumn("slot", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    stem = F.concat(F.lit("Stem "), ((F.col("no") + F.col("slot") * F.col("attempt")) % 3).cast("string"))
-    made = rows.where((F.col("no") + F.col("attempt")) % 4 > 0).select("doc_id", F.col("id").alias("section_id"), "slot", "attempt", F.lit(0).alias("pos"), stem.alias("question"), F.array().cast("array<string>").alias("subjects"))
-    need = base._sections(spark, sf_dir).select("doc_id", F.col("id").alias("section_id"), F.col("title").alias("section_title"), F.lit(2).alias("questions"))
-    return bank.accept_questions(made, need, "slots").select("doc_id", "section_id", F.col("slot").cast("long").alias("slot"), F.col("attempt").cast("long").alias("attempt"), "question", "number")
-
-
-#: Slot 1 takes its first attempt; slot 2 its first attempt with another stem.
-SLOTS_SQL = f"""{S}, tried AS (
-  SELECT doc_id, id, no, s.slot, a.attempt, 'Stem ' || ((no + s.slot * a.attempt) % 3) AS question FROM sections, (VALUES (1), (2)) s(slot), (VALUES (1), (2), (3)) a(attempt) WHERE (no + a.attempt) % 4 > 0
-), one AS (
-  SELECT doc_id, id, min(attempt) AS attempt, arg_min(question, attempt) AS question FROM tried WHERE slot = 1 GROUP BY 1, 2
-), two AS (
-  SELECT t.doc_id, t.id, min(t.attempt) AS attempt, arg_min(t.question, t.attempt) AS question FROM tried t JOIN one o USING (doc_id, id) WHERE t.slot = 2 AND t.question <> o.question GROUP BY 1, 2
+    """Questions by the exact slot rule; one to three are required, four slots were asked."""
+    need = base._sections(spark, sf_dir).select("doc_id", F.col("id").alias("section_id"), F.col("title").alias("section_title"), (F.col("no") % 3 + 1).alias("questions"))
+    found = bank.accept_questions(_slot_rows(spark, sf_dir), need, "slots")
+    return found.select("doc_id", "section_id", F.col("slot").cast("long").alias("slot"), F.col("attempt").cast("long").alias("attempt"), "question", "number")
+
+
+#: Slot after slot by recursion: the first attempt whose stem is not among those taken, if there is one.
+SLOTS_SQL = f"""WITH RECURSIVE {S.removeprefix("WITH ")}, tried AS (
+  SELECT doc_id, id, no % 3 + 1 AS needed, s.slot, a.attempt, string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ')[(s.slot * a.attempt + no) % least(word_count, 5) + 1][1] AS letter, replace(letter, 'ß', 'ẞ') AS c
+  FROM sections, (VALUES (1), (2), (3), (4)) s(slot), (VALUES (1), (2), (3)) a(attempt) WHERE word_count > 0 AND (no + s.slot * a.attempt) % 4 > 0
+), offers AS (
+  SELECT doc_id, id, needed, slot, list(struct_pack(attempt := attempt, question := 'Stem ' || CASE WHEN attempt = 2 THEN upper(c) ELSE c END) ORDER BY attempt) AS l FROM tried GROUP BY doc_id, id, needed, slot
+), steps AS (
+  SELECT doc_id, id, no % 3 + 1 AS needed, 0 AS slot, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS STRUCT(attempt INT, question VARCHAR)) AS pick FROM sections WHERE word_count > 0
+  UNION ALL
+  SELECT doc_id, id, needed, slot, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, lower(pick.question)) END, pick FROM (
+    SELECT s.doc_id, s.id, s.needed, s.slot + 1 AS slot, s.taken, list_filter(o.l, lambda x: NOT list_contains(s.taken, lower(x.question)))[1] AS pick
+    FROM steps s LEFT JOIN offers o ON o.doc_id = s.doc_id AND o.id = s.id AND o.slot = s.slot + 1 WHERE s.slot < s.needed)
 )
-SELECT doc_id, id AS section_id, CAST(1 AS BIGINT) AS slot, CAST(attempt AS BIGINT) AS attempt, question, CAST(1 AS BIGINT) AS number FROM one UNION ALL SELECT doc_id, id, 2, attempt, question, 2 FROM two"""
+SELECT doc_id, id AS section_id, CAST(slot AS BIGINT) AS slot, CAST(pick.attempt AS BIGINT) AS attempt, pick.question AS question, CAST(len(taken) AS BIGINT) AS number FROM steps WHERE pick IS NOT NULL"""
 
 QUERIES = {
     "id_contexts": id_contexts,
@@ -215,7 +233,7 @@ ORACLE_SQL = {
     "header_faults": " UNION ALL ".join(f"SELECT doc_id, 'questionBank.{f} must be a non-empty string.' AS error FROM documents WHERE text <> '' AND doc_id % {k + 2} = 0" for k, f in enumerate(blueprint.REQUIRED_STRINGS))
     + " UNION ALL SELECT doc_id, 'questionBank.sectionBlueprints must be a non-empty array.' FROM documents WHERE text <> '' AND doc_id % 9 = 0",
     "extracted_json": f"{S} SELECT doc_id, no, CASE WHEN no % 7 IN (0, 1, 4, 5) THEN {BODY} END AS json FROM sections",
-    "picked_replies": f"""{S}, r AS (SELECT id, no, p.*, row_number() OVER (PARTITION BY id ORDER BY rank NULLS LAST, provider) AS place FROM sections, (VALUES ('alpha', 97, NULL), ('beta', 98, 2), ('delta', 100, NULL), ('gamma', 103, 1)) p(provider, code, rank) WHERE code % 4 <> no % 4 AND no % 11 > 0)
+    "picked_replies": f"""{S}, r AS (SELECT id, no, p.*, row_number() OVER (PARTITION BY id ORDER BY rank NULLS LAST, given) AS place FROM sections, (VALUES ('delta', 0, 100, NULL), ('alpha', 1, 97, NULL), ('gamma', 2, 103, 1), ('beta', 3, 98, 2)) p(provider, given, code, rank) WHERE (word_count + code) % 3 <> no % 3 AND no % 11 > 0)
 SELECT id AS request_id, provider FROM r WHERE place = 1""",
     "parsed_candidates": PARSED_SQL,
     "gated_faults": f"{S} SELECT doc_id, no, CASE no % 7 WHEN 5 THEN 'no question mark' WHEN 2 THEN 'answer count' WHEN 4 THEN 'poor answer' WHEN 3 THEN 'equal answers' END AS fault FROM sections",
