@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillworks import queries as base
-from quillworks.operators import documents, lines, measures, sections
-from quillworks.plans import views
-from quillworks.sources import io
+from quillworks.operators import blueprint, documents, lines, measures, sections
+from quillworks.plans import views, workloads
+from quillworks.sources import io, runs
 
 LINES = "CASE WHEN len({0}) > 0 AND {0}[len({0})] = '' THEN {0}[1:len({0}) - 1] ELSE {0} END"
 GLOSSARY_HEAD = "A-1\nA\nA-2\nB\nA-3\nC\nA-4\nA-5\n"
@@ -107,7 +107,7 @@ def output_names(spark, sf_dir):
 
 def name_collisions(spark, sf_dir):
     existing = views.documents(spark, sf_dir).where("doc_id % 50 = 7").select(F.concat("source", F.lit("_"), (F.col("doc_id") % 400).cast("string"), F.lit(".json")).alias("file_name"))
-    return io.name_collisions(_names(spark, sf_dir).where("doc_id % 3 < 2"), existing)
+    return io.name_collisions(_names(spark, sf_dir), existing)
 
 
 def skip_existing(spark, sf_dir):
@@ -196,7 +196,71 @@ DETECTED_SQL = f"""{base.HEADINGS_SQL.replace("), merged AS (", "), all_merged A
 )
 SELECT doc_id, seq, title, content, CAST(len({views.words_sql("content")}) AS BIGINT) AS word_count FROM sectioned"""
 
+def made_outputs(spark, sf_dir):
+    """All outputs, written and read back: how many rows of each a document has."""
+    rows = base._titled(spark, sf_dir)
+    builders = workloads.output_builders(rows, views.candidates(spark, sf_dir), base._record_replies(spark, sf_dir, rows))
+    made = runs.make_outputs(spark, builders, set(builders), runs.new_folder(spark, "outputs"))
+    found = [made[n].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(n).alias("output"), "n") for n in sorted(made)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+MADE_SQL = f"""{base.RECORDS_SQL} SELECT doc_id, 'blueprint' AS output, count(*) AS n FROM sections GROUP BY doc_id UNION ALL SELECT doc_id, 'bank', count(*) FROM accepted GROUP BY doc_id
+UNION ALL SELECT doc_id, 'pairs', 11 * count(*) FROM accepted GROUP BY doc_id UNION ALL SELECT doc_id, 'records', count(*) FROM records WHERE number <= target GROUP BY doc_id UNION ALL SELECT DISTINCT doc_id, 'summary', CAST(1 AS BIGINT) FROM sections"""
+
+
+def written_documents(spark, sf_dir):
+    """Nested documents written as JSON by book and read back: the rows of their sections."""
+    path = runs.new_folder(spark, "documents")
+    book = F.coalesce(F.upper("d_source"), F.lit("none"))
+    of = views.documents(spark, sf_dir).select(F.col("doc_id").alias("d_doc"), F.col("source").alias("d_source"))
+    docs = _nested(spark, sf_dir).join(of, F.col("doc_id") == F.col("d_doc")).withColumn("book_id", book).drop("doc_id", "d_doc", "d_source")
+    io.write_documents(docs, path)
+    rows = io.document_sections(io.read_documents(spark, path, many=True))
+    return rows.select("chapter", "prefix", "doc_title", "no", "id", "title", F.length("content").alias("chars"), F.col("wordCount").alias("word_count"), F.col("sectionWeight").alias("section_weight"))
+
+
+WRITTEN_SQL = f"""{base.S} SELECT CAST(CASE WHEN doc_id % 10 <> 3 THEN doc_id % 30 END AS INT) AS chapter, CAST(doc_id AS VARCHAR) AS prefix, book_id AS doc_title, no, id, title, CAST(length(content) AS INT) AS chars, CAST(word_count AS INT) AS word_count, section_weight FROM sections"""
+
+
+def written_markdown(spark, sf_dir):
+    """Nested documents written as Markdown, many to a file, and read back."""
+    path = runs.new_folder(spark, "markdown")
+    io.write_markdown(_nested(spark, sf_dir), path)
+    return io.read_markdown(spark, path).select("name", "markdown")
+
+
+MARKDOWN_SQL = f"""{base.S}, doc AS (
+  SELECT doc_id, coalesce({base.CHAPTER}, '?') AS ch, any_value(book_id) AS book, count(*) AS n,
+    string_agg('## ' || id || ' - ' || title || chr(10) || chr(10) || CASE WHEN trim(content) = '' THEN '[No content extracted]' ELSE trim(content) END || chr(10), chr(10) ORDER BY no) AS body FROM sections GROUP BY doc_id
+)
+SELECT CAST(doc_id AS VARCHAR) AS name, rtrim('# Chapter ' || ch || ': ' || coalesce(book, 'Unknown') || chr(10) || chr(10) || '## Conversion Metadata' || chr(10) || '- Chapter Number: ' || ch || chr(10) || '- Section Count: ' || n || chr(10) || chr(10) || body, chr(10) || ' ') || chr(10) AS markdown FROM doc"""
+
+
+def read_blueprints(spark, sf_dir):
+    """Blueprints written as JSON, a third of them cut off or without a question bank, and read back with a flag."""
+    path = runs.new_folder(spark, "blueprints")
+    rows = blueprint.word_blueprint(base._sections(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", F.col("id").alias("sectionId"), F.col("questions").cast("int").alias("requiredQuestions")))).alias("s"))
+    bank = F.struct(F.col("doc_id").cast("string").alias("chapterId"), F.transform("s", lambda s: s.dropFields("no")).alias("sectionBlueprints"))
+    body = F.to_json(F.struct(bank.alias("questionBank")))
+    cut = F.when(F.size("s") % 3 == 1, F.substring(body, 1, 20)).when(F.size("s") % 3 == 2, '{"other": 1}').otherwise(body)
+    rows.select(cut.alias("value")).write.text(path)
+    found = spark.read.schema(io.BLUEPRINT).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    made = io.flag_bad(found)
+    return made.select("bad", F.col("questionBank.chapterId").alias("chapter_id"), F.aggregate(F.coalesce(F.col("questionBank.sectionBlueprints.requiredQuestions"), F.array().cast("array<int>")), F.lit(0), lambda n, x: n + x).cast("long").alias("questions"))
+
+
+READ_SQL = f"""{base.WORD_BLUEPRINT_SQL}, b AS (SELECT doc_id, count(*) AS n, CAST(sum(questions) AS BIGINT) AS q FROM allotted GROUP BY doc_id)
+SELECT n % 3 <> 0 AS bad, CASE WHEN n % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS chapter_id, CASE WHEN n % 3 = 0 THEN q ELSE 0 END AS questions FROM b"""
+
 QUERIES = {
+    "made_outputs": made_outputs,
+    "written_documents": written_documents,
+    "written_markdown": written_markdown,
+    "read_blueprints": read_blueprints,
     "document_types": document_types,
     "heading_audit": heading_audit,
     "chapter_numbers": chapter_numbers,
@@ -214,6 +278,10 @@ QUERIES = {
     "detected_sections": detected_sections,
 }
 ORACLE_SQL = {
+    "made_outputs": MADE_SQL,
+    "written_documents": WRITTEN_SQL,
+    "written_markdown": MARKDOWN_SQL,
+    "read_blueprints": READ_SQL,
     "document_types": DOCUMENT_TYPES_SQL,
     "heading_audit": f"{base.HEADINGS_SQL} SELECT doc_id, line_no, own, NOT prev_blank AS no_blank_before FROM hh WHERE passes",
     "chapter_numbers": CHAPTER_NUMBERS_SQL,
@@ -225,7 +293,7 @@ SELECT doc_id, 'WARNING: Only 1 section detected. Expected at least 2.' AS warni
 UNION ALL SELECT doc_id, 'WARNING: Section ''' || id || ' – ' || title || ''' is unusually short (' || length(content) || ' chars).' FROM n WHERE length(content) < 200""",
     "document_shapes": "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'empty object' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not an object' WHEN 4 THEN 'no known field' END AS problem FROM documents",
     "output_names": f"{NAMES_SQL} SELECT doc_id, file_name, trim(regexp_replace(regexp_replace('Chapter ' || file_name, '(?i)chapter', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '_') AS prefix FROM names",
-    "name_collisions": f"""{NAMES_SQL}, own AS (SELECT lower(file_name) AS lower_name FROM names WHERE doc_id % 3 < 2), there AS (SELECT DISTINCT lower(source || '_' || (doc_id % 400) || '.json') AS lower_name FROM documents WHERE doc_id % 50 = 7)
+    "name_collisions": f"""{NAMES_SQL}, own AS (SELECT lower(file_name) AS lower_name FROM names), there AS (SELECT DISTINCT lower(source || '_' || (doc_id % 400) || '.json') AS lower_name FROM documents WHERE doc_id % 50 = 7)
 SELECT lower_name, 'repeated in the run' AS reason FROM own GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT lower_name, 'file exists' FROM own WHERE lower_name IN (SELECT lower_name FROM there)""",
     "skip_existing": "SELECT doc_id, 'Out/' || source || '/' || doc_id AS path FROM documents WHERE doc_id % 4 <> 1",
     "token_totals": f"""{base.METRICS_SQL} SELECT doc_id, scope, CAST(floor(sum(ci) / 4 + 0.5) AS BIGINT) AS tokens_in, CAST(floor(sum(co) / 4 + 0.5) AS BIGINT) AS tokens_out, CAST(floor((sum(ci) + sum(co)) / 4 + 0.5) AS BIGINT) AS tokens_total

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.functions.textops import one_line_col, round_half_even
-from quillworks.operators.lines import CHAPTER_LINE, clean_own, own_documents
+from quillworks.functions.textops import one_line_col, round_half_even, strip_col
+from quillworks.operators.lines import CHAPTER_LINE, clean_own, join_wrapped, own_documents
 from quillworks.operators.sections import detect_sections
 
 CHAPTER_PREFIX = r"(?iU)^Chapter\s+\d+[\s:–\-]+"
@@ -32,19 +34,29 @@ def pick_title(sections: DataFrame) -> DataFrame:
     return rows.withColumns({"doc_title": title, "body_from": F.coalesce("marked", F.lit(0)) + 1}).drop("marked", "raw")
 
 
-def number_and_weigh(sections: DataFrame) -> DataFrame:
-    """sections (doc_id, id_prefix, seq, title, content, word_count): adds id, no (from 1), total_words, section_weight."""
+def number_and_weigh(sections: DataFrame, kept: Column | None = None) -> DataFrame:
+    """sections (doc_id, id_prefix, seq, title, content, word_count): adds id, no (from 1), total_words, section_weight.
+
+    With `kept`, only the sections for which it is true are numbered and count.
+    """
+    kept = F.lit(True) if kept is None else kept
     order, own = Window.partitionBy("doc_id").orderBy("seq"), Window.partitionBy("doc_id")
-    rows = sections.withColumn("no", F.row_number().over(order).cast("long")).withColumn("total_words", F.sum("word_count").over(own))
+    no, total = F.sum(kept.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum(F.when(kept, F.col("word_count"))).over(own)
+    rows = sections.withColumns({"no": no, "total_words": total})
     weight = round_half_even(F.col("word_count") / F.greatest(F.col("total_words"), F.lit(1)) * 100)
     return rows.withColumns({"id": F.concat_ws(".", F.col("id_prefix"), F.col("no").cast("string")), "section_weight": weight})
 
 
-def nest_document(sections: DataFrame) -> DataFrame:
-    """One row per document: chapter, prefix, title, totalSections, totalWords, sections."""
+def nest_document(sections: DataFrame, kept: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: chapter, prefix, title, totalSections, totalWords, sections, and the columns `also`.
+
+    With `kept`, only the sections for which it is true count; a document without one has a row of nulls.
+    """
+    kept = F.lit(True) if kept is None else kept
     entry = F.struct("no", "id", "title", "content", F.col("word_count").alias("wordCount"), F.col("section_weight").alias("sectionWeight"), F.array().cast("array<string>").alias("tags"))
-    made = sections.groupBy("doc_id").agg(F.first("chapter").alias("chapter"), F.first("id_prefix").alias("prefix"), F.first("doc_title").alias("title"), F.count(F.lit(1)).alias("totalSections"), F.sum("word_count").alias("totalWords"), F.array_sort(F.collect_list(entry)).alias("sections"))
-    return made.withColumn("sections", F.transform("sections", lambda s: s.dropFields("no")))
+    own = lambda c: F.max(F.when(kept, F.col(c)))
+    made = sections.groupBy("doc_id").agg(own("chapter").alias("chapter"), own("id_prefix").alias("prefix"), own("doc_title").alias("title"), F.nullif(F.count(F.when(kept, 1)), F.lit(0)).alias("totalSections"), F.sum(F.when(kept, F.col("word_count"))).alias("totalWords"), F.array_sort(F.collect_list(F.when(kept, entry))).alias("sections"), *[F.any_value(c).alias(c) for c in also])
+    return made.withColumn("sections", F.when(F.size("sections") > 0, F.transform("sections", lambda s: s.dropFields("no"))))
 
 
 def warnings_col() -> Column:
@@ -70,28 +82,40 @@ def shape_problems(raw: DataFrame, body_col: str = "body") -> DataFrame:
     return raw.withColumn("problem", F.when(keys.isNull(), "not an object").when(F.size(keys) == 0, "empty object").when(~known, "no known field"))
 
 
-def process_documents(docs: DataFrame) -> DataFrame:
-    """Raw texts (doc_id, source_name, doc_type, chapter_override, prefix, text) to sections with ids and weights.
+def own_sections(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped, error_col: str | None = None) -> DataFrame:
+    """Raw texts to the sections of own_documents(), weighed, with kept: false for those that the title takes.
 
-    One exchange deals the documents; cleaning, sections, title and weights are local to them. Null and repeated doc_ids
-    are documents of their own; a document whose only section gives the title has no row.
+    One exchange deals the documents; cleaning, sections, title and weights are local to them.
     """
     chapter = chapter_number_col(F.col("source_name"), F.col("chapter_override"))
     prefix = F.coalesce(F.nullif(F.trim("prefix"), F.lit("")), chapter.cast("string"))
-    named = docs.select("doc_id", "source_name", "doc_type", chapter.alias("chapter"), prefix.alias("id_prefix"), "text")
-    sections = pick_title(detect_sections(clean_own(own_documents(named))))
-    rows = number_and_weigh(sections.where("seq >= body_from").drop("body_from", "source_name", "doc_type"))
+    no_text = strip_col(F.coalesce("text", F.lit(""))) == ""
+    named = docs.select("doc_id", "source_name", "doc_type", chapter.alias("chapter"), prefix.alias("id_prefix"), no_text.alias("no_text"), "text")
+    sections = pick_title(detect_sections(clean_own(own_documents(named), fold=fold, error_col=error_col)))
+    return number_and_weigh(sections.withColumn("kept", F.col("seq") >= F.col("body_from")), F.col("kept"))
+
+
+def process_documents(docs: DataFrame) -> DataFrame:
+    """Raw texts (doc_id, source_name, doc_type, chapter_override, prefix, text) to sections with ids and weights.
+
+    Null and repeated doc_ids are documents of their own; a document whose only section gives the title has no row.
+    """
+    rows = own_sections(docs).where("kept").drop("kept", "body_from", "source_name", "doc_type", "no_text")
     return rows.withColumn("doc_id", F.col("own_id")).drop("own_id")
 
 
-def documents_with_status(docs: DataFrame) -> DataFrame:
-    """Raw texts to nested documents, each with warnings and a status: done, empty (no text) or untitled (no section left).
+def documents_with_status(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped) -> DataFrame:
+    """Raw texts to nested documents, each with warnings, a status and a reason.
 
-    One row per input row: a document that yields nothing keeps its row, so one failure stops nothing.
+    One row per input row, found in one job: documents that yield nothing are carried through all windows as a section
+    that does not count. Status: done, empty (no text), untitled (no section left), or failed, with the reason, where
+    Python's helper raised; a failure stops nothing.
     """
-    keyed = docs.withColumn("given_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
-    nested = nest_document(process_documents(keyed.drop("given_id"))).withColumn("warnings", warnings_col())
-    rows = keyed.select(F.col("doc_id").alias("key"), "given_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("no_text"))
-    joined = rows.join(nested, F.col("key") == F.col("doc_id"), "left")
-    status = F.when(F.col("sections").isNotNull(), "done").when(F.col("no_text"), "empty").otherwise("untitled")
-    return joined.withColumn("status", status).withColumn("doc_id", F.col("given_id")).drop("key", "given_id", "no_text")
+    rows = own_sections(docs, fold, "reason")
+    nested = nest_document(rows, F.col("kept"), also=("own_id", "no_text", "reason"))
+    bad = F.col("reason").isNotNull()
+    status = F.when(bad, "failed").when(F.col("no_text"), "empty").when(F.col("sections").isNull(), "untitled").otherwise("done")
+    told = nested.withColumns({"status": status, "doc_id": F.col("own_id")})
+    fine = F.col("status") == "done"
+    shown = [F.when(fine, F.col(c)).alias(c) for c in ("chapter", "prefix", "title", "totalSections", "totalWords", "sections")]
+    return told.select("doc_id", *shown, F.when(fine, warnings_col()).alias("warnings"), "status", "reason")

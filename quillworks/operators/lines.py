@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from quillworks.functions.textops import one_line_col, split_lines_col, strip_col
 
@@ -169,10 +169,18 @@ def join_wrapped(lines: list[str]) -> list[str]:
     return [" ".join(x.split()) for x in out]
 
 
-def joined_lines_col(lines: Column) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def join(series: pd.Series) -> pd.Series:
-        return series.map(lambda x: join_wrapped(list(x)))
+def joined_lines_col(lines: Column, fold: Callable[[list[str]], list[str]] = join_wrapped) -> Column:
+    """struct<lines, error>: the folded lines of each row, or why the fold failed on it. One bad row stops no other."""
+
+    def attempt(given) -> dict:
+        try:
+            return {"lines": fold(list(given)), "error": None}
+        except Exception as fault:  # whatever it is becomes the row's reason
+            return {"lines": [], "error": f"{type(fault).__name__}: {fault}"}
+
+    @F.pandas_udf("lines array<string>, error string")
+    def join(series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([attempt(x) for x in series], columns=["lines", "error"])
 
     return join(lines)
 
@@ -186,24 +194,34 @@ def own_documents(df: DataFrame) -> DataFrame:
     return numbered.repartition("doc_id")
 
 
-def clean_own(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """own_documents() rows with the cleaned text. An empty line put before each text keeps documents without lines."""
-    rest = [c for c in docs.columns if c != text_col]
+def clean_own(docs: DataFrame, text_col: str = "text", fold: Callable[[list[str]], list[str]] = join_wrapped, error_col: str | None = None) -> DataFrame:
+    """own_documents() rows with the cleaned text. An empty line put before each text keeps documents without lines.
+
+    A row on which the fold fails has the empty text, and its reason in error_col; without error_col it stops the job.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", text_col)]
     stripped = strip_artifacts(docs, text_col)
-    lines = stripped.select(*rest, F.posexplode(F.concat(F.array(F.lit("")), split_lines_col(F.col(text_col)))).alias("line_no", "line"))
+    lines = stripped.select("doc_id", *rest, F.posexplode(F.concat(F.array(F.lit("")), split_lines_col(F.col(text_col)))).alias("line_no", "line"))
     lines = rewrite_tables(drop_image_lines(drop_repeated_lines(lines)))
-    texts = lines.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    joined = F.array_join(joined_lines_col(F.col("lines.line")), "\n")
-    return texts.select(*rest, strip_col(F.regexp_replace(joined, "\n{3,}", "\n\n")).alias(text_col))
+    texts = lines.groupBy("doc_id").agg(*[F.any_value(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    texts = texts.withColumn("lines", joined_lines_col(F.col("lines.line"), fold))
+    error, joined = F.col("lines.error"), F.array_join(F.col("lines.lines"), "\n")
+    if error_col is None:
+        joined = F.when(error.isNull(), joined).otherwise(F.raise_error(error))
+    text = strip_col(F.regexp_replace(joined, "\n{3,}", "\n\n")).alias(text_col)
+    return texts.select("doc_id", *rest, text, *([error.alias(error_col)] if error_col else []))
 
 
 def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, the other columns, and the cleaned text; a document left without lines, or a null text, has the empty text.
 
-    Rows with a null or repeated doc_id are cleaned each for itself.
+    Rows with a null or repeated doc_id are cleaned each for itself; other columns, whatever their names and types, go
+    along unread.
     """
-    rest = [c for c in df.columns if c not in ("doc_id", text_col)]
-    return clean_own(own_documents(df), text_col).select(F.col("own_id").alias("doc_id"), *rest, text_col)
+    given = F.struct(*[df[c] for c in df.columns if c != text_col]).alias("given")
+    packed = df.select(F.lit(None).cast("long").alias("doc_id"), given, df[text_col].alias("text"))
+    others = [F.col("given")[c].alias(c) for c in df.columns if c not in ("doc_id", text_col)]
+    return clean_own(own_documents(packed)).select(F.col("given")["doc_id"].alias("doc_id"), *others, F.col("text").alias(text_col))
 
 
 def repeated_line_report(lines: DataFrame, top: int = 20, min_count: int = HEADER_COUNT, max_len: int = HEADER_LENGTH) -> DataFrame:

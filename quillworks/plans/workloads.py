@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillworks.operators import bank, blueprint, documents, measures, pairs
 from quillworks.plans import views
+from quillworks.sources import runs
 
 
 def section_documents(docs: DataFrame) -> DataFrame:
@@ -39,5 +40,26 @@ def costs(sections: DataFrame, prices: list[tuple[str, float, float]] = measures
     return measures.cost_estimate(measures.token_estimate(measures.document_metrics(sections)), prices)
 
 
+def output_builders(sections: DataFrame, candidates: DataFrame, replies: DataFrame) -> dict[str, runs.Builder]:
+    """How each output of the handbook jobs is made, the predecessors given as stored tables.
+
+    sections: of a document (with chapter and doc_title for summaries); replies: doc_id, book_id, chapter, body.
+    """
+
+    def records(made: dict[str, DataFrame]) -> DataFrame:
+        return pairs.clean_records(replies, pairs.record_request(made["bank"]))
+
+    def summary(made: dict[str, DataFrame]) -> DataFrame:
+        return measures.fallback_summary(measures.document_summary(sections), measures.top_sections(sections))
+
+    return {
+        "blueprint": lambda made: blueprint.word_blueprint(sections),
+        "bank": lambda made: question_bank(sections, candidates),
+        "pairs": lambda made: pairs.training_pairs(made["bank"]),
+        "records": records,
+        "summary": summary,
+    }
+
+
 def run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_data(views.para_sections(spark, sf_dir), views.candidates(spark, sf_dir))

@@ -10,7 +10,9 @@ DOCUMENT = f"chapter int, prefix string, title string, totalSections int, totalW
 BLUEPRINT_SECTION = "struct<sectionId:string,id:string,sectionIndex:int,sourceSectionId:string,sectionTitle:string,weightPercentage:double,requiredQuestions:int,subjects:array<string>,rationale:string,sourceWordCount:int,modelUsed:string>"
 BLUEPRINT = f"questionBank struct<chapterId:string,bookId:string,chapterTitle:string,sourceRelativePath:string,generatedAt:string,modelUsed:string,modelVersion:string,notes:string,totalRequiredQuestions:int,targetTotalQuestions:int,sectionBlueprints:array<{BLUEPRINT_SECTION}>>, _corrupt_record string"
 #: An output and those it is made from.
-NEEDS = {"bank": (), "pairs": ("bank",), "records": ("pairs",), "summary": ()}
+NEEDS = {"blueprint": (), "bank": (), "pairs": ("bank",), "records": ("bank", "pairs"), "summary": ()}
+#: Stands between the Markdown documents of a file. A text that holds it has the sign for it in its place.
+RECORD_END, RECORD_SIGN = "\x1e", "\u241e"
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +20,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_name"), F.col("value").alias("text"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Document JSON files, one object each; a file that is no JSON has its text in _corrupt_record."""
-    return spark.read.schema(DOCUMENT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+def read_documents(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """Document JSON files, one object each; a file that is no JSON has its text in _corrupt_record.
+
+    many: files with one document a line, as write_documents() leaves them.
+    """
+    return spark.read.schema(DOCUMENT).json(path, multiLine=not many, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
 
 
 def document_sections(docs: DataFrame) -> DataFrame:
@@ -28,15 +33,29 @@ def document_sections(docs: DataFrame) -> DataFrame:
     return docs.select("chapter", "prefix", F.col("title").alias("doc_title"), F.posexplode_outer("sections").alias("at", "s")).select("chapter", "prefix", "doc_title", (F.col("at") + 1).cast("long").alias("no"), "s.*")
 
 
+def flag_bad(blueprints: DataFrame) -> DataFrame:
+    """Adds bad: the row was no JSON or has no question bank. A bad row has no question bank."""
+    bad = F.col("_corrupt_record").isNotNull() | F.col("questionBank").isNull()
+    return blueprints.withColumn("bad", bad).withColumn("questionBank", F.when(~F.col("bad"), F.col("questionBank")))
+
+
 def read_blueprints(spark: SparkSession, path: str) -> DataFrame:
     """Blueprint JSON files with bad: the file is no JSON or has no question bank."""
-    rows = spark.read.schema(BLUEPRINT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return rows.withColumn("bad", F.col("_corrupt_record").isNotNull() | F.col("questionBank").isNull())
+    return flag_bad(spark.read.schema(BLUEPRINT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"))
+
+
+def clustered(docs: DataFrame, partition_col: str, id_col: str, files: int) -> DataFrame:
+    """Rows of one folder dealt to at most `files` tasks, by a hash of their id: a folder gets at most as many files."""
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(files))
+    return docs.repartition(F.col(partition_col), part).sortWithinPartitions(partition_col)
+
 
+def write_documents(docs: DataFrame, path: str, partition_col: str = "book_id", mode: str = "errorifexists", id_col: str | None = None, files: int = 8) -> None:
+    """One JSON object per document, many to a file, under a folder for each book with at most `files` files.
 
-def write_documents(docs: DataFrame, path: str, partition_col: str = "book_id", mode: str = "errorifexists") -> None:
-    """One JSON object per document under a folder for each book."""
-    docs.write.partitionBy(partition_col).mode(mode).json(path)
+    id_col tells documents apart (default: prefix). A large book is spread over `files` tasks; raise it with the size.
+    """
+    clustered(docs, partition_col, id_col or "prefix", files).write.partitionBy(partition_col).mode(mode).json(path)
 
 
 def markdown_col(chapter: Column, title: Column, sections: Column) -> Column:
@@ -47,16 +66,39 @@ def markdown_col(chapter: Column, title: Column, sections: Column) -> Column:
     return F.concat(F.regexp_replace(F.array_join(F.concat(head, body), "\n"), r"\s+$", ""), F.lit("\n"))
 
 
-def write_markdown(docs: DataFrame, path: str, partition_col: str = "doc_id", mode: str = "errorifexists") -> None:
-    docs.select(partition_col, markdown_col(F.col("chapter"), F.col("title"), F.col("sections")).alias("value")).write.partitionBy(partition_col).mode(mode).text(path)
+def write_markdown(docs: DataFrame, path: str, name_col: str = "doc_id", mode: str = "errorifexists", files: int = 8) -> None:
+    """Markdown documents, many to a file, at most `files` files under path/documents, and an index of names.
 
+    Every document begins with a comment that holds its name. The index (path/index: name, bucket, n_chars) tells in which
+    folder a name is, so one document is found without reading the others.
+    """
+    name = F.regexp_replace(F.coalesce(F.col(name_col).cast("string"), F.lit("")), "[\\r\\n]|-->", " ")
+    rows = docs.select(name.alias("name"), markdown_col(F.col("chapter"), F.col("title"), F.col("sections")).alias("markdown"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(files)))
+    text = F.translate(F.concat(F.lit("<!-- file: "), "name", F.lit(" -->\n"), "markdown"), RECORD_END, RECORD_SIGN)
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "name")
+    dealt.select("bucket", text.alias("value")).write.partitionBy("bucket").mode(mode).option("lineSep", RECORD_END).text(f"{path}/documents")
+    index = read_markdown(docs.sparkSession, path).select("name", "bucket", F.length("markdown").alias("n_chars"))
+    index.coalesce(1 if files <= 64 else files // 64).write.mode(mode).parquet(f"{path}/index")
 
-def with_needed(wanted: set[str]) -> list[str]:
-    """The wanted outputs and all they are made from, in order of making."""
+
+def read_markdown(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """name, bucket, markdown of the documents that write_markdown() has put there; with names, only their folders are read."""
+    rows = spark.read.option("basePath", f"{path}/documents").option("lineSep", RECORD_END).text(f"{path}/documents")
+    if names is not None:
+        found = spark.read.parquet(f"{path}/index").where(F.col("name").isin(names)).select("bucket").distinct().collect()
+        rows = rows.where(F.col("bucket").isin([r.bucket for r in found]))
+    head = F.regexp_extract("value", r"(?s)\A<!-- file: (.*?) -->\n", 1)
+    rows = rows.select(head.alias("name"), F.col("bucket").cast("long").alias("bucket"), F.regexp_replace("value", r"(?s)\A<!-- file: .*? -->\n", "").alias("markdown"))
+    return rows if names is None else rows.where(F.col("name").isin(names))
+
+
+def with_needed(wanted: set[str], needs: dict[str, tuple[str, ...]] = NEEDS) -> list[str]:
+    """The wanted outputs and all they are made from, in order of making. They are made by runs.make_outputs()."""
     out: list[str] = []
 
     def add(name: str) -> None:
-        for need in NEEDS.get(name, ()):
+        for need in needs.get(name, ()):
             add(need)
         if name not in out:
             out.append(name)
@@ -66,14 +108,6 @@ def with_needed(wanted: set[str]) -> list[str]:
     return out
 
 
-def write_outputs(outputs: dict[str, DataFrame], wanted: set[str], path: str, mode: str = "errorifexists") -> list[str]:
-    """Write the wanted outputs and those they are made from, one Parquet table each; returns their names."""
-    names = with_needed(wanted)
-    for name in names:
-        outputs[name].write.mode(mode).parquet(f"{path}/{name}")
-    return names
-
-
 def prefix_col(name: Column) -> Column:
     """A file prefix: the word chapter dropped, other characters than letters and digits made one underscore."""
     bare = F.regexp_replace(F.coalesce(name, F.lit("")), "(?i)chapter", "")

@@ -5,8 +5,10 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from quillworks import queries as core
 from quillworks.operators import documents, lines, measures, sections
-from quillworks.sources import io
+from quillworks.plans import views, workloads
+from quillworks.sources import io, runs
 
 SECTION = {"id": "3.1", "title": "Slow", "content": "words here", "wordCount": 2, "sectionWeight": 100.0, "tags": []}
 DOCUMENT = {"chapter": 3, "prefix": "AFH.3", "title": "Flight", "totalSections": 1, "totalWords": 2, "sections": [SECTION]}
@@ -52,20 +54,73 @@ def test_blueprints_flag_bad_files(spark, tmp_path):
     assert rows.where("not bad").first().questionBank.sectionBlueprints[0].sectionId == "AFH.3.1"
 
 
+def files_of(folder):
+    return [f"{d}/{f}" for d, _, names in os.walk(folder) for f in names if not f.startswith(("_", "."))]
+
+
 def test_markdown(spark, tmp_path):
     put(f"{tmp_path}/d", "a.json", json.dumps(DOCUMENT | {"sections": [SECTION, SECTION | {"id": "3.2", "content": " "}]}))
     docs = io.read_documents(spark, f"{tmp_path}/d").withColumn("doc_id", F.lit(1))
     io.write_markdown(docs, f"{tmp_path}/md")
-    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md/doc_id=1").collect())
-    assert text.split("\n")[:5] == ["# Chapter 3: Flight", "", "## Conversion Metadata", "- Chapter Number: 3", "- Section Count: 2"]
-    assert "## 3.1 - Slow\n\nwords here\n\n## 3.2 - Slow\n\n[No content extracted]" in text
-
-
-def test_chosen_outputs(spark, tmp_path):
-    made = {n: spark.createDataFrame([(n,)], "x string") for n in ("bank", "pairs", "records", "summary")}
-    assert io.write_outputs(made, {"records"}, f"{tmp_path}/o") == ["bank", "pairs", "records"]
-    assert sorted(os.listdir(f"{tmp_path}/o")) == ["bank", "pairs", "records"]
-    assert spark.read.parquet(f"{tmp_path}/o/pairs").first().x == "pairs"
+    (row,) = io.read_markdown(spark, f"{tmp_path}/md").collect()
+    assert row.name == "1" and row.markdown.split("\n")[:5] == ["# Chapter 3: Flight", "", "## Conversion Metadata", "- Chapter Number: 3", "- Section Count: 2"]
+    assert "## 3.1 - Slow\n\nwords here\n\n## 3.2 - Slow\n\n[No content extracted]" in row.markdown
+    with pytest.raises(Exception, match="(?i)exists"):
+        io.write_markdown(docs, f"{tmp_path}/md")
+
+
+def test_files_are_bounded(spark, tmp_path):
+    """Hundreds of documents of two books from many tasks, among them odd texts: few files, and all come back."""
+    rows = [(k, None if k % 97 == 0 else f"T\n{k}", "big" if k % 5 else "small", ["a\n\nb", "<!-- file: x -->\n", "\x1e", "", "é\r\nü "][k % 5]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, book_id string, content string").repartition(16)
+    section = F.struct(F.lit("1.1").alias("id"), F.col("title").alias("title"), "content", F.lit(1).alias("wordCount"), F.lit(100.0).alias("sectionWeight"), F.array().cast("array<string>").alias("tags"))
+    docs = docs.select("doc_id", "book_id", F.lit(1).alias("chapter"), F.col("doc_id").cast("string").alias("prefix"), "title", F.lit(1).alias("totalSections"), F.lit(1).alias("totalWords"), F.array(section).alias("sections"))
+    io.write_documents(docs.drop("doc_id"), f"{tmp_path}/json", files=3)
+    assert 2 <= len(files_of(f"{tmp_path}/json")) <= 6
+    lines_of = io.read_documents(spark, f"{tmp_path}/json", many=True).drop("_corrupt_record")
+    assert sorted(map(repr, lines_of.collect())) == sorted(map(repr, docs.select(*lines_of.columns).collect()))
+    io.write_markdown(docs, f"{tmp_path}/md", files=4)
+    assert len(files_of(f"{tmp_path}/md/documents")) <= 4 and len(files_of(f"{tmp_path}/md/index")) == 1
+    want = {str(r.doc_id): r.m.replace("\x1e", io.RECORD_SIGN) for r in docs.select("doc_id", io.markdown_col(F.col("chapter"), F.col("title"), F.col("sections")).alias("m")).collect()}
+    assert {r.name: r.markdown for r in io.read_markdown(spark, f"{tmp_path}/md").collect()} == want
+    some = io.read_markdown(spark, f"{tmp_path}/md", ["7", "nowhere"])
+    assert [(r.name, r.markdown) for r in some.collect()] == [("7", want["7"])]
+    assert {r.name: r.n_chars for r in spark.read.parquet(f"{tmp_path}/md/index").collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_outputs_come_from_stored_predecessors(spark, tmp_path):
+    """The bank is computed once for bank, pairs and records; what is there is not made again."""
+    path, calls, read = f"file://{tmp_path}/o", [], {}
+
+    def builder(name):
+        def make(made):
+            calls.append(name)
+            read.update({name: {n: d.inputFiles() for n, d in made.items()}})
+            return spark.range(3).withColumn("x", F.lit(name))
+
+        return make
+
+    builders = {n: builder(n) for n in io.NEEDS}
+    made = runs.make_outputs(spark, builders, {"records", "bank"}, path)
+    assert calls == ["bank", "pairs", "records"] and list(made) == calls
+    assert all(f.startswith(f"{path}/bank/") for n in ("pairs", "records") for f in read[n]["bank"]) and set(read["records"]) == {"bank", "pairs"}
+    assert runs.make_outputs(spark, builders, {"records", "summary"}, path)["pairs"].first().x == "pairs"
+    assert calls == ["bank", "pairs", "records", "summary"]
+    os.remove(f"{tmp_path}/o/pairs/_SUCCESS")  # a run was lost while it wrote
+    runs.make_outputs(spark, builders, {"records"}, path)
+    assert calls[4:] == ["pairs"]
+    runs.make_outputs(spark, builders, {"pairs"}, path, overwrite=True)
+    assert calls[5:] == ["bank", "pairs"]
+
+
+def test_handbook_outputs(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    rows = core._titled(spark, sf)
+    builders = workloads.output_builders(rows, views.candidates(spark, sf), core._record_replies(spark, sf, rows))
+    made = runs.make_outputs(spark, builders, {"records"}, f"file://{tmp_path}/o")
+    assert list(made) == ["bank", "pairs", "records"]
+    assert made["pairs"].count() == 11 * made["bank"].count()
+    assert all("/o/bank/" in f for f in builders["pairs"](made).inputFiles())
 
 
 DOCS = "doc_id long, source_name string, doc_type string, chapter_override int, prefix string, text string"
@@ -79,6 +134,46 @@ def test_status_of_every_row(spark):
     assert {r.chapter for r in got if r.status == "done"} == {4, 7}
 
 
+def folds_unless_bad(given):
+    if any("BREAKS" in x for x in given):
+        raise ValueError("cannot fold this")
+    return lines.join_wrapped(given)
+
+
+def test_failures_stop_nothing_and_are_redone(spark, tmp_path):
+    body = "\n".join(["Chapter 4: Slow Flight", "", "lead", "", "ENGINE STALLS", "", "x " * 150, "", "WING STALLS", "", "y " * 150])
+    rows = [(k, "ch_4.pdf", "auto", None, "", body.replace("lead", "it BREAKS") if k % 4 == 1 else body) for k in range(12)] + [(None, "b", "auto", None, "", body), (99, "e", "auto", None, "", "")]
+    docs, path = spark.createDataFrame(rows, DOCS), f"file://{tmp_path}/runs"
+    first = runs.run_documents(docs, path, folds_unless_bad).collect()
+    assert len(first) == 14
+    for r in first:
+        bad = r.doc_id is not None and r.doc_id % 4 == 1
+        assert (r.status, r.reason) == (("failed", "ValueError: cannot fold this") if bad else ("empty" if r.doc_id == 99 else "done", None))
+        assert (r.sections is None) == (r.status != "done") and r.run == 0
+    more = docs.unionByName(spark.createDataFrame([(200, "n", "auto", None, "", body)], DOCS))
+    second = runs.run_documents(more, path).collect()
+    assert len(second) == 15 and {r.doc_id for r in second if r.run == 1} == {1, 5, 9, 200}
+    assert {r.status for r in second} == {"done", "empty"}
+    assert {r.doc_id: r.run for r in runs.run_documents(more, path).collect()} == {r.doc_id: r.run for r in second}
+
+
+def test_status_in_one_job(spark):
+    """One scan, one exchange for the documents and one for their sections, no join back."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = documents.documents_with_status(views.dressed(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange ") <= 3 and "Join" not in text and text.count("FileScan") == 1 and "BatchEvalPython" not in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_extra_columns_go_along_unread(spark):
+    rows = spark.createDataFrame([(1, "a\nb", "kept", {"k": 1})], "doc_id long, text string, own_id string, m map<string,int>")
+    rows = rows.withColumns({c: F.lit(c) for c in ("given", "lines", "block", "own_line", "line")})
+    (row,) = lines.clean_text(rows).collect()
+    assert row.asDict() == {"doc_id": 1, "own_id": "kept", "m": {"k": 1}, "text": "a b"} | {c: c for c in ("given", "lines", "block", "own_line", "line")}
+
+
 def test_clean_text_keeps_rows_apart(spark):
     rows = spark.createDataFrame([(None, "a\nb"), (None, None), (5, "one\n\n\n\ntwo"), (5, "Item  Speed\nx  1\ny  2"), (6, "photo")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in lines.clean_text(rows).collect())
