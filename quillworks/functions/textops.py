@@ -47,9 +47,13 @@ def nearest_whole(c: Column) -> Column:
 
 
 def token_set_col(c: Column, least: int = 4) -> Column:
-    """Distinct lower-case tokens of at least `least` letters or digits a-z, 0-9."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")
-    return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= least))
+    """Distinct lower-case tokens: runs of at least `least` letters or digits a-z, 0-9."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0)))
+
+
+def has_tokens_col(c: Column, least: int = 4) -> Column:
+    """Whether token_set_col() finds any, at the cost of a search."""
+    return F.lower(F.coalesce(c, F.lit(""))).rlike(f"[a-z0-9]{{{least}}}")
 
 
 def jaccard_col(a: Column, b: Column) -> Column:

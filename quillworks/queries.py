@@ -93,10 +93,24 @@ def overlap_flags(spark, sf_dir):
 
 
 def similar_benchmark(spark, sf_dir):
-    """Sections that share most of their tokens with a benchmark item."""
+    """Sections that share most of their tokens with a benchmark item, by representatives of equal token sets."""
     left = _sections(spark, sf_dir).select(F.col("id"), F.col("content").alias("text"))
     right = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("id"), "text")
-    return simjoin.similar_texts(left, right, threshold=0.6)
+    return simjoin.similar_groups(left, right, threshold=0.6)
+
+
+def _similar_sections(spark, sf_dir):
+    return simjoin.similar_within(_sections(spark, sf_dir).select("id", F.col("content").alias("text")))
+
+
+def similar_sections(spark, sf_dir):
+    """All sections of all documents compared: linked pairs of classes of equal token sets."""
+    return _similar_sections(spark, sf_dir)[0]
+
+
+def section_classes(spark, sf_dir):
+    """Which class each section is in, how many it has, and how many other classes it is linked with."""
+    return _similar_sections(spark, sf_dir)[1]
 
 
 def image_line_filter(spark, sf_dir):
@@ -244,6 +258,8 @@ QUERIES = {
     "jaccard_overlap": jaccard_overlap,
     "overlap_flags": overlap_flags,
     "similar_benchmark": similar_benchmark,
+    "similar_sections": similar_sections,
+    "section_classes": section_classes,
     "detailed_summary": detailed_summary,
     "repeated_line_report": lambda s, d: lines.repeated_line_report(views.doc_lines(s, d)),
     "drop_repeated_lines": drop_repeated_lines,
@@ -395,6 +411,18 @@ SUMMARY_SQL = f"""{S}, docs AS (
   SELECT doc_id, any_value(book_id) AS book, list(struct_pack(t := CASE WHEN title = '' THEN 'Section ' || no ELSE title END, w := {views.words_sql("content")}) ORDER BY no) AS s FROM sections GROUP BY doc_id
 )"""
 
+#: Pairs that share a token are counted by token, and verified by that count.
+LINKED_SQL = f"""{S}, own AS (
+  SELECT id, list_sort({TOKENS.format('content')}) AS t FROM sections WHERE len({TOKENS.format('content')}) > 0
+), known AS MATERIALIZED (
+  SELECT min(id) AS class_id, count(*) AS n_members, t FROM own GROUP BY t
+), words AS MATERIALIZED (
+  SELECT class_id, CAST(len(t) AS INT) AS n, unnest(t) AS w FROM known
+), linked AS MATERIALIZED (
+  SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM words a JOIN words b ON a.w = b.w AND a.class_id < b.class_id AND b.n >= 0.72 * a.n AND a.n >= 0.72 * b.n
+  GROUP BY 1, 2 HAVING count(*) * 100 >= 72 * (any_value(a.n) + any_value(b.n) - count(*))
+)"""
+
 ORACLE_SQL = {
     "flag_headings": f"{HEADINGS_SQL} SELECT doc_id, line_no, own FROM hh WHERE is_heading",
     "merge_headings": f"{HEADINGS_SQL} SELECT doc_id, start_line, end_line, title FROM merged",
@@ -459,7 +487,10 @@ SELECT doc_id, trim(coalesce(string_agg(CASE WHEN cut IS NULL OR k < cut THEN li
     "jaccard_overlap": f"{S}, t AS (SELECT doc_id, no, {TOKENS.format('content')} AS t FROM sections) SELECT a.doc_id, a.no, {JACCARD.format(a='a.t', b='b.t')} AS similarity FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.no = a.no + 1",
     "overlap_flags": f"""{S}, t AS (SELECT doc_id, no, {TOKENS.format("CASE WHEN no = 1 THEN array_to_string((" + views.words_sql("content") + ")[1:220], ' ') ELSE content END")} AS t FROM sections)
 SELECT doc_id, overlap, overlap >= 0.72 AS excessive FROM (SELECT a.doc_id, max({JACCARD.format(a="a.t", b="b.t")}) AS overlap FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.no = 1 AND b.no > 1 GROUP BY a.doc_id)""",
-    "similar_benchmark": f"{S}, a AS (SELECT id AS left_id, {TOKENS.format('content')} AS t FROM sections), b AS (SELECT CAST(item_id AS VARCHAR) AS right_id, {TOKENS.format('text')} AS u FROM benchmark), p AS (SELECT left_id, right_id, {JACCARD.format(a='t', b='u')} AS similarity FROM a, b WHERE len(t) * 0.6 <= len(u) AND len(u) * 0.6 <= len(t)) SELECT left_id, right_id, similarity FROM p WHERE similarity >= 0.6",
+    "similar_benchmark": f"{S}, a AS (SELECT min(id) AS left_id, count(*) AS n_left, t FROM (SELECT id, list_sort({TOKENS.format('content')}) AS t FROM sections) WHERE len(t) > 0 GROUP BY t), b AS (SELECT min(right_id) AS right_id, count(*) AS n_right, u FROM (SELECT CAST(item_id AS VARCHAR) AS right_id, list_sort({TOKENS.format('text')}) AS u FROM benchmark) WHERE len(u) > 0 GROUP BY u), p AS (SELECT left_id, right_id, n_left, n_right, {JACCARD.format(a='t', b='u')} AS similarity FROM a, b WHERE len(t) * 0.6 <= len(u) AND len(u) * 0.6 <= len(t)) SELECT left_id, right_id, similarity, n_left, n_right FROM p WHERE similarity >= 0.6",
+    "similar_sections": f"{LINKED_SQL} SELECT class_a, class_b, similarity FROM linked",
+    "section_classes": f"""{LINKED_SQL}, ends AS (SELECT class_a AS c FROM linked UNION ALL SELECT class_b FROM linked), tallied AS (SELECT c, count(*) AS n FROM ends GROUP BY c)
+SELECT m.id, k.class_id, k.n_members, coalesce(n, 0) AS n_links FROM own m JOIN known k USING (t) LEFT JOIN tallied ON c = k.class_id""",
     "repeated_line_report": f"WITH {views.DOC_LINES_SQL}, c AS (SELECT doc_id, trim(line) AS own_line, count(*) AS n FROM doc_lines WHERE trim(line) <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, own_line) AS place FROM c) SELECT doc_id, own_line, n FROM r WHERE place <= 20 AND n >= 3 AND length(own_line) < 120",
     "drop_repeated_lines": f"WITH {views.DOC_LINES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM doc_lines) SELECT doc_id, count(*) AS n_kept, CAST(sum(length(line)) AS BIGINT) AS chars_kept FROM c WHERE trim(line) = '' OR n < 3 OR length(trim(line)) >= 120 GROUP BY doc_id",
     "line_stats": f"WITH {views.DOC_LINES_SQL} SELECT d.doc_id, CAST(count(l.line_no) AS BIGINT) AS n_lines, CAST(length(coalesce(any_value(d.text), '')) AS BIGINT) AS n_chars FROM documents d LEFT JOIN doc_lines l USING (doc_id) GROUP BY d.doc_id",

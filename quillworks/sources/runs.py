@@ -6,8 +6,6 @@ left half-written is written anew.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,27 +14,10 @@ from pyspark.sql import functions as F
 from quillworks.operators.documents import documents_with_status
 from quillworks.operators.lines import join_wrapped
 from quillworks.sources.io import NEEDS, with_needed
+from quillworks.sources.shared import finished, new_folder
 
+__all__ = ["finished", "make_outputs", "new_folder", "run_documents", "run_state"]
 Builder = Callable[[dict[str, DataFrame]], DataFrame]
-_LOCAL: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under spark.checkpoint.dir. Where that is unset: a temporary one in local mode, else an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _LOCAL:
-            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spark-runs-')}")
-        root = _LOCAL[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table's writer has left its mark of success."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def make_outputs(spark: SparkSession, builders: dict[str, Builder], wanted: set[str], path: str, needs: dict[str, tuple[str, ...]] = NEEDS, overwrite: bool = False) -> dict[str, DataFrame]:

@@ -192,7 +192,7 @@ def test_trim(spark):
 
 
 def test_reply_parsing_and_slots(spark):
-    good = '{"questions":[{"question":" Is this one of the right kind of stems?","correct_answers":["a",{"text":" b "},""],"wrong_answers":[]}]}'
+    good = '{"questions":[{"question":"no section id, so it is dropped"},{"sectionId":"s","question":" Is this one of the right kind of stems?","correct_answers":["a",{"text":" b "},""],"wrong_answers":[]}]}'
     rows = [("d", "s", 1, 1, f"Sure: {good} done"), ("d", "s", 2, 1, "no json"), ("d", "s", 3, 1, '{"questions":[{"sectionId":"other","question":"x"}]}')]
     df = spark.createDataFrame(rows, "doc_id string, section_id string, slot int, attempt int, body string")
     got = bank.parse_candidates(df).collect()
