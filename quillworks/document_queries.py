@@ -122,8 +122,8 @@ NAMES_SQL = """WITH names AS (
 )"""
 
 
-def document_status(spark, sf_dir):
-    return io.status_tally(documents.documents_with_status(views.dressed(spark, sf_dir)).withColumn("status", F.concat_ws(", ", "status", F.when(F.size("warnings") > 0, "warned"))))
+def with_status(spark, sf_dir):
+    return documents.documents_with_status(views.dressed(spark, sf_dir))
 
 
 def token_totals(spark, sf_dir):
@@ -271,7 +271,6 @@ QUERIES = {
     "output_names": output_names,
     "name_collisions": name_collisions,
     "skip_existing": skip_existing,
-    "document_status": document_status,
     "token_totals": token_totals,
     "fallback_summary": fallback_summary,
     "glossary_bodies": glossary_bodies,

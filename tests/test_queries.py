@@ -1,14 +1,14 @@
 """Every handbook query against its SQL, and what the plans look like."""
 
 import pytest
-from quillworks import document_queries, reply_queries
+from quillworks import cleaning_queries, document_queries, reply_queries
 from quillworks import queries as core
 
 from tests.compare import same_rows
 
 SF = "/root/testdata/sf0.001"
-QUERIES = core.QUERIES | document_queries.QUERIES | reply_queries.QUERIES
-ORACLE_SQL = core.ORACLE_SQL | document_queries.ORACLE_SQL | reply_queries.ORACLE_SQL
+QUERIES = core.QUERIES | document_queries.QUERIES | reply_queries.QUERIES | cleaning_queries.QUERIES
+ORACLE_SQL = core.ORACLE_SQL | document_queries.ORACLE_SQL | reply_queries.ORACLE_SQL | cleaning_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
