@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillworks import document_queries
 from quillworks import queries as base
 from quillworks.functions.textops import words_col
-from quillworks.operators import lines
+from quillworks.operators import lines, sections
 from quillworks.plans import views
 from quillworks.sources import io
 
@@ -64,6 +64,35 @@ def bullet_lines(spark, sf_dir):
     return rows.groupBy("doc_id").agg(bullet.alias("n_bullets"), F.count(F.when(lines.table_row_col(F.col("line")), 1)).alias("n_rows"))
 
 
+def _glossary_texts(spark, sf_dir):
+    """Texts as glossaries: terms in capitals under letters that fit the next term, or do not, page marks and tables."""
+    rows = views.doc_lines(spark, sf_dir)
+    k = F.col("line_no")
+    term = F.upper(F.translate(F.regexp_replace(F.array_join(F.slice(words_col(F.col("line")), 1, 3), " "), "[.:,]", ""), "ß", "ẞ"))
+    letter = F.when(k % 3 == 0, F.substring(term, 1, 1)).otherwise("Z")
+    ks = k.cast("string")
+    made = F.concat(
+        _some(k % 3 < 2, F.lit(""), letter), _some(k % 4 == 0, F.lit("")), F.array(F.lit(""), term, F.lit(""), F.col("line")), _some(k % 2 == 0, F.concat(F.lit("G-"), (k % 500).cast("string"))),
+        _some(k % 5 == 1, F.lit("Table columns: a | b"), F.concat(F.lit("- a: "), ks, F.lit("; b: y")), F.lit("")), _some(k % 7 == 2, F.lit("- c: x; d: y")), _some(k % 6 == 3, F.lit(" B ")),
+        *[F.array(F.concat(F.lit(f"more about it {j} at "), ks)) for j in range(9)],
+    )
+    return rows.groupBy("doc_id").agg(F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("line_no", made.alias("l"))))["l"]), "\n").alias("text"))
+
+
+def detected_glossary(spark, sf_dir):
+    """The sections of glossaries: letters and page marks, terms, and bodies without what tables have left."""
+    docs = _glossary_texts(spark, sf_dir).select("doc_id", F.lit("f").alias("source_name"), F.lit("glossary").alias("doc_type"), "text")
+    found = sections.detect_sections(docs.repartition("doc_id"))
+    return found.select("doc_id", F.col("seq").cast("long").alias("seq"), "title", "content", "word_count")
+
+
+def glossary_dividers(spark, sf_dir):
+    """How many lone letters of each glossary count as headings, and how many do not."""
+    rows = lines.explode_lines(_glossary_texts(spark, sf_dir)).repartition("doc_id").withColumn("is_glossary", F.lit(True))
+    flagged = sections.flag_headings(rows).where(F.col("own").rlike(sections.LONE_CAPITAL))
+    return flagged.groupBy("doc_id").agg(F.count(F.when(F.col("is_heading"), 1)).alias("n_kept"), F.count(F.when(~F.col("is_heading"), 1)).alias("n_dropped"))
+
+
 def document_status(spark, sf_dir):
     """Whole documents in one job: status, sections, words and warnings of each."""
     rows = document_queries.with_status(spark, sf_dir)
@@ -187,7 +216,37 @@ STATUS_SQL = f"""{PROCESSED_SQL}, counted_sections AS (
   FROM documents d LEFT JOIN dressed t ON t.doc_id = d.doc_id LEFT JOIN counted_sections c ON c.doc_id = d.doc_id
 )"""
 
+TERM = f"upper(replace(regexp_replace(array_to_string(({views.words_sql('line')})[1:3], ' '), '[.:,]', '', 'g'), 'ß', 'ẞ'))"
+#: As the SQL of detection, but for the text and the rule for headings, which looks at the next line that is not blank.
+_GLOSSARY = document_queries.DETECTED_SQL[len(base.STRIPPED_SQL) : document_queries.DETECTED_SQL.index(", b AS (")].replace(
+    "CASE WHEN regexp_matches(own, '(?i)^Chapter\\s+[0-9]+') AND NOT contains(own, '.') THEN true ELSE prev_blank AND passes END AS is_heading FROM pp",
+    "CASE WHEN regexp_full_match(own, '[A-Z]-[0-9]{1,3}') THEN false WHEN regexp_matches(own, '(?i)^Chapter\\s+[0-9]+') AND NOT contains(own, '.') THEN true WHEN regexp_full_match(own, '\\p{Lu}') THEN coalesce(upper(next_own[1]) = own, false) ELSE prev_blank AND passes END AS is_heading "
+    "FROM (SELECT *, first_value(CASE WHEN own <> '' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_own FROM pp)",
+)
+GLOSSARY_LINES_SQL = f"""WITH {views.DOC_LINES_SQL}, glossary_lists AS (
+  SELECT doc_id, line_no, list_concat(CASE WHEN k % 3 < 2 THEN ['', CASE WHEN k % 3 = 0 THEN term[1] ELSE 'Z' END] ELSE [] END, CASE WHEN k % 4 = 0 THEN [''] ELSE [] END, ['', term, '', line], CASE WHEN k % 2 = 0 THEN ['G-' || (k % 500)] ELSE [] END,
+    CASE WHEN k % 5 = 1 THEN ['Table columns: a | b', '- a: ' || k || '; b: y', ''] ELSE [] END, CASE WHEN k % 7 = 2 THEN ['- c: x; d: y'] ELSE [] END, CASE WHEN k % 6 = 3 THEN [' B '] ELSE [] END, list_transform(range(9), lambda j: 'more about it ' || j || ' at ' || k)) AS l
+  FROM (SELECT *, line_no AS k, {TERM} AS term FROM doc_lines)
+), stripped AS (
+  SELECT doc_id, array_to_string(flatten(list(l ORDER BY line_no)), chr(10)) AS text FROM glossary_lists GROUP BY doc_id
+){_GLOSSARY}"""
+DETECTED_GLOSSARY_SQL = f"""{GLOSSARY_LINES_SQL}, body_lines AS (
+  SELECT doc_id, seq, i AS k, l[i] AS line, trim(l[i]) AS own FROM (SELECT doc_id, seq, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, seq, string_split(content, chr(10)) AS l FROM bodies))
+), kinds AS (
+  SELECT *, starts_with(own, 'Table columns:') OR own = 'Table rows:' AS head, starts_with(own, '- ') AND contains(own, ':') AND contains(own, ';') AS item FROM body_lines WHERE NOT regexp_full_match(own, '[A-Z]-[0-9]{{1,3}}') AND NOT regexp_full_match(own, '\p{{Lu}}')
+), states AS (
+  SELECT *, coalesce(last_value(CASE WHEN own = '' THEN NULL WHEN head THEN true WHEN NOT item THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id, seq ORDER BY k), false) AS skips FROM kinds
+), kept_lines AS (
+  SELECT doc_id, seq, string_agg(CASE WHEN own = '' THEN '' ELSE line END, chr(10) ORDER BY k) FILTER (WHERE NOT head AND NOT (item AND skips)) AS t FROM states GROUP BY doc_id, seq
+), found AS (
+  SELECT b.doc_id, b.seq, b.title, trim(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), {SPACE}) AS content FROM bodies b LEFT JOIN kept_lines k ON k.doc_id = b.doc_id AND k.seq = b.seq
+  UNION ALL SELECT doc_id, 0, 'Content', trim(text, {SPACE}) FROM stripped WHERE doc_id NOT IN (SELECT doc_id FROM merged)
+)
+SELECT doc_id, seq, title, content, CAST(len({views.words_sql("content")}) AS BIGINT) AS word_count FROM found"""
+
 QUERIES = {
+    "detected_glossary": detected_glossary,
+    "glossary_dividers": glossary_dividers,
     "wrapped_lines": wrapped_lines,
     "rewritten_tables": rewritten_tables,
     "bullet_lines": bullet_lines,
@@ -195,6 +254,8 @@ QUERIES = {
     "status_tally": status_tally,
 }
 ORACLE_SQL = {
+    "detected_glossary": DETECTED_GLOSSARY_SQL,
+    "glossary_dividers": f"{GLOSSARY_LINES_SQL} SELECT doc_id, count(*) FILTER (WHERE is_heading) AS n_kept, count(*) FILTER (WHERE NOT is_heading) AS n_dropped FROM hh WHERE regexp_full_match(own, '\\p{{Lu}}') GROUP BY doc_id",
     "wrapped_lines": WRAPPED_SQL,
     "rewritten_tables": f"{TABLED_SQL}, {tables_sql('tabled')} SELECT doc_id, line_no, line FROM rewritten",
     "bullet_lines": f"{TABLED_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, {BULLET})) AS n_bullets, count(*) FILTER (WHERE {IS_ROW.format('line')}) AS n_rows FROM tabled GROUP BY doc_id",

@@ -236,3 +236,55 @@ def test_known_totals(spark):
     questions = spark.createDataFrame(rows, "doc_id long, id_base string, question_id string, section_no long, number long, question string, correct array<string>, wrong array<string>, source string, subjects array<string>")
     assert pairs.pair_totals(pairs.training_pairs(questions)).first().total_pairs == 484
     assert pairs.record_request(questions).first().target == 145
+
+
+def plain_fold(given):
+    """The rule for wrapped lines, letter by letter."""
+    spaces = " \t"
+
+    def cells(line):
+        parts, part, k = [], "", 0
+        while k < len(line):
+            end = k
+            while end < len(line) and line[end] in spaces:
+                end += 1
+            if "\t" in line[k:end] or end - k >= 2:
+                # a run of tabs, or of two blanks or more, ends a cell
+                parts, part, k = [*parts, part], "", end
+            else:
+                part, k = part + line[k : max(end, k + 1)], max(end, k + 1)
+        return [p for p in [*parts, part] if p.strip()]
+
+    def bullet(line):
+        head, _, rest = line.partition(" ")
+        return bool(rest.strip()) and (head in ("-", "*", "•") or (head[-1:] in (".", ")") and (head[:-1].isdigit() or (len(head) == 2 and head[0].isascii() and head[0].isalpha()))))
+
+    def chapter(line):
+        words = line.split()
+        return len(words) > 1 and words[0].lower() == "chapter" and words[1][0].isdigit()
+
+    apart = lambda line: bullet(line) or chapter(line) or len(cells(line)) >= 2
+    out, now = [], None
+    for line in (x.strip() for x in given):
+        if not line:
+            out += [now, ""] if now is not None else [""]
+            now = None
+        elif now is None or apart(now) or apart(line):
+            out += [now] if now is not None else []
+            now = line
+        elif now[-1] == "-" and line[0].isalnum():
+            now = now[:-1] + line
+        elif now[-1] not in ".!?:;" and (line[0].islower() or now[-1] in ",(/" or len(now) >= 60):
+            now += " " + line
+        else:
+            out.append(now)
+            now = line
+    return [" ".join(x.split()) for x in out + ([now] if now is not None else [])]
+
+
+def test_random_wrapped_lines():
+    rng = random.Random(12)
+    bits = ["", " ", "word", "Word", "and so on", "broken-", "ends.", "asks?", "open (", "list,", "a/", "- item here", "1. first", "b) second", "* star", "Chapter 3 Stalls", "chapter x", "one  two", "one\ttwo", "x" * 61, "Y" * 59, "4 more", "é", "-", "• dot", "A.", "ß go"]
+    for _ in range(20_000):
+        given = [rng.choice(bits) + rng.choice(["", "", " tail", "-"]) for _ in range(rng.randint(0, 9))]
+        assert lines.join_wrapped(given) == plain_fold(given), given
