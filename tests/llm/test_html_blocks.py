@@ -1,7 +1,10 @@
 """Pages whose elements have no end tag keep their text."""
 
+import random
+import time
+
 import pytest
-from quillworks.llm.html_blocks import blocks_of
+from quillworks.llm.html_blocks import PATH_PARTS, blocks_of, tags_of
 
 HEADS = ["<head><title>t</title><body>", "<head><title>t</title>", "<head><meta charset=utf-8><link href=x><script>'<body>'</script><!-- <p> --><style>p{}</style>", "<HEAD>\n<title>a <b> c</title>\n</HEAD>", "<head><title>t</title></head><body>", "<head><title>t"]
 
@@ -35,3 +38,88 @@ def test_math_is_text():
 
 def test_raw_text_goes_on():
     assert blocks_of("<script>never <p>closed") == [] and blocks_of("<style>never <p>closed") == []
+
+
+def test_quotes_count_after_an_equals_sign_alone():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p title=don't>Hello</p><p>it's</p><p>z</p>") == ["Hello", "it's", "z"]
+    assert texts('<p it\'s>One</p><p a=b="c>d</p><p "x">e</p>') == ["One", "d", "e"]
+    assert texts("<p a = 'x>y' b=\"<p>\">One</p><p>Two</p>") == ["One", "Two"]
+    assert texts('<p>One</p><p a="never closed>Two</p><p>Three</p>') == ["One", "Two", "Three"]
+    assert texts("1 < 2 <p>a<3 & b</p> <") == ["1 < 2", "a<3 & b", "<"]
+
+
+@pytest.mark.parametrize("name", ["svg", "object", "audio", "video", "canvas", "iframe", "noscript", "template", "script", "style"])
+def test_a_sentence_goes_on_after_a_silent_element(name):
+    assert [b.text for b in blocks_of(f"<p>Click <{name}>no</{name}> here now</p>")] == ["Click here now"]
+    assert [b.text for b in blocks_of(f"<p>one<{name}>no</{name}>word</p>")] == ["oneword"]
+
+
+def plain_tags(page):
+    """Tags by the states of a tokenizer, letter by letter. For pages whose quotes and comments are closed."""
+    out, i, n = [], 0, len(page)
+    while i < n:
+        if page[i] != "<":
+            i += 1
+            continue
+        start, j = i, i + 1
+        closing = j < n and page[j] == "/"
+        j += closing
+        if j >= n or not (page[j].isascii() and page[j].isalpha()):
+            if page.startswith("<!--", start):
+                i = page.index("-->", start + 4) + 3
+            elif closing or (j < n and page[j] in "!?"):
+                i = page.find(">", start + 1) + 1 or n
+            else:
+                i = start + 1
+            continue
+        name = ""
+        while j < n and page[j] not in " \n/>":
+            name, j = name + page[j], j + 1
+        state = "name"
+        while j < n:
+            c = page[j]
+            if state in ("\"", "'"):
+                state = "name" if c == state else state
+            elif c == ">":
+                break
+            elif state == "name":
+                state = "value" if c == "=" else "name"
+            elif state == "value":  # before a value
+                state = c if c in "\"'" else ("value" if c in " \n" else "bare")
+            elif c in " \n":
+                state = "name"
+            j += 1
+        if j >= n:
+            return out
+        out.append((start, j + 1, closing, name.lower()))
+        i = j + 1
+    return out
+
+
+def test_random_tags():
+    rng = random.Random(6)
+    bits = ["<p>", "</p>", "<p ", "<B/", "a", "=", "'", '"', " ", ">", "<", "/", "<!-- ' < -->", "<!x>", "</ >", "b=c", "x='y>'", 'x = "<i>"', "\n", "é", "<p a==", "<i x=y'z>"]
+    seen = 0
+    for _ in range(30_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = plain_tags(page)
+        # a quote that nothing closes has a rule of its own
+        if want and want[-1][1] < len(page) and any(q in page[want[-1][1] :] for q in "'\"") or any(q in page for q in "'\"") and not want:
+            continue
+        seen += 1
+        assert [(t.start, t.end, t.closing, t.name) for t in tags_of(page) if t.name] == want, page
+    assert seen > 10_000
+
+
+@pytest.mark.parametrize("unit", ["<div>", '<a b="', "<a b='x", "<svg ", "<svg>", "<p a=\"<i>\" ", "<script ", "<!-", "<a =", "<title>", "</", "<p></x>", "x<", "<li><center>"])
+def test_long_pages_are_linear(unit):
+    began = time.perf_counter()
+    blocks_of(unit * (400_000 // len(unit)) + "<p>end</p>")
+    assert time.perf_counter() - began < 5
+
+
+def test_paths_are_bounded_and_texts_are_not():
+    page = "<div class='a b'>" * 3_000 + "<p>deep</p>" + "</div>" * 3_000 + "<p>out</p>"
+    deep, out = blocks_of(page)
+    assert (deep.text, len(deep.path), deep.path[-1]) == ("deep", PATH_PARTS, "<p>") and (out.text, out.path) == ("out", ("<p>",))
