@@ -70,9 +70,14 @@ def discard(table: DataFrame) -> None:
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of a whole row, but for columns that cannot be hashed (maps, variants)."""
-    kinds = ((f.name, f.dataType.simpleString()) for f in docs.schema)
-    return F.xxhash64(*[docs[name] for name, kind in kinds if "map<" not in kind and "variant" not in kind])
+    """A hash of a whole row. Maps and variants, which have no hash, count as their JSON, a map by its sorted entries."""
+
+    def hashable(name: str, kind: str) -> Column:
+        if kind.startswith("map<") and "map<" not in kind[4:] and "variant" not in kind:
+            return F.array_sort(F.map_entries(docs[name]))
+        return F.to_json(F.struct(docs[name])) if "map<" in kind or "variant" in kind else docs[name]
+
+    return F.xxhash64(*[hashable(f.name, f.dataType.simpleString()) for f in docs.schema])
 
 
 def words_col(text: Column) -> Column:
