@@ -16,8 +16,8 @@ lanes of STRIDE tokens; a lane inside a text starts order - 1 tokens early, whic
 The corpus' n-grams are too many to broadcast. Documents are gathered in blocks of some MB (packed and compressed). Each
 block asks for its distinct n-grams, with its own training counts, at the n-gram's part, where the counts of all blocks
 are summed, and gets back the totals in the order of its question: the part of the automaton that its documents can
-touch. Keys are hashes of so many bits that under one n-gram in a million shares its key (from the characters of the
-corpus), sent as sorted, compressed arrays: a row for each block and part that has any. A frequent n-gram is one entry
+touch. Single tokens, whose counts are exact, are sent by all 64 bits of their hash; keys of longer n-grams have so many
+bits that under one in a million shares its key (from the characters of the corpus). They go as sorted, compressed arrays: a row for each block and part that has any. A frequent n-gram is one entry
 per block, so no key grows with its frequency; parts and their tasks follow the corpus.
 
 Defined results: a null text is empty and has its end token alone; without training documents every count is 0, base
@@ -50,6 +50,8 @@ BLOCK_CHARS = 2_000_000
 PART_CHARS, TASK_BLOCKS = 3_000_000, 4
 DISCOUNT, TOP, HALF, LEAST_COUNT = 0.5, 0.5, 5.0, 1
 STRIDE = 64
+#: Bits of a single token's key: all of its hash.
+TOKEN_BITS = 64
 END, START = 0, 1
 #: Ids of the end and start marks beside word hashes; no word hash is changed for them.
 END_HASH, START_HASH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -242,7 +244,7 @@ def ask(order: int, parts: int, bits: int):
         _, held, texts = unpack(body)
         (k1, own1), (k2, own2) = Grams(held, texts, order).asked()
         del texts
-        single, longer = Deal(k1, parts, bits), Deal(k2, parts, bits)
+        single, longer = Deal(k1, parts, TOKEN_BITS), Deal(k2, parts, bits)
         some = [p for p in range(parts) if single.size(p) or longer.size(p)]
         return pd.DataFrame({
             "part": some,
@@ -274,14 +276,14 @@ def summed(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return distinct, totals, totals[back], ends
 
 
-def add_up(parts: int, bits: int):
+def add_up(parts: int):
     """Totals of a part's n-grams for the blocks that asked. The first row has the part's tokens, types and texts too."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part, made, n = int(rows["part"].iloc[0]), {}, len(rows)
         tool = zstandard.ZstdCompressor(level=1)
         keys, totals, answer, ends = summed(rows["single"].tolist())
-        home, rest = divmod(START_HASH & ((1 << bits) - 1), part_width(parts, bits))
+        home, rest = divmod(START_HASH & ((1 << TOKEN_BITS) - 1), part_width(parts, TOKEN_BITS))
         start = (keys == np.uint64(rest)) & (home == part)
         made["single"] = [squeezed(tool, a) for a in np.split(answer, ends[:-1])]
         _, _, answer, ends = summed(rows["longer"].tolist())
@@ -297,7 +299,7 @@ def add_up(parts: int, bits: int):
 
 def answered(grams: Grams, rows: pd.DataFrame, parts: int, bits: int) -> list[np.ndarray]:
     """Totals by level for one block, from the answers of all parts."""
-    deals = [Deal(keys, parts, bits) for keys, _ in grams.asked()]
+    deals = [Deal(keys, parts, width) for (keys, _), width in zip(grams.asked(), (TOKEN_BITS, bits), strict=True)]
     rows = rows.sort_values("part")
     want = [p for p in range(parts) if deals[0].size(p) or deals[1].size(p)]
     if rows["part"].tolist() != want or rows["mark"].tolist() != [mark_of(deals[0].keys(p), deals[1].keys(p)) for p in want]:
@@ -425,7 +427,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     bits = min(64, chars.bit_length() + 18)
     grams = blocks.mapInPandas(ask(order, parts, bits), "part int, block long, mark long, single binary, longer binary")
     answers = grams.repartition(parts, "part").groupBy("part").applyInPandas(
-        add_up(parts, bits), "to_block long, part int, mark long, single binary, longer binary, tokens long, types long, texts long"
+        add_up(parts), "to_block long, part int, mark long, single binary, longer binary, tokens long, types long, texts long"
     )
     answers = common.materialize(answers, "answers")
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
