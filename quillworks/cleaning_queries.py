@@ -233,7 +233,7 @@ GLOSSARY_LINES_SQL = f"""WITH {views.DOC_LINES_SQL}, glossary_lists AS (
 DETECTED_GLOSSARY_SQL = f"""{GLOSSARY_LINES_SQL}, body_lines AS (
   SELECT doc_id, seq, i AS k, l[i] AS line, trim(l[i]) AS own FROM (SELECT doc_id, seq, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, seq, string_split(content, chr(10)) AS l FROM bodies))
 ), kinds AS (
-  SELECT *, starts_with(own, 'Table columns:') OR own = 'Table rows:' AS head, starts_with(own, '- ') AND contains(own, ':') AND contains(own, ';') AS item FROM body_lines WHERE NOT regexp_full_match(own, '[A-Z]-[0-9]{{1,3}}') AND NOT regexp_full_match(own, '\p{{Lu}}')
+  SELECT *, starts_with(own, 'Table columns:') OR own = 'Table rows:' AS head, starts_with(own, '- ') AND contains(own, ':') AND contains(own, ';') AS item FROM body_lines WHERE NOT regexp_full_match(own, '[A-Z]-[0-9]{{1,3}}') AND NOT regexp_full_match(own, '\\p{{Lu}}')
 ), states AS (
   SELECT *, coalesce(last_value(CASE WHEN own = '' THEN NULL WHEN head THEN true WHEN NOT item THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id, seq ORDER BY k), false) AS skips FROM kinds
 ), kept_lines AS (

@@ -161,11 +161,11 @@ def smooth_sections(sections: DataFrame, min_chars: int = LEAST_CHARS) -> DataFr
     return made.select("doc_id", *rest, seq.alias("seq"), "title", text.alias("content"))
 
 
-def outline(flagged: DataFrame, rest: list[str]) -> DataFrame:
+def outline(flagged: DataFrame, rest: list[str], min_size: int = CLUSTER_SIZE) -> DataFrame:
     """The bodies of flag_headings() rows in one go: merged headings, clusters dropped, lines given to sections.
 
     The same as merge_headings, drop_heading_clusters and assign_sections, but headings are never taken apart from the
-    lines and joined back: running values carry them. A document without headings is one section `Content`, with the text
+    lines and joined back: running values carry them. Clusters of min_size headings or more are dropped. A document without headings is one section `Content`, with the text
     that its first line holds (column whole).
     """
     order = order_by_line()
@@ -181,7 +181,7 @@ def outline(flagged: DataFrame, rest: list[str]) -> DataFrame:
     rows = rows.withColumn("cluster_size", F.sum("starts").over(Window.partitionBy("doc_id", "cluster")))
     of_part = Window.partitionBy("doc_id", "part")
     titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_heading"), F.struct("line_no", "own"))).over(of_part)), lambda x: x["own"]), " ")
-    rows = rows.withColumns({"real": (F.col("starts") == 1) & (F.col("cluster_size") < CLUSTER_SIZE), "end_line": F.max(heading("line_no")).over(of_part)})
+    rows = rows.withColumns({"real": (F.col("starts") == 1) & (F.col("cluster_size") < min_size), "end_line": F.max(heading("line_no")).over(of_part)})
     rows = rows.withColumn("head", F.when(F.col("real"), titles))
     rows = rows.withColumns({"seq": F.sum(F.col("real").cast("int")).over(order) - 1, "until": F.last(F.when(F.col("real"), F.col("end_line")), ignorenulls=True).over(order)})
     rows = rows.withColumn("found", F.max("seq").over(doc) >= 0).where("seq >= 0 or not found")

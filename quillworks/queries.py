@@ -146,9 +146,9 @@ def heading_clusters(spark, sf_dir):
 
 
 def _bodies(spark, sf_dir):
-    rows = _marked(spark, sf_dir)
-    headings = sections.merge_headings(sections.flag_headings(rows))
-    return sections.assign_sections(rows.select("doc_id", "line_no", "line"), headings)
+    """Bodies of all merged headings, in one pass over the lines; no cluster is dropped."""
+    flagged = sections.flag_headings(_marked(spark, sf_dir)).withColumn("whole", F.lit(None).cast("string"))
+    return sections.outline(flagged, [], min_size=1 << 30).where("found")
 
 
 def section_bodies(spark, sf_dir):

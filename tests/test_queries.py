@@ -40,3 +40,19 @@ def test_windows_share_one_exchange(spark):
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+#: Exchanges and scans at most: W2 (sections to pairs, and to records) and W3 (summaries, overlap, costs).
+MOST = {"training_pairs": (7, 3), "clean_records": (9, 4), "slot_questions": (4, 2), "document_summary": (1, 1), "overlap_flags": (4, 1), "cost_estimate": (1, 1), "detailed_summary": (2, 1), "parsed_candidates": (1, 1)}
+
+
+@pytest.mark.parametrize("name", sorted(MOST))
+def test_plans_of_pairs_and_summaries(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    exchanges, scans = MOST[name]
+    assert text.count("Exchange hashpartitioning") <= exchanges and text.count("FileScan") <= scans
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
