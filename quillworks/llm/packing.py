@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillworks.llm import common
 from quillworks.llm.common import worker_state
-from quillworks.llm.tokens import CLOSING, ModelIds, tokenizer_path
+from quillworks.llm.tokens import CLOSING, LONGEST, ModelIds, tokenizer_path
 
 common.ship(__name__)
 
@@ -44,11 +44,13 @@ class WordIds(dict):
     """word -> its token ids as little-endian bytes, by a tokenizer that drops white space. Misses are encoded by their stems.
 
     Two generations of at most `most` words each: words that were not met since the last change of generation go.
+    Words of over LONGEST characters are encoded whenever they are met and not kept.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         self.most, self.model, self.old, self.tails = most, ModelIds(path, lower=True), {}, {"": b""}
+
     def encoded(self, piece: str) -> bytes:
         return as_bytes(self.model.encode(piece))
 
@@ -59,6 +61,8 @@ class WordIds(dict):
         return as_bytes([t.id for t in self.model.model.tokenize(stem)])
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.encoded(word)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

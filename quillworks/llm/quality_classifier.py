@@ -29,6 +29,8 @@ from quillworks.llm.common import received, send, worker_state
 common.ship(__name__)
 
 BUCKETS = 1 << 18
+#: Characters of the longest word whose weight a worker keeps.
+LONGEST = 64
 #: The bound of the sample of rated documents that the model is fitted on.
 SAMPLE_SIZE = 8_000
 _SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\d_X]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1\1"))
@@ -145,16 +147,18 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 class WordWeights(dict):
-    """word -> the sum of its features' weights; a miss is worked out and kept, up to `most` words."""
+    """word -> the sum of its features' weights; a miss is worked out and, up to LONGEST characters, kept; up to `most` words."""
 
     def __init__(self, weights: np.ndarray, most: int = 400_000):
         super().__init__()
         self.weights, self.most = weights, most
 
     def __missing__(self, word: str) -> float:
-        if len(self) > self.most:
-            self.clear()
-        w = self[word] = float(sum(self.weights[b] for b in word_buckets(word)))
+        w = float(sum(self.weights[b] for b in word_buckets(word)))
+        if len(word) <= LONGEST:
+            if len(self) > self.most:
+                self.clear()
+            self[word] = w
         return w
 
     def eta(self, text: str) -> float:

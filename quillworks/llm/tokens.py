@@ -4,7 +4,8 @@ First tier: a compact table (chunk -> number of tokens) of the most frequent tex
 Second tier: each worker's own cache; a chunk missing from both is encoded by the tokenizer once and remembered.
 A chunk is what lies before a space that a visible character follows; the tokenizer never joins across such a place,
 so the counts of the chunks add up to the count of the text. No pre-token is ever shuffled: every task summarises its
-own chunks in a bounded table, and only those summaries are merged.
+own chunks in a bounded table, and only those summaries are merged. Chunks of over LONGEST characters (texts without
+spaces) are encoded whenever they are met and never kept, so tables and caches are bounded in bytes too.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row; the id may be null or
 repeated; extra columns are ignored; an empty table gives an empty result.
@@ -29,6 +30,8 @@ common.ship(__name__)
 #: A space inside a run of white space: here cutting at spaces could cut the run.
 _INNER_SPACE = re.compile(r"\s (?!\S)")
 _CUT = re.compile(r"(?= \S)")
+#: Characters of the longest piece of text that a cache, a summary or the broadcast table keeps.
+LONGEST = 64
 #: Closing marks of a word. They hold no apostrophe: contractions are left to the tokenizer.
 CLOSING = ".,;:!?"
 
@@ -61,6 +64,8 @@ class ModelIds:
         if not core.isalpha() or max(core) > "\xff":
             return self.encode(piece)
         tail = piece[len(stem) :]
+        if len(tail) > LONGEST:
+            return self.encode(piece)
         if tail not in self.tails:
             if len(self.tails) > 1_000:
                 self.tails = {"": []}
@@ -89,7 +94,7 @@ def chunks(text: str) -> list[str]:
 
 
 class LengthCache(dict):
-    """chunk -> token count; a miss is encoded and kept. Emptied when `most` chunks are held: memory stays bounded."""
+    """chunk -> token count; a miss is encoded and, up to LONGEST characters, kept. Emptied when `most` chunks are held."""
 
     def __init__(self, tier: dict[str, int], path: str, most: int = 400_000):
         super().__init__(tier)
@@ -97,6 +102,8 @@ class LengthCache(dict):
         self.special = [t.content for t in self.model.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: str) -> int:
+        if len(chunk) > LONGEST:
+            return len(self.model.ids(chunk))
         if len(self) > self.most:
             self.clear()
             self.update(self.tier)
@@ -111,14 +118,17 @@ class LengthCache(dict):
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = 20_000, per_task: int = 5_000, held: int = 100_000) -> dict[str, int]:
-    """The chunks met most often over all documents, with their counts: at most `size`, from bounded task summaries."""
+    """The chunks met most often over all documents, with their counts: at most `size`, from bounded task summaries.
+
+    Chunks of over LONGEST characters do not enter: they are hardly frequent, and one may be a whole text.
+    """
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 if text:
-                    seen.update(chunks(text))
+                    seen.update(c for c in chunks(text) if len(c) <= LONGEST)
                 if len(seen) > held:
                     seen = Counter(dict(seen.most_common(held // 2)))
         if top := seen.most_common(per_task):

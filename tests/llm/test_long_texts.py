@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -76,3 +77,37 @@ def test_classifiers(docs, labels):
     assert scored.where("score between 0 and 1").count() == 4
     graded = quality_classifier.score_documents(docs, quality_classifier.fit(docs, quality_classifier.graded(labels)))
     assert graded.where("tail between 0 and 1").count() == 4
+
+
+def test_caches_keep_no_long_pieces():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = ["".join(rng.choice(letters) for _ in range(100_000)), "文" * 100_000, "word" + "." * 100_000, "a" * 65]
+    texts = [f"{t} short words, twice over: {t}" for t in long] + ["b" * 64]
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    lengths, tokenizer = tokens.LengthCache({}, path), Tokenizer.from_file(path)
+    assert [lengths.count(t) for t in texts] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    ids, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    got = [a.tolist() for a in ids.ids(texts, 1)]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    weights = quality_classifier.WordWeights(np.arange(quality_classifier.BUCKETS, dtype=np.float32))
+    want = [sum(weights.weights[b] for b in quality_classifier.document_buckets(t, t.split())) + np.mean([sum(map(int, quality_classifier.word_buckets(w))) for w in t.split()]) for t in texts]
+    assert [weights.eta(t) for t in texts] == pytest.approx(want)
+    for cache in (lengths, ids, ids.old, weights, lengths.model.tails, ids.tails, ids.model.tails):
+        assert max(map(len, cache), default=0) <= 64
+    assert "b" * 64 in lengths and "b" * 64 in ids and "b" * 64 in weights
+
+    rows = toxicity.WordRows(np.zeros((toxicity.BUCKETS, 2), dtype=np.float32), most_chars=150_000)
+    for t in texts:
+        rows.trim()
+        assert rows.chars == sum(map(len, rows)) <= 150_000
+        for w in t.split():
+            assert rows[w] > 0
+        rows.fill()
+
+
+def test_frequent_chunks_hold_no_whole_text(spark):
+    rows = [("x" * 100_000,), ("x" * 100_000,), ("x" * 100_000,), ("a b a b",)]
+    assert tokens.frequent_chunks(spark.createDataFrame(rows, "text string")) == {" a": 1, " b": 2, "a": 1}
