@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+import itertools
 import pickle
 import sys
 import tempfile
@@ -97,3 +98,22 @@ def bounded_sample(rows: DataFrame, id_col: str, label_cols: list[str], size: in
     """
     one = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("sample_id")).agg(*[F.min(c).alias(c) for c in label_cols])
     return one.orderBy(F.xxhash64("sample_id"), "sample_id").limit(size)
+
+
+def within_chars(rows: DataFrame, order: list[str], size: int, chars: int) -> tuple[DataFrame, int]:
+    """The rows up to a cut, and how many of them to take in the order of the bigint columns `order`: at most `size`, and
+    as many as have `chars` characters of text together.
+
+    Sizes are looked at first (the driver sees `size` rows of numbers), so no text moves that does not fit. A text of
+    over a 64th of `chars` is left out: one long text cannot take the place of all others. Rows that are equal in
+    `order` are to hold equal texts; copies of the last one may follow it. A null text has no characters; no rows give
+    no rows.
+    """
+    length = F.coalesce(F.length("text"), F.lit(0))
+    rows = rows.where(length <= chars // 64)
+    first = rows.select(*order, length.alias("chars")).orderBy(*order).limit(size).collect()
+    taken = [r for r, total in zip(first, itertools.accumulate(r.chars for r in first), strict=True) if total <= chars]
+    if not taken:
+        return rows.limit(0), 0
+    last = F.struct(*[F.lit(taken[-1][c]).cast("bigint").alias(c) for c in order])
+    return rows.where(F.struct(*order) <= last), len(taken)

@@ -3,7 +3,7 @@
 P(grade > k) = sigmoid(w . x - threshold_k): one weight vector over hashed text features, shared by all grades, and
 ordered thresholds. Features are the hashed word, its shape and its ending, averaged over the words of the whole text,
 and a few hashed measures of the document (repetition, length). Fitted in numpy on a sample of at most `sample_size`
-rated documents (those with the lowest id hashes); every document is scored.
+rated documents (those with the lowest id hashes) and `sample_chars` characters; every document is scored.
 
 Defined results: a null or empty text has no word features and is scored by the rest; with no rated document, or one
 grade only, the expected grade is that grade (0 if none) for every document; rows that share an id are scored each for
@@ -33,6 +33,8 @@ BUCKETS = 1 << 18
 LONGEST = 64
 #: The bound of the sample of rated documents that the model is fitted on.
 SAMPLE_SIZE = 8_000
+#: The bound of their texts together.
+SAMPLE_CHARS = 64_000_000
 _SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\d_X]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1\1"))
 
 
@@ -130,8 +132,11 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150
     return OrdinalModel(par[:BUCKETS].astype(np.float32), np.cumsum(np.concatenate([par[BUCKETS : BUCKETS + 1], np.exp(par[BUCKETS + 1 :])])), grades)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_size: int = SAMPLE_SIZE) -> OrdinalModel:
-    """Fit on at most sample_size rated documents; their features, not their texts, come to the driver."""
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_size: int = SAMPLE_SIZE, sample_chars: int = SAMPLE_CHARS) -> OrdinalModel:
+    """Fit on at most sample_size rated documents and sample_chars characters; features, not texts, come to the driver.
+
+    Texts of over a 64th of sample_chars are not learned from.
+    """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,8 +146,8 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).cast("int").alias("grade")).where("grade is not null")
     sample = common.bounded_sample(rated, "rated_id", ["grade"], sample_size)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc") == F.col("sample_id"))
-    rows = texts.select(F.xxhash64("doc", "text").alias("key"), "grade", "text").mapInPandas(extract, "key long, grade int, buckets binary, values binary")
-    found = rows.orderBy("key", "grade").limit(sample_size).collect()
+    rows, n = common.within_chars(texts.select(F.xxhash64("doc", "text").alias("key"), "grade", "text"), ["key"], sample_size, sample_chars)
+    found = rows.mapInPandas(extract, "key long, grade int, buckets binary, values binary").orderBy("key", "grade").limit(n).collect()
     return fit_ordinal([(r.grade, np.frombuffer(r.buckets, dtype="<i4"), np.frombuffer(r["values"], dtype="<f4")) for r in found])
 
 

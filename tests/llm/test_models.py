@@ -5,7 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
-from quillworks.llm import html_extraction, quality_classifier, toxicity
+from pyspark.sql import functions as F
+from quillworks.llm import common, html_extraction, quality_classifier, toxicity
 
 TEXTS = ["one", "", None, "Ünder the (bridge), the river!", "a b a b a", " \t\n", "word " * 40 + "stop.", "mixed CASE Words with\nlines\nand lines", "x" * 300]
 
@@ -121,3 +122,25 @@ def test_quality_is_a_cumulative_link(spark):
         assert got[k].expected_grade == pytest.approx(sum(g * c for g, c in enumerate(chance)), abs=1e-5)
         assert got[k].tail == pytest.approx(chance[2], abs=1e-5)
         assert got[k].selected == (got[k].tail >= 0.4)
+
+
+def test_sample_bounded_by_characters(spark):
+    sizes = [10, 3_000, 0, 90, 64, 100, 100, 7, 101, 55]
+    rows = [(k, "x" * n) for k, n in enumerate(sizes)] + [(5, "x" * 100), (10, None), (11, "y" * 99), (11, "z" * 98)]
+    df = spark.createDataFrame(rows, "id long, text string").select("id", "text", F.xxhash64("id").alias("key"), F.xxhash64("text").alias("text_key"))
+    ordered = sorted((r.key, r.text_key, len(r.text or ""), r.id) for r in df.collect())
+    for size, chars in ((20, 6_400), (20, 640 * 10), (20, 400_000), (4, 400_000), (20, 64), (20, 1)):
+        want, total = [], 0
+        for key, text_key, n, i in (r for r in ordered if r[2] <= chars // 64):
+            total += n
+            if total > chars or len(want) == size:
+                break
+            want.append((key, text_key, n, i))
+        got, n = common.within_chars(df, ["key", "text_key"], size, chars)
+        got = got.orderBy("key", "text_key").limit(n).collect()
+        assert sorted((r.key, r.text_key, len(r.text or ""), r.id) for r in got) == want and len(got) == n
+    # cut by the sum: each text fits alone
+    many = spark.range(200).select(F.xxhash64("id").alias("key"), F.repeat(F.lit("x"), 10).alias("text"))
+    rows, n = common.within_chars(many, ["key"], 1_000, 640)
+    assert n == 64 and rows.count() == 64
+    assert common.within_chars(many.limit(0), ["key"], 10, 640)[1] == 0
