@@ -8,6 +8,7 @@ import pickle
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,16 @@ def worker_state() -> dict:
     return builtins.__dict__.setdefault("_quillworks_worker_state", {})
 
 
+def worker_cache(tag: object, make: Callable[[], dict]) -> dict:
+    """The cache of the operator at work in this Python worker. Workers are used again by later stages: what another
+    operator (or another model) has left is dropped before a new cache is made, so a worker holds one at most."""
+    state = worker_state()
+    if state.get("cache", (None,))[0] != tag:
+        state.pop("cache", None)
+        state["cache"] = tag, make()
+    return state["cache"][1]
+
+
 def send(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast a model. Its class goes along by value; open it with received()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
-from quillworks.llm.common import worker_state
+from quillworks.llm.common import worker_cache
 from quillworks.llm.tokens import CLOSING, LONGEST, ModelIds, tokenizer_path
 
 common.ship(__name__)
@@ -201,10 +201,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = worker_state()
-        if ("word ids", path) not in state:
-            state["word ids", path] = WordIds(path)
-        words = state["word ids", path]
+        words = worker_cache(("word ids", path), lambda: WordIds(path))
         levels, serial, out = Levels(capacity), TaskContext.get().partitionId() << 40, []
 
         def close(window: list) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
-from quillworks.llm.common import received, send, worker_state
+from quillworks.llm.common import received, send, worker_cache
 
 common.ship(__name__)
 
@@ -178,10 +178,8 @@ def scorer(spark: SparkSession, model: OrdinalModel):
 
     @F.pandas_udf("struct<expected_grade double, tails array<double>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        state, model = worker_state(), received(sent)
-        if state.get("quality weights", (None,))[0] != label:
-            state["quality weights"] = label, WordWeights(model.weights)
-        words = state["quality weights"][1]
+        model = received(sent)
+        words = worker_cache(("quality weights", label), lambda: WordWeights(model.weights))
         for texts in batches:
             eta = np.array([words.eta(t or "") for t in texts], dtype=np.float64)
             yield pd.DataFrame({"expected_grade": model.expected(eta), "tails": list(model.tails(eta))})

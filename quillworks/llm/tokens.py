@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
-from quillworks.llm.common import worker_state
+from quillworks.llm.common import worker_cache
 
 common.ship(__name__)
 
@@ -148,10 +148,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tier = spark.sparkContext.broadcast({c: encoder[c] for c in top})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, tag = worker_state(), (path, label)
-        if state.get("token lengths", (None,))[0] != tag:
-            state["token lengths"] = tag, LengthCache(tier.value, path)
-        cache = state["token lengths"][1]
+        cache = worker_cache(("token lengths", path, label), lambda: LengthCache(tier.value, path))
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n_bytes": [len(t) if t.isascii() else len(t.encode()) for t in texts], "n_tokens": [cache.count(t) for t in texts]})
