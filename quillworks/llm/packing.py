@@ -47,7 +47,7 @@ class WordIds(dict):
     Words of over LONGEST characters are encoded whenever they are met and not kept.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         self.most, self.model, self.old, self.tails = most, ModelIds(path, lower=True), {}, {"": b""}
 

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 class WordWeights(dict):
     """word -> the sum of its features' weights; a miss is worked out and, up to LONGEST characters, kept; up to `most` words."""
 
-    def __init__(self, weights: np.ndarray, most: int = 400_000):
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
 
