@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating star steps: every step is a join and an aggregation."""
+"""Connected components of a link table, by alternating star steps: every step is a join and an aggregation.
+
+Defined results: repeated links, either way round, count once; a link with a null end or from a node to itself is none
+(a node with no other has no row); extra columns are ignored; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
