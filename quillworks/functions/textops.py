@@ -34,7 +34,9 @@ def split_lines_col(c: Column) -> Column:
 
 
 def round_half_even(c: Column, places: int = 2) -> Column:
-    return F.bround(c, places)
+    """The scaled number's nearest whole, halves to even, scaled back: as DuckDB's round_even. bround() looks at the decimal
+    digits instead, and differs where a number such as 0.575 lies beside its half."""
+    return F.rint(c * 10**places) / 10**places
 
 
 def round_half_up(c: Column, places: int = 2) -> Column:

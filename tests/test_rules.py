@@ -3,8 +3,10 @@
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
+from quillworks.functions.textops import round_half_even
 from quillworks.operators import bank, blueprint, documents, lines, measures, pairs, sections, simjoin
 
 
@@ -288,3 +290,11 @@ def test_random_wrapped_lines():
     for _ in range(20_000):
         given = [rng.choice(bits) + rng.choice(["", "", " tail", "-"]) for _ in range(rng.randint(0, 9))]
         assert lines.join_wrapped(given) == plain_fold(given), given
+
+
+def test_weights_round_as_sql(spark):
+    """Shares that lie on or beside a half of a hundredth: 23 of 4,000 words are 0.575 per cent, which is below its half."""
+    con = duckdb.connect()
+    rows = con.execute("SELECT w, t, round_even(CAST(w AS DOUBLE) / t * 100, 2) FROM range(1, 8001) a(t), range(0, 8001) b(w) WHERE w <= t AND (w * 100000) % t = 0 AND (w * 100000 // t) % 10 = 5 AND (t % 4000 = 0 OR w < 9)").fetchall()
+    given = spark.createDataFrame(rows, "w long, t long, want double")
+    assert len(rows) > 500 and given.where(round_half_even(F.col("w") / F.col("t") * 100) != F.col("want")).count() == 0
