@@ -155,7 +155,8 @@ def links(distinct: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame
     home = distinct.select("fp").mapInPandas(at_home, "anchor long, a long")
     near = distinct.select("fp").mapInPandas(replicate, "near long, b long")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(near, (F.col("anchor") == F.col("near")) & close).select("a", "b")
+    # Spark takes 60 replicas of a row for one row, and would send them all through the driver as a small table
+    return home.join(near.hint("merge"), (F.col("anchor") == F.col("near")) & close).select("a", "b")
 
 
 def fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
