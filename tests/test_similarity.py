@@ -96,3 +96,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], TEXTS)
     pairs, members = simjoin.similar_within(none)
     assert pairs.collect() == [] and members.collect() == [] and simjoin.similar_groups(none, none).collect() == []
+
+
+def test_signs_leave_few_pairs_but_true_ones(spark):
+    """Sets that share a rare token and little else do not leave the join as pairs, and no pair at the threshold is lost."""
+    rng, t = random.Random(5), Fraction("0.72")
+    words = [f"word{k:04d}" for k in range(3_000)]
+    rows = [(k, ["aaaa", *rng.sample(words, rng.choice([12, 30, 80]))]) for k in range(60)]
+    rows += [(100 + k, [*w[: len(w) - len(w) // 8], *rng.sample(words, len(w) // 12)]) for k, w in rows]
+    sets = spark.createDataFrame([(k, sorted(set(w))) for k, w in rows], "key long, tokens array<string>")
+    other = sets.withColumnsRenamed({"key": "key_b", "tokens": "tokens_b"})
+    both = sets.withColumns({"size": F.size("tokens"), "sign": simjoin.sign_col(F.col("tokens"))}).join(other.withColumns({"size_b": F.size("tokens_b"), "sign_b": simjoin.sign_col(F.col("tokens_b"))}), F.col("key") < F.col("key_b"))
+    shared = F.size(F.array_intersect("tokens", "tokens_b"))
+    true = shared * t.denominator >= (F.col("size") + F.col("size_b") - shared) * t.numerator
+    allowed = simjoin.signs_allow(F.col("sign"), F.col("sign_b"), F.col("size"), F.col("size_b"), t)
+    n_true, n_allowed, n_lost = both.select(F.count_if(true), F.count_if(allowed), F.count_if(true & ~allowed)).first()
+    assert n_true >= 50 and n_lost == 0 and n_allowed <= n_true + 20
