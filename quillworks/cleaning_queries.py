@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillworks import document_queries
 from quillworks import queries as base
-from quillworks.functions.textops import words_col
+from quillworks.functions.textops import split_lines_col, words_col
 from quillworks.operators import lines, sections
 from quillworks.plans import views
 from quillworks.sources import io
@@ -24,12 +24,16 @@ def _some(condition, *texts):
 
 def _wrapped(spark, sf_dir):
     """Every text anew in lines of seven words, among them broken words, bullets, table rows, chapter lines and blanks."""
-    words = views.documents(spark, sf_dir).select("doc_id", words_col(F.col("text")).alias("w"))
-    rows = words.where(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WIDTH).cast("int"))).alias("j"))
-    line, j = F.array_join(F.slice("w", F.col("j") * WIDTH + 1, WIDTH), " "), F.col("j") + F.col("doc_id") % 5
-    line = F.when(j % 9 == 4, F.concat(line, F.lit("-"))).when(j % 11 == 5, F.concat(F.lit("- "), line)).when(j % 13 == 6, F.concat(F.get("w", 0), F.lit("  "), line)).when(j % 29 == 7, F.concat(F.lit("Chapter 4 "), line)).otherwise(line)
-    made = F.concat(F.array(line), _some(j % 17 == 8, F.lit("")), _some(j % 23 == 9, F.lit("word("), F.concat(F.lit("Upper "), F.get("w", 0))))
-    return rows.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("j", made.alias("l"))))["l"]).alias("l"))
+    words = views.documents(spark, sf_dir).select("doc_id", words_col(F.col("text")).alias("w")).where(F.size("w") > 0)
+
+    def made(at):
+        line, j = F.array_join(F.slice("w", at * WIDTH + 1, WIDTH), " "), at + F.col("doc_id") % 5
+        line = F.when(j % 9 == 4, F.concat(line, F.lit("-"))).when(j % 11 == 5, F.concat(F.lit("- "), line)).when(j % 13 == 6, F.concat(F.get("w", 0), F.lit("  "), line)).when(j % 29 == 7, F.concat(F.lit("Chapter 4 "), line)).otherwise(line)
+        return F.concat(F.array(line), _some(j % 17 == 8, F.lit("")), _some(j % 23 == 9, F.lit("word("), F.concat(F.lit("Upper "), F.get("w", 0))))
+
+    # no row for each line: it would hold all words of its text
+    places = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WIDTH).cast("int"))
+    return words.select("doc_id", F.flatten(F.transform(places, made)).alias("l"))
 
 
 def wrapped_lines(spark, sf_dir):
@@ -66,17 +70,23 @@ def bullet_lines(spark, sf_dir):
 
 def _glossary_texts(spark, sf_dir):
     """Texts as glossaries: terms in capitals under letters that fit the next term, or do not, page marks and tables."""
-    rows = views.doc_lines(spark, sf_dir)
-    k = F.col("line_no")
-    term = F.upper(F.translate(F.regexp_replace(F.array_join(F.slice(words_col(F.col("line")), 1, 3), " "), "[.:,]", ""), "ß", "ẞ"))
-    letter = F.when(k % 3 == 0, F.substring(term, 1, 1)).otherwise("Z")
-    ks = k.cast("string")
-    made = F.concat(
-        _some(k % 3 < 2, F.lit(""), letter), _some(k % 4 == 0, F.lit("")), F.array(F.lit(""), term, F.lit(""), F.col("line")), _some(k % 2 == 0, F.concat(F.lit("G-"), (k % 500).cast("string"))),
-        _some(k % 5 == 1, F.lit("Table columns: a | b"), F.concat(F.lit("- a: "), ks, F.lit("; b: y")), F.lit("")), _some(k % 7 == 2, F.lit("- c: x; d: y")), _some(k % 6 == 3, F.lit(" B ")),
-        *[F.array(F.concat(F.lit(f"more about it {j} at "), ks)) for j in range(9)],
-    )
-    return rows.groupBy("doc_id").agg(F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("line_no", made.alias("l"))))["l"]), "\n").alias("text"))
+    docs = views.documents(spark, sf_dir).select("doc_id", split_lines_col(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+
+    def dressed(line, k):
+        term = F.upper(F.translate(F.regexp_replace(F.array_join(F.slice(words_col(line), 1, 3), " "), "[.:,]", ""), "ß", "ẞ"))
+        ks = k.cast("string")
+        # the term is made once for a line
+        return F.get(F.transform(F.array(term), lambda t: around(line, k, ks, t)), 0)
+
+    def around(line, k, ks, term):
+        letter = F.when(k % 3 == 0, F.substring(term, 1, 1)).otherwise("Z")
+        return F.concat(
+            _some(k % 3 < 2, F.lit(""), letter), _some(k % 4 == 0, F.lit("")), F.array(F.lit(""), term, F.lit(""), line), _some(k % 2 == 0, F.concat(F.lit("G-"), (k % 500).cast("string"))),
+            _some(k % 5 == 1, F.lit("Table columns: a | b"), F.concat(F.lit("- a: "), ks, F.lit("; b: y")), F.lit("")), _some(k % 7 == 2, F.lit("- c: x; d: y")), _some(k % 6 == 3, F.lit(" B ")),
+            *[F.array(F.concat(F.lit(f"more about it {j} at "), ks)) for j in range(9)],
+        )
+
+    return docs.select("doc_id", F.array_join(F.flatten(F.transform("lines", dressed)), "\n").alias("text"))
 
 
 def detected_glossary(spark, sf_dir):

@@ -56,3 +56,10 @@ def test_plans_of_pairs_and_summaries(spark, name):
     exchanges, scans = MOST[name]
     assert text.count("Exchange hashpartitioning") <= exchanges and text.count("FileScan") <= scans
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
+
+
+@pytest.mark.parametrize("name", ["_wrapped", "_glossary_texts"])
+def test_made_texts_need_no_row_for_each_line(spark, name):
+    """Lines are put round a text where it is: rows for its lines, each with all its words, would be dealt and sorted."""
+    text = plan(getattr(cleaning_queries, name)(spark, SF))
+    assert "Generate" not in text and "Exchange" not in text
