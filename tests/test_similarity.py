@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillworks.functions.textops import has_tokens_col, token_set_col
 from quillworks.operators import simjoin
 
-from tests.test_queries import plan
+from tests.test_queries import QUERIES, plan
 
 TEXTS = "id string, text string"
 
@@ -112,3 +112,11 @@ def test_signs_leave_few_pairs_but_true_ones(spark):
     allowed = simjoin.signs_allow(F.col("sign"), F.col("sign_b"), F.col("size"), F.col("size_b"), t)
     n_true, n_allowed, n_lost = both.select(F.count_if(true), F.count_if(allowed), F.count_if(true & ~allowed)).first()
     assert n_true >= 50 and n_lost == 0 and n_allowed <= n_true + 20
+
+
+def test_benchmark_pairs_name_every_copy(spark, tmp_path):
+    text = "alpha bravo charlie delta echoes"
+    spark.createDataFrame([(1, "s", text), (2, "s", text), (3, "s", text + " foxtrot"), (4, "s", "quite other words")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text), (8, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.left_id, r.right_id) for r in QUERIES["similar_benchmark"](spark, str(tmp_path)).collect()}
+    assert got == {(f"{d}.1", i) for d in (1, 2, 3) for i in ("7", "8")}
