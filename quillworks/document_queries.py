@@ -10,6 +10,8 @@ from quillworks.plans import views, workloads
 from quillworks.sources import io, runs
 
 LINES = "CASE WHEN len({0}) > 0 AND {0}[len({0})] = '' THEN {0}[1:len({0}) - 1] ELSE {0} END"
+#: Characters of the documents to a file of Markdown.
+FILE_CHARS = 32_000_000
 GLOSSARY_HEAD = "A-1\nA\nA-2\nB\nA-3\nC\nA-4\nA-5\n"
 
 
@@ -229,7 +231,8 @@ WRITTEN_SQL = f"""{base.S} SELECT CAST(CASE WHEN doc_id % 10 <> 3 THEN doc_id %
 def written_markdown(spark, sf_dir):
     """Nested documents written as Markdown, many to a file, and read back."""
     path = runs.new_folder(spark, "markdown")
-    io.write_markdown(_nested(spark, sf_dir), path)
+    chars = views.documents(spark, sf_dir).agg(F.sum(F.length("text"))).first()[0] or 0
+    io.write_markdown(_nested(spark, sf_dir), path, files=max(8, chars // FILE_CHARS))
     return io.read_markdown(spark, path).select("name", "markdown")
 
 

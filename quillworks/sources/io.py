@@ -79,7 +79,8 @@ def write_markdown(docs: DataFrame, path: str, name_col: str = "doc_id", mode: s
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "name")
     dealt.select("bucket", text.alias("value")).write.partitionBy("bucket").mode(mode).option("lineSep", RECORD_END).text(f"{path}/documents")
     index = read_markdown(docs.sparkSession, path).select("name", "bucket", F.length("markdown").alias("n_chars"))
-    index.coalesce(1 if files <= 64 else files // 64).write.mode(mode).parquet(f"{path}/index")
+    # dealt anew, not coalesced: one task would read all documents for the index
+    index.repartition(1 if files <= 64 else files // 64).write.mode(mode).parquet(f"{path}/index")
 
 
 def read_markdown(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from quillworks import document_queries
 from quillworks import queries as core
 from quillworks.operators import documents, lines, measures, sections
 from quillworks.plans import views, workloads
@@ -214,3 +215,13 @@ def test_summary_without_sections(spark):
     assert "Chapter 0 covers 0 sections" in text and measures.NO_OBJECTIVE in text and measures.NO_TERM in text
     total = measures.document_summary(rows).first()
     assert (total.section_count, total.total_chars) == (0, 0)
+
+
+def test_markdown_is_dealt_by_size(spark, monkeypatch):
+    """Files grow in number with the texts, and no single task reads all of them for the index."""
+    seen = []
+    write = io.write_markdown
+    monkeypatch.setattr(document_queries, "FILE_CHARS", 20_000)
+    monkeypatch.setattr(io, "write_markdown", lambda *given, **named: (seen.append(named["files"]), write(*given, **named)))
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
+    assert document_queries.written_markdown(spark, "/root/testdata/sf0.001").count() > 0 and seen[0] > 8
