@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +13,20 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: White space of any kind: what \s finds with (?U).
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The line ends other than the plain one.
+OTHER_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip_col(c: Column) -> Column:
     """Without white space (of any kind) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def one_line_col(c: Column) -> Column:
@@ -20,7 +35,17 @@ def one_line_col(c: Column) -> Column:
 
 
 def words_col(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S+"), F.lit(0))
+
+
+def first_words_col(c: Column, n: int) -> Column:
+    """The first n words, the text after them unread; one empty word if there are none."""
+    return F.slice(F.split(strip_col(F.coalesce(c, F.lit(""))), r"(?U)\s+", n + 1), 1, n)
+
+
+def has_words_col(c: Column, n: int) -> Column:
+    """Whether there are n words or more; the text after them is not read."""
+    return F.coalesce(c, F.lit("")).rlike(rf"(?U)^\s*+(?:\S++\s++){{{n - 1}}}\S")
 
 
 def word_count_col(c: Column) -> Column:
@@ -29,8 +54,10 @@ def word_count_col(c: Column) -> Column:
 
 def split_lines_col(c: Column) -> Column:
     """The lines of a text; none for the empty text, and no empty line after a final line end."""
-    lines = F.split(F.coalesce(c, F.lit("")), LINE_END)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    text = F.coalesce(c, F.lit(""))
+    odd = reduce(or_, [text.contains(end) for end in OTHER_ENDS])
+    lines = F.when(odd, F.split(text, LINE_END)).otherwise(F.split(text, "\n"))
+    return let(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x))
 
 
 def round_half_even(c: Column, places: int = 2) -> Column:

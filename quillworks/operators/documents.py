@@ -82,36 +82,40 @@ def shape_problems(raw: DataFrame, body_col: str = "body") -> DataFrame:
     return raw.withColumn("problem", F.when(keys.isNull(), "not an object").when(F.size(keys) == 0, "empty object").when(~known, "no known field"))
 
 
-def own_sections(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped, error_col: str | None = None) -> DataFrame:
+def own_sections(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped, error_col: str | None = None, tasks: int | None = None) -> DataFrame:
     """Raw texts to the sections of own_documents(), weighed, with kept: false for those that the title takes.
 
-    One exchange deals the documents; cleaning, sections, title and weights are local to them.
+    One exchange deals the documents, another the cleaned texts; what is between and after is local to them. tasks: how
+    many to deal to.
     """
     chapter = chapter_number_col(F.col("source_name"), F.col("chapter_override"))
     prefix = F.coalesce(F.nullif(F.trim("prefix"), F.lit("")), chapter.cast("string"))
     no_text = strip_col(F.coalesce("text", F.lit(""))) == ""
     named = docs.select("doc_id", "source_name", "doc_type", chapter.alias("chapter"), prefix.alias("id_prefix"), no_text.alias("no_text"), "text")
-    sections = pick_title(detect_sections(clean_own(own_documents(named), fold=fold, error_col=error_col)))
+    cleaned = clean_own(own_documents(named, tasks), fold=fold, error_col=error_col)
+    # what comes out of Python is dealt again: as texts, before they are lines once more
+    dealt = cleaned.repartition(tasks, "doc_id") if tasks else cleaned.repartition("doc_id")
+    sections = pick_title(detect_sections(dealt))
     return number_and_weigh(sections.withColumn("kept", F.col("seq") >= F.col("body_from")), F.col("kept"))
 
 
-def process_documents(docs: DataFrame) -> DataFrame:
+def process_documents(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Raw texts (doc_id, source_name, doc_type, chapter_override, prefix, text) to sections with ids and weights.
 
     Null and repeated doc_ids are documents of their own; a document whose only section gives the title has no row.
     """
-    rows = own_sections(docs).where("kept").drop("kept", "body_from", "source_name", "doc_type", "no_text")
+    rows = own_sections(docs, tasks=tasks).where("kept").drop("kept", "body_from", "source_name", "doc_type", "no_text")
     return rows.withColumn("doc_id", F.col("own_id")).drop("own_id")
 
 
-def documents_with_status(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped) -> DataFrame:
+def documents_with_status(docs: DataFrame, fold: Callable[[list[str]], list[str]] = join_wrapped, tasks: int | None = None) -> DataFrame:
     """Raw texts to nested documents, each with warnings, a status and a reason.
 
     One row per input row, found in one job: documents that yield nothing are carried through all windows as a section
     that does not count. Status: done, empty (no text), untitled (no section left), or failed, with the reason, where
     Python's helper raised; a failure stops nothing.
     """
-    rows = own_sections(docs, fold, "reason")
+    rows = own_sections(docs, fold, "reason", tasks)
     nested = nest_document(rows, F.col("kept"), also=("own_id", "no_text", "reason"))
     bad = F.col("reason").isNotNull()
     status = F.when(bad, "failed").when(F.col("no_text"), "empty").when(F.col("sections").isNull(), "untitled").otherwise("done")

@@ -28,6 +28,7 @@ PAGE_NUMBER = r"(?imdU)^\s*(?:\d{1,3}-\d{1,3}|Page\s+\d+|\d{1,4})\s*$"
 IMAGE_WORD = r"(?iU)^\s*(?:image|photo|illustration|diagram|graphic)\s*$"
 DRAWING = r"(?U)^[\s_\-=\.|/\\<>\[\]\(\)~`•·:]{4,}$"
 DRAWING_MARKS = r"[_|\-=./\\<>\[\]()~`•·:]"
+THREE_LETTERS, LONGEST_WORD = r"\p{L}\P{L}*\p{L}\P{L}*\p{L}", len("illustration")
 BULLET = r"(?U)^\s*(?:[-*•]|\d+[.)]|[A-Za-z][.)])\s+"
 CELL_END = r"\t+| {2,}"
 CHAPTER_LINE = r"(?iU)^Chapter\s+\d+"
@@ -60,21 +61,28 @@ def drop_repeated_lines(lines: DataFrame, min_count: int = HEADER_COUNT, max_len
 def image_line_col(line: Column) -> Column:
     """The line is a lone image word, or drawing marks alone, or almost so."""
     own = strip_col(line)
-    letters, marks = F.regexp_count(own, F.lit(r"\p{L}")), F.regexp_count(own, F.lit(DRAWING_MARKS))
-    few = (letters <= 2) & (marks >= F.greatest(F.lit(4), F.floor(F.length(own) / 2)))
-    return (own != "") & (own.rlike(IMAGE_WORD) | own.rlike(DRAWING) | few)
+    # most lines have three letters soon: their marks are not counted
+    few = F.when(own.rlike(THREE_LETTERS), False).otherwise(F.regexp_count(own, F.lit(DRAWING_MARKS)) >= F.greatest(F.lit(4), F.floor(F.length(own) / 2)))
+    return (own != "") & (((F.length(own) <= LONGEST_WORD) & own.rlike(IMAGE_WORD)) | own.rlike(DRAWING) | few)
 
 
 def drop_image_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~image_line_col(F.col("line")))
 
 
+def _spaced(own: Column) -> Column:
+    """There may be a cell's end in a stripped line."""
+    return own.contains("\t") | own.contains("  ")
+
+
 def cells_col(line: Column) -> Column:
-    return F.filter(F.transform(F.split(strip_col(line), CELL_END), strip_col), lambda c: c != "")
+    own = strip_col(line)
+    return F.when(~_spaced(own), F.array_remove(F.array(own), "")).otherwise(F.filter(F.transform(F.split(own, CELL_END), strip_col), lambda c: c != ""))
 
 
 def table_row_col(line: Column) -> Column:
-    return (F.size(cells_col(line)) >= 2) & ~strip_col(line).rlike(BULLET)
+    own = strip_col(line)
+    return F.when(_spaced(own), (F.size(cells_col(line)) >= 2) & ~own.rlike(BULLET)).otherwise(False)
 
 
 def table_text_col(rows: Column) -> Column:
@@ -185,13 +193,14 @@ def joined_lines_col(lines: Column, fold: Callable[[list[str]], list[str]] = joi
     return join(lines)
 
 
-def own_documents(df: DataFrame) -> DataFrame:
+def own_documents(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """doc_id becomes a serial number of the row, the given id goes on as own_id; rows are dealt by the serial.
 
-    The only exchange of the whole job: whatever follows groups and orders by doc_id.
+    The only exchange of the whole job: whatever follows groups and orders by doc_id. tasks: how many to deal to, to be
+    raised with the size, so that what one of them sorts stays the same.
     """
     numbered = df.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id())
-    return numbered.repartition("doc_id")
+    return numbered.repartition(tasks, "doc_id") if tasks else numbered.repartition("doc_id")
 
 
 def clean_own(docs: DataFrame, text_col: str = "text", fold: Callable[[list[str]], list[str]] = join_wrapped, error_col: str | None = None) -> DataFrame:
@@ -212,7 +221,7 @@ def clean_own(docs: DataFrame, text_col: str = "text", fold: Callable[[list[str]
     return texts.select("doc_id", *rest, text, *([error.alias(error_col)] if error_col else []))
 
 
-def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
+def clean_text(df: DataFrame, text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """doc_id, the other columns, and the cleaned text; a document left without lines, or a null text, has the empty text.
 
     Rows with a null or repeated doc_id are cleaned each for itself; other columns, whatever their names and types, go
@@ -221,7 +230,7 @@ def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     given = F.struct(*[df[c] for c in df.columns if c != text_col]).alias("given")
     packed = df.select(F.lit(None).cast("long").alias("doc_id"), given, df[text_col].alias("text"))
     others = [F.col("given")[c].alias(c) for c in df.columns if c not in ("doc_id", text_col)]
-    return clean_own(own_documents(packed)).select(F.col("given")["doc_id"].alias("doc_id"), *others, F.col("text").alias(text_col))
+    return clean_own(own_documents(packed, tasks)).select(F.col("given")["doc_id"].alias("doc_id"), *others, F.col("text").alias(text_col))
 
 
 def repeated_line_report(lines: DataFrame, top: int = 20, min_count: int = HEADER_COUNT, max_len: int = HEADER_LENGTH) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.functions.textops import split_lines_col, strip_col, word_count_col, words_col
+from quillworks.functions.textops import let, split_lines_col, strip_col, word_count_col, words_col
 from quillworks.operators.lines import CHAPTER_LINE, FIGURE, PAGE_NUMBER
 
 GLOSSARY_MARK = r"(?U)^[A-Z]-\d{1,3}$"
 LONE_CAPITAL = r"^\p{IsUppercase}$"
+LONGEST_MARK = len("A-999")
 # The words that may stand in lower case in a title.
 MINOR_WORDS = "a an the to of in on at for by and or nor but with as from into over under about above below between through during".split()
 MERGE_GAP, CLUSTER_GAP, CLUSTER_SIZE, LEAST_CHARS = 4, 8, 6, 200
@@ -33,16 +34,22 @@ def title_case_col(line: Column) -> Column:
 def heading_col(line: Column) -> Column:
     """The line may be a heading, whatever stands before it."""
     own = strip_col(line)
-    shape = own.rlike(r"^[\p{L}\p{N}]") & F.length(own).between(3, 120) & ~own.contains(".") & ~own.contains(":") & ~own.rlike(FIGURE) & ~own.rlike(PAGE_NUMBER)
-    return shape & (title_case_col(own) | ((own == F.upper(own)) & own.rlike(r"\p{L}")))
+    shape = own.rlike(r"^[\p{L}\p{N}]") & ~own.rlike(FIGURE) & ~own.rlike(PAGE_NUMBER)
+    # the cheap rules first: the others are not asked about most lines
+    fits = F.when(shape, title_case_col(own) | ((own == F.upper(own)) & own.rlike(r"\p{L}"))).otherwise(False)
+    return F.when(F.length(own).between(3, 120), F.when(own.contains(".") | own.contains(":"), False).otherwise(fits)).otherwise(False)
 
 
 def resolve_doc_type(docs: DataFrame, text_col: str = "text", name_col: str = "source_name", type_col: str = "doc_type") -> DataFrame:
     """Adds is_glossary: asked for, or (auto) seen in the name, the first 350 lines, or by page marks and dividers."""
-    lines = split_lines_col(F.col(text_col))
-    early, head = F.slice(lines, 1, 350), F.transform(F.slice(lines, 1, 2000), strip_col)
-    marks, capitals = F.size(F.filter(head, lambda x: x.rlike(GLOSSARY_MARK))), F.size(F.filter(head, lambda x: x.rlike(LONE_CAPITAL)))
-    looks = F.lower(F.coalesce(F.col(name_col), F.lit(""))).contains("glossary") | F.exists(early, lambda x: F.lower(x).contains("glossary")) | ((marks >= 5) & (capitals >= 3))
+    named = F.lower(F.coalesce(F.col(name_col), F.lit(""))).contains("glossary")
+
+    def seen(lines: Column) -> Column:
+        short = F.filter(F.transform(F.slice(lines, 1, 2000), strip_col), lambda x: F.length(x) <= LONGEST_MARK)
+        marks, capitals = F.size(F.filter(short, lambda x: x.rlike(GLOSSARY_MARK))), F.size(F.filter(short, lambda x: x.rlike(LONE_CAPITAL)))
+        return F.exists(F.slice(lines, 1, 350), lambda x: F.lower(x).contains("glossary")) | ((marks >= 5) & (capitals >= 3))
+
+    looks = F.when(named, True).otherwise(let(split_lines_col(F.col(text_col)), seen))
     mode = F.lower(F.trim(F.coalesce(F.col(type_col), F.lit("auto"))))
     return docs.withColumn("is_glossary", F.when(mode == "glossary", True).when(mode == "chapter", False).otherwise(looks))
 
@@ -51,18 +58,20 @@ def flag_headings(lines: DataFrame) -> DataFrame:
     """Adds own (the stripped line), blank, passes (heading_col), prev_blank, is_heading. lines has is_glossary."""
     order = order_by_line()
     rows = lines.withColumn("own", strip_col(F.col("line"))).withColumn("blank", F.col("own") == "")
-    backwards = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.last(F.when(~F.col("blank"), F.col("own")), ignorenulls=True).over(backwards)
-    rows = rows.withColumns({"passes": heading_col(F.col("own")), "prev_blank": F.coalesce(F.lag("blank").over(order), F.lit(True)), "next_own": later})
-    capital = F.col("own").rlike(LONE_CAPITAL)
-    divider = capital & F.coalesce(F.upper(F.substring("next_own", 1, 1)) == F.col("own"), F.lit(False))
+    rows = rows.withColumn("begins", F.nullif(F.substring("own", 1, 1), F.lit("")))
+    # in the order of the other windows: a frame that looks back from the end would sort the lines once more each way
+    later = F.expr("lead(begins) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY line_no)")
+    rows = rows.withColumns({"prev_blank": F.coalesce(F.lag("blank").over(order), F.lit(True)), "next_begins": later})
+    rows = rows.withColumn("passes", heading_col(F.col("own")))
+    capital = (F.length("own") == 1) & F.col("own").rlike(LONE_CAPITAL)
+    divider = capital & F.coalesce(F.upper("next_begins") == F.col("own"), F.lit(False))
     is_heading = (
         F.when(F.col("is_glossary") & F.col("own").rlike(GLOSSARY_MARK), False)
-        .when(F.col("own").rlike(CHAPTER_LINE) & ~F.col("own").contains("."), True)
+        .when(F.col("begins").isin("c", "C") & F.col("own").rlike(CHAPTER_LINE) & ~F.col("own").contains("."), True)
         .when(F.col("is_glossary") & capital, divider)
         .otherwise(F.col("passes") & F.col("prev_blank"))
     )
-    return rows.withColumn("is_heading", is_heading).drop("next_own")
+    return rows.withColumn("is_heading", is_heading).drop("begins", "next_begins")
 
 
 def heading_audit(flagged: DataFrame) -> DataFrame:
@@ -171,7 +180,8 @@ def outline(flagged: DataFrame, rest: list[str], min_size: int = CLUSTER_SIZE) -
     order = order_by_line()
     before, doc = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("doc_id")
     heading = lambda c: F.when(F.col("is_heading"), F.col(c))
-    rows = flagged.withColumn("filled", F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(order))
+    # a heading alone needs its stripped line: the others' would be sorted with them
+    rows = flagged.withColumn("own", F.when(F.col("is_heading"), F.col("own"))).withColumn("filled", F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(order)).drop("blank", "passes", "prev_blank")
     rows = rows.withColumns({"prev_line": F.last(heading("line_no"), ignorenulls=True).over(before), "prev_filled": F.last(heading("filled"), ignorenulls=True).over(before)})
     gap = F.col("line_no") - F.col("prev_line")
     joins = F.coalesce((gap <= MERGE_GAP) & (F.col("filled") - F.col("prev_filled") == 1), F.lit(False))

@@ -10,9 +10,9 @@ from quillworks.plans import views
 from quillworks.sources import runs
 
 
-def section_documents(docs: DataFrame) -> DataFrame:
+def section_documents(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Raw texts to numbered, weighted sections."""
-    return documents.process_documents(docs)
+    return documents.process_documents(docs, tasks)
 
 
 def required_questions(sections: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Line, section, allotment and bank rules against plain loops on random input."""
 
 import random
+import re
 from fractions import Fraction
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from quillworks.functions import textops
 from quillworks.functions.textops import round_half_even
 from quillworks.operators import bank, blueprint, documents, lines, measures, pairs, sections, simjoin
 
@@ -298,3 +300,42 @@ def test_weights_round_as_sql(spark):
     rows = con.execute("SELECT w, t, round_even(CAST(w AS DOUBLE) / t * 100, 2) FROM range(1, 8001) a(t), range(0, 8001) b(w) WHERE w <= t AND (w * 100000) % t = 0 AND (w * 100000 // t) % 10 = 5 AND (t % 4000 = 0 OR w < 9)").fetchall()
     given = spark.createDataFrame(rows, "w long, t long, want double")
     assert len(rows) > 500 and given.where(round_half_even(F.col("w") / F.col("t") * 100) != F.col("want")).count() == 0
+
+
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def test_white_space_of_any_kind(spark):
+    """Stripping and words without patterns over whole lines: what (?U)\\s finds, and nothing else."""
+    others = "\x1c\x1f​᠎⁠﻿"
+    rows = [(f"{c}a{c}b{c}",) for c in SPACES + others] + [("",), (" ",), (None,), (" one  two\tthree　four five six ",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", textops.strip_col(F.col("t")).alias("s"), textops.words_col(F.col("t")).alias("w"), F.array_join(textops.first_words_col(F.col("t"), 4), " ").alias("f"), *[textops.has_words_col(F.col("t"), n).alias(f"h{n}") for n in (1, 2, 5)]).collect()
+    for r in got:
+        words = [] if r.t is None else [w for w in re.split(f"[{SPACES}]+", r.t) if w]
+        assert r.s == (None if r.t is None else r.t.strip(SPACES))
+        assert (r.w, r.f) == (words, " ".join(words[:4]))
+        assert [r.h1, r.h2, r.h5] == [len(words) >= n for n in (1, 2, 5)]
+
+
+def test_lines_are_split_once(spark):
+    ends = ["\n", "\r\n", *"\r\x0b\x0c\x1c\x1d\x1e\x85  "]
+    texts = ["", "a", *ends, *[f"a{e}b{e}{e}c{e}" for e in ends], "a\n\r\nb\r\n", "\n\r"]
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "t string").select("t", textops.split_lines_col(F.col("t")).alias("l"))
+    for r in df.collect():
+        assert r.l == loop_lines(r.t or "")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # one split by the plain end, one by all of them: the rules about the last line do not split again
+    assert plan.count("split(") == 2
+
+
+def loop_lines(text):
+    out, at = [""], 0
+    while at < len(text):
+        if text[at] in "\n\r\x0b\x0c\x1c\x1d\x1e\x85  ":
+            at += text[at : at + 2] == "\r\n"
+            out.append("")
+        else:
+            out[-1] += text[at]
+        at += 1
+    return out[:-1] if out[-1] == "" else out
