@@ -201,7 +201,7 @@ SELECT doc_id, seq, title, content, CAST(len({views.words_sql("content")}) AS BI
 def made_outputs(spark, sf_dir):
     """All outputs, written and read back: how many rows of each a document has."""
     rows = base._titled(spark, sf_dir)
-    builders = workloads.output_builders(rows, views.candidates(spark, sf_dir), base._record_replies(spark, sf_dir, rows))
+    builders = workloads.output_builders(rows, views.candidates(spark, sf_dir), base._record_replies(spark, sf_dir, rows), views.tasks(views.documents(spark, sf_dir)))
     made = runs.make_outputs(spark, builders, set(builders), runs.new_folder(spark, "outputs"))
     found = [made[n].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(n).alias("output"), "n") for n in sorted(made)]
     out = found[0]

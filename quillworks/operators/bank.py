@@ -15,15 +15,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.functions.textops import strip_col, words_col
+from quillworks.functions.textops import has_words_col, strip_col
 from quillworks.operators.blueprint import question_id_col
 
 #: Executors need no copy of this module: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CORRECT, WRONG, STEM_WORDS, ANSWER_WORDS = 3, 8, 8, 5
-# Answers that say nothing.
-GENERIC = r"^((correct|incorrect|wrong)\s+option\s+\d+|option\s+\d+)$"
 SLOT_TRIES = 6
 #: The best candidates of a section are found among this many parts of it first.
 RANK_PARTS = 16
@@ -85,11 +83,12 @@ def parse_candidates(replies: DataFrame) -> DataFrame:
 
 def stem_fault_col(question: Column) -> Column:
     """Null for a good stem: eight words or more, closed by a question mark."""
-    return F.when(F.size(words_col(question)) < STEM_WORDS, "short stem").when(~question.endswith("?"), "no question mark")
+    return F.when(~has_words_col(question, STEM_WORDS), "short stem").when(~question.endswith("?"), "no question mark")
 
 
 def rich_answer_col(answer: Column) -> Column:
-    return (F.size(words_col(answer)) >= ANSWER_WORDS) & ~F.lower(F.trim(answer)).rlike(GENERIC)
+    """Five words or more. The answers that say nothing ("option 3", "wrong option 3") have three at most."""
+    return has_words_col(answer, ANSWER_WORDS)
 
 
 def quality_gate(candidates: DataFrame) -> DataFrame:
@@ -101,18 +100,21 @@ def quality_gate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("fault", fault)
 
 
-def accept_questions(candidates: DataFrame, required: DataFrame, mode: str = "batch") -> DataFrame:
+def accept_questions(candidates: DataFrame, required: DataFrame, mode: str = "batch", tasks: int | None = None) -> DataFrame:
     """Accepted questions with their number in the section. candidates: passed the gate; required: doc_id, section_id,
     section_title, questions, one row for each section.
 
     Of equal stems in a section the earliest (slot, attempt, pos) counts. mode `batch`: the first `questions` of what is
     left. mode `slots`: slots 1 to `questions` are filled in turn, each by the first candidate of its first six attempts
-    whose stem no earlier slot has taken; a slot may stay empty.
+    whose stem no earlier slot has taken; a slot may stay empty. tasks: how many the sections are dealt to, to be raised
+    with the size.
     """
     order = ["slot", "attempt", "pos"]
     need = required.select(F.col("doc_id").alias("r_doc"), F.col("section_id").alias("r_section"), "section_title", F.greatest("questions", F.lit(1)).alias("needed"))
+    if tasks:
+        candidates, need = candidates.repartition(tasks, "doc_id", "section_id"), need.repartition(tasks, "r_doc", "r_section")
     joined = candidates.join(need, (F.col("doc_id") == F.col("r_doc")) & (F.col("section_id") == F.col("r_section"))).drop("r_doc", "r_section")
-    rows = _by_slots(joined) if mode == "slots" else _first_ones(joined, order)
+    rows = _by_slots(joined, bool(tasks)) if mode == "slots" else _first_ones(joined, order)
     subjects = F.when(F.size(F.coalesce("subjects", F.array().cast("array<string>"))) > 0, F.col("subjects")).otherwise(F.array("section_title"))
     return rows.withColumn("subjects", subjects).drop("needed")
 
@@ -132,15 +134,16 @@ def _first_ones(rows: DataFrame, order: list[str]) -> DataFrame:
     return kept.withColumn("number", number.cast("long")).where("number <= needed")
 
 
-def _by_slots(rows: DataFrame) -> DataFrame:
+def _by_slots(rows: DataFrame, dealt_before: bool = False) -> DataFrame:
     """The exact slot rule as a fold over sorted partitions: sections are dealt whole and read in order of slot, attempt
     and pos, and the state of the open section is carried over the ends of Arrow batches.
 
-    A section's slots and attempts are bounded by its required number, so no task holds more than it has to.
+    A section's slots and attempts are bounded by its required number, so no task holds more than it has to. dealt_before:
+    both sides of the join were dealt by section to a stated number of tasks, which adaptive execution leaves alone.
     """
     keys = ["doc_id", "section_id"]
     asked = rows.where((F.col("slot") >= 1) & (F.col("slot") <= F.col("needed")) & (F.col("attempt") <= SLOT_TRIES)).withColumn("stem", F.lower("question"))
-    dealt = asked.repartition(*keys).sortWithinPartitions(*keys, "slot", "attempt", "pos")
+    dealt = (asked if dealt_before else asked.repartition(*keys)).sortWithinPartitions(*keys, "slot", "attempt", "pos")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), "number long"])
     return dealt.mapInArrow(_fold_slots, schema).drop("stem")
 

@@ -96,15 +96,16 @@ def char_blueprint(sections: DataFrame) -> DataFrame:
     return normalize_weights(rows)
 
 
-def word_blueprint(sections: DataFrame, cap: int = QUESTION_CAP) -> DataFrame:
-    """doc_id, no, id, weight, questions: by given weights or words, one question for every 220 words, at most `cap`."""
+def word_blueprint(sections: DataFrame, cap: int = QUESTION_CAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, no, id, weight, questions: by given weights or words, one question for every 220 words, at most `cap`; and
+    the columns `also` of the sections."""
     doc = own_doc()
     total = F.sum("word_count").over(doc)
     safe = F.when(total > 0, total).otherwise(1)
     weight = F.when(F.col("section_weight") > 0, F.col("section_weight")).otherwise(F.col("word_count") / safe * 100)
     target = F.least(F.lit(max(LEAST_CAP, cap)).cast("long"), F.greatest(F.count(F.lit(1)).over(doc), F.ceil(safe / WORDS_PER_QUESTION)))
-    rows = sections.select("doc_id", "no", "id", round_half_up(weight).alias("weight"), F.lit(None).cast("long").alias("given"), target.alias("target"))
-    return allocate_questions(normalize_weights(rows)).select("doc_id", "no", "id", "weight", "questions")
+    rows = sections.select("doc_id", "no", "id", round_half_up(weight).alias("weight"), F.lit(None).cast("long").alias("given"), target.alias("target"), *also)
+    return allocate_questions(normalize_weights(rows)).select("doc_id", "no", "id", "weight", "questions", *also)
 
 
 def merge_analysis(sections: DataFrame, analysis: DataFrame) -> DataFrame:

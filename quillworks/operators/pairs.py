@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.functions.textops import strip_col
+from quillworks.functions.textops import let, strip_col
 from quillworks.operators.bank import CORRECT, WRONG
 
 PAIRS, RECORD_SHARE, SAMPLE, CONTEXT_CHARS = CORRECT + WRONG, 0.3, 40, 180
@@ -74,10 +74,15 @@ def clean_records(replies: DataFrame, requests: DataFrame) -> DataFrame:
     # target and sample come with the reply, before records multiply: one join, and no second reading of the bank
     asked = requests.select(F.col("doc_id").alias("a_doc"), "target", "sample")
     rows = replies.join(asked, F.col("doc_id") == F.col("a_doc"))
-    rows = rows.select("doc_id", "book_id", "chapter", "target", "sample", F.posexplode(F.from_json("body", RECORDS)["records"]).alias("pos", "r"))
-    rows = rows.withColumns({"instruction": own(F.col("r.instruction")), "response": own(F.col("r.response")), "qid": own(F.col("r.sourceQuestionId"))}).where("instruction <> '' and response <> ''")
-    rows = rows.withColumn("s", F.get(F.filter("sample", lambda q: q["question_id"] == F.col("qid")), 0))
-    rows = rows.withColumns({"s_source": F.col("s.source"), "s_topic": F.get("s.subjects", F.lit(0))}).drop("sample", "s")
+
+    def sampled(r: Column) -> Column:
+        return F.struct(r.alias("r"), F.get(F.filter("sample", lambda q: q["question_id"] == own(r["sourceQuestionId"])), 0).alias("s"))
+
+    # a record finds its question where the sample is: records with the sample each would be rows of forty questions
+    records = let(F.from_json("body", RECORDS), lambda x: F.transform(x["records"], sampled))
+    rows = rows.select("doc_id", "book_id", "chapter", "target", F.posexplode(records).alias("pos", "found")).select("*", "found.r", "found.s")
+    rows = rows.withColumns({"instruction": own(F.col("r.instruction")), "response": own(F.col("r.response"))}).where("instruction <> '' and response <> ''")
+    rows = rows.withColumns({"s_source": F.col("s.source"), "s_topic": F.get("s.subjects", F.lit(0))})
     chapter = F.when(F.coalesce(F.col("chapter").cast("int"), F.lit(0)) == 0, "?").otherwise(F.col("chapter").cast("string"))
     fallback = F.coalesce(some(F.col("s_source")), F.concat(F.col("book_id"), F.lit(" chapter "), chapter))
     context = own(F.col("r.context"))

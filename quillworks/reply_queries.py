@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillworks import queries as base
 from quillworks.operators import bank, blueprint, measures, pairs
+from quillworks.plans import views
+from quillworks.sources.shared import stored
 
 S = base.S
 
@@ -137,7 +139,7 @@ def record_requests(spark, sf_dir):
 
 def documents_without_records(spark, sf_dir):
     """Documents with accepted questions whose reply holds no good record: every fourth says nothing."""
-    requests = pairs.record_request(base._accepted(spark, sf_dir))
+    requests = stored(pairs.record_request(base._accepted(spark, sf_dir)), "requests")
     said = F.when(F.col("doc_id") % 4 == 1, '{"records": [{"instruction": " ", "response": "x"}]}').when(F.col("doc_id") % 4 == 2, "no JSON").otherwise('{"records": [{"instruction": "Explain.", "response": "So it is."}]}')
     replies = requests.select("doc_id", F.lit("DOC").alias("book_id"), F.lit(0).alias("chapter"), said.alias("body"))
     return pairs.documents_without_records(requests, pairs.clean_records(replies, requests))
@@ -165,10 +167,12 @@ def key_points(spark, sf_dir):
 def _slot_rows(spark, sf_dir):
     """Three attempts for each of four slots, stems made of the section's own words (in changing case), some missing."""
     four = F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))
-    rows = base._sections(spark, sf_dir).where("word_count > 0").withColumn("slot", four)
+    # one of the first five words, found before the rows multiply
+    words = F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " ", 6)
+    rows = base._sections(spark, sf_dir).where("word_count > 0").withColumn("w", words).withColumn("slot", four)
     rows = rows.withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     at = (F.col("slot") * F.col("attempt") + F.col("no")) % F.least("word_count", F.lit(5))
-    word = F.get(F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " "), at.cast("int"))
+    word = F.get("w", at.cast("int"))
     letter = F.translate(F.substring(word, 1, 1), "ß", "ẞ")
     stem = F.concat(F.lit("Stem "), F.when(F.col("attempt") == 2, F.upper(letter)).otherwise(letter))
     return rows.where((F.col("no") + F.col("slot") * F.col("attempt")) % 4 > 0).select("doc_id", F.col("id").alias("section_id"), "slot", "attempt", F.lit(0).alias("pos"), stem.alias("question"), F.array().cast("array<string>").alias("subjects"))
@@ -177,7 +181,7 @@ def _slot_rows(spark, sf_dir):
 def slot_questions(spark, sf_dir):
     """Questions by the exact slot rule; one to three are required, four slots were asked."""
     need = base._sections(spark, sf_dir).select("doc_id", F.col("id").alias("section_id"), F.col("title").alias("section_title"), (F.col("no") % 3 + 1).alias("questions"))
-    found = bank.accept_questions(_slot_rows(spark, sf_dir), need, "slots")
+    found = bank.accept_questions(_slot_rows(spark, sf_dir), need, "slots", views.tasks(views.documents(spark, sf_dir)))
     return found.select("doc_id", "section_id", F.col("slot").cast("long").alias("slot"), F.col("attempt").cast("long").alias("attempt"), "question", "number")
 
 

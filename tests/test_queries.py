@@ -3,6 +3,7 @@
 import pytest
 from quillworks import cleaning_queries, document_queries, reply_queries
 from quillworks import queries as core
+from quillworks.plans import views
 
 from tests.compare import same_rows
 
@@ -62,3 +63,21 @@ def test_made_lines_need_no_row_each(spark):
     """Lines are made where their text is: rows for them, each with all words of the text, would be dealt and sorted."""
     text = plan(cleaning_queries._wrapped(spark, SF))
     assert "Generate" not in text and "Exchange" not in text
+
+
+#: As dealt by the size of the documents: how many tasks, and exchanges at most.
+SIZED = {"training_pairs": 5, "pair_totals": 5, "slot_questions": 5, "clean_text": 1, "document_status": 2, "detected_sections": 1, "section_bodies": 1}
+
+
+@pytest.mark.parametrize("name", sorted(SIZED))
+def test_tasks_grow_with_the_documents(spark, monkeypatch, name):
+    """What a task sorts does not grow with the table: it is dealt by its characters, not by the session's number."""
+    monkeypatch.setattr(views, "TASK_CHARS", 1_000)
+    n = views.tasks(views.documents(spark, SF))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert n > 100 and f", {n}), REPARTITION_BY_NUM" in text
+    assert text.count("Exchange hashpartitioning") <= SIZED[name] and text.count("FileScan") == 1
