@@ -33,7 +33,8 @@ def question_bank(sections: DataFrame, candidates: DataFrame, tasks: int | None
 
 def training_data(sections: DataFrame, candidates: DataFrame, tasks: int | None = None) -> DataFrame:
     """Eleven labelled pairs for every accepted question."""
-    return pairs.training_pairs(question_bank(sections, candidates, tasks))
+    accepted = question_bank(sections, candidates, tasks)
+    return pairs.training_pairs(accepted.repartition(tasks, "doc_id") if tasks else accepted)
 
 
 def costs(sections: DataFrame, prices: list[tuple[str, float, float]] = measures.PRICES) -> DataFrame:
