@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
-from quillworks.llm.common import worker_cache
+from quillworks.llm.common import give_back, worker_cache
 from quillworks.llm.tokens import CLOSING, LONGEST, ModelIds, tokenizer_path
 
 common.ship(__name__)
@@ -36,7 +36,7 @@ common.ship(__name__)
 #: Marks at the end of a word that part from its letters as a token of their own kind.
 TAIL = CLOSING + "#%*&$"
 #: Characters of text whose words are looked up together.
-SLICE = 2_000_000
+SLICE = 1_000_000
 PIECES = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, route string"
 
 
@@ -229,9 +229,13 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     close(full)
                 if len(out) >= 5_000:
                     yield frame()
+            del batch, texts
+            give_back()
         for window in fill_gaps(levels.rest(), capacity):
             close(window)
         yield frame()
+        del levels
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.llm import common
-from quillworks.llm.common import received, send, worker_cache
+from quillworks.llm.common import give_back, received, send, worker_cache
 
 common.ship(__name__)
 
@@ -183,6 +183,9 @@ def scorer(spark: SparkSession, model: OrdinalModel):
         for texts in batches:
             eta = np.array([words.eta(t or "") for t in texts], dtype=np.float64)
             yield pd.DataFrame({"expected_grade": model.expected(eta), "tails": list(model.tails(eta))})
+            del texts
+            give_back()
+        give_back()
 
     return score
 

@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillworks.llm import common
-from quillworks.llm.common import worker_state
+from quillworks.llm.common import give_back, worker_cache, worker_state
 from quillworks.llm.components import components
 
 common.ship(__name__)
@@ -57,9 +58,15 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_column(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t or "") for t in texts], dtype=np.uint64).view(np.int64))
+def with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, row_hash, text to doc, row_hash, fp. One text at a time is a Python string; what earlier stages keep is dropped."""
+    worker_cache("fingerprints", dict)
+    for batch in batches:
+        found = np.fromiter((fingerprint(t.as_py() or "") for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc", "row_hash", "fp"])
+        del batch
+        give_back()
+    give_back()
 
 
 class Block:
@@ -159,10 +166,16 @@ def links(distinct: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame
     return home.join(near.hint("merge"), (F.col("anchor") == F.col("near")) & close).select("a", "b")
 
 
+def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, row_hash, fp. A UDF's rows would wait for its answers in the executor with their texts; these go by once."""
+    rows = docs.select(F.col(id_col).alias("doc"), common.row_hash(docs).alias("row_hash"), F.col(text_col).alias("text"))
+    schema = StructType([StructField("doc", rows.schema["doc"].dataType), StructField("row_hash", LongType()), StructField("fp", LongType())])
+    return rows.mapInArrow(with_fingerprints, schema)
+
+
 def fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, row_hash, fp: written once, for fingerprints are the costly part."""
-    rows = docs.select(F.col(id_col).alias("doc"), common.row_hash(docs).alias("row_hash"), fingerprint_column(F.col(text_col)).alias("fp"))
-    return common.materialize(rows, "fingerprints")
+    return common.materialize(fingerprint_rows(docs, id_col, text_col), "fingerprints")
 
 
 def classes(fps: DataFrame, threshold: int = 2, two_blocks_most: int = TWO_BLOCKS_MOST) -> DataFrame:
