@@ -67,7 +67,9 @@ def round_half_even(c: Column, places: int = 2) -> Column:
 
 
 def round_half_up(c: Column, places: int = 2) -> Column:
-    return F.round(c, places)
+    """The scaled number's nearest whole, halves away from 0, scaled back: as DuckDB's round. round(c, places) looks at the
+    decimal digits instead, and differs where a number such as 0.08499999999999999 is a half when scaled."""
+    return F.round(c * 10**places) / 10**places
 
 
 def nearest_whole(c: Column) -> Column:

@@ -302,6 +302,14 @@ def test_weights_round_as_sql(spark):
     assert len(rows) > 500 and given.where(round_half_even(F.col("w") / F.col("t") * 100) != F.col("want")).count() == 0
 
 
+def test_blueprint_weights_round_as_in_sql(spark):
+    """Halves of a hundredth, and numbers beside them that are halves when scaled, of either sign."""
+    con = duckdb.connect()
+    rows = con.execute("SELECT w, t, round(w / t * 100, 2) FROM (SELECT CAST(a AS DOUBLE) / 4 AS t FROM range(1, 16001) x(a)), (SELECT CAST(b AS DOUBLE) / 4 AS w FROM range(-40, 41) y(b)) WHERE abs(w / t * 10000 - floor(w / t * 10000) - 0.5) < 1e-9").fetchall()
+    given = spark.createDataFrame(rows, "w double, t double, want double")
+    assert len(rows) > 500 and given.where(textops.round_half_up(F.col("w") / F.col("t") * 100) != F.col("want")).count() == 0
+
+
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
