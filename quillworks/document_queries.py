@@ -180,7 +180,7 @@ SELECT DISTINCT d.doc_id, trim(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(1
 
 def detected_sections(spark, sf_dir):
     """Sections of the dressed texts without captions and page numbers: headings, clusters, bodies, smoothing."""
-    docs = lines.strip_artifacts(views.dressed(spark, sf_dir)).withColumn("doc_type", F.lit("chapter"))
+    docs = lines.strip_artifacts(views.dressed_with_lines(spark, sf_dir)).withColumn("doc_type", F.lit("chapter"))
     found = sections.detect_sections(docs.select("doc_id", "source_name", "doc_type", "text").repartition(views.tasks(views.documents(spark, sf_dir)), "doc_id"))
     return found.select("doc_id", F.col("seq").cast("long").alias("seq"), "title", "content", "word_count")
 
