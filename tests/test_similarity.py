@@ -1,6 +1,9 @@
 """The similarity joins against all pairs: classes, links, membership, hot tokens in blocks, odd texts."""
 
+import glob
+import os
 import random
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -8,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillworks.functions.textops import has_tokens_col, token_set_col
 from quillworks.operators import simjoin
+from quillworks.sources import shared
 
 from tests.test_queries import QUERIES, plan
 
@@ -86,6 +90,35 @@ def test_no_plan_groups_by_a_token_alone(spark):
     assert joins and all("low" in line and "high" in line for line in joins)
 
 
+def test_a_table_compared_with_itself_is_dealt_once(spark, tmp_path):
+    """The index goes through one exchange that both sides read, and so do the sets that pairs are verified with."""
+    simjoin.classes(spark.createDataFrame(some_texts(), TEXTS))[0].write.parquet(f"{tmp_path}/sets")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        text = plan(simjoin.links(spark.read.parquet(f"{tmp_path}/sets")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    reused = [line for line in text.split("\n") if "ReusedExchange" in line]
+    assert sum("Exchange hashpartitioning(token" in line and "low" in line for line in reused) == 1
+    assert sum("tokens_b" in line for line in reused) == 1
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+    setting = spark.conf.get(shared.DROP_SHUFFLES, None)
+    there = files()
+    assert shared.stored(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 9).alias("k")).count(), "counts").count() == 9
+    made, until = files() - there, time.time() + 20
+    while made & files() and time.time() < until:
+        time.sleep(0.2)
+    # what is left belongs to the count of the table, one row
+    assert sum(os.path.getsize(f) for f in files() - there) < 1_000 and spark.conf.get(shared.DROP_SHUFFLES, None) == setting
+
+
 def test_token_sets(spark):
     rows = some_texts() + [("x", "ab-cdef_ghij;klm\x0bnopq 12345 é2345")]
     for r in spark.createDataFrame(rows, TEXTS).select("text", token_set_col(F.col("text")).alias("t"), has_tokens_col(F.col("text")).alias("some")).collect():
