@@ -1,6 +1,7 @@
 """Trained models against plain loops: convolution, LSTM and its gradients, cumulative link."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -144,3 +145,22 @@ def test_sample_bounded_by_characters(spark):
     rows, n = common.within_chars(many, ["key"], 1_000, 640)
     assert n == 64 and rows.count() == 64
     assert common.within_chars(many.limit(0), ["key"], 10, 640)[1] == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Toxic stems stand in a few rows each, and some texts are far longer than others: parts hold them all."""
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
+    stems = [word("uvwxyz") for _ in range(12)]
+    plain = lambda n: [word("abcdefgh") for _ in range(n)]
+    made = [(k, " ".join(plain(25) + ([stems[k // 3 % 12]] if k % 3 == 0 else [])), "en") for k in range(1_500)]
+    made += [(2_000 + k, " ".join(plain(4_000) + ["longonly"] * (k % 2)), "en") for k in range(40)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1_500) if k % 5] + [(2_000 + k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels)
+    seen = [p for (p,) in toxicity.of_parts(toxicity.parts(rows, 5), lambda _, part: (len(part.docs),))]
+    assert sum(seen) == labels.count() and len(seen) == 5
+    model = toxicity.fit(docs, labels, part_size=300, part_chars=200_000)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    right = [(got[k] >= 0.5) == (k % 3 == 0) for k in range(0, 1_500, 5)]
+    assert sum(right) >= 0.95 * len(right)
